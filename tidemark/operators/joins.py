@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..functions.time import duration_micros
-from .ordered import MAX_ROWS, running
+from .ordered import MAX_ROWS, batch_of, running
 
 
 def _on(left_keys: list[str], right_keys: list[str]) -> Column:
@@ -178,25 +178,24 @@ def lookup_fixed_window(
 
 
 def merge_by_key(
-    branches: list[DataFrame],
+    df: DataFrame,
     key: str,
+    order: list[str],
     value: Column,
+    expected: int,
     out: str = "parts",
-    expected: int | None = None,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
-    """Gather one event per branch and key; emit keys all branches delivered, once each.
+    """Gather the branch events of a key; emit one row per ``expected`` arrivals.
 
-    Every branch is first reduced to its earliest-sorting part per key, so the gathered
-    array never holds more than one entry per branch.
+    ``df`` holds the events of all branches, ``order`` their arrival.  Incomplete keys
+    emit nothing.  A gathered array never exceeds ``expected`` entries.
     """
-    expected = expected or len(branches)
-    stacked = None
-    for i, branch in enumerate(branches):
-        one = branch.groupBy(key).agg(F.min(value).alias("__part")).withColumn("__b", F.lit(i))
-        stacked = one if stacked is None else stacked.unionByName(one)
+    placed = batch_of(df.withColumn("__part", value), [key], order, expected, "__round", max_rows)
+    arrival = F.struct(*[F.col(c) for c in order], F.col("__part").alias("__part"))
     return (
-        stacked.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("__b", "__part"))).alias(out))
+        placed.groupBy(key, "__round")
+        .agg(F.sort_array(F.collect_list(arrival)).alias(out))
         .where(F.size(out) == expected)
-        .withColumn(out, F.transform(out, lambda p: p["__part"]))
+        .select(key, F.transform(out, lambda p: p["__part"]).alias(out))
     )

@@ -129,7 +129,7 @@ def impute_with_stats(
     """Fill null, NaN and infinities by constant or ``$mean/$min/$max/$std/$count``.
 
     ``stats`` is the small per-column statistics table (one row per column); ``*`` is the
-    default for the other features.  Statistics are joined as one broadcast row.
+    default for the other features.
     """
     names = features or list(df.columns)
     unknown = [c for c in policy if c != "*" and c not in names]
@@ -137,20 +137,12 @@ def impute_with_stats(
         raise SpecError(f"features {unknown} of the impute policy are not in the vector")
     chosen = {n: policy.get(n, policy.get("*")) for n in names}
     chosen = {n: v for n, v in chosen.items() if v is not None}
-    wanted = {
-        f"__i{k}": (n, v[1:])
-        for k, (n, v) in enumerate(chosen.items())
-        if isinstance(v, str) and v.startswith("$")
-    }
-    slot = {n: key for key, (n, _) in wanted.items()}
-    if wanted:
-        row = stats.where(F.col("column").isin([n for n, _ in wanted.values()])).agg(
-            *[
-                F.max(F.when(F.col("column") == n, F.col(stat))).alias(key)
-                for key, (n, stat) in wanted.items()
-            ]
-        )
-        df = df.join(F.broadcast(row))
+    named = {n: v[1:] for n, v in chosen.items() if isinstance(v, str) and v.startswith("$")}
+    if named:
+        # One small row per column of the data; read once on the driver.
+        picked = stats.where(F.col("column").isin(list(named)))
+        known = {r["column"]: r for r in picked.select("column", *set(named.values())).collect()}
+        chosen |= {n: known[n][stat] for n, stat in named.items()}
     filled = {}
     for name, value in chosen.items():
         data_type = df.schema[name].dataType
@@ -158,9 +150,8 @@ def impute_with_stats(
         bad = column.isNull()
         if isinstance(data_type, (T.FloatType, T.DoubleType)):
             bad = bad | F.isnan(column) | (F.abs(column) == F.lit(math.inf))
-        fill = F.col(slot[name]) if name in slot else F.lit(value)
-        filled[name] = F.when(bad, fill.cast(data_type)).otherwise(column)
-    return df.withColumns(filled).drop(*wanted) if filled else df
+        filled[name] = F.when(bad, F.lit(value).cast(data_type)).otherwise(column)
+    return df.withColumns(filled) if filled else df
 
 
 def one_hot(df: DataFrame, mapping: dict[str, list]) -> DataFrame:
