@@ -21,7 +21,7 @@ def vector_fields(
 ) -> dict[str, list[tuple[str, str]]]:
     """Set name -> [(column, output name)], in the order the vector names them."""
     fields: dict[str, list[tuple[str, str]]] = {}
-    used: set[str] = set()
+    used: dict[str, None] = {}
     label = parse_feature(vector.label)[1:3] if vector.label else None
 
     def add(owner: str, name: str, alias: str | None) -> None:
@@ -30,7 +30,7 @@ def vector_fields(
             out = f"{out}_{owner}"
         if out in used:
             raise SpecError(f"output name {out!r} is used twice")
-        used.add(out)
+        used[out] = None
         fields.setdefault(owner, []).append((name, out))
 
     for text in [*vector.features, *([vector.label] if vector.label else [])]:
@@ -51,6 +51,13 @@ def vector_fields(
     return fields
 
 
+def label_output(vector: FeatureVector, fields: dict[str, list[tuple[str, str]]]) -> str | None:
+    """Output name of the label: it is the last field added for its set."""
+    if not vector.label:
+        return None
+    return fields[parse_feature(vector.label)[1]][-1][1]
+
+
 def relation_keys(left: FeatureSet, right: FeatureSet, relations: dict[str, str] | None) -> list[str]:
     """Left columns that hold the entities of ``right``; empty when not connectable."""
     if set(right.entities) <= set(left.entities):
@@ -189,9 +196,7 @@ def offline_features(
             hidden += [*owner.entities, *keep_ts]
             continue
         left_keys, right_keys = list(step.left_keys), list(step.right_keys)
-        pointwise = bool(ts) and bool(time_column) and (step.how in (None, "first", "inner") and (
-            step.how is None or (entity_rows is not None and step.right == steps[0].right)
-        ) or step.asof)
+        pointwise = bool(ts and time_column) and (step.how is None or step.asof)
         overlap = [c for c in frame.columns if c in result.columns and c not in right_keys and c != ts]
         frame = frame.drop(*overlap)
         if pointwise:
@@ -251,7 +256,7 @@ def _finish(
     columns += [F.col(c).alias(out) for out, c in outputs.items() if out not in taken]
     result = result.select(*columns)
     if vector.label:
-        result = filters.label_not_null(result, list(outputs)[-1])
+        result = filters.label_not_null(result, label_output(vector, fields))
     if query:
         result = filters.by_query(result, query)
     if order_by:
