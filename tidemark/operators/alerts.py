@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +87,8 @@ def fire(
         raise SpecError("reset is None, 'manual' or 'auto'")
     if count == 1:
         return done.drop(_POS)
+    if chunk < count:
+        raise SpecError("a chunk must hold at least one window")
     return _auto_reset(done, keys, count, chunk).select(*events.columns)
 
 

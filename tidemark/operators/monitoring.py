@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import hash_keys  # noqa: F401
 from .drift import RESULT_KINDS, STATUSES
 from .stats import describe_numeric, histogram_on_edges
 

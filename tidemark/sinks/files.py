@@ -83,5 +83,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).json(path)
+    layout = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    df.write.mode(mode).option("timestampFormat", layout).json(path)
     return path

@@ -7,6 +7,7 @@ partition per row group, Arrow batches out, nothing read on the driver but file
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,6 +26,8 @@ class RowGroupReader(DataSourceReader):
     def partitions(self):
         import pyarrow.parquet as pq
 
+        if not self.paths:
+            raise ValueError("no files to read")
         return [
             RowGroup(path, i)
             for path in self.paths
@@ -47,7 +50,16 @@ class RowGroupSource(DataSource):
         return "rowgroups"
 
     def reader(self, schema) -> DataSourceReader:
-        return RowGroupReader(self.options["paths"].split(","), schema.fieldNames())
+        return RowGroupReader(_files(self.options["paths"].split(",")), schema.fieldNames())
+
+
+def _files(paths: list[str]) -> list[str]:
+    """Files as given, folders as their Parquet files."""
+    found = []
+    for path in paths:
+        folder = Path(path)
+        found += sorted(map(str, folder.rglob("*.parquet"))) if folder.is_dir() else [path]
+    return found
 
 
 def read_custom(
