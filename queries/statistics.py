@@ -124,4 +124,4 @@ def vector_stats(spark, sf_dir):
 def dataset_profile(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     found = stats.profile(part)
-    return _rounded(found["stats"]).select("column", "count", "mean", "max", F.lit(found["length"]).alias("length"))
+    return _rounded(found["stats"]).select("column", "count", "mean", "max", F.lit(found["length"]).cast("long").alias("length"))

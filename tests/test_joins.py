@@ -71,3 +71,14 @@ def test_fixed_window_lookup(spark):
     assert {(r["k"], r["n"]) for r in closed} == {("a", 2), ("b", None)}
     now = joins.lookup_fixed_window(req, w, ["k"], "ts", "end", "1h", "current_open").collect()
     assert {(r["k"], r["n"]) for r in now} == {("a", 3), ("b", None)}
+
+
+@pytest.mark.parametrize("max_rows", [None, 15])
+def test_many_sets_in_one_pass_equal_a_chain(sides, max_rows):
+    _, _, ldf, rdf = sides
+    other = rdf.select(F.col("k").alias("key"), (F.col("rts") + F.expr("INTERVAL 7 MINUTES")).alias("at"), (F.col("r") * 2).alias("o"))
+    chain = joins.asof_join(joins.asof_join(ldf, rdf, ["k"], "ts", "rts"), other, ["k"], "ts", "at", ["key"], "seen", None)
+    one = joins.asof_join_many(
+        ldf, [joins.AsOf(rdf, ("k",), "rts"), joins.AsOf(other, ("key",), "at", "seen")], ["k"], "ts", max_rows)
+    assert one.columns == chain.columns
+    assert one.exceptAll(chain).count() == 0 and chain.exceptAll(one).count() == 0

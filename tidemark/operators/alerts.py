@@ -28,15 +28,19 @@ _POS = "__pos"
 def match_alerts(events: DataFrame, alerts: DataFrame) -> DataFrame:
     """Events per alert: same event kind, entity listed or ``*``.
 
-    ``alerts``: alert, event_kind, entities (array).  The join is on the kind.
+    ``alerts``: alert, event_kind, entities (array).  Listed entities are looked up by an
+    equi join on (kind, entity); only alerts for every entity join on the kind alone.
     """
-    wanted = alerts.select("alert", F.col("event_kind").alias("__kind"), "entities")
-    hit = F.array_contains("entities", "*") | F.array_contains("entities", F.col("entity"))
-    return (
-        events.join(wanted, F.col("event_kind") == F.col("__kind"))
-        .where(hit)
-        .drop("__kind", "entities")
+    every = F.array_contains("entities", "*")
+    general = alerts.where(every).select("alert", F.col("event_kind").alias("__kind")).distinct()
+    listed = (
+        alerts.where(~every)
+        .select("alert", F.col("event_kind").alias("__kind"), F.explode("entities").alias("__entity"))
+        .distinct()
     )
+    by_kind = F.col("event_kind") == F.col("__kind")
+    named = events.join(listed, by_kind & (F.col("entity") == F.col("__entity"))).drop("__entity")
+    return named.unionByName(events.join(general, by_kind)).drop("__kind")
 
 
 def completed_windows(
@@ -111,7 +115,7 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
     group = [*keys, "__chunk"]
     key_fields = [placed.schema[k] for k in keys]
 
-    def summarize(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         positions = np.sort(pdf[_POS].to_numpy())
         start, end = key[-1] * chunk, (key[-1] + 1) * chunk
         out = []
@@ -127,7 +131,7 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
     )
     summaries = placed.select(*group, _POS).groupBy(*group).applyInPandas(summarize, summary_schema)
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         entries, allowed, previous = [], 0, None
         for number, out in pdf.sort_values("__chunk")[["__chunk", "out"]].itertuples(index=False):
             if previous is None or number != previous + 1:
@@ -144,7 +148,7 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
     )
     entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
 
-    def select(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def select(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(_POS)
         positions = pdf[_POS].to_numpy()
         start = key[-1] * chunk + int(pdf["__from"].iloc[0])

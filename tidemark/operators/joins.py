@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,24 @@ def equi_join(
     return joined.select(*picked, *[F.col(f"r.{c}") for c in extra])
 
 
+@dataclass(frozen=True)
+class AsOf:
+    """Right side of a point-in-time join; ``keep_ts`` names a column for the matched time."""
+
+    df: DataFrame
+    keys: tuple[str, ...]
+    ts: str
+    keep_ts: str | None = None
+
+    @property
+    def values(self) -> list[str]:
+        return [c for c in self.df.columns if c not in self.keys and c != self.ts]
+
+    @property
+    def outputs(self) -> list[str]:
+        return [*self.values, *([self.keep_ts] if self.keep_ts else [])]
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -66,44 +85,61 @@ def asof_join(
     keep_right_ts: str | None = None,
     max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
-    """For each left row the newest right row with equal keys and ``right_ts <= left_ts``.
+    """For each left row the newest right row with equal keys and ``right_ts <= left_ts``."""
+    side = AsOf(right, tuple(right_keys or left_keys), right_ts or left_ts, keep_right_ts)
+    return asof_join_many(left, [side], left_keys, left_ts, max_rows)
+
+
+def asof_join_many(
+    left: DataFrame,
+    rights: list[AsOf],
+    left_keys: list[str],
+    left_ts: str,
+    max_rows: int | None = MAX_ROWS,
+) -> DataFrame:
+    """Point-in-time join of several sets on the same left keys, in one shuffle.
 
-    Both sides are stacked and the last right row is carried along time, so nothing is
-    joined by inequality and no pair is built that is not in the result.  Left rows are
-    always kept.  Equal right times are resolved towards the largest remaining columns.
-    ``keep_right_ts`` names an output column for the matched right time.
+    All sides are stacked and the last row of each right side is carried along time, so
+    nothing is joined by inequality and no pair is built that is not in the result.  Left
+    rows are always kept.  Equal right times are resolved towards the largest remaining
+    columns.
     """
-    right_keys = list(right_keys or left_keys)
-    right_ts = right_ts or left_ts
-    values = [c for c in right.columns if c not in right_keys and c != right_ts]
-    clash = sorted((set(values) | ({keep_right_ts} - {None})) & set(left.columns))
+    names = [f"__k{i}" for i in range(len(left_keys))]
+    outputs = [c for r in rights for c in r.outputs]
+    clash = sorted({c for c in outputs if outputs.count(c) > 1 or c in left.columns})
     if clash:
         raise SpecError(f"columns {clash} are on both sides; rename them first")
-    names = [f"__k{i}" for i in range(len(left_keys))]
-    matched = F.struct(F.col(right_ts).cast("timestamp").alias("__ts"), *values)
-    lefts = left.select(
+    # Rows with a null key match nothing; a salt keeps them out of one common group.
+    unkeyed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in left_keys])
+    stacked = left.select(
         *[F.col(k).alias(n) for k, n in zip(left_keys, names)],
+        F.when(unkeyed, F.pmod(F.xxhash64(left_ts), F.lit(4096))).otherwise(F.lit(0)).alias("__salt"),
         F.col(left_ts).cast("timestamp").alias("__ts"),
-        F.lit(1).alias("__side"),
+        F.lit(len(rights)).alias("__side"),
         F.struct(*left.columns).alias("__l"),
     )
-    rights = right.na.drop(subset=[*right_keys, right_ts]).select(
-        *[F.col(k).alias(n) for k, n in zip(right_keys, names)],
-        F.col(right_ts).cast("timestamp").alias("__ts"),
-        F.lit(0).alias("__side"),
-        matched.alias("__r"),
+    for i, right in enumerate(rights):
+        if len(right.keys) != len(left_keys):
+            raise SpecError("joins need equally many left and right keys")
+        row = F.struct(F.col(right.ts).cast("timestamp").alias("__ts"), *right.values)
+        rows = right.df.na.drop(subset=[*right.keys, right.ts]).select(
+            *[F.col(k).alias(n) for k, n in zip(right.keys, names)],
+            F.lit(0).cast("long").alias("__salt"),
+            F.col(right.ts).cast("timestamp").alias("__ts"),
+            F.lit(i).alias("__side"),
+            row.alias(f"__r{i}"),
+        )
+        stacked = stacked.unionByName(rows, allowMissingColumns=True)
+    found = {f"__m{i}": ("last", F.col(f"__r{i}")) for i in range(len(rights))}
+    order = ["__ts", "__side", *[f"__r{i}" for i in range(len(rights))]]
+    carried = running(stacked, [*names, "__salt"], order, found, max_rows).where(
+        F.col("__side") == len(rights)
     )
-    stacked = lefts.unionByName(rights, allowMissingColumns=True)
-    carried = running(
-        stacked,
-        names,
-        ["__ts", "__side", "__r"],
-        {"__m": ("last", F.col("__r"))},
-        max_rows=max_rows,
-    ).where(F.col("__side") == 1)
-    extra = [F.col(f"__m.{c}").alias(c) for c in values]
-    if keep_right_ts:
-        extra.append(F.col("__m.__ts").alias(keep_right_ts))
+    extra = []
+    for i, right in enumerate(rights):
+        extra += [F.col(f"__m{i}.{c}").alias(c) for c in right.values]
+        if right.keep_ts:
+            extra.append(F.col(f"__m{i}.__ts").alias(right.keep_ts))
     return carried.select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], *extra)
 
 

@@ -140,7 +140,7 @@ def run_app(
     out = T._parse_datatype_string(schema)
     full = T.StructType([rows.schema[g] for g in groups] + list(out))
 
-    def call(key, pdf):
+    def call(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = tracking(key, pdf.drop(columns=groups).sort_values("column"))
         for name, value in reversed(list(zip(groups, key))):
             found.insert(0, name, value)

@@ -30,16 +30,21 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def with_slice(df: DataFrame, keys: list[str], order: str, max_rows: int | None) -> DataFrame:
-    """Add ``__slice``: -1 for ordinary keys, 0.. along ``order`` for hot keys.
+def with_slice(
+    df: DataFrame, keys: list[str], order: str, max_rows: int | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(all rows with ``__slice``, the rows of hot keys only).
 
-    The broadcast table has one row per hot key, so at most ``rows / max_rows`` rows.
+    ``__slice`` is -1 for ordinary keys and 0.. along ``order`` for hot keys.  The broadcast
+    table has one row per hot key, so at most ``rows / max_rows`` rows.
     """
     if max_rows is None:
-        return df.withColumn(SLICE, F.lit(-1).cast("long"))
+        return df.withColumn(SLICE, F.lit(-1).cast("long")), None
     position = _number(df, order)
+    # A struct of the keys compares nulls as equal, so null keys are a key like any other.
+    keyed = df.withColumn("__key", F.struct(*keys))
     hot = (
-        df.groupBy(*keys)
+        keyed.groupBy("__key")
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.min(position).alias("__lo"),
@@ -47,28 +52,22 @@ def with_slice(df: DataFrame, keys: list[str], order: str, max_rows: int | None)
         )
         .where(F.col("__n") > max_rows)
         .select(
-            *[F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)],
+            F.col("__key").alias("__hot"),
             F.coalesce("__lo", F.lit(0.0)).alias("__lo"),
             (
                 (F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") * OVERSPLIT / max_rows)
             ).alias("__width"),
         )
     )
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & df[k].eqNullSafe(hot[f"__hot{i}"])
-    offset = F.floor((position - F.col("__lo")) / F.col("__width"))
-    return (
-        df.join(F.broadcast(hot), match, "left")
-        .withColumn(
-            SLICE,
-            F.when(F.col("__lo").isNull(), F.lit(-1))
-            .when(F.col("__width") > 0, F.coalesce(offset, F.lit(0)))
-            .otherwise(F.lit(0))
-            .cast("long"),
-        )
-        .drop("__lo", "__width", *[f"__hot{i}" for i in range(len(keys))])
-    )
+    offset = F.coalesce(F.floor((position - F.col("__lo")) / F.col("__width")), F.lit(0))
+    slice_ = F.when(F.col("__width") > 0, offset).otherwise(F.lit(0)).cast("long")
+    ordinary = F.when(F.col("__lo").isNull(), F.lit(-1).cast("long"))
+
+    def place(how: str, column: Column) -> DataFrame:
+        joined = keyed.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), how)
+        return joined.withColumn(SLICE, column).drop("__key", "__hot", "__lo", "__width")
+
+    return place("left", ordinary.otherwise(slice_)), place("inner", slice_)
 
 
 def _entry(op: str, column: Column) -> Column:
@@ -119,17 +118,13 @@ def running(
     if not group:
         group = ["__all"]
         rows = rows.withColumn("__all", F.lit(0))
-    rows = with_slice(rows, group, order[0], max_rows).withColumn(_FLAG, F.lit(1))
-    if max_rows is not None:
+    rows, hot = with_slice(rows.withColumn(_FLAG, F.lit(1)), group, order[0], max_rows)
+    if hot is not None:
         before = W.partitionBy(*group).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-        totals = (
-            rows.where(F.col(SLICE) >= 0)
-            .groupBy(*group, SLICE)
-            .agg(*[_slice_total(op, v, order).alias(v) for v, (op, _) in values.items()])
+        totals = hot.groupBy(*group, SLICE).agg(
+            *[_slice_total(op, v, order).alias(v) for v, (op, _) in values.items()]
         )
-        carried = [
-            _OVER[op](F.col(v)).over(before).alias(v) for v, (op, _) in values.items()
-        ]
+        carried = [_OVER[op](F.col(v)).over(before).alias(v) for v, (op, _) in values.items()]
         seeds = totals.select(*group, SLICE, *carried, F.lit(0).alias(_FLAG))
         rows = rows.unionByName(seeds, allowMissingColumns=True)
     frame = (

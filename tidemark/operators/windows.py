@@ -156,11 +156,11 @@ def _every_event_pass(df, keys, ts, step, specs, max_rows):
     group = [*keys, _B]
     rank = _rank(df, ts)
     rows = df.withColumns({_B: epoch_bucket(ts, step), "__rank": rank, "__flag": F.lit(1)})
-    rows = with_slice(rows, group, ts, max_rows)
+    rows, hot = with_slice(rows, group, ts, max_rows)
     windows = sorted({duration_seconds(w) * 1_000_000 for _, w in specs})
     seeds = _bucket_seeds(rows, group, step, windows, specs, fields)
-    if max_rows is not None:
-        seeds = _slice_seeds(rows, group, seeds, windows, specs, fields)
+    if hot is not None:
+        seeds = _slice_seeds(hot, group, seeds, specs, fields)
     names = [f"__s_{c}_{size}" for c, size in _pairs(specs)]
     if seeds is not None:
         rows = rows.unionByName(
@@ -226,19 +226,15 @@ def _bucket_seeds(rows, group, step, windows, specs, fields):
     )
 
 
-def _slice_seeds(rows, group, seeds, windows, specs, fields):
+def _slice_seeds(hot, group, seeds, specs, fields):
     """Seeds of the slices of hot buckets: earlier buckets plus earlier slices."""
     whole = W.partitionBy(*group)
     before = whole.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        rows.where(F.col(SLICE) >= 0)
-        .groupBy(*group, SLICE)
-        .agg(
-            *[
-                group_partial(F.col(c), F.col("__rank"), f).alias(f"__p_{c}")
-                for c, f in fields.items()
-            ]
-        )
+    totals = hot.groupBy(*group, SLICE).agg(
+        *[
+            group_partial(F.col(c), F.col("__rank"), f).alias(f"__p_{c}")
+            for c, f in fields.items()
+        ]
     )
     earlier = totals.select(
         *group,
@@ -253,7 +249,7 @@ def _slice_seeds(rows, group, seeds, windows, specs, fields):
         return earlier.select(
             *group, SLICE, *[F.col(f"__q_{c}").alias(f"__s_{c}_{size}") for c, size in pairs]
         )
-    hot = earlier.select(
+    cuts = earlier.select(
         *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
         F.col(SLICE).alias("__cut"),
         *[f"__q_{c}" for c in fields],
@@ -261,7 +257,7 @@ def _slice_seeds(rows, group, seeds, windows, specs, fields):
     match = reduce(
         lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
     )
-    return seeds.join(hot, match, "left").select(
+    return seeds.join(cuts, match, "left").select(
         *group,
         F.coalesce("__cut", F.lit(-1)).cast("long").alias(SLICE),
         *[

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 from ..functions.names import parse_feature
 from ..operators import filters
-from ..operators.joins import asof_join, equi_join
+from ..operators.joins import AsOf, asof_join_many, equi_join
 from ..specs import FeatureSet, FeatureVector, JoinStep
 
 ROWS = "__entity_rows__"
@@ -175,6 +175,9 @@ def offline_features(
     result, time_column, filtered = entity_rows, entity_timestamp, False
     outputs: dict[str, str] = {}
     hidden: list[str] = []
+    # Neighbouring point-in-time joins on the same left keys run as one stacked pass.
+    pending: list[AsOf] = []
+    pending_keys: list[str] = []
     for step in steps:
         owner = sets[step.right]
         ts = owner.timestamp_key
@@ -197,17 +200,25 @@ def offline_features(
             continue
         left_keys, right_keys = list(step.left_keys), list(step.right_keys)
         pointwise = bool(ts and time_column) and (step.how is None or step.asof)
-        overlap = [c for c in frame.columns if c in result.columns and c not in right_keys and c != ts]
+        present = {*result.columns, *[c for side in pending for c in side.outputs]}
+        overlap = [c for c in frame.columns if c in present and c not in right_keys and c != ts]
         frame = frame.drop(*overlap)
         if pointwise:
-            result = asof_join(result, frame, left_keys, time_column, ts, right_keys)
+            if pending and pending_keys != left_keys:
+                result, pending = asof_join_many(result, pending, pending_keys, time_column), []
+            pending_keys = left_keys
+            pending.append(AsOf(frame, tuple(right_keys), ts))
         else:
+            if pending:
+                result, pending = asof_join_many(result, pending, pending_keys, time_column), []
             if ts and ts in result.columns:
                 frame = frame.drop(ts)
             how = step.how if step.how in ("inner", "outer", "left", "right") else "inner"
             result = equi_join(result, frame, left_keys, right_keys, how)
             time_column = time_column or ts
         hidden += [*left_keys, *keep_ts]
+    if pending:
+        result = asof_join_many(result, pending, pending_keys, time_column)
     if (start is not None or end is not None) and not filtered:
         raise SpecError("a time range needs a feature set with a time column")
 
