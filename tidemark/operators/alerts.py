@@ -107,17 +107,19 @@ def _walk(positions: np.ndarray, allowed: int, count: int) -> Iterator[int]:
 def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> DataFrame:
     """After firing at position p the alert may fire again from p + count on.
 
-    Positions are cut into chunks.  Each chunk is summarized as "allowed offset in ->
-    allowed offset out" (``count`` entries), the summaries are chained per alert, and each
-    chunk is then walked once more from its known start.
+    Positions are cut into chunks.  An alert within one chunk starts free.  For longer
+    ones each chunk is summarized as "allowed offset in -> allowed offset out" (``count``
+    entries) and the summaries are chained per alert, so every chunk knows its start.  The
+    final walk streams over sorted partitions and holds one batch at a time.
     """
-    placed = done.withColumn("__chunk", F.floor(F.col(_POS) / chunk).cast("long"))
+    placed = done.withColumn("__chunk", F.floor((F.col(_POS) - 1) / chunk).cast("long"))
     group = [*keys, "__chunk"]
     key_fields = [placed.schema[k] for k in keys]
+    long_ones = placed.where(F.col("__chunk") > 0).select(*keys).distinct()
 
     def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         positions = np.sort(pdf[_POS].to_numpy())
-        start, end = key[-1] * chunk, (key[-1] + 1) * chunk
+        start, end = key[-1] * chunk + 1, (key[-1] + 1) * chunk + 1
         out = []
         for offset in range(count):
             allowed = start + offset
@@ -129,7 +131,12 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
     summary_schema = T.StructType(
         [*key_fields, T.StructField("__chunk", T.LongType()), T.StructField("out", T.ArrayType(T.LongType()))]
     )
-    summaries = placed.select(*group, _POS).groupBy(*group).applyInPandas(summarize, summary_schema)
+    summaries = (
+        placed.select(*group, _POS)
+        .join(long_ones, keys, "left_semi")
+        .groupBy(*group)
+        .applyInPandas(summarize, summary_schema)
+    )
 
     def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         entries, allowed, previous = [], 0, None
@@ -148,11 +155,33 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
     )
     entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
 
-    def select(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(_POS)
-        positions = pdf[_POS].to_numpy()
-        start = key[-1] * chunk + int(pdf["__from"].iloc[0])
-        return pdf.iloc[list(_walk(positions, start, count))].drop(columns=["__from", "__chunk"])
+    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, allowed = None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            marks = pdf[group]
+            fresh = (marks != marks.shift()).any(axis=1).to_numpy()
+            fresh[0] = True
+            bounds = [*np.flatnonzero(fresh), len(pdf)]
+            positions = pdf[_POS].to_numpy()
+            starts = pdf["__from"].to_numpy()
+            taken = []
+            for begin, end in zip(bounds, bounds[1:]):
+                name = tuple(marks.iloc[begin])
+                if name != current:
+                    current, allowed = name, name[-1] * chunk + 1 + starts[begin]
+                part = positions[begin:end]
+                for at in _walk(part, allowed, count):
+                    taken.append(begin + at)
+                    allowed = part[at] + count
+            yield pdf.iloc[taken].drop(columns=["__from", "__chunk"])
 
     out_schema = T.StructType([f for f in placed.schema if f.name != "__chunk"])
-    return placed.join(entries, group).groupBy(*group).applyInPandas(select, out_schema)
+    return (
+        placed.join(entries, group, "left")
+        .withColumn("__from", F.coalesce("__from", F.lit(0)))
+        .repartition(*group)
+        .sortWithinPartitions(*group, _POS)
+        .mapInPandas(select, out_schema)
+    )

@@ -21,6 +21,9 @@ ENTITIES = {
     "&amp;": "&",
 }
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_DIGITS = r"[0-9][ .)-]+[0-9]{3,4}[ .-][0-9]{3,4}"
+# A character no text holds stands for a found address until phone numbers are done.
+_MARK = "\uffff"
 PHONE = r"(\+[0-9]{1,3}[ .-]?)?(\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}"
 
 
@@ -59,11 +62,20 @@ def mask_pii(
     out: str | None = None,
 ) -> DataFrame:
     """Replace e-mail addresses and phone numbers by constants, with the counts found."""
-    masked = F.regexp_replace(F.regexp_replace(F.col(text), EMAIL, email), PHONE, phone)
-    return df.withColumns(
+    # Most texts hold neither; a plain search decides before a pattern runs.
+    bare = F.when(
+        F.contains(F.col(text), F.lit("@")), F.regexp_replace(F.col(text), EMAIL, _MARK)
+    ).otherwise(F.col(text))
+    staged = df.withColumn("__bare", bare).withColumn("__digits", F.col("__bare").rlike(_DIGITS))
+    phones = F.when(
+        F.col("__digits"), F.regexp_replace("__bare", F.lit(PHONE), F.lit(phone))
+    ).otherwise(F.col("__bare"))
+    found = F.regexp_count("__bare", F.lit(PHONE))
+    marks = F.char_length("__bare") - F.char_length(F.replace("__bare", F.lit(_MARK), F.lit("")))
+    return staged.withColumns(
         {
-            "n_emails": F.regexp_count(F.col(text), F.lit(EMAIL)),
-            "n_phones": F.regexp_count(F.regexp_replace(F.col(text), EMAIL, " "), F.lit(PHONE)),
-            out or text: masked,
+            "n_emails": marks,
+            "n_phones": F.when(F.col("__digits"), found).otherwise(F.lit(0)),
+            out or text: F.replace(phones, F.lit(_MARK), F.lit(email)),
         }
-    )
+    ).drop("__bare", "__digits")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from .stats import MAX_FLOAT, as_number
+from .stats import MAX_FLOAT, as_number, settled_bin
 
 METRICS = ("tvd", "hellinger", "kld")
 
@@ -156,53 +156,44 @@ def drift_table(
     )
 
 
-def _bin_in(value: Column, edges: Column) -> Column:
-    """Bin of a value on equal-width edges held in a column, optionally padded outside."""
-    size = F.size(edges)
-    padded = (F.get(edges, F.lit(0)) == -MAX_FLOAT) & (F.get(edges, size - 1) == MAX_FLOAT)
-    start = F.when(padded, F.lit(1)).otherwise(F.lit(0))
-    bins = size - 1 - 2 * start
-    low, high = F.get(edges, start), F.get(edges, start + bins)
-    position = F.floor((value - low) / ((high - low) / bins)).cast("int")
-    position = (
-        F.when(value < F.get(edges, start + position), position - 1)
-        .when(
-            (position + 1 <= bins) & (value >= F.get(edges, start + position + 1)), position + 1
-        )
-        .otherwise(position)
-    )
-    return (
-        F.when(value.isNull(), F.lit(None).cast("int"))
-        .when(value.between(low, high), F.least(position, bins - 1) + start)
-        .when(padded & (value < low), F.lit(0))
-        .when(padded & (value > high), bins + 1)
-    )
-
-
 def histogram_per_group(
     df: DataFrame, groups: list[str], edges: DataFrame, edge_groups: list[str]
 ) -> DataFrame:
     """Counts per (groups, column, bin) where every ``edge_groups`` has edges of its own.
 
-    ``edges`` is (edge_groups, column, edges), one row per endpoint and feature.  All
-    endpoints and windows are one plan; the shuffle carries bin counts, not rows.
+    ``edges`` is (edge_groups, column, edges), one row per endpoint and feature, with equal
+    widths.  All endpoints and windows are one plan; the shuffle carries bin counts, not rows.
     """
     names = [c for c in df.columns if c not in groups]
-    per_group = edges.groupBy(*edge_groups).agg(
-        F.map_from_entries(F.collect_list(F.struct("column", "edges"))).alias("__edges")
+    size = F.size("edges")
+    padded = (F.get("edges", F.lit(0)) == -MAX_FLOAT) & (F.get("edges", size - 1) == MAX_FLOAT)
+    inner = F.when(padded, F.slice("edges", F.lit(2), size - 2)).otherwise(F.col("edges"))
+    layouts = (
+        edges.select(*edge_groups, "column", inner.alias("bounds"), padded.alias("padded"))
+        .withColumns(
+            {
+                "bins": F.size("bounds") - 1,
+                "low": F.element_at("bounds", 1),
+                "high": F.element_at("bounds", -1),
+            }
+        )
+        .withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
     )
-    rows = df.join(per_group, edge_groups)
     cells = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("column"),
-                _bin_in(as_number(df, n), F.element_at(F.col("__edges"), F.lit(n))).alias("bin"),
-            )
-            for n in names
-        ]
+        *[F.struct(F.lit(n).alias("column"), as_number(df, n).alias("x")) for n in names]
+    )
+    placed = (
+        df.select(*groups, F.inline(cells))
+        .where(F.col("x").isNotNull())
+        .join(layouts, [*edge_groups, "column"])
+        .withColumn("p", F.floor((F.col("x") - F.col("low")) / F.col("width")).cast("int"))
+    )
+    bin_ = settled_bin(
+        F.col("x"), F.col("p"), F.col("bounds"), F.col("bins"), F.col("low"), F.col("high"),
+        F.col("padded"), F.col("padded").cast("int"),
     )
     counted = (
-        rows.select(*groups, F.inline(cells))
+        placed.withColumn("bin", bin_)
         .where(F.col("bin").isNotNull())
         .groupBy(*groups, "column", "bin")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,7 @@ BINS = 20
 MAX_FLOAT = sys.float_info.max
 
 # Values a quantile bracket may hold before one aggregate buffer orders them.
-BRACKET_ROWS = 1_000_000
+BRACKET_ROWS = 100_000
 _ACCURACY = 10_000
 
 
@@ -79,37 +79,62 @@ def exact_quantiles(
         open_ |= _narrow(values, wide, found)
         open_ = {k: v for k, v in open_.items() if k not in found}
     if open_:
+        groups = _by_bracket(open_)
         aggs = []
-        for i, ((name, _), (lo, hi, below, inside, rank)) in enumerate(open_.items()):
-            column = F.col(f"`{name}`")
-            share = 0.0 if inside == 1 else min(max((rank - below) / (inside - 1), 0.0), 1.0)
-            aggs.append(F.percentile(F.when(column.between(lo, hi), column), share).alias(f"q{i}"))
+        for i, ((name, lo, hi), keys) in enumerate(groups.items()):
+            shares = [_share(open_[key]) for key in keys]
+            aggs.append(F.percentile(_inside(name, lo, hi), shares).alias(f"q{i}"))
         row = values.agg(*aggs).first()
-        found |= {key: row[f"q{i}"] for i, key in enumerate(open_)}
+        for i, keys in enumerate(groups.values()):
+            found |= dict(zip(keys, row[f"q{i}"]))
     return {n: [found[n, j] for j in range(len(probabilities))] for n in columns}
 
 
+def _inside(name: str, lo, hi) -> Column:
+    column = F.col(f"`{name}`")
+    return F.when(column.between(lo, hi), column)
+
+
+def _share(bracket: tuple) -> float:
+    """Wanted rank as a share of the values inside the bracket."""
+    _, _, below, inside, rank = bracket
+    return 0.0 if inside == 1 else min(max((rank - below) / (inside - 1), 0.0), 1.0)
+
+
+def _by_bracket(brackets: dict) -> dict[tuple, list]:
+    """(column, low, high) -> keys: ranks that share a bracket share one aggregate."""
+    groups: dict[tuple, list] = {}
+    for key, (lo, hi, *_) in brackets.items():
+        groups.setdefault((key[0], lo, hi), []).append(key)
+    return groups
+
+
 def _narrow(values: DataFrame, brackets: dict, found: dict) -> dict:
     """Replace each bracket by a narrower one that provably still holds its rank."""
     margin = 2.0 / _ACCURACY
+    groups = _by_bracket(brackets)
     aggs = []
-    for i, ((name, _), (lo, hi, below, inside, rank)) in enumerate(brackets.items()):
-        column = F.col(f"`{name}`")
-        share = (rank - below) / max(inside - 1, 1)
-        around = [max(share - margin, 0.0), min(share + margin, 1.0)]
-        aggs.append(
-            F.percentile_approx(F.when(column.between(lo, hi), column), around, _ACCURACY).alias(f"a{i}")
-        )
-    guess = values.agg(*aggs).first()
+    for i, ((name, lo, hi), keys) in enumerate(groups.items()):
+        around = []
+        for key in keys:
+            share = _share(brackets[key])
+            around += [max(share - margin, 0.0), min(share + margin, 1.0)]
+        aggs.append(F.percentile_approx(_inside(name, lo, hi), around, _ACCURACY).alias(f"a{i}"))
+    row = values.agg(*aggs).first()
+    guess = {}
+    for i, keys in enumerate(groups.values()):
+        for j, key in enumerate(keys):
+            guess[key] = tuple(row[f"a{i}"][2 * j : 2 * j + 2])
     counts = []
-    for i, (name, _) in enumerate(brackets):
+    for i, ((name, _), (lo, hi)) in enumerate(guess.items()):
         column = F.col(f"`{name}`")
-        counts.append(F.count_if(column < guess[f"a{i}"][0]).alias(f"b{i}"))
-        counts.append(F.count_if(column.between(*guess[f"a{i}"])).alias(f"c{i}"))
+        counts.append(F.count_if(column < lo).alias(f"b{i}"))
+        counts.append(F.count_if(column.between(lo, hi)).alias(f"c{i}"))
     counted = values.agg(*counts).first()
     narrowed = {}
-    for i, (key, old) in enumerate(brackets.items()):
-        (lo, hi), below, inside, rank = guess[f"a{i}"], counted[f"b{i}"], counted[f"c{i}"], old[4]
+    for i, (key, (lo, hi)) in enumerate(guess.items()):
+        old, below, inside = brackets[key], counted[f"b{i}"], counted[f"c{i}"]
+        rank = old[4]
         if not (below <= math.floor(rank) and math.ceil(rank) < below + inside):
             narrowed[key] = old
         elif lo == hi:
@@ -231,12 +256,16 @@ def histogram_on_edges(
     known = [n for n in edges if n in df.columns]
     if not known:
         raise SpecError("no column of the data has reference edges")
-    rows = []
-    for name in known:
-        column, bounds = as_number(df, name), edges[name]
-        rows.append(F.struct(F.lit(name).alias("column"), _bin(column, bounds).alias("bin")))
+    layouts = {n: Layout(edges[n]) for n in known}
+    rows = df.select(*groups, *[as_number(df, n).alias(f"__x{i}") for i, n in enumerate(known)])
+    # Two steps, so that each estimate is evaluated once per row.
+    rows = rows.select("*", *[layouts[n].estimate(F.col(f"__x{i}")).alias(f"__p{i}") for i, n in enumerate(known)])
+    cells = [
+        F.struct(F.lit(n).alias("column"), layouts[n].settle(F.col(f"__x{i}"), F.col(f"__p{i}")).alias("bin"))
+        for i, n in enumerate(known)
+    ]
     counted = (
-        df.select(*groups, F.inline(F.array(*rows)))
+        rows.select(*groups, F.inline(F.array(*cells)))
         .where(F.col("bin").isNotNull())
         .groupBy(*groups, "column", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -258,37 +287,53 @@ def histogram_on_edges(
     return wide.select(*groups, "column", F.inline(cells))
 
 
-def _bin(value: Column, edges: list[float]) -> Column:
-    """Index of the half-open bin holding a value; uniform inner edges need no search."""
-    inner = list(range(len(edges)))
-    first = last = None
-    if len(edges) > 3 and edges[0] == -MAX_FLOAT and edges[-1] == MAX_FLOAT:
-        first, last, inner = edges[1], edges[-2], inner[1:-1]
-    low, high, count = edges[inner[0]], edges[inner[-1]], len(inner) - 1
-    width = (high - low) / count
-    uniform = all(
-        math.isclose(edges[k], low + (high - low) * i / count, rel_tol=1e-12, abs_tol=width * 1e-9)
-        for i, k in enumerate(inner)
-    )
-    if not uniform:
-        chain = F.when(value.isNull() | (value < edges[0]) | (value > edges[-1]), F.lit(None).cast("int"))
-        for i in range(len(edges) - 2):
-            chain = chain.when(value < edges[i + 1], F.lit(i))
-        return chain.otherwise(F.lit(len(edges) - 2))
-    offset = inner[0]
-    position = F.floor((value - low) / width).cast("int")
-    bounds = F.array(*[F.lit(float(edges[k])) for k in inner])
-    # Division may be off by one ulp at an edge; compare with the edge itself.
-    position = (
-        F.when(value < F.get(bounds, position), position - 1)
-        .when((position + 1 <= count) & (value >= F.get(bounds, position + 1)), position + 1)
-        .otherwise(position)
+class Layout:
+    """Bins of one column: equal-width inner edges need no search, others a short chain."""
+
+    def __init__(self, edges: list[float]):
+        self.edges = [float(e) for e in edges]
+        self.padded = len(edges) > 3 and edges[0] == -MAX_FLOAT and edges[-1] == MAX_FLOAT
+        self.first = 1 if self.padded else 0
+        self.inner = self.edges[1:-1] if self.padded else self.edges
+        self.bins = len(self.inner) - 1
+        self.low, self.high = self.inner[0], self.inner[-1]
+        self.width = (self.high - self.low) / self.bins
+        self.uniform = all(
+            math.isclose(e, self.low + self.width * i, rel_tol=1e-12, abs_tol=self.width * 1e-9)
+            for i, e in enumerate(self.inner)
+        )
+
+    def estimate(self, value: Column) -> Column:
+        """Inner bin of a value, possibly one off at an edge."""
+        if self.uniform:
+            return F.floor((value - self.low) / self.width).cast("int")
+        chain = F.when(value.isNull(), F.lit(None).cast("int"))
+        for i in range(self.bins - 1):
+            chain = chain.when(value < self.inner[i + 1], F.lit(i))
+        return chain.otherwise(F.lit(self.bins - 1))
+
+    def settle(self, value: Column, estimate: Column) -> Column:
+        """Final bin: compared with the edges themselves, the last one closed on the right."""
+        bounds = F.array(*[F.lit(e) for e in self.inner])
+        return settled_bin(
+            value, estimate, bounds, F.lit(self.bins), F.lit(self.low), F.lit(self.high),
+            F.lit(self.padded), F.lit(self.first),
+        )
+
+
+def settled_bin(
+    value: Column, estimate: Column, bounds: Column, bins: Column, low: Column, high: Column,
+    padded: Column, first: Column,
+) -> Column:
+    """Bin index from an estimate that may be one off; null outside unpadded edges."""
+    shift = F.when(value < F.get(bounds, estimate), -1).when(
+        (estimate < bins - 1) & (value >= F.get(bounds, estimate + 1)), 1
+    ).otherwise(0)
+    return (
+        F.when(value.between(low, high), F.least(estimate + shift, bins - 1) + first)
+        .when(padded & (value < low), F.lit(0))
+        .when(padded & (value > high), bins + 1)
     )
-    inside = value.between(low, high)
-    chosen = F.when(inside, F.least(position, F.lit(count - 1)) + offset)
-    if first is not None:
-        chosen = chosen.when(value < first, F.lit(0)).when(value > last, F.lit(len(edges) - 2))
-    return chosen
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = BINS) -> DataFrame:
