@@ -30,6 +30,9 @@ from .partials import (
 
 _B = "__bucket"
 
+# Length of a block of buckets, in windows; the copied share is its inverse.
+BLOCK_WINDOWS = 16
+
 
 def _rank(df: DataFrame, ts: str) -> Column:
     """Total order in time: ties are broken by a hash of the row."""
@@ -197,7 +200,12 @@ def _pairs(specs) -> list[tuple[str, int]]:
 
 
 def _bucket_seeds(rows, group, step, windows, specs, fields):
-    """For every bucket with rows: merged partials of the earlier buckets of its windows."""
+    """For every bucket with rows: merged partials of the earlier buckets of its windows.
+
+    Buckets are laid out in blocks of time, each with a copy of the buckets its first
+    windows still reach back to.  A block holds a bounded number of buckets, so a key with
+    a long history is many small ordered groups, and buckets are not copied per window.
+    """
     if windows[-1] <= step:
         return None
     partials = rows.groupBy(*group).agg(
@@ -206,23 +214,22 @@ def _bucket_seeds(rows, group, step, windows, specs, fields):
             for c, f in fields.items()
         ]
     )
-    offsets = F.sequence(F.lit(0), F.lit(windows[-1] - step), F.lit(step))
-    spread = partials.withColumn("__off", F.explode(offsets)).withColumn(
-        _B, F.col(_B) + F.col("__off")
-    )
-    aggs, built = [F.min("__off").alias("__own")], {}
+    reach, length = windows[-1] - step, BLOCK_WINDOWS * windows[-1]
+    own = F.floor(F.col(_B) / length)
+    last = F.floor((F.col(_B) + reach) / length)
+    spread = partials.withColumn("__block", F.explode(F.sequence(own, last)))
+    whole = W.partitionBy(*group[:-1], "__block")
+    merged = {}
     for c, size in _pairs(specs):
-        inside = (F.col("__off") > 0) & (F.col("__off") <= size - step)
-        part = F.when(inside, F.col(f"__p_{c}"))
-        columns, struct = merge_aggs(part, fields[c], f"__m_{c}_{size}")
-        aggs += columns
-        built[f"__s_{c}_{size}"] = struct
+        if size > step:
+            earlier = whole.orderBy(_B).rangeBetween(step - size, -step)
+            merged[f"__s_{c}_{size}"] = prefix_partial(F.col(f"__p_{c}"), fields[c], earlier, whole)
+        else:
+            merged[f"__s_{c}_{size}"] = F.when(F.lit(False), F.col(f"__p_{c}"))
     return (
-        spread.groupBy(*group)
-        .agg(*aggs)
-        .where(F.col("__own") == 0)
-        .withColumns(built)
-        .select(*group, F.lit(-1).cast("long").alias(SLICE), *built)
+        spread.select(*group, "__block", *[column.alias(n) for n, column in merged.items()])
+        .where(F.col("__block") == own)
+        .select(*group, F.lit(-1).cast("long").alias(SLICE), *merged)
     )
 
 
