@@ -1,8 +1,8 @@
 """Alerts: fire when enough matching events fall into a trailing period.
 
 Every event gets its position within its alert (a distributed count).  An event completes
-a window when the event ``count - 1`` positions earlier is younger than the period; that
-partner is found by an equi join on (alert, position), so a hot alert spreads over tasks.
+a window when the event ``count - 1`` positions earlier is younger than the period.
+Positions are cut into chunks of bounded size, so a hot alert spreads over tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +46,7 @@ def match_alerts(events: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def completed_windows(
     events: DataFrame, keys: list[str], ts: str, tie: str, count: int, period: str | None,
-    max_rows: int | None = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS, chunk: int = CHUNK,
 ) -> DataFrame:
     """Events that complete ``count`` events within ``(t - period, t]``, with their position."""
     if count < 1:
@@ -55,16 +56,17 @@ def completed_windows(
         return placed
     if period is None:
         return placed.where(F.col(_POS) >= count)
-    earlier = placed.select(
-        *[F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)],
-        (F.col(_POS) + (count - 1)).alias("__at"),
-        F.col(ts).alias("__then"),
-    )
-    same = F.col(_POS) == F.col("__at")
-    for i, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"__e{i}"))
+    if chunk < count:
+        raise SpecError("a chunk must hold at least one window")
+    # The last count - 1 rows of a chunk are repeated in the next one, so that looking back
+    # never leaves it.
+    own = F.floor((F.col(_POS) - 1) / chunk)
+    reach = F.floor((F.col(_POS) + (count - 2)) / chunk)
+    spread = placed.withColumn("__chunk", F.explode(F.sequence(own, reach)))
+    inside = W.partitionBy(*keys, "__chunk").orderBy(_POS)
+    then = F.lag(ts, count - 1).over(inside)
     young = F.unix_micros(ts) - F.unix_micros("__then") < duration_micros(period)
-    return placed.join(earlier, same & young).drop("__at", "__then", *[f"__e{i}" for i in range(len(keys))])
+    return spread.withColumn("__then", then).where((F.col("__chunk") == own) & young).drop("__then", "__chunk")
 
 
 def fire(
@@ -76,7 +78,11 @@ def fire(
     ``reset=None`` reports every completed window, ``"manual"`` only the first one (the
     alert stays active), ``"auto"`` clears the window at each firing.
     """
-    done = completed_windows(events, keys, ts, tie, count, period, max_rows)
+
+    def complete(rows: DataFrame) -> DataFrame:
+        return completed_windows(rows, keys, ts, tie, count, period, max_rows, chunk)
+
+    done = complete(events)
     if reset is None:
         return done.drop(_POS)
     if reset == "manual":
@@ -93,7 +99,10 @@ def fire(
         return done.drop(_POS)
     if chunk < count:
         raise SpecError("a chunk must hold at least one window")
-    return _auto_reset(done, keys, count, chunk).select(*events.columns)
+    # Alerts beyond one chunk: at most events / chunk rows.
+    long_ones = events.groupBy(*keys).count().where(F.col("count") > chunk).drop("count")
+    long_done = complete(events.join(F.broadcast(long_ones), keys, "left_semi"))
+    return _auto_reset(done, long_done, keys, count, chunk).select(*events.columns)
 
 
 def _walk(positions: np.ndarray, allowed: int, count: int) -> Iterator[int]:
@@ -104,18 +113,20 @@ def _walk(positions: np.ndarray, allowed: int, count: int) -> Iterator[int]:
         at = int(np.searchsorted(positions, positions[at] + count))
 
 
-def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> DataFrame:
+def _auto_reset(
+    done: DataFrame, long_done: DataFrame, keys: list[str], count: int, chunk: int
+) -> DataFrame:
     """After firing at position p the alert may fire again from p + count on.
 
     Positions are cut into chunks.  An alert within one chunk starts free.  For longer
-    ones each chunk is summarized as "allowed offset in -> allowed offset out" (``count``
-    entries) and the summaries are chained per alert, so every chunk knows its start.  The
-    final walk streams over sorted partitions and holds one batch at a time.
+    ones (``long_done``) each chunk is summarized as "allowed offset in -> allowed offset
+    out" (``count`` entries) and the summaries are chained per alert, so every chunk knows
+    its start.  The final walk streams over sorted partitions, one batch at a time.
     """
-    placed = done.withColumn("__chunk", F.floor((F.col(_POS) - 1) / chunk).cast("long"))
+    number = F.floor((F.col(_POS) - 1) / chunk).cast("long")
+    placed = done.withColumn("__chunk", number)
     group = [*keys, "__chunk"]
     key_fields = [placed.schema[k] for k in keys]
-    long_ones = placed.where(F.col("__chunk") > 0).select(*keys).distinct()
 
     def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         positions = np.sort(pdf[_POS].to_numpy())
@@ -132,8 +143,8 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
         [*key_fields, T.StructField("__chunk", T.LongType()), T.StructField("out", T.ArrayType(T.LongType()))]
     )
     summaries = (
-        placed.select(*group, _POS)
-        .join(long_ones, keys, "left_semi")
+        long_done.withColumn("__chunk", number)
+        .select(*group, _POS)
         .groupBy(*group)
         .applyInPandas(summarize, summary_schema)
     )

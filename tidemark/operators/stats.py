@@ -49,24 +49,29 @@ def exact_quantiles(
     columns: dict[str, Column],
     probabilities: list[float],
     limit: int = BRACKET_ROWS,
+    base: dict[str, tuple] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles without ordering a whole column in one task.
 
     Each round brackets every wanted rank with an approximate quantile of proven rank
     error and counts what lies below, until a bracket holds at most ``limit`` values.
-    Those are then ordered exactly.  A round is one job over all columns.
+    Those are then ordered exactly.  A round is one job over all columns.  ``base`` gives
+    (count, min, max) per column if they are known already.
     """
     values = df.select(*[c.alias(n) for n, c in columns.items()])
-    base = values.agg(
-        *[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(columns)],
-        *[F.min(F.col(f"`{n}`")).alias(f"lo{i}") for i, n in enumerate(columns)],
-        *[F.max(F.col(f"`{n}`")).alias(f"hi{i}") for i, n in enumerate(columns)],
-    ).first()
+    if base is None:
+        row = values.agg(
+            *[
+                F.struct(F.count(c), F.min(c), F.max(c)).alias(f"b{i}")
+                for i, c in enumerate(F.col(f"`{n}`") for n in columns)
+            ]
+        ).first()
+        base = {n: tuple(row[f"b{i}"]) for i, n in enumerate(columns)}
     found: dict[tuple[str, int], float | None] = {}
     # (column, probability index) -> (low, high, values below low, values inside, rank)
     open_: dict[tuple[str, int], tuple] = {}
-    for i, name in enumerate(columns):
-        n, lo, hi = base[f"n{i}"], base[f"lo{i}"], base[f"hi{i}"]
+    for name in columns:
+        n, lo, hi = base[name]
         for j, p in enumerate(probabilities):
             if n == 0 or lo == hi:
                 found[name, j] = lo
@@ -170,17 +175,14 @@ def describe_numeric(
             aggs.append(F.percentile_approx(c, list(_PERCENTILES.values()), _ACCURACY).alias(f"q{i}"))
     if approximate:
         row = values.agg(*aggs)
-        quartiles = lambda i, j: F.col(f"q{i}")[j]
     else:
-        exact = exact_quantiles(df, exprs, list(_PERCENTILES.values()))
-        row = values.agg(*aggs)
-        quartiles = lambda i, j: F.lit(exact[columns[i]][j]).cast("double")
+        return _describe_exact(df, exprs, values.agg(*aggs).first())
     rows = F.array(
         *[
             F.struct(
                 F.lit(name).alias("column"),
                 *[F.col(f"s{i}.{f}").alias(f) for f in ("count", "mean", "std", "min")],
-                *[quartiles(i, j).alias(q) for j, q in enumerate(_PERCENTILES)],
+                *[F.col(f"q{i}")[j].alias(q) for j, q in enumerate(_PERCENTILES)],
                 F.col(f"s{i}.max").alias("max"),
             )
             for i, name in enumerate(columns)
@@ -189,6 +191,18 @@ def describe_numeric(
     return row.select(F.inline(rows))
 
 
+def _describe_exact(df: DataFrame, exprs: dict[str, Column], row) -> DataFrame:
+    """Statistics table from the collected aggregates, one row per column."""
+    base = {n: (row[f"s{i}"]["count"], row[f"s{i}"]["min"], row[f"s{i}"]["max"]) for i, n in enumerate(exprs)}
+    quantiles = exact_quantiles(df, exprs, list(_PERCENTILES.values()), base=base)
+    rows = []
+    for i, name in enumerate(exprs):
+        s = row[f"s{i}"]
+        rows.append((name, s["count"], s["mean"], s["std"], s["min"], *quantiles[name], s["max"]))
+    numbers = ", ".join(f"{f} double" for f in ("mean", "std", "min", *_PERCENTILES, "max"))
+    return df.sparkSession.createDataFrame(rows, f"column string, count long, {numbers}")
+
+
 def _long(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """(column, value) rows of several columns."""
     pairs = F.array(
