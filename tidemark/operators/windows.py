@@ -67,16 +67,13 @@ def aggregate_windows(
     """One row per key and window: window end as time, ``{ts}_window`` names the window.
 
     With ``carry_last`` every other column carries its last value in the window.  Windows
-    of different sizes are stacked; a row has only its own window's aggregates.
+    of different sizes are stacked; a row has only its own window's aggregates.  All
+    windows come from one scan: buckets of the common step, then one merge per window.
     """
     _check(df, keys, ts, aggregations)
-    grouped: dict[tuple[int, int, str], list[Aggregation]] = {}
-    for agg in aggregations:
-        for window in agg.windows:
-            key = (duration_seconds(window), agg.step(window), window)
-            grouped.setdefault(key, []).append(agg)
-    bucket = reduce(math.gcd, [step for _, step, _ in grouped]) * 1_000_000
-    specs = [(a, w) for (_, _, w), aggs in grouped.items() for a in aggs]
+    specs = [(a, w) for a in aggregations for w in a.windows]
+    windows = list(dict.fromkeys((w, a.step(w)) for a, w in specs))
+    bucket = reduce(math.gcd, [step for _, step in windows]) * 1_000_000
     fields = _ops_by_column(specs)
     others = [c for c in df.columns if c not in keys and c != ts] if carry_last else []
     rank = _rank(df, ts)
@@ -90,46 +87,49 @@ def aggregate_windows(
         .groupBy(*keys, _B)
         .agg(*aggs)
     )
-    frames = [
-        _window_frame(partials, keys, ts, window, size, step, bucket, found, fields, others)
-        for (size, step, window), found in grouped.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def _window_frame(partials, keys, ts, window, size, step, bucket, aggs, fields, others):
-    size, step = size * 1_000_000, step * 1_000_000
-    first_end = F.col(_B) - F.pmod(F.col(_B), F.lit(step)) + step
-    needed = {a.column: fields_for(a.operations) for a in aggs}
-    for a in aggs:
-        needed[a.column] = fields_for([o for b in aggs if b.column == a.column for o in b.operations])
-    if bucket == size:
-        merged = partials.withColumn("__end", first_end)
+    if len(windows) == 1 and duration_seconds(windows[0][0]) * 1_000_000 == bucket:
+        merged = partials.withColumns({"__end": F.col(_B) + bucket, "__w": F.lit(0)})
     else:
-        ends = F.explode(F.sequence(first_end, first_end + (size - step), F.lit(step)))
-        exploded = partials.withColumn("__end", ends if size > step else first_end)
-        agg_columns, built = [], {}
-        for c, f in needed.items():
-            columns, struct = merge_aggs(F.col(f"__p_{c}"), f, f"__m_{c}")
-            agg_columns += columns
-            built[f"__p_{c}"] = struct
-        if others:
-            agg_columns.append(F.max_by("__rest", F.col("__rest.o")).alias("__rest"))
-        merged = exploded.groupBy(*keys, "__end").agg(*agg_columns).withColumns(built)
-    outputs = [
-        finish(op, F.col(f"__p_{a.column}")).alias(a.output(op, window))
-        for a in aggs
-        for op in a.operations
-    ]
+        merged = _merge_windows(partials, keys, windows, fields, others)
+    outputs = []
+    for agg, window in specs:
+        own = F.col("__w") == windows.index((window, agg.step(window)))
+        for op in agg.operations:
+            value = finish(op, F.col(f"__p_{agg.column}"))
+            outputs.append(F.when(own, value).alias(agg.output(op, window)))
+    labels = F.array(*[F.lit(w) for w, _ in windows])
     return merged.select(
         *keys,
         F.timestamp_micros("__end").alias(ts),
         *[F.col(f"__rest.v.{c}").alias(c) for c in others],
         *outputs,
-        F.lit(window).alias(f"{ts}_window"),
+        F.get(labels, F.col("__w")).alias(f"{ts}_window"),
     )
 
 
+def _merge_windows(partials, keys, windows, fields, others):
+    """Partials of every window from the partials of its buckets."""
+
+    def tagged(ends: Column, number: int) -> Column:
+        return F.transform(ends, lambda e: F.struct(F.lit(number).alias("__w"), e.alias("__end")))
+
+    memberships = []
+    for i, (window, step) in enumerate(windows):
+        size, step = duration_seconds(window) * 1_000_000, step * 1_000_000
+        first = F.col(_B) - F.pmod(F.col(_B), F.lit(step)) + step
+        ends = F.sequence(first, first + (size - step), F.lit(step)) if size > step else F.array(first)
+        memberships.append(tagged(ends, i))
+    exploded = partials.select("*", F.inline(F.concat(*memberships)))
+    aggs, built = [], {}
+    for c, f in fields.items():
+        columns, struct = merge_aggs(F.col(f"__p_{c}"), f, f"__m_{c}")
+        aggs += columns
+        built[f"__p_{c}"] = struct
+    if others:
+        aggs.append(F.max_by("__rest", F.col("__rest.o")).alias("__rest"))
+    return exploded.groupBy(*keys, "__w", "__end").agg(*aggs).withColumns(built)
+
+
 def aggregate_every_event(
     df: DataFrame,
     keys: list[str],
