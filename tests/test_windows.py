@@ -29,6 +29,7 @@ def events(spark):
     return rows, df
 
 
+# Input rows and expected results of the two golden tests.
 def test_sliding_golden(spark):
     rows = [
         (T0, "moshe", "cohen", 2000, "bad"),
@@ -161,3 +162,15 @@ def test_global_running_order(events):
 def test_period_must_divide_window():
     with pytest.raises(SpecError):
         Aggregation("v", "sum", "1h", "7m")
+
+
+def test_results_do_not_depend_on_partitions(spark, events):
+    _, df = events
+    agg = Aggregation("v", ("count", "max", "last"), "2h", "10m")
+    found = []
+    for partitions in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        out = aggregate_every_event(df.repartition(partitions), ["k"], "ts", [agg], max_rows=30)
+        found.append(sorted(map(tuple, out.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1]

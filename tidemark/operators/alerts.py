@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..errors import SpecError
 from ..functions.time import duration_micros
+from ..session import cut
 from .ordered import MAX_ROWS, row_positions
 
 # Positions of one alert a task walks through when alerts reset themselves.
@@ -78,11 +79,7 @@ def fire(
     ``reset=None`` reports every completed window, ``"manual"`` only the first one (the
     alert stays active), ``"auto"`` clears the window at each firing.
     """
-
-    def complete(rows: DataFrame) -> DataFrame:
-        return completed_windows(rows, keys, ts, tie, count, period, max_rows, chunk)
-
-    done = complete(events)
+    done = completed_windows(events, keys, ts, tie, count, period, max_rows, chunk)
     if reset is None:
         return done.drop(_POS)
     if reset == "manual":
@@ -99,10 +96,8 @@ def fire(
         return done.drop(_POS)
     if chunk < count:
         raise SpecError("a chunk must hold at least one window")
-    # Alerts beyond one chunk: at most events / chunk rows.
-    long_ones = events.groupBy(*keys).count().where(F.col("count") > chunk).drop("count")
-    long_done = complete(events.join(F.broadcast(long_ones), keys, "left_semi"))
-    return _auto_reset(done, long_done, keys, count, chunk).select(*events.columns)
+    # The walk reads the candidates several times, so they are written once.
+    return _auto_reset(cut(done, "alert-candidates"), keys, count, chunk).select(*events.columns)
 
 
 def _walk(positions: np.ndarray, allowed: int, count: int) -> Iterator[int]:
@@ -113,18 +108,16 @@ def _walk(positions: np.ndarray, allowed: int, count: int) -> Iterator[int]:
         at = int(np.searchsorted(positions, positions[at] + count))
 
 
-def _auto_reset(
-    done: DataFrame, long_done: DataFrame, keys: list[str], count: int, chunk: int
-) -> DataFrame:
+def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> DataFrame:
     """After firing at position p the alert may fire again from p + count on.
 
     Positions are cut into chunks.  An alert within one chunk starts free.  For longer
-    ones (``long_done``) each chunk is summarized as "allowed offset in -> allowed offset
+    ones each chunk is summarized as "allowed offset in -> allowed offset
     out" (``count`` entries) and the summaries are chained per alert, so every chunk knows
     its start.  The final walk streams over sorted partitions, one batch at a time.
     """
-    number = F.floor((F.col(_POS) - 1) / chunk).cast("long")
-    placed = done.withColumn("__chunk", number)
+    placed = done.withColumn("__chunk", F.floor((F.col(_POS) - 1) / chunk).cast("long"))
+    long_ones = placed.where(F.col("__chunk") > 0).select(*keys).distinct()
     group = [*keys, "__chunk"]
     key_fields = [placed.schema[k] for k in keys]
 
@@ -143,7 +136,7 @@ def _auto_reset(
         [*key_fields, T.StructField("__chunk", T.LongType()), T.StructField("out", T.ArrayType(T.LongType()))]
     )
     summaries = (
-        long_done.withColumn("__chunk", number)
+        placed.join(long_ones, keys, "left_semi")
         .select(*group, _POS)
         .groupBy(*group)
         .applyInPandas(summarize, summary_schema)

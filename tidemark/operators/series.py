@@ -74,10 +74,6 @@ def realtime_metrics(
     ).where(F.col("value").isNotNull()).select("metric", F.col(ts).alias("time"), "value")
 
 
-def _wanted(pairs: list[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("application_name"), F.lit(n).alias("name")) for a, n in pairs])
-
-
 def read_series(
     df: DataFrame,
     endpoint: str,
@@ -113,7 +109,7 @@ def read_series(
         F.lit(True).alias("data"),
     )
     present = points.groupBy("application_name", "name").agg(F.lit(1).alias("__one"))
-    listed = df.sparkSession.range(1).select(F.inline(_wanted(pairs)))
+    listed = df.sparkSession.createDataFrame(pairs, "application_name string, name string")
     absent = listed.join(present, ["application_name", "name"], "left_anti").withColumn("data", F.lit(False))
     return points.unionByName(absent, allowMissingColumns=True)
 

@@ -13,7 +13,7 @@ from ..errors import SpecError
 from ..functions.names import normalize_columns
 from ..operators.filters import time_range
 from ..operators.stats import describe_numeric, infer_schema
-from ..session import fresh_path
+from ..session import cut
 from ..sinks import files, tables
 from ..sources.files import read_parquet
 from ..specs import FeatureSet
@@ -148,10 +148,7 @@ def ingest(
     status = IngestStatus(run_id, schema=infer_schema(df, list(feature_set.entities), ts))
     if not overwrite:
         # The increment feeds several writes: run the source and the steps once.
-        staged = fresh_path(spark, "increment")
-        schema = df.schema
-        df.write.parquet(staged)
-        df = spark.read.schema(schema).parquet(staged)
+        df = cut(df, "increment")
     if not overwrite and df.isEmpty():
         status.skipped = True
         status.paths = dict(previous.paths) if previous else {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
 
@@ -45,3 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_dir(spark)}/tidemark/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared folder and go on from the written table.
+
+    For results that several later steps read: they are computed once, and a lost executor
+    costs a read instead of the whole lineage.
+    """
+    path = fresh_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
