@@ -6,19 +6,12 @@ partition per row group, Arrow batches out, nothing read on the driver but file
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-@dataclass
-class RowGroup(InputPartition):
-    path: str
-    index: int
-
-
 class RowGroupReader(DataSourceReader):
     def __init__(self, paths: list[str], columns: list[str]):
         self.paths, self.columns = paths, columns
@@ -29,16 +22,16 @@ class RowGroupReader(DataSourceReader):
         if not self.paths:
             raise ValueError("no files to read")
         return [
-            RowGroup(path, i)
+            InputPartition((path, i))
             for path in self.paths
             for i in range(pq.ParquetFile(path).metadata.num_row_groups)
         ]
 
-    def read(self, partition: RowGroup):
+    def read(self, partition: InputPartition):
         import pyarrow.parquet as pq
 
-        reader = pq.ParquetFile(partition.path)
-        for batch in reader.iter_batches(row_groups=[partition.index], columns=self.columns):
+        path, index = partition.value
+        for batch in pq.ParquetFile(path).iter_batches(row_groups=[index], columns=self.columns):
             yield batch.select(self.columns)
 
 
