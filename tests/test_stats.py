@@ -28,6 +28,15 @@ def test_exact_quantiles(frame, limit):
         assert got[n] == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-9)
 
 
+def test_quantiles_from_samples_stay_exact(frame, monkeypatch):
+    rows, df = frame
+    monkeypatch.setattr(stats, "_SAMPLE", 60)
+    monkeypatch.setattr(stats, "_ACCURACY", 20)
+    got = stats.exact_quantiles(df, {"x": stats.as_number(df, "x")}, [0.1, 0.5, 0.93], limit=40)
+    values = [r[0] for r in rows if r[0] == r[0]]
+    assert got["x"] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.93])), rel=1e-9)
+
+
 def test_describe(frame):
     rows, df = frame
     got = {r["column"]: r for r in stats.describe_numeric(df, ["x", "t"]).collect()}

@@ -20,7 +20,11 @@ MAX_FLOAT = sys.float_info.max
 
 # Values a quantile bracket may hold before one aggregate buffer orders them.
 BRACKET_ROWS = 100_000
-_ACCURACY = 10_000
+_ACCURACY = 2_000
+
+# Values of a bracket an estimate looks at.  A wrong estimate is found by the exact counts
+# that follow and tried again, so this never changes a result.
+_SAMPLE = 1_000_000
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -53,8 +57,8 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles without ordering a whole column in one task.
 
-    Each round brackets every wanted rank with an approximate quantile of proven rank
-    error and counts what lies below, until a bracket holds at most ``limit`` values.
+    Each round brackets every wanted rank around an approximate quantile and counts exactly
+    what lies below and inside, until a confirmed bracket holds at most ``limit`` values.
     Those are then ordered exactly.  A round is one job over all columns.  ``base`` gives
     (count, min, max) per column if they are known already.
     """
@@ -77,11 +81,11 @@ def exact_quantiles(
                 found[name, j] = lo
             else:
                 open_[name, j] = (lo, hi, 0, n, p * (n - 1))
-    for _ in range(6):
+    for attempt in range(10):
         wide = {k: v for k, v in open_.items() if v[3] > limit}
         if not wide:
             break
-        open_ |= _narrow(values, wide, found)
+        open_ |= _narrow(values, wide, found, attempt)
         open_ = {k: v for k, v in open_.items() if k not in found}
     if open_:
         groups = _by_bracket(open_)
@@ -114,29 +118,35 @@ def _by_bracket(brackets: dict) -> dict[tuple, list]:
     return groups
 
 
-def _narrow(values: DataFrame, brackets: dict, found: dict) -> dict:
+def _narrow(values: DataFrame, brackets: dict, found: dict, seed: int) -> dict:
     """Replace each bracket by a narrower one that provably still holds its rank."""
-    margin = 2.0 / _ACCURACY
     groups = _by_bracket(brackets)
     aggs = []
     for i, ((name, lo, hi), keys) in enumerate(groups.items()):
         around = []
+        rate = min(1.0, _SAMPLE / brackets[keys[0]][3])
+        # Rank error of the sketch, and five standard errors of a sampled quantile.
+        margin = 2.0 / _ACCURACY + (2.5 / math.sqrt(_SAMPLE) if rate < 1 else 0.0)
         for key in keys:
             share = _share(brackets[key])
             around += [max(share - margin, 0.0), min(share + margin, 1.0)]
-        aggs.append(F.percentile_approx(_inside(name, lo, hi), around, _ACCURACY).alias(f"a{i}"))
-    row = values.agg(*aggs).first()
+        looked_at = F.when(F.col("__u") < rate, _inside(name, lo, hi))
+        aggs.append(F.percentile_approx(looked_at, around, _ACCURACY).alias(f"a{i}"))
+    row = values.withColumn("__u", F.rand(seed)).agg(*aggs).first()
     guess = {}
     for i, keys in enumerate(groups.values()):
         for j, key in enumerate(keys):
-            guess[key] = tuple(row[f"a{i}"][2 * j : 2 * j + 2])
+            if row[f"a{i}"] is not None:
+                guess[key] = tuple(row[f"a{i}"][2 * j : 2 * j + 2])
     counts = []
     for i, ((name, _), (lo, hi)) in enumerate(guess.items()):
         column = F.col(f"`{name}`")
         counts.append(F.count_if(column < lo).alias(f"b{i}"))
         counts.append(F.count_if(column.between(lo, hi)).alias(f"c{i}"))
+    if not counts:
+        return brackets
     counted = values.agg(*counts).first()
-    narrowed = {}
+    narrowed = dict(brackets)
     for i, (key, (lo, hi)) in enumerate(guess.items()):
         old, below, inside = brackets[key], counted[f"b{i}"], counted[f"c{i}"]
         rank = old[4]
@@ -172,7 +182,7 @@ def describe_numeric(
             ).alias(f"s{i}")
         )
         if approximate:
-            aggs.append(F.percentile_approx(c, list(_PERCENTILES.values()), _ACCURACY).alias(f"q{i}"))
+            aggs.append(F.percentile_approx(c, list(_PERCENTILES.values()), 10_000).alias(f"q{i}"))
     if approximate:
         row = values.agg(*aggs)
     else:
