@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, drift, monitoring, series, stats
+from tidemark.plans.monitor import drift_job, reference_counts
 
 from .base import money, query, table
 
@@ -469,3 +470,40 @@ def alert_window_manual(spark, sf_dir):
 )
 def alert_window_auto(spark, sf_dir):
     return alerts.fire(_error_events(spark, sf_dir), ["alert"], "ts", "event_id", 5, "3d", "auto")
+
+
+@query(
+    "monitoring_job",
+    f"""{BOUNDS}, i AS (SELECT endpoint_id, s AS start, make_timestamp(s * 1000000) AS start_time, make_timestamp((s + {STEP}) * 1000000) AS end_time
+        FROM (SELECT endpoint_id, unnest(range(start, stop - {STEP} + 1, {STEP})) AS s FROM b) WHERE endpoint_id NOT IN ('signup', 'click')),
+      x AS (SELECT event_type AS endpoint_id, 'value' AS feature, value AS x, ts FROM events
+        UNION ALL SELECT event_type, 'k', (props::JSON ->> 'k')::DOUBLE, ts FROM events),
+      m AS (SELECT endpoint_id, feature, min(x) AS mn, max(x) AS mx FROM x WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1, 2),
+      y AS (SELECT endpoint_id, feature, ts, CASE WHEN x < mn THEN 0 WHEN x > mx THEN 21
+        ELSE least(floor((x - mn) / ((mx - mn) / 20))::INT, 19) + 1 END AS bin FROM x JOIN m USING (endpoint_id, feature)),
+      rc AS (SELECT endpoint_id, feature, bin, count(*) AS n FROM y WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1, 2, 3),
+      rq AS (SELECT endpoint_id, feature, bin, n / sum(n) OVER (PARTITION BY endpoint_id, feature) AS q FROM rc),
+      sc AS (SELECT endpoint_id, end_time, feature, bin, count(*) AS n FROM y JOIN i USING (endpoint_id) WHERE ts > start_time AND ts <= end_time GROUP BY 1, 2, 3, 4),
+      sp AS (SELECT endpoint_id, end_time, feature, bin, n / sum(n) OVER (PARTITION BY endpoint_id, end_time, feature) AS p FROM sc),
+      g AS (SELECT DISTINCT endpoint_id, end_time, feature, bins.bin FROM sp, (SELECT unnest(range(22))::INT AS bin) bins),
+      pq AS (SELECT endpoint_id, end_time, feature, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM g
+        LEFT JOIN sp USING (endpoint_id, end_time, feature, bin) LEFT JOIN rq USING (endpoint_id, feature, bin)),
+      f AS (SELECT endpoint_id, end_time, feature, sum(abs(p - q)) / 2 AS tvd, sqrt(greatest(1 - sum(sqrt(p * q)), 0)) AS h FROM pq GROUP BY 1, 2, 3),
+      r AS (SELECT endpoint_id, end_time, (avg(tvd) + avg(h)) / 2 AS v FROM f GROUP BY 1, 2)
+    SELECT endpoint_id, 'drift' AS application_name, end_time AS end_infer_time, round(v, 6) AS result_value,
+      CASE WHEN v >= 0.6 THEN 2 WHEN v >= 0.4 THEN 1 ELSE 0 END::INT AS result_status,
+      CASE WHEN v >= 0.6 THEN 'data_drift_detected' WHEN v >= 0.4 THEN 'data_drift_suspected' END AS event_kind FROM r""",
+)
+def monitoring_job(spark, sf_dir):
+    """Log to intervals, drift per interval, status and alert kind, in one plan."""
+    log = _log(spark, sf_dir)
+    features = ["value", "k"]
+    reference, _ = _halves(log)
+    edges = _edges_by_endpoint(reference, features)
+    counts = reference_counts(reference.drop("timestamp"), edges)
+    found = drift_job(log, _endpoints(log), edges, counts, features, STEP, grace=60, potential=0.4, detected=0.6)
+    kind = monitoring.alert_kind(F.col("result_kind"), F.col("result_status"))
+    return found.results.select(
+        "endpoint_id", "application_name", "end_infer_time", money("result_value", 6).alias("result_value"),
+        "result_status", kind.alias("event_kind"),
+    )

@@ -62,19 +62,23 @@ def test_external_options():
     assert external.bigquery_options(table="t", time_field="ts", end=end)["filter"].startswith("ts <= ")
     kafka = external.kafka_options(["a:1", "b:2"], ["t"], "g", sasl={"user": "u", "password": "p"})
     assert kafka["kafka.bootstrap.servers"] == "a:1,b:2" and kafka["subscribe"] == "t" and "u" in kafka["kafka.sasl.jaas.config"]
-    snow = sinks.snowflake_options("u", "me", "pw", "db", "s", "w", table="t")
+    snow = external.snowflake_options("u", "me", "pw", "db", "s", "w", table="t")
     assert snow["dbtable"] == "t" and "query" not in snow
     assert sinks.jdbc_write_options("jdbc:x", "t", "replace")[0] == "overwrite"
     assert sinks.kafka_write_options(["a"], "t", acks=1) == {"kafka.bootstrap.servers": "a", "topic": "t", "kafka.acks": "1"}
     for call in (
         lambda: external.jdbc_options("u"), lambda: external.kafka_options([], ["t"]), lambda: external.bigquery_options(query="q"),
-        lambda: sinks.jdbc_write_options("u", "t", "maybe"), lambda: sinks.snowflake_options("u", "m", "p", "d", "s", "w"),
+        lambda: sinks.jdbc_write_options("u", "t", "maybe"), lambda: external.snowflake_options("u", "m", "p", "d", "s", "w"),
         lambda: external.jdbc_options("u", table="t", partition_column="id"),
     ):
         with pytest.raises(SpecError):
             call()
 
 
+def test_create_table_types(spark, hours):
+    assert sinks.create_table_types(hours, "id") == "id int NOT NULL, ts timestamp, k string"
+
+
 def test_kafka_bodies(spark):
     rows = spark.createDataFrame([("k", T0, '{"a": 1}'), ("k", T0, "broken")], "key string, timestamp timestamp, value string")
     got = external.kafka_events(rows, T.StructType([T.StructField("a", T.IntegerType())])).collect()

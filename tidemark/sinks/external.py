@@ -1,6 +1,6 @@
-"""Options for connectors that need a service outside Spark.
+"""Writers for systems outside Spark.
 
-These build reader and writer options only; nothing here opens a connection.
+The option builders are plain and tested; the writers hand them to Spark's connectors.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
+from ..sources.external import snowflake_options
 
 _JDBC_MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
@@ -30,20 +31,6 @@ def create_table_types(df: DataFrame, primary_key: str | None = None) -> str:
     )
 
 
-def snowflake_options(
-    url: str, user: str, password: str, database: str, schema: str, warehouse: str,
-    table: str | None = None, query: str | None = None, application: str = "tidemark",
-) -> dict:
-    """Options of the Snowflake connector; exactly one of table and query."""
-    if bool(table) == bool(query):
-        raise SpecError("give a table or a query")
-    return {
-        "sfURL": url, "sfUser": user, "sfPassword": password, "sfDatabase": database,
-        "sfSchema": schema, "sfWarehouse": warehouse, "application": application,
-        **({"dbtable": table} if table else {"query": query}),
-    }
-
-
 def kafka_write_options(brokers: list[str] | str, topic: str, **producer) -> dict:
     servers = brokers if isinstance(brokers, str) else ",".join(brokers)
     if not servers or not topic:
@@ -59,3 +46,25 @@ def kafka_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     """key/value rows: the whole row as JSON text."""
     value = F.to_json(F.struct(*df.columns)).alias("value")
     return df.select(*([F.col(key).cast("string").alias("key")] if key else []), value)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, if_exists: str = "append", primary_key: str | None = None, **options) -> None:
+    mode, found = jdbc_write_options(url, table, if_exists, **options)
+    if primary_key:
+        found["createTableColumnTypes"] = create_table_types(df, primary_key)
+    df.write.format("jdbc").mode(mode).options(**found).save()
+
+
+def write_snowflake(df: DataFrame, mode: str = "append", **connection) -> None:
+    df.write.format("snowflake").mode(mode).options(**snowflake_options(**connection)).save()
+
+
+def write_kafka(df: DataFrame, brokers, topic: str, key: str | None = None, **producer) -> None:
+    kafka_rows(df, key).write.format("kafka").options(**kafka_write_options(brokers, topic, **producer)).save()
+
+
+def stream_kafka(stream: DataFrame, checkpoint: str, brokers, topic: str, key: str | None = None, **producer):
+    """Start a query that appends a stream's rows to a topic."""
+    options = kafka_write_options(brokers, topic, **producer)
+    writer = kafka_rows(stream, key).writeStream.format("kafka").options(**options)
+    return writer.option("checkpointLocation", checkpoint).start()

@@ -1,4 +1,7 @@
-"""Reader options for connectors that need a service outside Spark."""
+"""Readers for systems outside Spark.
+
+The option builders are plain and tested; the readers hand them to Spark's connectors.
+"""
 
 from __future__ import annotations
 
@@ -79,6 +82,20 @@ def bigquery_options(
     return found | ({"filter": where} if where else {})
 
 
+def snowflake_options(
+    url: str, user: str, password: str, database: str, schema: str, warehouse: str,
+    table: str | None = None, query: str | None = None, application: str = "tidemark",
+) -> dict:
+    """Options of the Snowflake connector; exactly one of table and query."""
+    if bool(table) == bool(query):
+        raise SpecError("give a table or a query")
+    return {
+        "sfURL": url, "sfUser": user, "sfPassword": password, "sfDatabase": database,
+        "sfSchema": schema, "sfWarehouse": warehouse, "application": application,
+        **({"dbtable": table} if table else {"query": query}),
+    }
+
+
 def kafka_options(
     brokers: list[str] | str, topics: list[str], group: str | None = None,
     initial_offset: str = "earliest", partitions: dict[str, list[int]] | None = None,
@@ -125,3 +142,15 @@ def kafka_events(messages: DataFrame, schema: T.StructType) -> DataFrame:
 def read_kafka(spark: SparkSession, schema: T.StructType, **options) -> DataFrame:
     reader = spark.readStream.format("kafka").options(**kafka_options(**options))
     return kafka_events(reader.load(), schema)
+
+
+def read_jdbc(spark: SparkSession, **options) -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
+
+
+def read_bigquery(spark: SparkSession, **options) -> DataFrame:
+    return spark.read.format("bigquery").options(**bigquery_options(**options)).load()
+
+
+def read_snowflake(spark: SparkSession, **options) -> DataFrame:
+    return spark.read.format("snowflake").options(**snowflake_options(**options)).load()
