@@ -32,16 +32,7 @@ def _halves(log):
 
 
 def _edges_by_endpoint(log, columns):
-    """Equal-width padded edges per endpoint and feature, in one aggregate."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
-    bounds = log.select("endpoint_id", F.inline(cells)).groupBy("endpoint_id", "column").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    steps = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
-        lambda i: F.when(i == 20, F.col("hi")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * i / 20),
-    )
-    return bounds.select("endpoint_id", "column", stats.pad_edges(steps).alias("edges"))
+    return stats.edges_by_group(log, ["endpoint_id"], columns, padded=True)
 
 
 def _features(spark, sf_dir):

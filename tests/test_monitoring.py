@@ -108,6 +108,31 @@ def test_drift_over_endpoints(spark):
         drift.check_thresholds(0.7, 0.5)
 
 
+def test_monitoring_job(spark):
+    from tidemark.plans.monitor import drift_job, reference_counts
+
+    rows = [(e, T0 + dt.timedelta(minutes=i), float(i % 10) + (30.0 if e == "b" and i >= 120 else 0.0), 1.0)
+            for e in "ab" for i in range(240)]
+    rows.append(("a", T0 + dt.timedelta(minutes=130), float("inf"), 1.0))
+    log = spark.createDataFrame(rows, "endpoint_id string, timestamp timestamp, x double, c double")
+    half = T0 + dt.timedelta(minutes=120)
+    ref = log.where(F.col("timestamp") < F.lit(half)).drop("timestamp")
+    edges = stats.edges_by_group(ref, ["endpoint_id"], ["x", "c"], padded=True)
+    ends = spark.createDataFrame([(e, "app", T0, T0 + dt.timedelta(minutes=240), None) for e in "ab"],
+                                 "endpoint_id string, application string, first_request timestamp, last_request timestamp, last_analyzed long")
+    run = drift_job(log, ends, edges, reference_counts(ref, edges), ["x", "c"], 3600, potential=0.2, detected=0.4)
+    got = {(r["endpoint_id"], r["end_infer_time"].hour): r["result_status"] for r in run.results.collect()}
+    assert got == {("a", 13): 0, ("a", 14): 0, ("a", 15): 0, ("a", 16): 0, ("b", 13): 0, ("b", 14): 0, ("b", 15): 2, ("b", 16): 2}
+    assert run.metrics.count() == 24 and {r["event_kind"] for r in run.alerts.collect()} == {"data_drift_detected"}
+    assert {r["last_analyzed"] for r in run.marks.collect()} == {int((T0 + dt.timedelta(hours=4)).replace(tzinfo=dt.timezone.utc).timestamp())}
+
+
+def test_scores_without_both_classes(spark):
+    df = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
+    assert evaluation.auc(df, "y", "s").first()["auc"] is None
+    assert evaluation.roc_curve(df, "y", "s").count() == 3
+
+
 def test_custom_app_gets_feature_table(spark):
     df = spark.createDataFrame([("a", 1, float(i % 5)) for i in range(50)] + [("b", 1, 2.0)], "endpoint_id string, w int, x double")
 

@@ -186,7 +186,13 @@ def histogram_per_group(
         df.select(*groups, F.inline(cells))
         .where(F.col("x").isNotNull())
         .join(layouts, [*edge_groups, "column"])
-        .withColumn("p", F.floor((F.col("x") - F.col("low")) / F.col("width")).cast("int"))
+        .withColumn(
+            "p",
+            F.when(
+                F.col("x").between(F.col("low"), F.col("high")),
+                F.floor((F.col("x") - F.col("low")) / F.col("width")).cast("int"),
+            ),
+        )
     )
     bin_ = settled_bin(
         F.col("x"), F.col("p"), F.col("bounds"), F.col("bins"), F.col("low"), F.col("high"),

@@ -76,8 +76,8 @@ def roc_curve(df: DataFrame, truth: str, score: str, max_rows: int | None = MAX_
     ).first()
     points = roc_points(df, truth, score, max_rows).select(
         F.col("threshold").cast("double").alias("threshold"),
-        (F.col("fp") / totals["n"]).alias("fpr"),
-        (F.col("tp") / totals["p"]).alias("tpr"),
+        F.try_divide(F.col("fp"), F.lit(totals["n"])).alias("fpr"),
+        F.try_divide(F.col("tp"), F.lit(totals["p"])).alias("tpr"),
     )
     origin = df.sparkSession.range(1).select(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
@@ -89,7 +89,7 @@ def auc(df: DataFrame, truth: str, score: str, max_rows: int | None = MAX_ROWS)
     """Area under the ROC curve (trapezoids over distinct scores), one row ``auc``."""
     points = roc_points(df, truth, score, max_rows)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return points.agg((area / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return points.agg(F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def calibration(
@@ -141,11 +141,11 @@ def classification_scores(df: DataFrame, truth: str, predicted: str, average: st
         if average == "macro":
             return F.avg(name)
         if average == "weighted":
-            return F.sum(F.col(name) * F.col("t")) / F.sum("t")
+            return F.try_divide(F.sum(F.col(name) * F.col("t")), F.sum("t"))
         return F.max(F.when(F.col("label") == 1, F.col(name)))
 
     return scored.agg(
-        (F.sum("tp") / F.sum("t")).alias("accuracy"),
+        F.try_divide(F.sum("tp"), F.sum("t")).alias("accuracy"),
         *[mean(m).alias(m) for m in ("precision", "recall", "f1")],
     )
 

@@ -260,6 +260,28 @@ def value_edges(df: DataFrame, columns: list[str] | None = None, bins: int = BIN
     return row.select(F.inline(rows)).where(F.col("edges")[0].isNotNull())
 
 
+def edges_by_group(
+    df: DataFrame, groups: list[str], columns: list[str], bins: int = BINS, padded: bool = False
+) -> DataFrame:
+    """(groups, column, edges): ``value_edges`` per group, in one aggregate."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), as_number(df, c).alias("x")) for c in columns]
+    )
+    bounds = (
+        df.select(*groups, F.inline(cells))
+        .where(F.col("x").isNotNull())
+        .groupBy(*groups, "column")
+        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    )
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    low, high = F.col("lo") - half, F.col("hi") + half
+    edges = F.transform(
+        F.sequence(F.lit(0), F.lit(bins)),
+        lambda k: F.when(k == bins, high).otherwise(low + (high - low) * k / bins),
+    )
+    return bounds.select(*groups, "column", (pad_edges(edges) if padded else edges).alias("edges"))
+
+
 def collect_edges(edges: DataFrame) -> dict[str, list[float]]:
     """Edges on the driver: one short list per column."""
     return {r["column"]: list(r["edges"]) for r in edges.select("column", "edges").collect()}
@@ -330,7 +352,8 @@ class Layout:
     def estimate(self, value: Column) -> Column:
         """Inner bin of a value, possibly one off at an edge."""
         if self.uniform:
-            return F.floor((value - self.low) / self.width).cast("int")
+            near = F.floor((value - self.low) / self.width).cast("int")
+            return F.when(value.between(self.low, self.high), near)
         chain = F.when(value.isNull(), F.lit(None).cast("int"))
         for i in range(self.bins - 1):
             chain = chain.when(value < self.inner[i + 1], F.lit(i))
