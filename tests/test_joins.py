@@ -82,3 +82,11 @@ def test_many_sets_in_one_pass_equal_a_chain(sides, max_rows):
         ldf, [joins.AsOf(rdf, ("k",), "rts"), joins.AsOf(other, ("key",), "at", "seen")], ["k"], "ts", max_rows)
     assert one.columns == chain.columns
     assert one.exceptAll(chain).count() == 0 and chain.exceptAll(one).count() == 0
+
+
+def test_map_columns_are_carried(spark):
+    rows = [("a", T0, 1, {"x": 1}), ("a", T0 + dt.timedelta(hours=1), 2, {"x": 2}), ("a", T0 + dt.timedelta(hours=1), 1, {"x": 3})]
+    right = spark.createDataFrame(rows, "k string, rts timestamp, v int, m map<string,int>")
+    left = spark.createDataFrame([("a", T0 + dt.timedelta(hours=2))], "k string, ts timestamp")
+    assert joins.asof_join(left, right, ["k"], "ts", "rts").first()["m"] == {"x": 2}
+    assert joins.latest_per_key(right, ["k"], "rts").first()["m"] == {"x": 2}

@@ -3,7 +3,6 @@ import statistics
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import stats
 

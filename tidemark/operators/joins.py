@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..functions.time import duration_micros
+from ..types import orderable
 from .ordered import MAX_ROWS, batch_of, running
 
 
@@ -70,6 +71,11 @@ class AsOf:
     def values(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.keys and c != self.ts]
 
+    @property
+    def ranked(self) -> list[str]:
+        """Value columns that can break ties; maps cannot be compared."""
+        return [c for c in self.values if orderable(self.df.schema[c].dataType)]
+
     @property
     def outputs(self) -> list[str]:
         return [*self.values, *([self.keep_ts] if self.keep_ts else [])]
@@ -118,6 +124,7 @@ def asof_join_many(
         F.lit(len(rights)).alias("__side"),
         F.struct(*left.columns).alias("__l"),
     )
+    order = ["__ts", "__side"]
     for i, right in enumerate(rights):
         if len(right.keys) != len(left_keys):
             raise SpecError("joins need equally many left and right keys")
@@ -129,9 +136,13 @@ def asof_join_many(
             F.lit(i).alias("__side"),
             row.alias(f"__r{i}"),
         )
+        if right.ranked == right.values:
+            order.append(f"__r{i}")
+        elif right.ranked:
+            rows = rows.withColumn(f"__t{i}", F.struct(*[f"__r{i}.{c}" for c in right.ranked]))
+            order.append(f"__t{i}")
         stacked = stacked.unionByName(rows, allowMissingColumns=True)
     found = {f"__m{i}": ("last", F.col(f"__r{i}")) for i in range(len(rights))}
-    order = ["__ts", "__side", *[f"__r{i}" for i in range(len(rights))]]
     carried = running(stacked, [*names, "__salt"], order, found, max_rows).where(
         F.col("__side") == len(rights)
     )
@@ -163,7 +174,9 @@ def asof_join_ranked(left, right, keys, left_ts, right_ts) -> DataFrame:
 def latest_per_key(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Newest row per key, combined map-side; ties go to the largest remaining columns."""
     rest = [c for c in df.columns if c not in keys and c != ts]
-    best = F.max(F.struct(F.col(ts), *rest))
+    row = F.struct(F.col(ts), *rest)
+    rank = F.struct(F.col(ts), *[c for c in rest if orderable(df.schema[c].dataType)])
+    best = F.max(row) if all(orderable(df.schema[c].dataType) for c in rest) else F.max_by(row, rank)
     return (
         df.where(F.col(ts).isNotNull())
         .groupBy(*keys)

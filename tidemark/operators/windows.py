@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import SpecError
 from ..functions.time import duration_seconds, epoch_bucket
 from ..specs import Aggregation
+from ..types import orderable
 from .ordered import MAX_ROWS, SLICE, with_slice
 from .partials import (
     combine,
@@ -36,7 +36,7 @@ BLOCK_WINDOWS = 16
 
 def _rank(df: DataFrame, ts: str) -> Column:
     """Total order in time: ties are broken by a hash of the row."""
-    plain = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    plain = [f.name for f in df.schema if orderable(f.dataType)]
     return F.when(F.col(ts).isNotNull(), F.struct(F.col(ts), F.xxhash64(*plain)))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -137,10 +136,3 @@ class FeatureVector:
 
     def __post_init__(self):
         object.__setattr__(self, "features", tuple(self.features))
-
-
-def check_name(name: str) -> str:
-    """Set and vector names: letters, digits, ``-`` and ``_``."""
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", name):
-        raise SpecError(f"invalid name {name!r}")
-    return name

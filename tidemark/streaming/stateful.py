@@ -149,11 +149,6 @@ def count_late(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return map_with_state(stream, keys, watch, out, "newest long", (-(2**62),))
 
 
-def unique_events(stream: DataFrame, key: str, ts: str, lateness: str) -> DataFrame:
-    """Drop repeated deliveries within the watermark."""
-    return stream.withWatermark(ts, f"{duration_seconds(lateness)} seconds").dropDuplicatesWithinWatermark([key])
-
-
 def enrich(stream: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Stream-static join: table columns for every event, null when unknown."""
     return stream.join(table, keys, "left")

@@ -73,3 +73,12 @@ def value_type(data_type: T.DataType) -> str:
     if isinstance(data_type, (T.DayTimeIntervalType, T.YearMonthIntervalType)):
         return "int"
     return "str"
+
+
+def orderable(data_type: T.DataType) -> bool:
+    """Whether values of the type can be compared (maps cannot)."""
+    if isinstance(data_type, T.ArrayType):
+        return orderable(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return all(orderable(f.dataType) for f in data_type)
+    return not isinstance(data_type, (T.MapType, T.VariantType))
