@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, simhash
+from . import bpe, hash_forest, langid, mix, quality, simhash, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,3 +49,31 @@ def op1_mix_sources(spark, sf_dir):
 def op2_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_embedding_near_dedup", vector_dedup.SQL)
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query("op10_hash_forest_search")
+def op10_hash_forest_search(spark, sf_dir):
+    return hash_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op9_bpe_encode_decode")
+def op9_bpe_encode_decode(spark, sf_dir):
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op6_quality_attention")
+def op6_quality_attention(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_language_cnn")
+def op7_language_cnn(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
