@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hash_forest, langid, mix, quality, simhash, vector_dedup
+from ..session import fresh_path
+from . import bpe, hash_forest, langid, mix, quality, simhash, token_store, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +78,11 @@ def op6_quality_attention(spark, sf_dir):
 @query("op7_language_cnn")
 def op7_language_cnn(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_blocks")
+def op8_token_blocks(spark, sf_dir):
+    path = fresh_path(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path, end_id=2)
+    found = token_store.read_tokens(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
