@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, hash_forest, langid, mix, quality, simhash, token_store, vector_dedup
+from . import bpe, hash_forest, langid, licenses, mix, pages, quality, simhash, token_store, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,14 +62,17 @@ def op10_hash_forest_search(spark, sf_dir):
     return hash_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-@query("op9_bpe_encode_decode")
-def op9_bpe_encode_decode(spark, sf_dir):
-    found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+def bpe_digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
+@query("op9_bpe_encode_decode")
+def op9_bpe_encode_decode(spark, sf_dir):
+    return bpe_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 @query("op6_quality_attention")
 def op6_quality_attention(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -86,3 +89,13 @@ def op8_token_blocks(spark, sf_dir):
     token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path, end_id=2)
     found = token_store.read_tokens(spark, path)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_wrapper_extraction")
+def op5_wrapper_extraction(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op3_license_scan", licenses.check_sql())
+def op3_license_scan(spark, sf_dir):
+    return licenses.licenses(table(spark, sf_dir, "documents"))
