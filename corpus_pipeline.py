@@ -12,8 +12,11 @@ from tidemark.llm import stages
 from tidemark.session import cut
 
 STAGES = [
+    ("quality", stages.quality_filter),
+    ("language", stages.language_filter),
     ("near_duplicates", stages.near_duplicates),
     ("mix", stages.mix),
+    ("bpe", stages.encode),
 ]
 
 # Trained models and tokenizers have no SQL form; tests compare with brute force.

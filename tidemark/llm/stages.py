@@ -6,8 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import bpe, langid, quality, simhash
 from . import mix as mixing
-from . import simhash
+from .queries import bpe_digests, table, tokenizer_path
+
+# A language is accepted from this probability.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is likelier of label 1 than of label 0 stay.
+
+    Learned from the labels of documents that came in; without labels all stay.
+    """
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    kept = quality.scored(docs, model, "__score").where(F.col("__score") >= 0.5)
+    return kept.select(*docs.columns)
+
+
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language, recognised with MIN_LANGUAGE_SCORE or more, stay.
+
+    Texts without a letter go.  The documents' own ``lang`` only trains the network; if no
+    document has one, all texts are unknown and stay.
+    """
+    model = langid.fit(docs)
+    if not model["names"]:
+        return docs
+    found = langid.detected(docs, model, "__lang_pred", "__lang_score")
+    known = (F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
     alone = docs.join(kept.where("not __again"), same, "left_semi")
+    if kept.where("__again").limit(1).count() == 0:
+        return alone
     again = docs.join(kept.where("__again"), same, "left_semi").dropDuplicates(["doc_id"])
     return alone.unionByName(again)
 
@@ -31,3 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 1, 2, 3 in turn; repeated and cut documents take effect."""
     return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document that is left."""
+    return bpe_digests(bpe.encode_decode(docs, tokenizer_path()))
