@@ -1,19 +1,21 @@
 """BPE encoding and decoding by a distinct-word table (operator 9).
 
 Texts are split where Spark reads them.  A task numbers the distinct words of its chunk of
-documents and keeps each document as a list of numbers; only the chunk's distinct words are
-shuffled, by word.  Every distinct word is encoded once and its ids are decoded once, through a
-join with the id-to-piece table.  The results return to their chunk, where documents are put
-together by position.
+documents and keeps each document as a list of numbers.  Only the chunk's distinct words travel,
+dealt by word, so that every distinct word is encoded once.  Their ids return to the chunk, where
+documents are put together by position, and are decoded through a join with the id-to-piece table.
+
+The documents' numbers are written bucketed by chunk, so the join back moves the word table only.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,192 +24,152 @@ from pyspark.sql import functions as F
 from ..session import fresh_path
 from .words import Units, gather, one_thread, pack_numbers, pieces, read_tokenizer, unpack_numbers
 
-# A chunk ends after so many bytes of text, a row of it after so many numbers.
-CHUNK_CHARS = 48 << 20
-ROW_WORDS = 1 << 17
-# The vocabulary is joined by broadcast; this bounds it.
+# A chunk ends after so many characters of text, a row of it after so many numbers.
+CHUNK_CHARS = 32 << 20
+ROW_WORDS = 1 << 18
+# The id-to-piece table is sent to every task; this bounds it.
 MAX_VOCABULARY = 1 << 20
 
-_CHUNKS = "kind int, chunk long, no long, word string, ids array<long>, sizes array<int>, payload binary"
+_CHUNKS = "kind int, chunk long, no int, ids array<long>, sizes array<int>, payload binary"
+
+
+def _pack_words(words: list[str], ranks: np.ndarray) -> bytes:
+    """Words with their rising numbers, compressed."""
+    raw = [w.encode("utf-8") for w in words]
+    numbers = pack_numbers(np.diff(ranks, prepend=0))
+    sizes = pack_numbers(np.fromiter(map(len, raw), "int64", len(raw)))
+    head = np.array([len(numbers), len(sizes)], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(head + numbers + sizes + b"".join(raw))
 
 
-def _chunk_rows(spec: str):
-    """Task function: per chunk its distinct words, numbered by frequency, and its documents."""
+def _unpack_words(payload: bytes) -> tuple[list[str], bytes]:
+    """The words, and their numbers still packed."""
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    a, b = (int(x) for x in np.frombuffer(data, "<u8", 2))
+    ends = np.cumsum(unpack_numbers(data[16 + a : 16 + a + b])) + 16 + a + b
+    begins = np.concatenate([[16 + a + b], ends[:-1]])
+    return [data[i:j].decode("utf-8") for i, j in zip(begins.tolist(), ends.tolist())], data[16 : 16 + a]
 
-    def flush(chunk: int, seen: dict, docs: list) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(len(seen), "int64")
+
+def _chunk_rows(spec: str, buckets: int):
+    """Task function: per chunk its distinct words by word bucket, and its documents."""
+
+    def flush(chunk: int, units: Units, seen: dict, docs: list) -> Iterator[pd.DataFrame]:
+        words: dict[str, int] = {}
+        of_unit = [[words.setdefault(w, len(words)) for w in units.words(u)] for u in seen]
+        sizes = np.fromiter(map(len, of_unit), "int64", len(of_unit))
+        flat = np.fromiter((w for u in of_unit for w in u), "int64", int(sizes.sum()))
+        begins = np.cumsum(sizes) - sizes
+        uses = np.zeros(len(seen), "int64")
         for _, codes in docs:
-            np.add.at(counts, codes, 1)
+            np.add.at(uses, codes, 1)
+        counts = np.bincount(flat, np.repeat(uses, sizes), len(words))
+        # Numbers by frequency are small and compress well.
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), "int64")
         rank[order] = np.arange(len(order))
-        words = np.array(list(seen), dtype=object)[order]
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        flat = rank[flat]
+        names = np.array(list(words), dtype=object)[order]
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in names), "int64", len(names))
+        for no in np.unique(bucket):
+            mine = np.flatnonzero(bucket == no)
             yield pd.DataFrame({
-                "kind": 0, "chunk": chunk, "no": np.arange(at, at + len(part)), "word": part,
-                "ids": None, "sizes": None, "payload": None,
+                "kind": 0, "chunk": chunk, "no": no, "ids": None, "sizes": None,
+                "payload": [_pack_words(list(names[mine]), mine)],
             })
         pack = zstandard.ZstdCompressor(level=6)
         held, size, no = [], 0, 0
         for i, (doc_id, codes) in enumerate(docs):
-            held.append((doc_id, codes))
-            size += len(codes)
+            held.append((doc_id, gather(flat, begins, sizes, codes)))
+            size += len(held[-1][1])
             if size >= ROW_WORDS or i == len(docs) - 1:
-                numbers = rank[np.concatenate([c for _, c in held])]
                 yield pd.DataFrame({
-                    "kind": [1], "chunk": chunk, "no": no, "word": None, "ids": [[d for d, _ in held]],
-                    "sizes": [[len(c) for _, c in held]], "payload": [pack.compress(pack_numbers(numbers))],
+                    "kind": 1, "chunk": chunk, "no": no, "ids": [[d for d, _ in held]], "sizes": [[len(c) for _, c in held]],
+                    "payload": [pack.compress(pack_numbers(np.concatenate([c for _, c in held])))],
                 })
                 held, size, no = [], 0, no + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = Units(spec).split
+        units = Units(spec)
         chunk, seen, docs, chars = TaskContext.get().partitionId() << 32, {}, [], 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"]):
                 text = text or ""
-                number = [seen.setdefault(u, len(seen)) for u in split(text)]
+                number = [seen.setdefault(u, len(seen)) for u in units.split(text)]
                 docs.append((None if pd.isna(doc_id) else int(doc_id), np.array(number, "int32")))
                 chars += len(text)
                 if chars >= CHUNK_CHARS:
-                    yield from flush(chunk, seen, docs)
+                    yield from flush(chunk, units, seen, docs)
                     chunk, seen, docs, chars = chunk + 1, {}, [], 0
         if docs:
-            yield from flush(chunk, seen, docs)
+            yield from flush(chunk, units, seen, docs)
 
     return run
 
 
 def _encode_words(spec: str, width: str):
-    """Task function over words in order: each distinct word is encoded once.
-
-    The first row of a word carries its ids; all rows carry the word's number in the task.
-    """
+    """Task function over rows in order of word bucket: each distinct word is encoded once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
-        encode = Units(spec).encode
-        last, last_packed, number = None, b"", -1
+        units, bucket, known = Units(spec), None, {}
         for pdf in batches:
-            if not len(pdf):
-                continue
-            words = pdf["word"].to_numpy(object)
-            new = np.ones(len(words), bool)
-            new[1:] = words[1:] != words[:-1]
-            new[0] = words[0] != last
-            ids = encode(words[new])
-            packed = [last_packed, *(np.array(i, width).tobytes() for i in ids)]
-            nth = np.cumsum(new)
-            first = np.full(len(words), None, object)
-            for at, one in zip(np.flatnonzero(new), ids):
-                first[at] = one
-            yield pd.DataFrame({
-                "chunk": pdf["chunk"], "no": pdf["no"], "word_no": number + nth,
-                "packed": [packed[i] for i in nth], "ids": first,
-            })
-            last, last_packed, number = words[-1], packed[-1], number + int(nth[-1])
+            for row in pdf.itertuples():
+                if row.no != bucket:
+                    bucket, known = row.no, {}
+                words, numbers = _unpack_words(row.payload)
+                new = [w for w in words if w not in known]
+                for word, ids in zip(new, units.encode(new)):
+                    known[word] = np.array(ids, width).tobytes()
+                packed = [known[w] for w in words]
+                sizes = pack_numbers(np.fromiter(map(len, packed), "int64", len(packed)))
+                head = np.array([len(numbers), len(sizes)], "<u8").tobytes()
+                body = zstandard.ZstdCompressor(level=3).compress(head + numbers + sizes + b"".join(packed))
+                yield pd.DataFrame({"chunk": [row.chunk], "encoded": [body]})
 
     return run
 
 
-def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (word_no, pos): the pieces of a word, then its other places.
-
-    One row per place comes out, with the bytes its word decodes to.
-    """
-    held = None
-
-    def whole(table: pa.Table) -> pa.RecordBatch:
-        rows = table.combine_chunks()
-        word = rows["word_no"].to_numpy()
-        begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        piece = rows["piece"].combine_chunks().cast(pa.large_binary()).fill_null(b"")
-        ends = np.frombuffer(piece.buffers()[1], "int64")[piece.offset : piece.offset + len(piece) + 1]
-        edges = ends[np.append(begins, len(piece))]
-        text = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(begins), [None, pa.py_buffer(edges.tobytes()), piece.buffers()[2]]
-        )
-        pos = rows["pos"].combine_chunks().fill_null(0).to_numpy()
-        place = np.flatnonzero(pos == 0)
-        nth = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(word))))[place]
-        return pa.RecordBatch.from_arrays(
-            [
-                rows["chunk"].combine_chunks().take(pa.array(place)), rows["no"].combine_chunks().take(pa.array(place)),
-                rows["packed"].combine_chunks().take(pa.array(place)), text.take(pa.array(nth)).cast(pa.binary()),
-            ],
-            names=["chunk", "no", "packed", "piece"],
-        )
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        word = held["word_no"].to_numpy()
-        open_from = int(np.searchsorted(word, word[-1]))
-        if open_from:
-            yield whole(held.slice(0, open_from))
-            held = held.slice(open_from)
-    if held is not None and held.num_rows:
-        yield whole(held)
-
-
-def _assemble(width: str):
-    """Task function over (chunk, kind, no): the chunk's words first, then its documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, parts, table = None, [], None
+def _table(encoded: pd.Series, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begin, size) of the chunk's words by their numbers."""
+    numbers, sizes, ids = [np.empty(0, "int64")], [np.empty(0, "int64")], []
+    for body in encoded:
+        data = zstandard.ZstdDecompressor().decompress(body)
+        a, b = (int(x) for x in np.frombuffer(data, "<u8", 2))
+        numbers.append(np.cumsum(unpack_numbers(data[16 : 16 + a])))
+        sizes.append(unpack_numbers(data[16 + a : 16 + a + b]) // np.dtype(width).itemsize)
+        ids.append(data[16 + a + b :])
+    number, size = np.concatenate(numbers), np.concatenate(sizes)
+    begin_of, size_of = np.zeros(len(number), "int64"), np.zeros(len(number), "int64")
+    begin_of[number], size_of[number] = np.cumsum(size) - size, size
+    return np.frombuffer(b"".join(ids), width), begin_of, size_of
+
+
+def _assemble(width: str, piece_table: list[tuple[int, bytes]]):
+    """Task function of one chunk: its documents with their ids and decoded texts."""
+
+    def run(docs: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
+        # The id-to-piece table by id, to be joined by position.
+        piece_size = np.zeros(piece_table[-1][0] + 1, "int64")
+        for i, piece in piece_table:
+            piece_size[i] = len(piece)
+        piece_begin = np.cumsum(piece_size) - piece_size
+        piece_bytes = np.frombuffer(b"".join(p for _, p in piece_table), "uint8")
+        ids, begins, sizes = _table(encoded["encoded"], width)
         unpack = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for chunk, rows in pdf.groupby("chunk", sort=False):
-                if chunk != key:
-                    key, parts, table = chunk, [], None
-                kinds = rows["kind"].to_numpy()
-                words = rows[kinds == 0]
-                if len(words):
-                    parts.append(_flat(words, width))
-                for row in rows[kinds == 1].itertuples():
-                    if table is None:
-                        table = _whole(parts, width)
-                        parts = []
-                    yield from _documents(row, unpack, *table)
+        out = []
+        for row in docs.itertuples():
+            codes = unpack_numbers(unpack.decompress(row.payload))
+            ends = np.cumsum(np.asarray(row.sizes, "int64"))
+            for doc_id, begin, end in zip(row.ids, ends - np.asarray(row.sizes), ends):
+                mine = gather(ids, begins, sizes, codes[begin:end])
+                text = gather(piece_bytes, piece_begin, piece_size, mine).tobytes().decode("utf-8", "replace")
+                out.append((None if pd.isna(doc_id) else int(doc_id), mine.astype("<u4").tobytes(), len(mine), text))
+        return pd.DataFrame(out, columns=["doc_id", "ids", "n_tokens", "decoded"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def _flat(words: pd.DataFrame, width: str):
-    """Ids, id counts, bytes and byte counts of a run of dictionary rows."""
-    packed, texts = list(words["packed"]), list(words["piece"])
-    step = np.dtype(width).itemsize
-    return (
-        b"".join(packed), np.fromiter(map(len, packed), "int64", len(packed)) // step,
-        b"".join(texts), np.fromiter(map(len, texts), "int64", len(texts)),
-    )
-
-
-def _whole(parts: list, width: str):
-    ids = np.frombuffer(b"".join(p[0] for p in parts), width)
-    data = np.frombuffer(b"".join(p[2] for p in parts), "uint8")
-    none = np.empty(0, "int64")
-    n_ids = np.concatenate([none, *(p[1] for p in parts)])
-    n_bytes = np.concatenate([none, *(p[3] for p in parts)])
-    return ids, np.cumsum(n_ids) - n_ids, n_ids, data, np.cumsum(n_bytes) - n_bytes, n_bytes
-
-
-def _documents(row, unpack, ids, id_at, n_ids, data, byte_at, n_bytes) -> Iterator[pd.DataFrame]:
-    codes = unpack_numbers(unpack.decompress(row.payload))
-    ends = np.cumsum(np.asarray(row.sizes, "int64"))
-    out = []
-    for doc_id, begin, end in zip(row.ids, ends - np.asarray(row.sizes), ends):
-        mine = codes[begin:end]
-        encoded = gather(ids, id_at, n_ids, mine).astype("<u4")
-        text = gather(data, byte_at, n_bytes, mine).tobytes().decode("utf-8", "replace")
-        out.append((None if pd.isna(doc_id) else int(doc_id), encoded.tobytes(), len(encoded), text))
-    frame = pd.DataFrame(out, columns=["doc_id", "ids", "n_tokens", "decoded"])
-    yield frame.astype({"doc_id": "Int64"})
-
-
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of every document.
 
@@ -219,33 +181,21 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     spark = docs.sparkSession
     spec = read_tokenizer(tokenizer)
-    vocabulary = pieces(spec)
-    if len(vocabulary) > MAX_VOCABULARY:
+    piece_table = pieces(spec)
+    if len(piece_table) > MAX_VOCABULARY:
         raise ValueError(f"the vocabulary has more than {MAX_VOCABULARY} entries")
-    width = "<u2" if vocabulary[-1][0] < 1 << 16 else "<u4"
-    path = fresh_path(spark, "bpe-chunks")
+    width = "<u2" if piece_table[-1][0] < 1 << 16 else "<u4"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts.mapInPandas(_chunk_rows(spec), _CHUNKS).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    chunks = spark.read.schema(_CHUNKS).parquet(path)
-    words = chunks.where("kind = 0").select("word", "chunk", "no")
-    # Words of a chunk are distinct, so a word has one row per chunk at most.
-    ordered = words.repartition("word").sortWithinPartitions("word")
-    encoded = ordered.mapInPandas(
-        _encode_words(spec, width), "chunk long, no long, word_no long, packed binary, ids array<int>"
-    )
-    piece_table = spark.createDataFrame(vocabulary, "id int, piece binary")
-    split = encoded.select("chunk", "no", "word_no", "packed", F.posexplode_outer("ids").alias("pos", "id"))
-    joined = split.join(F.broadcast(piece_table), "id", "left").select("chunk", "no", "word_no", "packed", "pos", "piece")
-    decoded = joined.sortWithinPartitions("word_no", F.col("pos").asc_nulls_last()).mapInArrow(
-        _join_pieces, "chunk long, no long, packed binary, piece binary"
-    )
-    none = F.lit(None)
-    back = decoded.select(
-        "chunk", F.lit(0).alias("kind"), "no", "packed", "piece",
-        none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"), none.cast("binary").alias("payload"),
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    (
+        texts.mapInPandas(_chunk_rows(spec, buckets), _CHUNKS).write.partitionBy("kind").bucketBy(buckets, "chunk")
+        .option("path", fresh_path(spark, "bpe-chunks")).option("compression", "none").saveAsTable(name)
     )
-    coded = chunks.where("kind = 1").select(
-        "chunk", "kind", "no", none.cast("binary").alias("packed"), none.cast("binary").alias("piece"), "ids", "sizes", "payload",
+    chunks = spark.table(name)
+    words = chunks.where("kind = 0").select("chunk", "no", "payload").repartition("no").sortWithinPartitions("no")
+    encoded = words.mapInPandas(_encode_words(spec, width), "chunk long, encoded binary")
+    coded = chunks.where("kind = 1").select("chunk", "ids", "sizes", "payload")
+    return coded.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(
+        _assemble(width, piece_table), "doc_id long, ids binary, n_tokens long, decoded string"
     )
-    dealt = back.union(coded).repartition("chunk").sortWithinPartitions("chunk", "kind", "no")
-    return dealt.mapInPandas(_assemble(width), "doc_id long, ids binary, n_tokens long, decoded string")

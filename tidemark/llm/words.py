@@ -12,6 +12,10 @@ import numpy as np
 # A space with white space on both sides: only there can white space of two units merge.
 _MERGES = re.compile("[\\s\u180e\u200b] [\\s\u180e\u200b]|  ")
 
+# Units made of Latin letters, plain punctuation and at most one line end between words.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SHAPE = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?]+)?(?:(\n)([{_LETTERS}]+)([.,;:!?]+)?)?")
+
 
 def read_tokenizer(path: str) -> str:
     """The tokenizer file as text, read once by the driver and sent with the job.
@@ -79,6 +83,15 @@ class Units:
                 units += [bytes(self._letters[c] for c in word).decode("utf-8") for word, _ in words]
         return units
 
+    def words(self, unit: str) -> list[str]:
+        """The words of a unit that are encoded independently; a unit of other shape is one.
+
+        Letters, punctuation and a line end before a letter are words of their own in every
+        byte-level split.
+        """
+        shape = _SHAPE.fullmatch(unit)
+        return [w for w in shape.groups() if w] if shape else [unit]
+
     def encode(self, units: Iterable[str]) -> list[list[int]]:
         """Ids of each unit, as the library gives them without special tokens added."""
         return [e.ids for e in self.library.encode_batch_fast(list(units), add_special_tokens=False)]
