@@ -189,12 +189,13 @@ def fit(docs: DataFrame, holdout: int | None = 2, parts: int = 4) -> dict:
     """The network learned from text and non-null lang of documents that are not held out.
 
     At most PER_LANGUAGE documents a language, chosen by hash, and MAX_CHARS of each train it.
-    A null id is not held out.  Without labelled texts the model has no language.
+    Without labelled texts the model has no language.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select("doc_id", "lang")
     if holdout is not None:
         rows = rows.where(F.coalesce(fold(F.col("doc_id"), parts) != holdout, F.lit(True)))
-    picked = sample(rows.select("lang", "text"), "lang", "text", PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS)
+    picked = sample(rows, docs, "lang", PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS)
+    picked = picked[[bool(_LETTER.search(t)) for t in picked["text"]]]
     if not len(picked):
         return {"names": [], **_begin(1, 0)}
     return train(list(picked["text"]), list(picked["lang"]))

@@ -172,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: int | None = 1, parts: int
     counts = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    picked = sample(texts.join(marked, "doc_id").select("quality", "text"), "quality", "text", PER_LABEL, 2, MAX_CHARS)
+    picked = sample(marked, docs, "quality", PER_LABEL, 2, MAX_CHARS)
     if picked["quality"].nunique() < 2:
         return counts[1] / (counts[0] + counts[1])
     return train(list(picked["text"]), list(picked["quality"]), counts[1] / (counts[0] + counts[1]))

@@ -13,25 +13,35 @@ def fold(doc_id: Column, parts: int) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % parts).cast("int")
 
 
-def sample(rows: DataFrame, label: str, text: str, per_label: int, max_labels: int, max_chars: int) -> pd.DataFrame:
-    """At most ``per_label`` texts of each label, chosen by hash, for training on the driver.
-
-    This is the only bounded read of the models: what they score is never sampled.  Texts
-    longer than ``max_chars`` give a stretch of that length from a hashed place.  More than
-    ``max_labels`` labels are an error.
+def sample(
+    marked: DataFrame, docs: DataFrame, label: str, per_label: int, max_labels: int, max_chars: int
+) -> pd.DataFrame:
+    """(label, text): at most ``per_label`` documents of each label, for training on the driver.
+
+    ``marked`` has (doc_id, label).  Ids are chosen by hash first, from the narrow table; only
+    the chosen texts are read.  This is the only bounded read of the models: what they score is
+    never sampled.  Texts longer than ``max_chars`` give a stretch of that length from a hashed
+    place.  More than ``max_labels`` labels are an error.  Null ids and texts do not train.
     """
-    labels = [r[0] for r in rows.select(label).distinct().limit(max_labels + 1).collect()]
+    spark = marked.sparkSession
+    known = marked.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
+    labels = [r[0] for r in known.select(label).distinct().limit(max_labels + 1).collect()]
     if len(labels) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
-    order = F.xxhash64(text, F.lit(1))
-    begin = F.pmod(F.xxhash64(text, F.lit(2)), F.greatest(F.char_length(text) - max_chars + 1, F.lit(1))) + 1
-    cut = F.substring(text, begin.cast("int"), F.lit(max_chars))
-    parts = [
-        rows.where(F.col(label) == value).select(label, cut.alias(text), order.alias("__at"))
-        .orderBy("__at", text).limit(per_label).select(label, text).toPandas()
+    order = F.xxhash64("doc_id")
+    chosen = [
+        (row["doc_id"], value)
         for value in sorted(labels)
+        for row in known.where(F.col(label) == value).select("doc_id").orderBy(order, "doc_id").limit(per_label).collect()
     ]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({label: [], text: []})
+    schema = marked.select("doc_id", label).schema
+    picked = spark.createDataFrame(list(dict.fromkeys(chosen)), schema)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.char_length("text") - max_chars + 1, F.lit(1))) + 1
+    stretch = F.substring("text", begin.cast("int"), F.lit(max_chars))
+    # At most per_label * max_labels ids are sent to the tasks.
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = texts.select(label, stretch.alias("text"), order.alias("__at")).limit(2 * len(chosen) + 1).toPandas()
+    return found.sort_values([label, "__at", "text"], ignore_index=True)[[label, "text"]]
 
 
 class Adam:
