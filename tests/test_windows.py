@@ -174,3 +174,19 @@ def test_results_do_not_depend_on_partitions(spark, events):
         found.append(sorted(map(tuple, out.collect())))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("times", ["burst", "equal"])
+def test_hot_keys_are_cut_by_rows(spark, times):
+    # 2,000 rows within 20 ms (or at one time) and one a year later.
+    rows = [(i, "hot", i % 20 / 1000 if times == "burst" else 0.0) for i in range(2000)]
+    rows += [(2000, "hot", 365 * 86400.0), *[(3000 + i, f"k{i % 5}", float(i)) for i in range(50)]]
+    df = spark.createDataFrame(rows, "id long, k string, t double").withColumn("ts", F.timestamp_seconds("t"))
+    placed, hot = ordered.with_slice(df, ["k"], ["ts", "id"], 200)
+    sizes = {(r["k"], r["__slice"]): r["count"] for r in placed.groupBy("k", "__slice").count().collect()}
+    assert sum(sizes.values()) == len(rows) and hot.count() == 2001
+    assert max(sizes.values()) <= 200
+    assert all((part == -1) == (k != "hot") for k, part in sizes)
+    got = ordered.running(df, ["k"], ["ts", "id"], {"n": ("count", F.lit(1)), "f": ("first", F.col("id"))}, max_rows=200)
+    want = ordered.running(df, ["k"], ["ts", "id"], {"n": ("count", F.lit(1)), "f": ("first", F.col("id"))}, max_rows=None)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -1,10 +1,10 @@
 """Ordered scans per key that stay parallel when one key holds most of the rows.
 
 A running value over ``partitionBy(keys).orderBy(..)`` puts a whole key into one task.
-Here a key with more than ``max_rows`` rows is cut into slices along the order column.
-Each slice is its own window partition; a *seed* row at its front carries the combined
-value of all earlier slices.  Keys below the limit form one slice and need no seed, so
-without hot keys the plan is the usual one shuffle plus a count per key.
+Here the rows of keys with more than ``max_rows`` rows are dealt by range of the whole order,
+ties included, so every slice holds about equally many rows however uneven the times are.  Each
+slice is its own window partition; a *seed* row at its front carries the combined value of all
+earlier slices.  Without hot keys the plan is the usual one shuffle.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import SpecError
+from ..session import cut
 
 # Rows of one key a single task may order; slices aim at an eighth of it.
 MAX_ROWS = 4_000_000
@@ -24,50 +24,32 @@ SLICE = "__slice"
 _FLAG = "__flag"
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    if isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
-
-
 def with_slice(
-    df: DataFrame, keys: list[str], order: str, max_rows: int | None
+    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(all rows with ``__slice``, the rows of hot keys only).
 
-    ``__slice`` is -1 for ordinary keys and 0.. along ``order`` for hot keys.  The broadcast
-    table has one row per hot key, so at most ``rows / max_rows`` rows.
+    ``__slice`` is -1 for ordinary keys and rises along ``order`` for hot keys.  A count of the
+    key columns alone comes first; only if it finds hot keys are their rows dealt by range and
+    written once, which fixes the slices for everything that reads them.
     """
+    plain = df.withColumn(SLICE, F.lit(-1).cast("long"))
     if max_rows is None:
-        return df.withColumn(SLICE, F.lit(-1).cast("long")), None
-    position = _number(df, order)
+        return plain, None
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
+    found = counted.agg(
+        F.count(F.lit(1)).alias("keys"), F.sum(F.ceil(F.col("__n") * OVERSPLIT / max_rows)).alias("slices")
+    ).first()
+    if not found["keys"]:
+        return plain, None
     # A struct of the keys compares nulls as equal, so null keys are a key like any other.
+    hot = cut(counted.select(F.struct(*keys).alias("__hot")), "hot-keys")
     keyed = df.withColumn("__key", F.struct(*keys))
-    hot = (
-        keyed.groupBy("__key")
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min(position).alias("__lo"),
-            F.max(position).alias("__hi"),
-        )
-        .where(F.col("__n") > max_rows)
-        .select(
-            F.col("__key").alias("__hot"),
-            F.coalesce("__lo", F.lit(0.0)).alias("__lo"),
-            (
-                (F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") * OVERSPLIT / max_rows)
-            ).alias("__width"),
-        )
-    )
-    offset = F.coalesce(F.floor((position - F.col("__lo")) / F.col("__width")), F.lit(0))
-    slice_ = F.when(F.col("__width") > 0, offset).otherwise(F.lit(0)).cast("long")
-    ordinary = F.when(F.col("__lo").isNull(), F.lit(-1).cast("long"))
-
-    def place(how: str, column: Column) -> DataFrame:
-        joined = keyed.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), how)
-        return joined.withColumn(SLICE, column).drop("__key", "__hot", "__lo", "__width")
-
-    return place("left", ordinary.otherwise(slice_)), place("inner", slice_)
+    same = F.col("__key") == F.col("__hot")
+    dealt = keyed.join(hot, same, "left_semi").drop("__key").repartitionByRange(found["slices"], *keys, *order)
+    sliced = cut(dealt.withColumn(SLICE, F.spark_partition_id().cast("long")), "hot-rows")
+    ordinary = keyed.join(hot, same, "left_anti").drop("__key").withColumn(SLICE, F.lit(-1).cast("long"))
+    return ordinary.unionByName(sliced), sliced
 
 
 def _entry(op: str, column: Column) -> Column:
@@ -105,8 +87,8 @@ def running(
     """Add running aggregates per key: ``{output: (op, column)}``.
 
     ``op`` is count, sum, min, max, first or last (nulls ignored).  ``order`` must be a
-    total order; its first column is the one hot keys are sliced along.  With
-    ``inclusive=False`` a row sees only the rows before it.
+    total order, which hot keys are sliced along.  With ``inclusive=False`` a row sees only
+    the rows before it.
     """
     unknown = {op for op, _ in aggs.values()} - set(_OVER)
     if unknown:
@@ -119,7 +101,7 @@ def running(
         group = ["__all"]
         # Always 0, but not a literal: the plan keeps an ordinary one-key join.
         rows = rows.withColumn("__all", F.pmod(F.xxhash64(order[0]), F.lit(1)))
-    rows, hot = with_slice(rows.withColumn(_FLAG, F.lit(1)), group, order[0], max_rows)
+    rows, hot = with_slice(rows.withColumn(_FLAG, F.lit(1)), group, order, max_rows)
     if hot is not None:
         before = W.partitionBy(*group).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
         totals = hot.groupBy(*group, SLICE).agg(

@@ -159,7 +159,7 @@ def _every_event_pass(df, keys, ts, step, specs, max_rows):
     group = [*keys, _B]
     rank = _rank(df, ts)
     rows = df.withColumns({_B: epoch_bucket(ts, step), "__rank": rank, "__flag": F.lit(1)})
-    rows, hot = with_slice(rows, group, ts, max_rows)
+    rows, hot = with_slice(rows, group, ["__rank"], max_rows)
     windows = sorted({duration_seconds(w) * 1_000_000 for _, w in specs})
     seeds = _bucket_seeds(rows, group, step, windows, specs, fields)
     if hot is not None:
