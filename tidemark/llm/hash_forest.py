@@ -28,6 +28,8 @@ MIN_CANDIDATES = 5120
 # Rows of a sorted array that are scored together, and queries sent to one copy of them.
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
+# Scored pairs a task holds to merge them over its blocks.
+HELD_ROWS = 1_000_000
 SEED = 11
 
 
@@ -90,7 +92,31 @@ def _scan(keep: int):
         q, c = np.nonzero(np.isfinite(value))
         return pd.DataFrame({"query_id": mine[q], "vec_id": ids[best[q, c]], "near": value[q, c].astype("float64")})
 
+    def merge(found: list[pd.DataFrame]) -> pd.DataFrame:
+        """The best of each query over the blocks of this task, every pair once."""
+        both = pd.concat(found, ignore_index=True).drop_duplicates(["query_id", "vec_id"])
+        query, near = both["query_id"].to_numpy(), both["near"].to_numpy()
+        order = np.lexsort((-near, query))
+        new = np.append(True, query[order][1:] != query[order][:-1])
+        begin = np.flatnonzero(new)
+        nth = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+        return both.iloc[order[nth < keep]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for found in blocks(batches):
+            held.append(found)
+            size += len(found)
+            if size > HELD_ROWS:
+                held = [merge(held)]
+                size = len(held[0])
+                if size > HELD_ROWS // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield merge(held)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
         for pdf in batches:
             for block_key, part in pdf.groupby(["block", "slice"], sort=False):
@@ -179,7 +205,7 @@ def search(
         F.col("vec_id").alias("id"), "low", "high", "scale", "packed",
     )
     dealt = rows.union(asks).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "low")
-    near = dealt.mapInPandas(_scan(k + k // 2), "query_id long, vec_id long, near double")
+    near = dealt.mapInPandas(_scan(k + max(4, k // 5)), "query_id long, vec_id long, near double")
     once = near.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     first = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id"))
     short = once.withColumn("__at", first).where(F.col("__at") <= 3 * k).select("query_id", "vec_id")
