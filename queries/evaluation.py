@@ -168,7 +168,7 @@ def eval_auc(spark, sf_dir):
 
 @query(
     "eval_calibration",
-    f"""SELECT least(floor(score * 5), 4)::INT AS bin, round(avg(score), 6) AS mean_predicted, round(avg(quality), 6) AS observed, count(*) AS n FROM {JUDGED} GROUP BY 1""",
+    f"""SELECT ((score > 0.2)::INT + (score > 0.4)::INT + (score > 0.6000000000000001)::INT + (score > 0.8)::INT)::INT AS bin, round(avg(score), 6) AS mean_predicted, round(avg(quality), 6) AS observed, count(*) AS n FROM {JUDGED} GROUP BY 1""",
 )
 def eval_calibration(spark, sf_dir):
     out = evaluation.calibration(_judged(spark, sf_dir), "quality", "score")

@@ -10,44 +10,36 @@ from .ordered import MAX_ROWS, running
 from .stats import exact_quantiles
 
 
+def _pair_counts(df: DataFrame, truth: str, predicted: str, weight: str | None = None) -> DataFrame:
+    """(truth, predicted, n): one row per pair of labels that occurs."""
+    w = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+    return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(w.cast("double").alias("n"))
+
+
 def confusion(
     df: DataFrame, truth: str, predicted: str, weight: str | None = None, normalize: str | None = None
 ) -> DataFrame:
-    """(truth, predicted, value) over every pair of labels, zeros included."""
+    """(truth, predicted, value) over every pair of labels, zeros included.
+
+    A missing label or prediction is a label of its own (null), so no row drops out.  The grid
+    is a product of the label list with itself, laid out after the rows were counted.
+    """
     if normalize not in (None, "true", "pred", "all"):
         raise SpecError("normalize is None, 'true', 'pred' or 'all'")
-    w = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
-    counted = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
-        w.cast("double").alias("n")
-    )
-    # Labels are classes: one small array, from which the full grid is laid out.
-    cells = counted.agg(
-        F.map_from_entries(F.collect_list(F.struct(F.struct("truth", "predicted"), "n"))).alias("m"),
-        F.array_sort(F.array_union(F.collect_set("truth"), F.collect_set("predicted"))).alias("labels"),
-    )
-    grid = F.flatten(
-        F.transform(
-            "labels",
-            lambda t: F.transform(F.col("labels"), lambda p: F.struct(t.alias("truth"), p.alias("predicted"))),
-        )
-    )
-    cell = F.transform(
-        grid,
-        lambda g: F.struct(
-            g["truth"].alias("truth"),
-            g["predicted"].alias("predicted"),
-            F.coalesce(F.try_element_at(F.col("m"), g), F.lit(0.0)).alias("n"),
-        ),
-    )
-    full = cells.select(F.inline(cell))
+    counted = _pair_counts(df, truth, predicted, weight)
+    labels = counted.select("truth").union(counted.select("predicted")).distinct()
+    grid = labels.toDF("truth").crossJoin(labels.toDF("predicted"))
+    found = counted.toDF("__t", "__p", "n")
+    same = F.col("truth").eqNullSafe(F.col("__t")) & F.col("predicted").eqNullSafe(F.col("__p"))
+    full = grid.join(found, same, "left").select("truth", "predicted", F.coalesce("n", F.lit(0.0)).alias("n"))
     if normalize is None:
         return full.withColumnRenamed("n", "value")
-    side = {"true": ["truth"], "pred": ["predicted"], "all": []}[normalize]
+    side = {"true": "truth", "pred": "predicted", "all": None}[normalize]
     if side:
-        totals = full.groupBy(*side).agg(F.sum("n").alias("t"))
-        full = full.join(totals, side)
+        totals = counted.groupBy(F.col(side).alias("__side")).agg(F.sum("n").alias("t"))
+        full = full.join(totals, F.col(side).eqNullSafe(F.col("__side")), "left")
     else:
-        full = full.withColumn("t", F.lit(df.agg(w.cast("double")).first()[0]))
+        full = full.crossJoin(counted.agg(F.sum("n").alias("t")))
     return full.select("truth", "predicted", F.when(F.col("t") > 0, F.col("n") / F.col("t")).otherwise(0.0).alias("value"))
 
 
@@ -95,9 +87,12 @@ def auc(df: DataFrame, truth: str, score: str, max_rows: int | None = MAX_ROWS)
 def calibration(
     df: DataFrame, truth: str, score: str, bins: int = 5, strategy: str = "uniform"
 ) -> DataFrame:
-    """Mean prediction against observed rate per score bin; empty bins are left out."""
+    """Mean prediction against observed rate per score bin; empty bins are left out.
+
+    A score on the edge of two bins belongs to the lower one.
+    """
     if strategy == "uniform":
-        edges = [i / bins for i in range(1, bins)]
+        edges = [i * (1 / bins) for i in range(1, bins)]
     elif strategy == "quantile":
         found = exact_quantiles(df, {"s": F.col(score).cast("double")}, [i / bins for i in range(1, bins)])
         edges = found["s"]
@@ -105,7 +100,7 @@ def calibration(
         raise SpecError("strategy is 'uniform' or 'quantile'")
     chain = None
     for i, edge in enumerate(edges):
-        hit = F.col(score) <= edge if strategy == "quantile" else F.col(score) < edge
+        hit = F.col(score) <= edge
         chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
     return df.groupBy(chain.otherwise(F.lit(bins - 1)).alias("bin")).agg(
         F.avg(score).alias("mean_predicted"),
@@ -115,16 +110,20 @@ def calibration(
 
 
 def classification_scores(df: DataFrame, truth: str, predicted: str, average: str = "binary") -> DataFrame:
-    """accuracy, precision, recall and f1 (binary for class 1, macro or weighted)."""
+    """accuracy, precision, recall and f1 (binary for class 1, macro or weighted).
+
+    A row without a prediction counts as wrong; no prediction is not a class of its own.  Rows
+    without a truth are left out.  Only pairs of labels that occur are counted.
+    """
     if average not in ("binary", "macro", "weighted"):
         raise SpecError("average is 'binary', 'macro' or 'weighted'")
-    cells = confusion(df, truth, predicted)
-    right = F.when(F.col("truth") == F.col("predicted"), F.col("value")).otherwise(0.0)
+    cells = _pair_counts(df.where(F.col(truth).isNotNull()), truth, predicted)
+    right = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0.0)
     both = F.array(
-        F.struct(F.col("truth").alias("label"), right.alias("tp"), F.lit(0.0).alias("p"), F.col("value").alias("t")),
-        F.struct(F.col("predicted").alias("label"), F.lit(0.0).alias("tp"), F.col("value").alias("p"), F.lit(0.0).alias("t")),
+        F.struct(F.col("truth").alias("label"), right.alias("tp"), F.lit(0.0).alias("p"), F.col("n").alias("t")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0.0).alias("tp"), F.col("n").alias("p"), F.lit(0.0).alias("t")),
     )
-    per_label = cells.select(F.inline(both)).groupBy("label").agg(
+    per_label = cells.select(F.inline(both)).where(F.col("label").isNotNull()).groupBy("label").agg(
         F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("t").alias("t")
     )
 
