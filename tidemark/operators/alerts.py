@@ -57,8 +57,7 @@ def completed_windows(
         return placed
     if period is None:
         return placed.where(F.col(_POS) >= count)
-    if chunk < count:
-        raise SpecError("a chunk must hold at least one window")
+    chunk = max(chunk, count)
     # The last count - 1 rows of a chunk are repeated in the next one, so that looking back
     # never leaves it.
     own = F.floor((F.col(_POS) - 1) / chunk)
@@ -94,8 +93,7 @@ def fire(
         raise SpecError("reset is None, 'manual' or 'auto'")
     if count == 1:
         return done.drop(_POS)
-    if chunk < count:
-        raise SpecError("a chunk must hold at least one window")
+    chunk = max(chunk, count)
     # The walk reads the candidates several times, so they are written once.
     return _auto_reset(cut(done, "alert-candidates"), keys, count, chunk).select(*events.columns)
 
@@ -116,10 +114,11 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
     out" (``count`` entries) and the summaries are chained per alert, so every chunk knows
     its start.  The final walk streams over sorted partitions, one batch at a time.
     """
-    placed = done.withColumn("__chunk", F.floor((F.col(_POS) - 1) / chunk).cast("long"))
-    long_ones = placed.where(F.col("__chunk") > 0).select(*keys).distinct()
-    group = [*keys, "__chunk"]
-    key_fields = [placed.schema[k] for k in keys]
+    # One text per alert: null keys are a key like any other, in joins and in pandas.
+    code = F.to_json(F.struct(*keys))
+    placed = done.withColumn("__chunk", F.floor((F.col(_POS) - 1) / chunk).cast("long")).withColumn("__alert", code)
+    long_ones = placed.where(F.col("__chunk") > 0).select("__alert").distinct()
+    group = ["__alert", "__chunk"]
 
     def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         positions = np.sort(pdf[_POS].to_numpy())
@@ -133,10 +132,10 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
         return pd.DataFrame([[*key, out]], columns=[*group, "out"])
 
     summary_schema = T.StructType(
-        [*key_fields, T.StructField("__chunk", T.LongType()), T.StructField("out", T.ArrayType(T.LongType()))]
+        [T.StructField("__alert", T.StringType()), T.StructField("__chunk", T.LongType()), T.StructField("out", T.ArrayType(T.LongType()))]
     )
     summaries = (
-        placed.join(long_ones, keys, "left_semi")
+        placed.join(long_ones, "__alert", "left_semi")
         .select(*group, _POS)
         .groupBy(*group)
         .applyInPandas(summarize, summary_schema)
@@ -155,9 +154,9 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
         return result
 
     entry_schema = T.StructType(
-        [*key_fields, T.StructField("__chunk", T.LongType()), T.StructField("__from", T.LongType())]
+        [T.StructField("__alert", T.StringType()), T.StructField("__chunk", T.LongType()), T.StructField("__from", T.LongType())]
     )
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
+    entries = summaries.groupBy("__alert").applyInPandas(chain, entry_schema)
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, allowed = None, 0
@@ -179,9 +178,9 @@ def _auto_reset(done: DataFrame, keys: list[str], count: int, chunk: int) -> Dat
                 for at in _walk(part, allowed, count):
                     taken.append(begin + at)
                     allowed = part[at] + count
-            yield pdf.iloc[taken].drop(columns=["__from", "__chunk"])
+            yield pdf.iloc[taken].drop(columns=["__from", *group])
 
-    out_schema = T.StructType([f for f in placed.schema if f.name != "__chunk"])
+    out_schema = done.schema
     return (
         placed.join(entries, group, "left")
         .withColumn("__from", F.coalesce("__from", F.lit(0)))
