@@ -13,66 +13,82 @@ from pyspark.sql import types as T
 
 from ..errors import SpecError
 
-# Queries held by each task at a time.
-MAX_QUERIES = 10_000
+# Vectors in a tile and queries in a block: what a task multiplies at a time.
+TILE_ROWS = 4096
+BLOCK_ROWS = 512
+
+
+def _packed(df: DataFrame, name: str, vector: str, rows: int, prefix: str) -> DataFrame:
+    """Rows packed where they are: one row holds up to ``rows`` ids and their unit vectors."""
+    kind = df.schema[name].dataType
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf[vector].map(len)
+            for size, same in pdf.groupby(sizes.to_numpy()):
+                for at in range(0, len(same), rows):
+                    part = same.iloc[at : at + rows]
+                    block = np.stack([np.asarray(v, dtype="float64") for v in part[vector]])
+                    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
+                    yield pd.DataFrame({
+                        f"{prefix}_ids": [part[name].tolist()], f"{prefix}_dims": int(size), f"{prefix}_rows": [block.tobytes()],
+                    })
+
+    schema = T.StructType([
+        T.StructField(f"{prefix}_ids", T.ArrayType(kind)), T.StructField(f"{prefix}_dims", T.LongType()),
+        T.StructField(f"{prefix}_rows", T.BinaryType()),
+    ])
+    return df.where(F.col(vector).isNotNull()).select(name, vector).mapInPandas(pack, schema)
+
+
+def _best(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` best scores of each row, ties by ``order``."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = np.nonzero(np.ones_like(scores, bool))
+    sort = np.lexsort((order[col], -scores[row, col], row))
+    row, col = row[sort], col[sort]
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    nth = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+    return row[nth < k], col[nth < k]
 
 
 def top_k(
-    vectors: DataFrame, queries: DataFrame, vector_id: str, vector: str, query_id: str,
-    query: str, k: int = 3, max_queries: int = MAX_QUERIES,
+    vectors: DataFrame, queries: DataFrame, vector_id: str, vector: str, query_id: str, query: str, k: int = 3
 ) -> DataFrame:
-    """Exact cosine top-k of a batch of queries.
+    """Exact cosine top-k of any number of queries.
 
-    The query batch is checked to be small and shipped to every task; each task multiplies
-    its vectors block by block and keeps only ``k`` per query, so at most
-    ``tasks * queries * k`` rows are shuffled.  Equal scores go to the smaller id.
+    Vectors are packed into tiles and queries into blocks; every tile meets every block, and
+    only ``k`` ids per query and tile are shuffled.  Vectors and queries of different lengths
+    never meet.  Equal scores go to the smaller id; null vectors take no part.
     """
     if k < 1:
         raise SpecError("k must be at least 1")
-    batch = queries.select(query_id, query).limit(max_queries + 1).collect()
-    if len(batch) > max_queries:
-        raise SpecError(f"more than {max_queries} queries; search them in batches")
-    ids = [r[0] for r in batch]
-    if not ids:
-        matrix = np.zeros((0, 0))
-    else:
-        matrix = np.array([r[1] for r in batch], dtype="float64")
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    schema = T.StructType(
-        [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(vector_id, vectors.schema[vector_id].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    tiles = _packed(vectors, vector_id, vector, TILE_ROWS, "v")
+    blocks = _packed(queries, query_id, query, BLOCK_ROWS, "q")
+    schema = T.StructType([
+        T.StructField(query_id, queries.schema[query_id].dataType),
+        T.StructField(vector_id, vectors.schema[vector_id].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_scores = np.zeros((len(ids), 0))
-        best_ids = np.zeros((len(ids), 0), dtype=object)
         for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            block = np.stack([np.asarray(v, dtype="float64") for v in pdf[vector]])
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-            names = np.broadcast_to(pdf[vector_id].to_numpy(dtype=object), (len(ids), len(pdf)))
-            scores = np.hstack([best_scores, matrix @ block.T])
-            names = np.hstack([best_ids, names])
-            keep = min(k, scores.shape[1])
-            order = np.array(
-                [np.lexsort((n.astype("int64") if np.issubdtype(type(n[0]), np.integer) else n.astype(str), -s))[:keep]
-                 for s, n in zip(scores, names)]
-            )
-            best_scores = np.take_along_axis(scores, order, 1)
-            best_ids = np.take_along_axis(names, order, 1)
-        if best_scores.shape[1]:
-            yield pd.DataFrame(
-                {
-                    query_id: np.repeat(np.array(ids, dtype=object), best_scores.shape[1]),
-                    vector_id: best_ids.ravel(),
-                    "score": best_scores.ravel(),
-                }
-            )
-
-    found = vectors.where(F.col(vector).isNotNull()).select(vector_id, vector).mapInPandas(nearest, schema)
-    order = W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(vector_id))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            for pair in pdf.itertuples():
+                left = np.frombuffer(pair.q_rows).reshape(-1, pair.q_dims)
+                right = np.frombuffer(pair.v_rows).reshape(-1, pair.v_dims)
+                ids, asked = list(pair.v_ids), list(pair.q_ids)
+                order = np.empty(len(ids), "int64")
+                order[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))] = np.arange(len(ids))
+                scores = left @ right.T
+                row, col = _best(scores, order, k)
+                yield pd.DataFrame({
+                    query_id: [asked[i] for i in row], vector_id: [ids[j] for j in col], "score": scores[row, col],
+                })
+
+    pairs = tiles.crossJoin(blocks).where("v_dims = q_dims")
+    found = pairs.mapInPandas(nearest, schema)
+    best = W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(vector_id))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
