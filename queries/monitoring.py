@@ -111,21 +111,20 @@ def drift_classify(spark, sf_dir):
 
 @query(
     "drift_table",
-    f"""{DRIFT_CTE}, s AS (SELECT feature AS "column", avg(x) FILTER (WHERE ts < TIMESTAMP '{CUT}') AS sm, min(x) FILTER (WHERE ts < TIMESTAMP '{CUT}') AS si,
+    f"""{DRIFT_CTE}, s AS (SELECT endpoint_id, feature AS "column", avg(x) FILTER (WHERE ts < TIMESTAMP '{CUT}') AS sm, min(x) FILTER (WHERE ts < TIMESTAMP '{CUT}') AS si,
         max(x) FILTER (WHERE ts < TIMESTAMP '{CUT}') AS sx, avg(x) FILTER (WHERE ts >= TIMESTAMP '{CUT}') AS im,
-        min(x) FILTER (WHERE ts >= TIMESTAMP '{CUT}') AS ii, max(x) FILTER (WHERE ts >= TIMESTAMP '{CUT}') AS ix FROM x WHERE endpoint_id = 'view' GROUP BY 1)
-    SELECT "column", round(tvd, 6) AS tvd, round(hellinger, 6) AS hellinger, round(kld, 6) AS kld, round(sm, 6) AS sample_mean, si AS sample_min,
+        min(x) FILTER (WHERE ts >= TIMESTAMP '{CUT}') AS ii, max(x) FILTER (WHERE ts >= TIMESTAMP '{CUT}') AS ix FROM x GROUP BY ALL)
+    SELECT endpoint_id, "column", round(tvd, 6) AS tvd, round(hellinger, 6) AS hellinger, round(kld, 6) AS kld, round(sm, 6) AS sample_mean, si AS sample_min,
       sx AS sample_max, round(im, 6) AS input_mean, ii AS input_min, ix AS input_max,
       CASE WHEN (tvd + hellinger) / 2 >= 0.1 THEN 2 WHEN (tvd + hellinger) / 2 >= 0.05 THEN 1 ELSE 0 END::INT AS status
-    FROM f JOIN s USING ("column") WHERE endpoint_id = 'view'""",
+    FROM f JOIN s USING (endpoint_id, "column")""",
 )
 def drift_table(spark, sf_dir):
-    reference, sample = _halves(_log(spark, sf_dir).where("endpoint_id = 'view'"))
-    features = _features(spark, sf_dir).where("endpoint_id = 'view'")
+    reference, sample = _halves(_log(spark, sf_dir))
     out = drift.drift_table(
-        stats.describe_numeric(reference, ["value", "k"], approximate=True),
-        stats.describe_numeric(sample, ["value", "k"], approximate=True),
-        features, potential=0.05, detected=0.1,
+        stats.describe_groups(reference, ["endpoint_id"], ["value", "k"]),
+        stats.describe_groups(sample, ["endpoint_id"], ["value", "k"]),
+        _features(spark, sf_dir), potential=0.05, detected=0.1, groups=["endpoint_id"],
     )
     return out.withColumns({c: money(c, 6) for c in (*drift.METRICS, "sample_mean", "input_mean")})
 

@@ -102,17 +102,21 @@ def per_feature(
     )
 
 
+# Sums of shares may leave [0, 1] by the last bits.
+ROUNDING = 1e-9
+
+
 def check_thresholds(potential: float, detected: float) -> None:
     if not 0 < potential < detected < 1:
         raise SpecError("thresholds must satisfy 0 < potential < detected < 1")
 
 
 def classify(value: Column, potential: float = 0.5, detected: float = 0.7) -> Column:
-    """2 detected, 1 potential, 0 none; a value outside [0, 1] is an error."""
+    """2 detected, 1 potential, 0 none; a value outside [0, 1] beyond rounding is an error."""
     check_thresholds(potential, detected)
     problem = F.concat(F.lit("drift value outside [0, 1]: "), value.cast("string"))
     return (
-        F.when((value < 0) | (value > 1), F.raise_error(problem).cast("int"))
+        F.when((value < -ROUNDING) | (value > 1 + ROUNDING), F.raise_error(problem).cast("int"))
         .when(value >= detected, F.lit(STATUSES["detected"]))
         .when(value >= potential, F.lit(STATUSES["potential_detection"]))
         .otherwise(F.lit(STATUSES["no_detection"]))
@@ -141,17 +145,19 @@ def drift_table(
     features: DataFrame,
     potential: float = 0.5,
     detected: float = 0.7,
+    groups: list[str] | None = None,
 ) -> DataFrame:
-    """One row per feature: mean/min/max of both sides, distances and status."""
+    """One row per group (endpoint) and feature: mean/min/max of both sides, distances, status."""
+    keys = [*(groups or []), "column"]
 
     def side(stats: DataFrame, name: str) -> DataFrame:
-        return stats.select("column", *[F.col(s).alias(f"{name}_{s}") for s in ("mean", "min", "max")])
+        return stats.select(*keys, *[F.col(s).alias(f"{name}_{s}") for s in ("mean", "min", "max")])
 
     value = (F.col("hellinger") + F.col("tvd")) / 2
     return (
-        features.select("column", *METRICS)
-        .join(side(sample_stats, "sample"), "column")
-        .join(side(input_stats, "input"), "column")
+        features.select(*keys, *METRICS)
+        .join(side(sample_stats, "sample"), keys)
+        .join(side(input_stats, "input"), keys)
         .withColumn("status", classify(value, potential, detected))
     )
 
@@ -162,30 +168,35 @@ def histogram_per_group(
     """Counts per (groups, column, bin) where every ``edge_groups`` has edges of its own.
 
     ``edges`` is (edge_groups, column, edges), one row per endpoint and feature, with equal
-    widths.  All endpoints and windows are one plan; the shuffle carries bin counts, not rows.
+    widths.  All endpoints and windows are one plan.  The edges of an endpoint are one row, so
+    rows meet them before they are split into features; features are counted where they are
+    split, and the shuffle carries bin counts.
     """
     names = [c for c in df.columns if c not in groups]
     size = F.size("edges")
     padded = (F.get("edges", F.lit(0)) == -MAX_FLOAT) & (F.get("edges", size - 1) == MAX_FLOAT)
     inner = F.when(padded, F.slice("edges", F.lit(2), size - 2)).otherwise(F.col("edges"))
+    layout = F.struct(
+        F.col("bounds"), F.col("padded"), (F.size("bounds") - 1).alias("bins"),
+        F.element_at("bounds", 1).alias("low"), F.element_at("bounds", -1).alias("high"),
+        ((F.element_at("bounds", -1) - F.element_at("bounds", 1)) / (F.size("bounds") - 1)).alias("width"),
+    )
     layouts = (
         edges.select(*edge_groups, "column", inner.alias("bounds"), padded.alias("padded"))
-        .withColumns(
-            {
-                "bins": F.size("bounds") - 1,
-                "low": F.element_at("bounds", 1),
-                "high": F.element_at("bounds", -1),
-            }
-        )
-        .withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+        .groupBy(*edge_groups)
+        .agg(F.map_from_entries(F.collect_list(F.struct("column", layout))).alias("__layouts"))
     )
     cells = F.array(
-        *[F.struct(F.lit(n).alias("column"), as_number(df, n).alias("x")) for n in names]
+        *[
+            F.struct(F.lit(n).alias("column"), as_number(df, n).alias("x"), F.try_element_at("__layouts", F.lit(n)).alias("l"))
+            for n in names
+        ]
     )
     placed = (
-        df.select(*groups, F.inline(cells))
-        .where(F.col("x").isNotNull())
-        .join(layouts, [*edge_groups, "column"])
+        df.join(layouts, edge_groups)
+        .select(*groups, F.inline(cells))
+        .where(F.col("x").isNotNull() & F.col("l").isNotNull())
+        .select(*groups, "column", "x", "l.*")
         .withColumn(
             "p",
             F.when(

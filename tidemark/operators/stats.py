@@ -162,6 +162,23 @@ def _narrow(values: DataFrame, brackets: dict, found: dict, seed: int) -> dict:
 _PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
+def describe_groups(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
+    """(groups, column, count, mean, stddev, min, max) in one map-side aggregation.
+
+    Rows are not unpivoted: every group is one row of moments before it becomes one per column.
+    """
+    number = {c: as_number(df, c) for c in columns}
+    aggs = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"),
+            F.min(x).alias("min"), F.max(x).alias("max"),
+        ).alias(f"__{i}")
+        for i, (c, x) in enumerate(number.items())
+    ]
+    wide = df.groupBy(*groups).agg(*aggs)
+    return wide.select(*groups, F.inline(F.array(*[f"__{i}" for i in range(len(columns))])))
+
+
 def describe_numeric(
     df: DataFrame, columns: list[str] | None = None, approximate: bool = False
 ) -> DataFrame:
