@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .drift import RESULT_KINDS, STATUSES
+from .filters import partition_bounds, time_range
 from .stats import describe_numeric, histogram_on_edges
 
 DAY = 86_400
@@ -58,16 +60,28 @@ def select_windows(
 
     Intervals of one (endpoint, application) touch, so a row's interval is arithmetic on
     its time: an equi join with the endpoint list, no interval join.  Rows outside the
-    open range, disabled endpoints and routers drop out; empty windows never appear.
+    open range, disabled endpoints and routers drop out; empty windows never appear.  The
+    earliest start and the latest end bound the scan, by time and by the log's own time
+    partitions, so an old log is not read again.
     """
     active = endpoints
     if "active" in endpoints.columns:
-        active = active.where(F.col("active"))
+        active = active.where(F.coalesce("active", F.lit(True)))
     if "is_router" in endpoints.columns:
-        active = active.where(~F.col("is_router"))
+        active = active.where(~F.coalesce("is_router", F.lit(False)))
     bounds = interval_bounds(active, step, grace).select(
         "endpoint_id", "application", "start", F.floor((F.col("stop") - F.col("start")) / step).alias("__n")
     )
+    span = bounds.where(F.col("__n") > 0).agg(
+        F.min("start").alias("low"), F.max(F.col("start") + F.col("__n") * step).alias("high")
+    ).first()
+    if span["low"] is None:
+        log = log.limit(0)
+    else:
+        low, high = (dt.datetime.fromtimestamp(span[c], dt.timezone.utc) for c in ("low", "high"))
+        log = time_range(log, ts, low, high)
+        pruned = partition_bounds(log.columns, low, high)
+        log = log.where(pruned) if pruned is not None else log
     micros = F.unix_micros(ts) - F.col("start") * 1_000_000
     index = F.ceil(micros / (step * 1_000_000))
     return (
