@@ -58,12 +58,12 @@ def training_set(spark, sf_dir):
       UNION ALL SELECT a.k, left_n, right_n, 'left' FROM a LEFT JOIN b ON a.k = b.k
       UNION ALL SELECT b.k, left_n, right_n, 'right' FROM a RIGHT JOIN b ON a.k = b.k)""".replace(
         "SELECT k, left_n",
-        """WITH a AS (SELECT o_custkey AS k, count(*) AS left_n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+        """WITH a AS (SELECT o_custkey AS k, count(*) AS left_n FROM orders GROUP BY 1),
       b AS (SELECT c_custkey AS k, c_nationkey AS right_n FROM customer WHERE c_acctbal > 3000)
     SELECT k, left_n""", 1),
 )
 def join_equi(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(
+    left = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
         F.count(F.lit(1)).alias("left_n")
     )
     right = table(spark, sf_dir, "customer").where("c_acctbal > 3000").select(
@@ -142,12 +142,12 @@ def _tpch(spark, sf_dir):
     "join_graph",
     """SELECT c_custkey, c_name, n_name, o.o_custkey AS buyer, total FROM customer
     JOIN nation ON n_nationkey = c_nationkey
-    FULL JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o
+    FULL JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o
       ON o.o_custkey = c_custkey""".replace("o.o_custkey AS buyer, ", "").replace("c_custkey, c_name", "coalesce(c_custkey, o.o_custkey) AS c_custkey, c_name"),
 )
 def join_graph(spark, sf_dir):
     sets = _tpch(spark, sf_dir)
-    totals = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("total")
     )
     sets["totals"] = FeatureSet("totals", ("c_custkey",), df=totals)
@@ -186,13 +186,13 @@ def join_relations(spark, sf_dir):
 @query(
     "join_entity_rows",
     """SELECT e.event_id, e.user_id, e.ts, a.value AS last_click, u.first_type FROM
-      (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup') e
+      (SELECT event_id, user_id, ts FROM events) e
     ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'click') a ON a.user_id = e.user_id AND e.ts >= a.ts
     JOIN (SELECT user_id, arg_min(event_type, ts) AS first_type FROM events GROUP BY 1) u ON u.user_id = e.user_id""",
 )
 def join_entity_rows(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    rows = events.where("event_type = 'signup'").select("event_id", "user_id", "ts")
+    rows = events.select("event_id", "user_id", "ts")
     clicks = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("last_click"))
     firsts = events.groupBy("user_id").agg(F.min_by("event_type", "ts").alias("first_type"))
     sets = {
@@ -217,13 +217,13 @@ def join_with_table(spark, sf_dir):
 
 
 LOOKUP_SQL = """WITH last AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order,
-        arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last_price FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+        arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last_price FROM orders GROUP BY 1)
     SELECT c_custkey, c_mktsegment, last_order, last_price, last_order IS NOT NULL AS found
     FROM customer LEFT JOIN last ON o_custkey = c_custkey"""
 
 
 def _lookup(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+    orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("c_custkey"), "o_orderdate", F.col("o_orderkey").alias("last_order"), F.col("o_totalprice").alias("last_price")
     )
     latest = joins.latest_per_key(orders, ["c_custkey"], "o_orderdate").drop("o_orderdate")
@@ -251,7 +251,7 @@ def enrich_impute(spark, sf_dir):
 
 
 FIXED_SQL = f"""WITH w AS (SELECT user_id, {end_sql('ts', 86400)} AS wend, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2),
-      q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view')"""
+      q AS (SELECT event_id, user_id, ts FROM events)"""
 
 
 def _daily(spark, sf_dir):
@@ -260,7 +260,7 @@ def _daily(spark, sf_dir):
         events.select("user_id", "ts", "value"), ["user_id"], "ts",
         [Aggregation("value", ("count", "sum"), "1d")], carry_last=False,
     ).select("user_id", F.col("ts").alias("wend"), F.col("value_count_1d").alias("n"), money("value_sum_1d").alias("total"))
-    return windows, events.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return windows, events.select("event_id", "user_id", "ts")
 
 
 @query(

@@ -187,13 +187,13 @@ def normalize(spark, sf_dir):
 
 @query(
     "normalize_keys_metric",
-    """SELECT event_id, '_' || event_type || '_value' AS metric, value FROM events WHERE event_type = 'view'
-    UNION ALL SELECT event_id, '_1' || event_type, value FROM events WHERE event_type = 'view'""",
+    """SELECT event_id, '_' || event_type || '_value' AS metric, value FROM events
+    UNION ALL SELECT event_id, '_1' || event_type, value FROM events""",
 )
 def normalize_keys_metric(spark, sf_dir):
-    views = table(spark, sf_dir, "events").where("event_type = 'view'")
+    events = table(spark, sf_dir, "events")
     named = F.create_map(
         F.concat(F.lit("-"), "event_type", F.lit("-value")), "value",
         F.concat(F.lit("1"), "event_type"), "value",
     )
-    return views.select("event_id", F.explode(metric_names_column(named)).alias("metric", "value"))
+    return events.select("event_id", F.explode(metric_names_column(named)).alias("metric", "value"))

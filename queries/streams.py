@@ -172,15 +172,14 @@ def stream_three_records(spark, sf_dir):
 
 @query(
     "stream_to_parquet",
-    f"""{RAW} SELECT endpoint_id AS key, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, count(*) AS n, round(sum(f0), 2) AS total
-    FROM u WHERE event_type = 'view' GROUP BY ALL""",
+    f"""{RAW} SELECT endpoint_id AS key, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, count(*) AS n, round(sum(f0), 2) AS total
+    FROM u GROUP BY ALL""",
 )
 def stream_to_parquet(spark, sf_dir):
-    """The log of one model, partitioned by endpoint and time down to the day."""
-    views = _rows(spark, sf_dir).where("model like 'view:%'")
-    log = pred.log_rows(views).withColumn("f0", F.col("features")[0]).select("timestamp", "f0", *pred.LOG_PARTITIONS[:-1])
-    written = run.drain(log, "log", partition_by=pred.LOG_PARTITIONS[:-1])
-    return written.groupBy(*pred.LOG_PARTITIONS[:-1]).agg(F.count(F.lit(1)).alias("n"), money(F.sum("f0")).alias("total"))
+    """The log of all models, partitioned by endpoint and time down to the hour."""
+    log = pred.log_rows(_rows(spark, sf_dir)).withColumn("f0", F.col("features")[0]).select("timestamp", "f0", *pred.LOG_PARTITIONS)
+    written = run.drain(log, "log", partition_by=pred.LOG_PARTITIONS)
+    return written.groupBy(*pred.LOG_PARTITIONS).agg(F.count(F.lit(1)).alias("n"), money(F.sum("f0")).alias("total"))
 
 
 def _totals(_key, rows: pd.DataFrame, state):

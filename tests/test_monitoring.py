@@ -214,8 +214,17 @@ def test_top_k(spark):
     sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
     for i in range(5):
         assert [got[i, k] for k in (1, 2, 3, 4)] == list(np.argsort(-sims[i])[:4])
-    with pytest.raises(SpecError):
-        vectors.top_k(vdf, qdf, "id", "v", "q", "qv", 4, max_queries=2)
+
+
+def test_top_k_takes_any_number_of_queries(spark):
+    """More queries than one block, ties to the smaller id."""
+    n = 25_000
+    qdf = spark.range(n).select(F.col("id").alias("q"), F.array(F.cos(F.col("id")), F.sin(F.col("id"))).alias("qv"))
+    vdf = spark.range(40).select("id", F.array(F.cos(F.col("id") % 20), F.sin(F.col("id") % 20)).alias("v"))
+    got = vectors.top_k(vdf, qdf, "id", "v", "q", "qv", 2)
+    assert got.count() == 2 * n
+    near = {(r["q"], r["rank"]): r["id"] for r in got.where("q < 20").collect()}
+    assert all(near[q, 1] == q and near[q, 2] == q + 20 for q in range(20))
 
 
 def test_documents(spark):
@@ -237,3 +246,95 @@ def test_series(spark):
     res = spark.createDataFrame([("a", "app", "r", T0, 0.5, 1)], "endpoint_id string, application_name string, result_name string, end_infer_time timestamp, result_value double, result_status int")
     read = series.read_series(res, "a", [("app", "r"), ("app", "z")], "result_name", "result_value", status_column="result_status").collect()
     assert sorted((r["name"], r["data"]) for r in read) == [("r", True), ("z", False)]
+
+
+def test_rows_without_a_prediction_count_as_wrong(spark):
+    df = spark.createDataFrame([(1, 1), (0, 0), (1, None), (0, None), (None, 1)], "t int, p int")
+    got = evaluation.classification_scores(df, "t", "p").first()
+    assert (got["accuracy"], got["precision"], got["recall"]) == (0.5, 1.0, 0.5)
+    cells = {(r["truth"], r["predicted"]): r["value"] for r in evaluation.confusion(df, "t", "p").collect()}
+    assert len(cells) == 9 and sum(cells.values()) == 5 and cells[1, None] == 1 and cells[None, 1] == 1
+
+
+def test_many_labels_need_no_grid(spark):
+    df = spark.range(20_000).select((F.col("id") % 7000).alias("t"), (F.col("id") % 7001).alias("p"))
+    assert evaluation.classification_scores(df, "t", "p", "macro").first()["accuracy"] == pytest.approx(7000 / 20_000)
+
+
+def test_scores_on_an_edge_belong_to_the_lower_bin(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.2), (1, 0.21), (0, 0.6000000000000001), (1, 1.0)], "y int, s double")
+    bins = {r["bin"]: r["n"] for r in evaluation.calibration(df, "y", "s").collect()}
+    assert bins == {0: 2, 1: 1, 2: 1, 4: 1}
+
+
+def test_alerts_with_a_null_key(spark):
+    rows = [(None, T0 + dt.timedelta(seconds=i), i) for i in range(23)] + [(7, T0 + dt.timedelta(seconds=i), 100 + i) for i in range(23)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, id long")
+    for chunk_size in (2, 6, 1000):
+        got = alerts.fire(df, ["k"], "ts", "id", 4, "1h", "auto", chunk=chunk_size).collect()
+        fired = {k: sorted(r["id"] % 100 for r in got if r["k"] == k) for k in (None, 7)}
+        assert fired[None] == fired[7] == [3, 7, 11, 15, 19]
+    # A chunk smaller than the window grows to it.
+    assert alerts.fire(df, ["k"], "ts", "id", 20, "1h", None, chunk=3).count() == 8
+
+
+def test_masking_keeps_every_other_character(spark):
+    texts = ["\uffff a@b.co \uffff", "a@b.co, c@d.org 555-123-4567.", "none", "", None, "(12) 345 6789 x@y.zz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in mask_pii(df, "t", "E", "P").collect()]
+    assert got == [("\uffff E \uffff", 1, 0), ("E, E P.", 2, 1), ("none", 0, 0), ("", 0, 0), (None, None, None), ("P E", 1, 1)]
+
+
+def test_series_limit_without_interval(spark):
+    df = spark.createDataFrame([(f"e{i}", T0, float(i)) for i in range(5)], "e string, time timestamp, v double")
+    got = series.aggregate_series(df, "time", ["v"], ["sum"], groups=["e"], limit=2).collect()
+    assert [r["e"] for r in got] == ["e0", "e1"]
+
+
+def test_rounding_is_no_drift_error(spark):
+    df = spark.createDataFrame([(1.0000000000000004,), (-1e-16,)], "v double")
+    assert [r[0] for r in df.select(drift.classify(F.col("v"))).collect()] == [2, 0]
+    with pytest.raises(Exception):
+        spark.createDataFrame([(1.01,)], "v double").select(drift.classify(F.col("v"))).collect()
+
+
+def test_endpoints_of_unknown_state_are_active(spark):
+    log = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=30)), ("b", T0 + dt.timedelta(seconds=30))], "endpoint_id string, timestamp timestamp")
+    ends = spark.createDataFrame(
+        [("a", "app", T0, T0 + dt.timedelta(seconds=60), None, None, None), ("b", "app", T0, T0 + dt.timedelta(seconds=60), None, False, None)],
+        "endpoint_id string, application string, first_request timestamp, last_request timestamp, last_analyzed long, active boolean, is_router boolean")
+    assert [r["endpoint_id"] for r in monitoring.select_windows(log, ends, 60).collect()] == ["a"]
+
+
+def test_windows_prune_the_log(spark, tmp_path):
+    """The scan is bounded by time and by the log's partition columns."""
+    path = str(tmp_path / "log")
+    rows = spark.range(60 * 24).select(
+        F.lit("a").alias("key"), F.timestamp_seconds(F.col("id") * 3600 + int(T0.timestamp())).alias("timestamp"), F.col("id").alias("v"))
+    rows.withColumns({"year": F.year("timestamp"), "month": F.month("timestamp"), "day": F.day("timestamp"), "endpoint_id": F.col("key")}) \
+        .write.partitionBy("key", "year", "month", "day").parquet(path)
+    last = T0 + dt.timedelta(days=50)
+    ends = spark.createDataFrame([("a", "app", T0, last, int((last - dt.timedelta(days=1)).timestamp()))],
+                                 "endpoint_id string, application string, first_request timestamp, last_request timestamp, last_analyzed long")
+    got = monitoring.select_windows(spark.read.parquet(path), ends, 3600)
+    assert got.count() == 24
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThan(timestamp" in plan
+
+
+def test_drift_counts_are_shuffled_not_rows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") % 2).alias("e"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+        edges = spark.createDataFrame([(e, c, [0.0, 0.5, 1.0]) for e in (0, 1) for c in ("x", "y")], "e long, column string, edges array<double>")
+        got = drift.histogram_per_group(df, ["e"], edges, ["e"])
+        assert got.agg(F.sum("n")).first()[0] == 2000 and got.count() == 8
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        # The lowest split into features is counted before anything is shuffled.
+        split = max(i for i, line in enumerate(lines) if "Generate inline" in line)
+        above = next(line for line in reversed(lines[:split]) if "Exchange" in line or "HashAggregate" in line)
+        assert "HashAggregate" in above
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -87,3 +87,13 @@ def test_ingest_modes(spark):
     assert third.skipped and third.last_written == second.last_written
     with pytest.raises(SpecError):
         check_targets([targets[0], targets[0]])
+
+
+def test_a_callers_column_is_never_taken_for_a_feature(spark):
+    orders = spark.createDataFrame([(1, 10.0)], "c int, price double")
+    sets = {"orders": FeatureSet("orders", ("c",), df=orders)}
+    rows = spark.createDataFrame([(1, -1.0)], "c int, price_orders double")
+    got = offline_features(FeatureVector(("orders.price",)), sets, rows).first()
+    assert (got["price_orders"], got["price"]) == (-1.0, 10.0)
+    with pytest.raises(SpecError):
+        offline_features(FeatureVector(("orders.price",)), sets, rows.withColumnRenamed("price_orders", "price"))

@@ -22,8 +22,6 @@ ENTITIES = {
 }
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _DIGITS = r"[0-9][ .)-]+[0-9]{3,4}[ .-][0-9]{3,4}"
-# A character no text holds stands for a found address until phone numbers are done.
-_MARK = "\uffff"
 PHONE = r"(\+[0-9]{1,3}[ .-]?)?(\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}"
 
 
@@ -61,21 +59,28 @@ def mask_pii(
     df: DataFrame, text: str, email: str = "john_doe@email.com", phone: str = "123456789",
     out: str | None = None,
 ) -> DataFrame:
-    """Replace e-mail addresses and phone numbers by constants, with the counts found."""
-    # Most texts hold neither; a plain search decides before a pattern runs.
-    bare = F.when(
-        F.contains(F.col(text), F.lit("@")), F.regexp_replace(F.col(text), EMAIL, _MARK)
-    ).otherwise(F.col(text))
-    staged = df.withColumn("__bare", bare).withColumn("__digits", F.col("__bare").rlike(_DIGITS))
-    phones = F.when(
-        F.col("__digits"), F.regexp_replace("__bare", F.lit(PHONE), F.lit(phone))
-    ).otherwise(F.col("__bare"))
-    found = F.regexp_count("__bare", F.lit(PHONE))
-    marks = F.char_length("__bare") - F.char_length(F.replace("__bare", F.lit(_MARK), F.lit("")))
+    """Replace e-mail addresses and phone numbers by constants, with the counts found.
+
+    The text is cut once into found items and what lies between them; an item is an address if
+    it holds ``@``.  A null text stays null with null counts.
+    """
+    either = f"{EMAIL}|{PHONE}"
+    # Most texts hold neither; a plain search decides before the pattern runs.
+    may = F.contains(F.col(text), F.lit("@")) | F.col(text).rlike(_DIGITS)
+    empty = F.slice(F.array(F.lit("")), 1, 0)
+    staged = df.withColumn("__items", F.when(may, F.regexp_extract_all(F.col(text), F.lit(either), F.lit(0))).otherwise(empty))
+    staged = staged.withColumn("__between", F.when(F.size("__items") > 0, F.split(F.col(text), either, -1)))
+    address = F.filter("__items", lambda x: F.contains(x, F.lit("@")))
+    constants = F.transform("__items", lambda x: F.when(F.contains(x, F.lit("@")), F.lit(email)).otherwise(F.lit(phone)))
+    joined = F.concat(
+        F.get("__between", F.lit(0)),
+        F.array_join(F.zip_with(constants, F.slice("__between", F.lit(2), F.size("__items")), lambda c, b: F.concat(c, b)), ""),
+    )
+    known = F.col(text).isNotNull()
     return staged.withColumns(
         {
-            "n_emails": marks,
-            "n_phones": F.when(F.col("__digits"), found).otherwise(F.lit(0)),
-            out or text: F.replace(phones, F.lit(_MARK), F.lit(email)),
+            "n_emails": F.when(known, F.size(address)),
+            "n_phones": F.when(known, F.size("__items") - F.size(address)),
+            out or text: F.when(F.size("__items") > 0, joined).otherwise(F.col(text)),
         }
-    ).drop("__bare", "__digits")
+    ).drop("__items", "__between")

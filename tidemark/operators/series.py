@@ -41,7 +41,8 @@ def aggregate_series(
 ) -> DataFrame:
     """Aggregate a series per group and interval: columns ``{func}_{column}``.
 
-    Without an interval the whole range is one row per group.
+    Without an interval the whole range is one row per group.  ``limit`` keeps the first rows,
+    by time and group.
     """
     if sliding and not interval:
         raise SpecError("a sliding step needs an interval")
@@ -50,7 +51,8 @@ def aggregate_series(
     groups = groups or []
     aggs = [_aggregate(f, c, ts).alias(f"{f}_{c}") for c in columns for f in funcs]
     if interval is None:
-        return df.groupBy(*groups).agg(*aggs)
+        out = df.groupBy(*groups).agg(*aggs)
+        return out.orderBy(*groups).limit(limit) if limit is not None else out
     window = F.window(ts, duration_interval(interval), duration_interval(sliding or interval))
     out = (
         df.groupBy(*groups, window.alias("__w"))

@@ -169,6 +169,10 @@ def offline_features(
             raise SpecError(f"feature sets {missing} are not in the join graph")
         names = graph
     steps = plan_joins(vector, sets, names, row_columns)
+    named = [out for pairs in fields.values() for _, out in pairs]
+    clash = sorted({c for c in row_columns or [] if c in named or c.startswith("__")})
+    if clash:
+        raise SpecError(f"columns {clash} of the entity rows are also features of the vector; rename them")
     if start is not None and end is None:
         end = "now"
 
@@ -185,7 +189,8 @@ def offline_features(
         filtered = filtered or used
         saved = _linking_columns(vector, sets, owner)
         wanted = dict.fromkeys([n for n, _ in fields.get(owner.name, [])] + saved)
-        unique = {c: f"{c}_{owner.name}" for c in wanted if c not in owner.entities and c != ts}
+        # Names of our own: no caller's column and no other set can hold them.
+        unique = {c: f"__{owner.name}__{c}" for c in wanted if c not in owner.entities and c != ts}
         for column, out in fields.get(owner.name, []):
             outputs[out] = unique.get(column, column)
         keep_ts = [ts] if ts else []
