@@ -166,6 +166,44 @@ def eval_auc(spark, sf_dir):
     return evaluation.auc(_judged(spark, sf_dir), "quality", "score").select(money("auc", 9).alias("auc"))
 
 
+CLASS_SCORES = """(SELECT o_orderkey, substring(o_orderpriority, 1, 1)::INT AS t, 1 + o_custkey % 3 AS w,
+      unnest([1, 2, 3]) AS label, round(abs(sin(o_totalprice)) * 20) / 20 + CASE WHEN substring(o_orderpriority, 1, 1)::INT = unnest([1, 2, 3]) THEN 0.1 ELSE 0 END AS s FROM orders)"""
+
+
+def _class_scores(spark, sf_dir):
+    """Priority classes with a coarse score for three of them, and weights."""
+    orders = table(spark, sf_dir, "orders")
+    t = F.substring("o_orderpriority", 1, 1).cast("int")
+    base = F.round(F.abs(F.sin("o_totalprice")) * 20) / 20
+    return orders.select(
+        t.alias("t"), (1 + F.col("o_custkey") % 3).alias("w"),
+        *[(base + F.when(t == label, 0.1).otherwise(0.0)).alias(f"s{label}") for label in (1, 2, 3)],
+    )
+
+
+@query(
+    "eval_roc_classes",
+    f"""WITH s AS (SELECT label, s, sum(CASE WHEN t = label THEN w ELSE 0 END) AS p, sum(CASE WHEN t = label THEN 0 ELSE w END) AS n FROM {CLASS_SCORES} GROUP BY ALL)
+    SELECT label, round(s, 6) AS threshold, round(sum(n) OVER w / sum(n) OVER (PARTITION BY label), 9) AS fpr, round(sum(p) OVER w / sum(p) OVER (PARTITION BY label), 9) AS tpr
+    FROM s WINDOW w AS (PARTITION BY label ORDER BY s DESC)
+    UNION ALL SELECT unnest([1, 2, 3]), 'inf'::DOUBLE, 0, 0""",
+)
+def eval_roc_classes(spark, sf_dir):
+    out = evaluation.class_roc(_class_scores(spark, sf_dir), "t", {1: "s1", 2: "s2", 3: "s3"}, "w")
+    return out.withColumns({"threshold": money("threshold", 6), "fpr": money("fpr", 9), "tpr": money("tpr", 9)})
+
+
+@query(
+    "eval_auc_classes",
+    f"""WITH s AS (SELECT label, s, sum(CASE WHEN t = label THEN w ELSE 0 END) AS p, sum(CASE WHEN t = label THEN 0 ELSE w END) AS n FROM {CLASS_SCORES} GROUP BY ALL)
+    SELECT a.label, round((sum(CASE WHEN a.s > b.s THEN a.p * b.n WHEN a.s = b.s THEN a.p * b.n / 2 ELSE 0 END) / (max(tp) * max(tn)))::DOUBLE, 9) AS auc
+    FROM s a JOIN s b USING (label) JOIN (SELECT label, sum(p) AS tp, sum(n) AS tn FROM s GROUP BY 1) USING (label) GROUP BY 1""",
+)
+def eval_auc_classes(spark, sf_dir):
+    out = evaluation.class_auc(_class_scores(spark, sf_dir), "t", {1: "s1", 2: "s2", 3: "s3"}, "w")
+    return out.withColumn("auc", money("auc", 9))
+
+
 @query(
     "eval_calibration",
     f"""SELECT ((score > 0.2)::INT + (score > 0.4)::INT + (score > 0.6000000000000001)::INT + (score > 0.8)::INT)::INT AS bin, round(avg(score), 6) AS mean_predicted, round(avg(quality), 6) AS observed, count(*) AS n FROM {JUDGED} GROUP BY 1""",

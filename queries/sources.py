@@ -203,10 +203,13 @@ def sink_kafka(spark, sf_dir):
     FROM events GROUP BY ALL""",
 )
 def sink_timeseries(spark, sf_dir):
-    path = fresh_path(spark, "series")
-    rows = tables.series_rows(table(spark, sf_dir, "events"), "ts", ["event_type"], ["value"])
-    sink_files.write_parquet(rows, path, columns=["date"])
-    series = files.read_parquet(spark, path)
+    """Two increments appended to one series target."""
+    fs = FeatureSet("events", ("event_type",), "ts")
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    targets = [Target("series", "series", fresh_path(spark, "series"))]
+    first = ingest(fs, events, targets, end="2024-01-15")
+    last = ingest_increment(fs, events, targets, first, dt.datetime(2030, 1, 1, tzinfo=UTC))
+    series = files.read_parquet(spark, last.paths["series"])
     rollup = tables.series_rollup(series, "time", ["event_type"], "value")
     return rollup.withColumn("avg", money("avg", 6))
 
@@ -237,8 +240,8 @@ def write_mode(spark, sf_dir):
     fs = FeatureSet("orders", ("o_orderkey",), "o_orderdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     targets = [Target("offline", "parquet", f"{base}/offline")]
-    ingest(fs, orders, targets)
-    second = ingest(fs, orders, targets, start="1996-01-01", end="1999-01-01")
+    first = ingest(fs, orders, targets)
+    second = ingest(fs, orders, targets, first, start="1996-01-01", end="1999-01-01")
     third = ingest(fs, orders, targets, second, overwrite=False, start="1999-01-01")
     return files.read_parquet(spark, third.paths["offline"])
 

@@ -71,6 +71,27 @@ def _rows(spark, sf_dir):
     return pred.unpack(good)
 
 
+def _messages(spark, sf_dir):
+    """The events as JSON text: nested bodies, flat ones and single answers, as servers send them."""
+    raw = raw_events(_stream(spark, sf_dir))
+    flat = F.col("request.id").cast("long") % 3
+    one = F.size("request.inputs") == 1
+    inputs = F.when(one & (flat > 0), F.to_json(F.col("request.inputs")[0])).otherwise(F.to_json("request.inputs"))
+    outputs = (
+        F.when(one & (flat == 1), F.col("resp.outputs")[0][0].cast("string"))
+        .when(flat != 0, F.to_json(F.transform("resp.outputs", lambda o: o[0])))
+        .otherwise(F.to_json("resp.outputs"))
+    )
+    rest = F.to_json(F.struct(
+        "function_uri", "model", "version", "class", "when", "microsec", "error", "labels", "metrics",
+    ))
+    body = F.concat(
+        F.lit('{"request":{"id":"'), F.col("request.id"), F.lit('","inputs":'), inputs,
+        F.lit('},"resp":{"id":"'), F.col("request.id"), F.lit('","outputs":'), outputs, F.lit("},"), F.substr(rest, F.lit(2)),
+    )
+    return raw.select(body.alias("body"))
+
+
 @query("stream_endpoint_id", f"{RAW} SELECT endpoint_id, versioned_model, event_id::VARCHAR AS request_id FROM r")
 def stream_endpoint_id(spark, sf_dir):
     stream = _identified(spark, sf_dir).select("endpoint_id", "versioned_model", F.col("request.id").alias("request_id"))
@@ -89,7 +110,10 @@ def stream_error_split(spark, sf_dir):
       f0, k AS f1, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END::DOUBLE AS p0 FROM u""",
 )
 def stream_unpack_predictions(spark, sf_dir):
-    rows = _rows(spark, sf_dir).select(
+    """From JSON text whose inputs and outputs are nested, flat or single values."""
+    events = pred.read_events(_messages(spark, sf_dir), "body")
+    good, _ = pred.split_errors(pred.with_endpoint_id(events))
+    rows = pred.unpack(good).select(
         "endpoint_id", "model", "timestamp", "request_id", "part", "latency",
         F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"), F.col("prediction")[0].alias("p0"),
     )

@@ -97,3 +97,22 @@ def test_a_callers_column_is_never_taken_for_a_feature(spark):
     assert (got["price_orders"], got["price"]) == (-1.0, 10.0)
     with pytest.raises(SpecError):
         offline_features(FeatureVector(("orders.price",)), sets, rows.withColumnRenamed("price_orders", "price"))
+
+
+def test_overwrite_removes_the_former_run(spark):
+    base = fresh_path(spark, "purge")
+    fs = FeatureSet("t", ("k",), "ts")
+    df = spark.createDataFrame([(1, T0)], "k int, ts timestamp")
+    targets = [Target("p", "parquet", f"{base}/p"), Target("l", "latest", f"{base}/l"), Target("s", "series", f"{base}/s")]
+    first = ingest(fs, df, targets)
+    second = ingest(fs, df, targets, first)
+    import os
+
+    assert all(os.listdir(f"{base}/{n}") == [second.run_id] for n in "pls")
+    status = second
+    for day in (2, 3, 4):
+        more = spark.createDataFrame([(day, T0 + dt.timedelta(days=day))], "k int, ts timestamp")
+        status = ingest_increment(fs, more, targets, status, T0 + dt.timedelta(days=10))
+    assert read_latest(spark, status.paths["l"]).count() == 4
+    assert len([f for f in os.listdir(status.paths["l"]) if f.startswith("v=")]) == 2
+    assert spark.read.parquet(status.paths["s"]).count() == 4

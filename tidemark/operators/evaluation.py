@@ -84,6 +84,70 @@ def auc(df: DataFrame, truth: str, score: str, max_rows: int | None = MAX_ROWS)
     return points.agg(F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
+def class_roc_points(
+    df: DataFrame, truth: str, scores: dict, weight: str | None = None, max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """(label, threshold, pos, neg, tp, fp): one class against the rest, for every class.
+
+    ``scores`` maps each label to the column of its score.  Weights default to 1.  Rows shrink
+    to distinct scores per class before anything is ordered.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    cells = F.array(*[
+        F.struct(
+            F.lit(label).alias("label"), F.col(column).cast("double").alias("threshold"),
+            F.when(F.col(truth) == label, w).otherwise(0.0).alias("p"), F.when(F.col(truth) == label, 0.0).otherwise(w).alias("n"),
+        )
+        for label, column in scores.items()
+    ])
+    known = df.where(F.col(truth).isNotNull()).select(F.inline(cells)).where(F.col("threshold").isNotNull())
+    per_score = known.groupBy("label", "threshold").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    down = per_score.withColumn("__down", -F.col("threshold"))
+    sums = {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}
+    return running(down, ["label"], ["__down"], sums, max_rows).drop("__down")
+
+
+def class_roc(
+    df: DataFrame, truth: str, scores: dict, weight: str | None = None, drop_intermediate: bool = False,
+    max_rows: int | None = MAX_ROWS,
+) -> DataFrame:
+    """(label, threshold, fpr, tpr) of every class, each starting at the origin.
+
+    ``drop_intermediate`` leaves out points on a straight line between their neighbours.
+    """
+    points = class_roc_points(df, truth, scores, weight, max_rows)
+    if drop_intermediate:
+        # A point is on a line if the next step goes on in the direction of its own.
+        ahead = running(
+            points.withColumn("__up", F.col("threshold")), ["label"], ["__up"],
+            {"__pos": ("last", F.col("pos")), "__neg": ("last", F.col("neg"))}, max_rows, inclusive=False,
+        )
+        straight = F.col("__pos").isNotNull() & (F.col("pos") * F.col("__neg") == F.col("neg") * F.col("__pos"))
+        points = ahead.where(~straight).drop("__up", "__pos", "__neg")
+    totals = _class_totals(points)
+    rates = points.join(totals, "label").select(
+        "label", "threshold", F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr")
+    )
+    origin = totals.select(
+        "label", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    )
+    return rates.unionByName(origin)
+
+
+def _class_totals(points: DataFrame) -> DataFrame:
+    """(label, p, n): weight of the class and of the rest, the ends of the running sums."""
+    return points.groupBy("label").agg(F.max("tp").alias("p"), F.max("fp").alias("n"))
+
+
+def class_auc(
+    df: DataFrame, truth: str, scores: dict, weight: str | None = None, max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """(label, auc) of every class against the rest."""
+    points = class_roc_points(df, truth, scores, weight, max_rows)
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    return points.groupBy("label").agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
 def calibration(
     df: DataFrame, truth: str, score: str, bins: int = 5, strategy: str = "uniform"
 ) -> DataFrame:

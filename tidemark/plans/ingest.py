@@ -18,7 +18,7 @@ from ..sinks import files, tables
 from ..sources.files import read_parquet
 from ..specs import FeatureSet
 
-_APPENDABLE = {"parquet", "latest"}
+_APPENDABLE = {"parquet", "latest", "series"}
 
 
 @dataclass(frozen=True)
@@ -87,29 +87,52 @@ def _write(df: DataFrame, feature_set: FeatureSet, target: Target, path: str, mo
 
 
 def _write_latest(df: DataFrame, keys: list[str], ts: str, path: str, mode: str) -> None:
-    """Each append writes a new complete version next to the old one."""
+    """Each append writes a new complete version; the one before it is kept for its readers."""
     if mode == "append" and (version := latest_version(df.sparkSession, path)) is not None:
         old = read_parquet(df.sparkSession, f"{path}/v={version}")
         merged = tables.merge_latest(old, df, keys, ts)
         merged.write.parquet(f"{path}/v={version + 1}")
+        drop_versions(df.sparkSession, path, version)
     else:
         tables.merge_latest(None, df, keys, ts).write.mode("overwrite").parquet(f"{path}/v=0")
 
 
-def latest_version(spark, path: str) -> int | None:
-    """Newest finished version folder of a latest table."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _folder(spark, path: str):
+    """(file system, Hadoop path class, path) of a folder."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = kind(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind, folder
+
+
+def _versions(spark, path: str) -> list[int]:
+    fs, kind, folder = _folder(spark, path)
     if not fs.exists(folder):
-        return None
-    found = [
+        return []
+    return [
         int(s.getPath().getName()[2:])
         for s in fs.listStatus(folder)
-        if s.getPath().getName().startswith("v=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        if s.getPath().getName().startswith("v=") and fs.exists(kind(s.getPath(), "_SUCCESS"))
     ]
-    return max(found, default=None)
+
+
+def latest_version(spark, path: str) -> int | None:
+    """Newest finished version folder of a latest table."""
+    return max(_versions(spark, path), default=None)
+
+
+def drop_versions(spark, path: str, below: int) -> None:
+    """Remove the finished versions of a table that are older than ``below``."""
+    fs, kind, folder = _folder(spark, path)
+    for version in _versions(spark, path):
+        if version < below:
+            fs.delete(kind(folder, f"v={version}"), True)
+
+
+def purge_run(spark, target: Target, run_id: str) -> None:
+    """Remove what an earlier run wrote to a target."""
+    fs, _, folder = _folder(spark, f"{target.path}/{run_id}")
+    if fs.exists(folder):
+        fs.delete(folder, True)
 
 
 def read_latest(spark, path: str) -> DataFrame:
@@ -132,7 +155,8 @@ def ingest(
 ) -> IngestStatus:
     """Transform a source and write every target.
 
-    Overwriting starts a new run folder; appending keeps the run and skips an empty frame.
+    Overwriting starts a new run folder and, once it is written, removes that of the
+    ``previous`` run; appending keeps the run and skips an empty frame.
     The first Parquet target is written once and the other targets read it back, so the
     source and the steps run a single time.
     """
@@ -172,6 +196,9 @@ def ingest(
                 status.last_written[target.name] = max(marks)
     if with_stats:
         status.stats = describe_numeric(stage)
+    if overwrite and previous is not None:
+        for target in targets:
+            purge_run(spark, target, previous.run_id)
     return status
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import SpecError
 from ..functions.endpoints import endpoint_id, versioned_model
 from ..functions.names import metric_names_column
 from ..functions.time import duration_interval, duration_seconds, parse_mixed_ts
@@ -20,11 +21,48 @@ EVENT_SCHEMA = (
     "labels map<string, string>, metrics map<string, double>"
 )
 
+# The same with inputs and outputs as they came: nested, flat or a single value.
+_RAW_SCHEMA = EVENT_SCHEMA.replace("inputs: array<array<double>>", "inputs: string").replace(
+    "outputs: array<array<double>>", "outputs: string"
+)
+
 # Live aggregates: default windows and slide.
 WINDOWS = ("5m", "1h")
 PERIOD = "5m"
 
 
+def _nested(text: Column, rows: Column | None = None) -> Column:
+    """JSON values as a list of lists: nested as they are, flat or single ones wrapped.
+
+    A flat list is one entry, or one entry per input if there are as many (``rows``).
+    """
+    flat = F.from_json(text, "array<double>")
+    each = F.transform(flat, lambda x: F.array(x))
+    wrapped = F.array(flat) if rows is None else F.when(F.size(flat) == rows, each).otherwise(F.array(flat))
+    single = F.array(F.array(text.try_cast("double")))
+    return (
+        F.when(text.rlike(r"^\s*\[\s*\["), F.from_json(text, "array<array<double>>"))
+        .when(text.rlike(r"^\s*\["), wrapped)
+        .when(single[0][0].isNotNull(), single)
+    )
+
+
+def read_events(messages: DataFrame, body: str) -> DataFrame:
+    """Prediction events from JSON text, with inputs and outputs in any of the accepted forms.
+
+    A model may answer a list of lists, one list of values (one per input, or one answer of
+    several values) or a single value; inputs may be one flat list.  Unreadable ones are null,
+    which ``missing_field`` reports.
+    """
+    event = F.from_json(F.col(body), _RAW_SCHEMA)
+    rows = messages.select(event.alias("e")).select("e.*")
+    inputs = _nested(F.col("request.inputs"))
+    return rows.withColumn("request", F.struct(F.col("request.id").alias("id"), inputs.alias("inputs"))).withColumn(
+        "resp",
+        F.struct(F.col("resp.id").alias("id"), _nested(F.col("resp.outputs"), F.size("request.inputs")).alias("outputs")),
+    )
+
+
 def with_endpoint_id(events: DataFrame) -> DataFrame:
     """Add ``endpoint_id`` and ``versioned_model``; rows without either source drop out."""
     uri, model, version = F.col("function_uri"), F.col("model"), F.col("version")
@@ -138,16 +176,26 @@ def live_aggregates(
 ) -> DataFrame:
     """Prediction count and mean latency per endpoint and sliding window.
 
-    With ``lateness`` a watermark is set, which a streaming query needs to emit and forget
-    windows; rows later than that are dropped by the engine.
+    Events are first added up per slide, once each; the windows are merged from those sums, so
+    an event is one row of state however many windows it is in.  With ``lateness`` a watermark
+    is set, which a streaming query needs to emit and forget windows; rows later than that are
+    dropped by the engine.
     """
     if lateness:
         rows = rows.withWatermark("timestamp", duration_interval(lateness))
-    span = F.window("timestamp", duration_interval(window), duration_interval(slide))
+    if duration_seconds(window) % duration_seconds(slide):
+        raise SpecError("the slide must divide the window")
+    parts = rows.groupBy("endpoint_id", F.window("timestamp", duration_interval(slide)).alias("part")).agg(
+        F.count("latency").alias("n"), F.sum("latency").alias("total")
+    )
+    span = F.window("part", duration_interval(window), duration_interval(slide))
     return (
-        rows.groupBy("endpoint_id", span.alias("w"))
-        .agg(F.count("latency").alias(f"predictions_count_{window}"), F.avg("latency").alias(f"latency_avg_{window}"))
-        .select("endpoint_id", F.col("w.end").alias("timestamp"), f"predictions_count_{window}", f"latency_avg_{window}")
+        parts.groupBy("endpoint_id", span.alias("w"))
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        .select(
+            "endpoint_id", F.col("w.end").alias("timestamp"), F.col("n").alias(f"predictions_count_{window}"),
+            F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias(f"latency_avg_{window}"),
+        )
     )
 
 

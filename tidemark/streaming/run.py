@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import latest_per_key
-from ..plans.ingest import latest_version
+from ..plans.ingest import drop_versions, latest_version
 from ..session import fresh_path
 from ..sources.files import read_parquet
 
@@ -37,23 +37,31 @@ def start_parquet(
     return writer.start()
 
 
-def drain(stream: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Run a stream over everything available and return the written table."""
+def drain(
+    stream: DataFrame, purpose: str, partition_by: list[str] | None = None, base: str | None = None
+) -> DataFrame:
+    """Run a stream over everything available and return the written table.
+
+    With the ``base`` folder of an earlier run it goes on from that run's checkpoint.
+    """
     spark = stream.sparkSession
-    base = fresh_path(spark, purpose)
+    base = base or fresh_path(spark, purpose)
     start_parquet(stream, f"{base}/out", f"{base}/checkpoint", partition_by).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def drain_table(
-    stream: DataFrame, purpose: str, mode: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]
+    stream: DataFrame, purpose: str, mode: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+    base: str | None = None,
 ) -> DataFrame:
     """Fold every micro-batch into a table: ``merge(current, batch)`` gives the next version.
 
-    A version folder is named after its batch, so a repeated batch overwrites itself.
+    A version folder is named after its batch, so a repeated batch overwrites itself; the two
+    newest versions are kept.  With the ``base`` folder of an earlier run it goes on from that
+    run's table and checkpoint.
     """
     spark = stream.sparkSession
-    base = fresh_path(spark, purpose)
+    base = base or fresh_path(spark, purpose)
     table = f"{base}/table"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -61,6 +69,7 @@ def drain_table(
         before = _version_before(session, table, batch_id)
         current = None if before is None else read_parquet(session, f"{table}/v={before}")
         merge(current, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        drop_versions(session, table, batch_id - 1)
 
     query = (
         stream.writeStream.outputMode(mode)
