@@ -332,6 +332,15 @@ def limit_preview(spark, sf_dir):
     return stats.preview(table(spark, sf_dir, "orders"), 20, max_columns=3, order=["o_orderkey"])
 
 
+@query(
+    "sample_by_hash",
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ('0x' || substr(md5('s|' || l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT < (0.1 * 4294967296)::BIGINT",
+)
+def sample_by_hash(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return stats.sample_by_hash(lines, ["l_orderkey", "l_linenumber"], 0.1, "s")
+
+
 @query("sample_rows")
 def sample_rows(spark, sf_dir):
     return stats.sample_rows(table(spark, sf_dir, "lineitem"), 0.1, seed=42)

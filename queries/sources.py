@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import static_store_key
+from tidemark.functions.time import duration_micros
 from tidemark.plans.ingest import Target, ingest, ingest_increment, read_latest
 from tidemark.session import fresh_path
 from tidemark.sinks import external as sink_options
@@ -73,12 +74,32 @@ def src_stream(spark, sf_dir):
     return run.drain(stream, "src-stream")
 
 
-@query("src_custom", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+@query(
+    "src_custom",
+    """WITH span AS (SELECT epoch_us(min(ts)) // 3600000000 AS a, epoch_us(max(ts)) // 3600000000 AS b FROM events),
+      hours AS (SELECT unnest(range(a, b + 1)) AS h FROM span)
+    SELECT make_timestamp(h * 3600000000) AS window_start, make_timestamp((h + 1) * 3600000000) AS window_end, count(event_id) AS n
+    FROM hours LEFT JOIN events ON epoch_us(ts) // 3600000000 = h GROUP BY h""",
+)
 def src_custom(spark, sf_dir):
-    return custom.read_custom(
-        spark, custom.RowGroupSource, "o_orderkey long, o_totalprice double, o_orderpriority string",
-        paths=f"{sf_dir}/orders.parquet",
-    )
+    """Events per hour of a calendar, empty hours included."""
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    hours = custom.read_custom(spark, custom.Calendar, start=first, end=last, step="1h", windows_per_partition=200)
+    counted = events.groupBy(F.date_trunc("hour", "ts").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.join(counted, "window_start", "left").select("window_start", "window_end", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    "duration",
+    "SELECT event_type, make_timestamp(epoch_us(ts) // 5400000000 * 5400000000) AS window_start, count(*) AS n FROM events GROUP BY ALL",
+)
+def duration(spark, sf_dir):
+    """Windows of a length given as text."""
+    micros = duration_micros("90m")
+    at = F.unix_micros("ts")
+    start = F.timestamp_micros(at - F.pmod(at, F.lit(micros)))
+    return table(spark, sf_dir, "events").groupBy("event_type", start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

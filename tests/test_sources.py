@@ -85,10 +85,14 @@ def test_kafka_bodies(spark):
     assert sorted((r["a"] for r in got), key=str) == [1, None]
 
 
-def test_custom_source_reads_folders(spark, hours):
-    path = sink_files.write_parquet(hours.repartition(3), fresh_path(spark, "p"))
-    got = custom.read_custom(spark, custom.RowGroupSource, "id int, k string", paths=path)
-    assert got.rdd.getNumPartitions() == 3 and got.exceptAll(hours.select("id", "k")).count() == 0
+def test_custom_source(spark):
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = custom.read_custom(spark, custom.Calendar, start=start + 70, end=start + 3600, step="1m", windows_per_partition=7)
+    rows = got.orderBy("window_start").collect()
+    assert len(rows) == 60 and got.rdd.getNumPartitions() == 9
+    assert all(r["window_end"] - r["window_start"] == dt.timedelta(minutes=1) for r in rows)
+    one = custom.read_custom(spark, custom.Calendar, start=start, end=start, step="1h").collect()
+    assert len(one) == 1
 
 
 def test_targets_and_special_columns(spark):

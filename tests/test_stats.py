@@ -78,3 +78,28 @@ def test_constant_and_empty_column(spark):
     assert sum(r["n"] for r in hist) == 2 and min(r["lo"] for r in hist) == 1.5
     got = {r["column"]: r for r in stats.describe_numeric(df).collect()}
     assert got["e"]["count"] == 0 and got["c"]["p50"] == 2.0
+
+
+def test_ties_end_the_search(spark, monkeypatch):
+    """A heavy tie next to the wanted rank, and a column of few values."""
+    jobs = []
+    plain = stats._narrow
+    monkeypatch.setattr(stats, "_narrow", lambda *a: jobs.append(1) or plain(*a))
+    df = spark.range(50_000).selectExpr("CAST(CASE WHEN id % 2 = 0 THEN 0.5 ELSE id / 50000.0 END AS double) AS x", "CAST(id % 50 AS double) AS few")
+    probabilities = [0.25, 0.5, 0.74, 0.76]
+    exprs = {n: stats.as_number(df, n) for n in ("x", "few")}
+    got = stats.exact_quantiles(df, exprs, probabilities, limit=500)
+    assert len(jobs) <= 3
+    pdf = df.toPandas()
+    for n in exprs:
+        assert got[n] == pytest.approx(list(np.quantile(pdf[n], probabilities)), rel=1e-9)
+    jobs.clear()
+    stats.exact_quantiles(df, {"few": exprs["few"]}, probabilities, limit=500)
+    assert not jobs
+
+
+def test_hash_sample_is_stable(spark):
+    df = spark.range(10_000)
+    first = {r[0] for r in stats.sample_by_hash(df, ["id"], 0.2, "a").collect()}
+    assert first == {r[0] for r in stats.sample_by_hash(df.repartition(7), ["id"], 0.2, "a").collect()}
+    assert 1800 < len(first) < 2200 and stats.sample_by_hash(df, ["id"], 0.0).count() == 0

@@ -58,35 +58,36 @@ def exact_quantiles(
     """Exact interpolated quantiles without ordering a whole column in one task.
 
     Each round brackets every wanted rank around an approximate quantile and counts exactly
-    what lies below and inside, until a confirmed bracket holds at most ``limit`` values.
-    Those are then ordered exactly.  A round is one job over all columns.  ``base`` gives
-    (count, min, max) per column if they are known already.
+    what lies below and inside, until a confirmed bracket holds at most ``limit`` different
+    values.  Those are then ordered exactly, each with its number, so ties take no room: a
+    column of few values needs no round at all.  A round is one job over all columns.  ``base``
+    gives (count, min, max, estimated different values) per column if they are known already.
     """
     values = df.select(*[c.alias(n) for n, c in columns.items()])
     if base is None:
         row = values.agg(
             *[
-                F.struct(F.count(c), F.min(c), F.max(c)).alias(f"b{i}")
+                F.struct(F.count(c), F.min(c), F.max(c), F.approx_count_distinct(c)).alias(f"b{i}")
                 for i, c in enumerate(F.col(f"`{n}`") for n in columns)
             ]
         ).first()
         base = {n: tuple(row[f"b{i}"]) for i, n in enumerate(columns)}
     found: dict[tuple[str, int], float | None] = {}
-    # (column, probability index) -> (low, high, values below low, values inside, rank)
+    # (column, probability index) -> (low, high, values below low, values inside, rank,
+    # different values inside)
     open_: dict[tuple[str, int], tuple] = {}
     for name in columns:
-        n, lo, hi = base[name]
+        n, lo, hi, different = base[name]
         for j, p in enumerate(probabilities):
             if n == 0 or lo == hi:
                 found[name, j] = lo
             else:
-                open_[name, j] = (lo, hi, 0, n, p * (n - 1))
-    for attempt in range(10):
-        wide = {k: v for k, v in open_.items() if v[3] > limit}
-        if not wide:
-            break
+                open_[name, j] = (lo, hi, 0, n, p * (n - 1), _most(different, n))
+    attempt = 0
+    while wide := {k: v for k, v in open_.items() if v[5] > limit}:
         open_ |= _narrow(values, wide, found, attempt)
         open_ = {k: v for k, v in open_.items() if k not in found}
+        attempt += 1
     if open_:
         groups = _by_bracket(open_)
         aggs = []
@@ -99,6 +100,11 @@ def exact_quantiles(
     return {n: [found[n, j] for j in range(len(probabilities))] for n in columns}
 
 
+def _most(different: int, inside: int) -> int:
+    """Bound of the different values behind an estimate of them (five standard errors)."""
+    return min(inside, math.ceil(different * 1.25) + 1)
+
+
 def _inside(name: str, lo, hi) -> Column:
     column = F.col(f"`{name}`")
     return F.when(column.between(lo, hi), column)
@@ -106,7 +112,7 @@ def _inside(name: str, lo, hi) -> Column:
 
 def _share(bracket: tuple) -> float:
     """Wanted rank as a share of the values inside the bracket."""
-    _, _, below, inside, rank = bracket
+    _, _, below, inside, rank, _ = bracket
     return 0.0 if inside == 1 else min(max((rank - below) / (inside - 1), 0.0), 1.0)
 
 
@@ -143,6 +149,9 @@ def _narrow(values: DataFrame, brackets: dict, found: dict, seed: int) -> dict:
         column = F.col(f"`{name}`")
         counts.append(F.count_if(column < lo).alias(f"b{i}"))
         counts.append(F.count_if(column.between(lo, hi)).alias(f"c{i}"))
+        counts.append(F.approx_count_distinct(_inside(name, lo, hi)).alias(f"d{i}"))
+        counts.append(F.count_if(column == lo).alias(f"l{i}"))
+        counts.append(F.count_if(column == hi).alias(f"h{i}"))
     if not counts:
         return brackets
     counted = values.agg(*counts).first()
@@ -150,12 +159,16 @@ def _narrow(values: DataFrame, brackets: dict, found: dict, seed: int) -> dict:
     for i, (key, (lo, hi)) in enumerate(guess.items()):
         old, below, inside = brackets[key], counted[f"b{i}"], counted[f"c{i}"]
         rank = old[4]
+        low_end, high_begin = below + counted[f"l{i}"], below + inside - counted[f"h{i}"]
         if not (below <= math.floor(rank) and math.ceil(rank) < below + inside):
             narrowed[key] = old
-        elif lo == hi:
+        elif math.ceil(rank) < low_end:
+            # The rank lies in the ties of an edge.
             found[key] = lo
+        elif math.floor(rank) >= high_begin:
+            found[key] = hi
         else:
-            narrowed[key] = (lo, hi, below, inside, rank)
+            narrowed[key] = (lo, hi, below, inside, rank, _most(counted[f"d{i}"], inside))
     return narrowed
 
 
@@ -196,6 +209,7 @@ def describe_numeric(
                 F.stddev_samp(c).alias("std"),
                 F.min(c).alias("min"),
                 F.max(c).alias("max"),
+                *([] if approximate else [F.approx_count_distinct(c).alias("different")]),
             ).alias(f"s{i}")
         )
         if approximate:
@@ -220,7 +234,7 @@ def describe_numeric(
 
 def _describe_exact(df: DataFrame, exprs: dict[str, Column], row) -> DataFrame:
     """Statistics table from the collected aggregates, one row per column."""
-    base = {n: (row[f"s{i}"]["count"], row[f"s{i}"]["min"], row[f"s{i}"]["max"]) for i, n in enumerate(exprs)}
+    base = {n: tuple(row[f"s{i}"][f] for f in ("count", "min", "max", "different")) for i, n in enumerate(exprs)}
     quantiles = exact_quantiles(df, exprs, list(_PERCENTILES.values()), base=base)
     rows = []
     for i, name in enumerate(exprs):
@@ -487,6 +501,14 @@ def preview(df: DataFrame, rows: int = 20, max_columns: int | None = None, order
     return (df.orderBy(*order) if order else df).limit(rows)
 
 
+def sample_by_hash(df: DataFrame, keys: list[str], fraction: float, seed: str = "") -> DataFrame:
+    """Rows whose hashed keys fall into the fraction: the same rows in every run and table."""
+    if not 0 <= fraction <= 1:
+        raise SpecError("fraction must lie in [0, 1]")
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.where(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(fraction * 2**32))
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return df.sample(fraction=fraction, seed=seed)
 
