@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import flag_out_of_order
+from tidemark.session import fresh_path
 from tidemark.sources.files import stream_files
 from tidemark.streaming import predictions as pred
 from tidemark.streaming import run, stateful
@@ -21,6 +22,25 @@ def _stream(spark, sf_dir):
     return stream_files(spark, f"{sf_dir}/events.parquet*", schema_of(spark, sf_dir, "events"))
 
 
+#: Arrival of the events in three parts of time; every tenth event comes a part late.
+ARRIVAL = """SELECT *, least(2, (epoch_us(ts) - lo) * 3 // (hi - lo + 1) + (event_id % 10 = 0)::INT) AS part
+    FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)"""
+
+
+def _arrivals(spark, sf_dir, go):
+    """``go(stream, base)`` after each part has arrived; every run goes on from the last one's checkpoint."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    on_time = F.floor((F.unix_micros("ts") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    part = F.least(F.lit(2), on_time + (F.col("event_id") % 10 == 0).cast("int"))
+    base = fresh_path(spark, "arrivals")
+    out = None
+    for i in range(3):
+        events.where(part == i).write.mode("append").parquet(f"{base}/in")
+        out = go(stream_files(spark, f"{base}/in", events.schema), f"{base}/run")
+    return out
+
+
 def raw_events(events):
     """Prediction events as a model server would push them."""
     k = F.from_json("props", "k double")["k"]
@@ -217,11 +237,16 @@ STATE_SQL = "SELECT user_id, count(*) AS events, count(*) AS newest, (count(*) *
 
 
 def _with_state(spark, sf_dir):
-    stream = _stream(spark, sf_dir).select("user_id", "event_id")
-    out = stateful.map_with_state(
-        stream, ["user_id"], _totals, "user_id long, event_id long, seen long", "seen long", (0,)
-    )
-    written = run.drain(out, "state")
+    """State is carried over three runs."""
+
+    def go(stream, base):
+        out = stateful.map_with_state(
+            stream.select("user_id", "event_id"), ["user_id"], _totals,
+            "user_id long, event_id long, seen long", "seen long", (0,),
+        )
+        return run.drain(out, "state", base=base)
+
+    written = _arrivals(spark, sf_dir, go)
     return written.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"), F.max("seen").alias("newest"), F.sum("seen").alias("check_sum")
     )
@@ -235,21 +260,31 @@ def stream_map_with_state(spark, sf_dir):
 @query("udf_stateful", "SELECT user_id, ceil(count(*) / 10)::BIGINT AS kept FROM events GROUP BY 1")
 def udf_stateful(spark, sf_dir):
     """Every tenth row per key, counted by state in arrival order."""
-    stream = _stream(spark, sf_dir).select("user_id", "event_id")
-    kept = run.drain(stateful.sample_every(stream, ["user_id"], 10), "sampled")
+
+
+    def go(stream, base):
+        return run.drain(stateful.sample_every(stream.select("user_id", "event_id"), ["user_id"], 10), "sampled", base=base)
+
+    kept = _arrivals(spark, sf_dir, go)
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query(
     "stream_window_late",
-    f"""SELECT event_type, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS window_start, {end_sql('ts', 3600)} AS window_end,
-      count(*) AS n, round(sum(value), 2) AS total FROM events
-    WHERE {end_sql('ts', 3600)} <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)
+    f"""WITH a AS ({ARRIVAL}), marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part) - INTERVAL 30 MINUTE AS mark FROM a GROUP BY part),
+      kept AS (SELECT a.* FROM a LEFT JOIN marks m ON m.part = a.part - 1 WHERE m.mark IS NULL OR {end_sql('ts', 3600)} > m.mark)
+    SELECT event_type, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS window_start, {end_sql('ts', 3600)} AS window_end,
+      count(*) AS n, round(sum(value), 2) AS total FROM kept
+    WHERE {end_sql('ts', 3600)} <= (SELECT max(mark) FROM marks)
     GROUP BY event_type, epoch_us(ts) // 3600000000, {end_sql('ts', 3600)}""",
 )
 def stream_window_late(spark, sf_dir):
-    windows = stateful.late_windows(_stream(spark, sf_dir), ["event_type"], "ts", "1h", None, "30m", "value")
-    return run.drain(windows, "late").withColumn("total", money("total"))
+    """Three runs; events that come after their window was closed are dropped."""
+
+    def go(stream, base):
+        return run.drain(stateful.late_windows(stream, ["event_type"], "ts", "1h", None, "30m", "value"), "late", base=base)
+
+    return _arrivals(spark, sf_dir, go).withColumn("total", money("total"))
 
 
 @query(
@@ -258,8 +293,12 @@ def stream_window_late(spark, sf_dir):
 )
 def stream_latest(spark, sf_dir):
     """Streaming form of the key-value target: every batch is merged into the latest table."""
-    stream = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")
-    return run.drain_table(stream, "latest", "append", run.keep_latest(["user_id"], "ts"))
+
+    def go(stream, base):
+        rows = stream.select("user_id", "event_id", "event_type", "ts")
+        return run.drain_table(rows, "latest", "append", run.keep_latest(["user_id"], "ts"), base=base)
+
+    return _arrivals(spark, sf_dir, go)
 
 
 @query("stream_merge_by_key", "SELECT user_id, count(*) // 4 AS merged FROM events GROUP BY 1 HAVING count(*) >= 4")
