@@ -190,3 +190,23 @@ def test_hot_keys_are_cut_by_rows(spark, times):
     got = ordered.running(df, ["k"], ["ts", "id"], {"n": ("count", F.lit(1)), "f": ("first", F.col("id"))}, max_rows=200)
     want = ordered.running(df, ["k"], ["ts", "id"], {"n": ("count", F.lit(1)), "f": ("first", F.col("id"))}, max_rows=None)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_windows_of_far_steps_share_no_fine_merge(events):
+    rows, df = events
+    agg = [Aggregation("v", ("count", "sum", "max", "last", "stddev"), "1m"), Aggregation("v", ("count", "sum", "max", "last", "stddev"), ("12h", "1d"), "6h")]
+    out = aggregate_windows(df, ["k"], "ts", agg).collect()
+    for label, seconds, step in (("1m", 60, 60), ("12h", 43200, 21600), ("1d", 86400, 21600)):
+        want = {}
+        for i, k, ts, v in rows:
+            at = int(ts.replace(tzinfo=dt.timezone.utc).timestamp())
+            first = at // step * step + step
+            for end in range(first, first + seconds - step + 1, step):
+                want.setdefault((k, end), []).append((ts, i, v))
+        part = {(r["k"], int(r["ts"].replace(tzinfo=dt.timezone.utc).timestamp())): r for r in out if r["ts_window"] == label}
+        assert part.keys() == want.keys()
+        for key, values in want.items():
+            row = part[key]
+            assert row[f"v_count_{label}"] == len([v for *_, v in values if v is not None])
+            assert row[f"v_sum_{label}"] == pytest.approx(sum(v for *_, v in values if v is not None))
+            assert row[f"v_max_{label}"] == max(v for *_, v in values)

@@ -68,7 +68,8 @@ def aggregate_windows(
 
     With ``carry_last`` every other column carries its last value in the window.  Windows
     of different sizes are stacked; a row has only its own window's aggregates.  All
-    windows come from one scan: buckets of the common step, then one merge per window.
+    windows come from one scan: buckets of the common step are merged once to the buckets of
+    each step, and a window from those, so a long window next to a short one merges few.
     """
     _check(df, keys, ts, aggregations)
     specs = [(a, w) for a in aggregations for w in a.windows]
@@ -90,7 +91,7 @@ def aggregate_windows(
     if len(windows) == 1 and duration_seconds(windows[0][0]) * 1_000_000 == bucket:
         merged = partials.withColumns({"__end": F.col(_B) + bucket, "__w": F.lit(0)})
     else:
-        merged = _merge_windows(partials, keys, windows, fields, others)
+        merged = _merge_windows(partials, keys, windows, bucket, fields, others)
     outputs = []
     for agg, window in specs:
         own = F.col("__w") == windows.index((window, agg.step(window)))
@@ -107,19 +108,8 @@ def aggregate_windows(
     )
 
 
-def _merge_windows(partials, keys, windows, fields, others):
-    """Partials of every window from the partials of its buckets."""
-
-    def tagged(ends: Column, number: int) -> Column:
-        return F.transform(ends, lambda e: F.struct(F.lit(number).alias("__w"), e.alias("__end")))
-
-    memberships = []
-    for i, (window, step) in enumerate(windows):
-        size, step = duration_seconds(window) * 1_000_000, step * 1_000_000
-        first = F.col(_B) - F.pmod(F.col(_B), F.lit(step)) + step
-        ends = F.sequence(first, first + (size - step), F.lit(step)) if size > step else F.array(first)
-        memberships.append(tagged(ends, i))
-    exploded = partials.select("*", F.inline(F.concat(*memberships)))
+def _merged(rows: DataFrame, group: list, fields: dict, others: list[str]) -> DataFrame:
+    """Partials of a group from the partials of its parts."""
     aggs, built = [], {}
     for c, f in fields.items():
         columns, struct = merge_aggs(F.col(f"__p_{c}"), f, f"__m_{c}")
@@ -127,7 +117,32 @@ def _merge_windows(partials, keys, windows, fields, others):
         built[f"__p_{c}"] = struct
     if others:
         aggs.append(F.max_by("__rest", F.col("__rest.o")).alias("__rest"))
-    return exploded.groupBy(*keys, "__w", "__end").agg(*aggs).withColumns(built)
+    return rows.groupBy(*group).agg(*aggs).withColumns(built)
+
+
+def _merge_windows(partials, keys, windows, bucket, fields, others):
+    """Partials of every window from the partials of its buckets, step by step."""
+    kept = [*keys, "__w", "__end", *[f"__p_{c}" for c in fields], *(["__rest"] if others else [])]
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for i, (window, step) in enumerate(windows):
+        steps.setdefault(step * 1_000_000, []).append((i, duration_seconds(window) * 1_000_000))
+    out = None
+    for step, sizes in steps.items():
+        coarse = partials
+        if step != bucket:
+            own = (F.col(_B) - F.pmod(F.col(_B), F.lit(step))).alias(_B)
+            coarse = _merged(partials, [*keys, own], fields, others)
+        for i, size in sizes:
+            first = F.col(_B) + step
+            if size == step:
+                part = coarse.withColumns({"__w": F.lit(i), "__end": first})
+            else:
+                ends = F.sequence(first, first + (size - step), F.lit(step))
+                spread = coarse.withColumn("__w", F.lit(i)).withColumn("__end", F.explode(ends))
+                part = _merged(spread, [*keys, "__w", "__end"], fields, others)
+            part = part.select(*kept)
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def aggregate_every_event(
