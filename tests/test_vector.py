@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from tidemark.errors import SpecError
-from tidemark.plans.ingest import Target, check_targets, ingest, ingest_increment, read_latest
+from tidemark.plans.ingest import Target, check_targets, ingest, ingest_increment, preview_ingest, read_latest
 from tidemark.plans.vector import offline_features
 from tidemark.session import fresh_path
 from tidemark.specs import FeatureSet, FeatureVector, JoinGraph
@@ -116,3 +116,13 @@ def test_overwrite_removes_the_former_run(spark):
     assert read_latest(spark, status.paths["l"]).count() == 4
     assert len([f for f in os.listdir(status.paths["l"]) if f.startswith("v=")]) == 2
     assert spark.read.parquet(status.paths["s"]).count() == 4
+
+
+def test_preview_writes_nothing_and_is_bounded(spark):
+    df = spark.range(5000).selectExpr("id AS k", "timestamp_seconds(id) AS ts", "id * 2 AS v")
+    fs = FeatureSet("t", ("k",), "ts", steps=(lambda d: d.withColumn("w", d.v + 1),))
+    rows, status = preview_ingest(fs, df, rows=100)
+    assert rows.count() == 100 and status.stats is None and [c["name"] for c in status.schema] == ["k", "ts", "v", "w"]
+    rows, status = preview_ingest(fs, df, rows=100, with_stats=True)
+    assert rows.count() == 5000 and {r["column"]: r["count"] for r in status.stats.collect()}["w"] == 5000
+    assert 400 < preview_ingest(fs, df, sample=0.1)[0].count() < 600

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 from ..functions.names import normalize_columns
 from ..operators.filters import time_range
-from ..operators.stats import describe_numeric, infer_schema
+from ..operators.stats import describe_numeric, infer_schema, sample_by_hash
 from ..session import cut
 from ..sinks import files, tables
 from ..sources.files import read_parquet
@@ -202,6 +202,30 @@ def ingest(
     return status
 
 
+def preview_ingest(
+    feature_set: FeatureSet, source: DataFrame, rows: int = 1000, start=None, end=None, with_stats: bool = False,
+    sample: float | None = None, now=None,
+) -> tuple[DataFrame, IngestStatus]:
+    """What an ingest would write, without writing: (transformed rows, schema and statistics).
+
+    Only the first ``rows`` of the source are transformed, unless statistics are wanted, which
+    need all of them; ``sample`` transforms a share of the rows instead, chosen by entity hash.
+    """
+    ts = feature_set.timestamp_key
+    if start is not None or end is not None:
+        source = time_range(source, ts, start, end, now)
+    if sample is not None:
+        source = sample_by_hash(source, list(feature_set.entities), sample)
+    elif not with_stats:
+        source = source.limit(rows)
+    df = normalize_columns(feature_set.transform(source))
+    feature_set.check_special_columns(df.columns)
+    status = IngestStatus("preview", schema=infer_schema(df, list(feature_set.entities), ts))
+    if with_stats:
+        status.stats = describe_numeric(df)
+    return df, status
+
+
 def ingest_increment(
     feature_set: FeatureSet,
     source: DataFrame,
