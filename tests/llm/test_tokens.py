@@ -43,6 +43,7 @@ def test_units_encode_like_the_whole_text(library, units):
         want = library.encode(text, add_special_tokens=False).ids
         assert [i for ids in units.encode(parts) for i in ids] == want
         assert [i for ids in units.encode(small) for i in ids] == want
+        assert np.frombuffer(b"".join(units.packed(small, "<u2")), "<u2").tolist() == want
 
 
 def test_pieces_decode_like_the_library(library):

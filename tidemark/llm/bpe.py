@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from .batches import release, returning, small_batches
 from .words import Units, gather, one_thread, pack_numbers, pieces, read_tokenizer, unpack_numbers
 
 # A chunk ends after so many characters of text, a row of it after so many numbers.
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 12 << 20
 ROW_WORDS = 1 << 18
 # The id-to-piece table is sent to every task; this bounds it.
 MAX_VOCABULARY = 1 << 20
@@ -56,16 +58,19 @@ def _chunk_rows(spec: str, buckets: int):
 
     def flush(chunk: int, units: Units, seen: dict, docs: list) -> Iterator[pd.DataFrame]:
         words: dict[str, int] = {}
-        of_unit = [[words.setdefault(w, len(words)) for w in units.words(u)] for u in seen]
-        sizes = np.fromiter(map(len, of_unit), "int64", len(of_unit))
-        flat = np.fromiter((w for u in of_unit for w in u), "int64", int(sizes.sum()))
+        numbers, counts = array("q"), array("q")
+        for unit in seen:
+            parts = units.words(unit)
+            counts.append(len(parts))
+            numbers.extend([words.setdefault(w, len(words)) for w in parts])
+        sizes, flat = np.array(counts, "int64"), np.array(numbers, "int64")
         begins = np.cumsum(sizes) - sizes
         uses = np.zeros(len(seen), "int64")
         for _, codes in docs:
             np.add.at(uses, codes, 1)
-        counts = np.bincount(flat, np.repeat(uses, sizes), len(words))
+        frequency = np.bincount(flat, np.repeat(uses, sizes), len(words))
         # Numbers by frequency are small and compress well.
-        order = np.argsort(-counts, kind="stable")
+        order = np.argsort(-frequency, kind="stable")
         rank = np.empty(len(order), "int64")
         rank[order] = np.arange(len(order))
         flat = rank[flat]
@@ -119,8 +124,7 @@ def _encode_words(spec: str, width: str):
                     bucket, known = row.no, {}
                 words, numbers = _unpack_words(row.payload)
                 new = [w for w in words if w not in known]
-                for word, ids in zip(new, units.encode(new)):
-                    known[word] = np.array(ids, width).tobytes()
+                known.update(zip(new, units.packed(new, width)))
                 packed = [known[w] for w in words]
                 sizes = pack_numbers(np.fromiter(map(len, packed), "int64", len(packed)))
                 head = np.array([len(numbers), len(sizes)], "<u8").tobytes()
@@ -149,6 +153,7 @@ def _assemble(width: str, piece_table: list[tuple[int, bytes]]):
     """Task function of one chunk: its documents with their ids and decoded texts."""
 
     def run(docs: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
+        release()
         # The id-to-piece table by id, to be joined by position.
         piece_size = np.zeros(piece_table[-1][0] + 1, "int64")
         for i, piece in piece_table:
@@ -180,6 +185,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     spec = read_tokenizer(tokenizer)
     piece_table = pieces(spec)
     if len(piece_table) > MAX_VOCABULARY:
@@ -189,12 +195,12 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     name = f"bpe_chunks_{uuid.uuid4().hex}"
     (
-        texts.mapInPandas(_chunk_rows(spec, buckets), _CHUNKS).write.partitionBy("kind").bucketBy(buckets, "chunk")
+        texts.mapInPandas(returning(_chunk_rows(spec, buckets)), _CHUNKS).write.partitionBy("kind").bucketBy(buckets, "chunk")
         .option("path", fresh_path(spark, "bpe-chunks")).option("compression", "none").saveAsTable(name)
     )
     chunks = spark.table(name)
     words = chunks.where("kind = 0").select("chunk", "no", "payload").repartition("no").sortWithinPartitions("no")
-    encoded = words.mapInPandas(_encode_words(spec, width), "chunk long, encoded binary")
+    encoded = words.mapInPandas(returning(_encode_words(spec, width)), "chunk long, encoded binary")
     coded = chunks.where("kind = 1").select("chunk", "ids", "sizes", "payload")
     return coded.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(
         _assemble(width, piece_table), "doc_id long, ids binary, n_tokens long, decoded string"

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import release, small_batches
 from .training import Adam, fold, sample
 
 WINDOW = 256
@@ -204,12 +205,15 @@ def fit(docs: DataFrame, holdout: int | None = 2, parts: int = 4) -> dict:
 def detected(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its probability; only the text is an input."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for texts in batches:
             names, scores = scorer.score(texts.tolist())
             yield pd.DataFrame({"lang": names, "score": scores})
+        release()
 
     found = docs.withColumn("__lang", predict(F.col("text").cast("string")))
     return found.withColumns({lang: F.col("__lang.lang"), score: F.col("__lang.score")}).drop("__lang")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import release, small_batches
 from .training import Adam, fold, sample
 
 PASSAGE = 384
@@ -181,6 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: int | None = 1, parts: int
 def scored(docs: DataFrame, model: dict | float, out: str = "quality_score") -> DataFrame:
     """``docs`` with the probability of label 1; only the text is an input."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -188,6 +191,7 @@ def scored(docs: DataFrame, model: dict | float, out: str = "quality_score") ->
                 yield pd.Series(np.full(len(texts), model))
             else:
                 yield pd.Series(probabilities(model, texts.tolist()))
+        release()
 
     return docs.withColumn(out, predict(F.col("text").cast("string")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .batches import returning, small_batches
 from .components import components, forest
 
 BITS = 64
@@ -53,8 +54,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             marks = np.array([fingerprint(t, shingle) for t in pdf["text"]], "uint64").view("int64")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": marks})
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, fingerprint long")
+    return texts.mapInPandas(returning(run), "doc_id long, fingerprint long")
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -162,7 +164,7 @@ def links(marks: DataFrame, max_bits: int = 2) -> DataFrame:
     ])
     rows = marks.select("fingerprint", F.explode(blocks).alias("x")).select("x.block_no", "x.block", "fingerprint")
     dealt = rows.repartition("block_no", "block").sortWithinPartitions("block_no", "block", "fingerprint")
-    return dealt.mapInPandas(_links(masks, max_bits), "a long, b long")
+    return dealt.mapInPandas(returning(_links(masks, max_bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:

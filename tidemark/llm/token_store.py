@@ -17,14 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import returning, small_batches
 from .prefix import before
 from .range_coder import read_block, write_block
 from .words import Units, one_thread, pack_numbers, read_tokenizer, unpack_numbers
 
 # A block closes with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 22
-# Distinct units a task remembers before it starts over.
-MEMORY_UNITS = 400_000
+# Distinct units, and words, that a task remembers before it starts over.
+MEMORY_UNITS = 1_000_000
 BLOCKS = "part int, at long, n_docs long, n_ids long, block binary"
 
 
@@ -51,7 +52,7 @@ def _write(spec: str, end_id: int, block_ids: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
-        units, memory = Units(spec), {}
+        units, memory, words = Units(spec), {}, {}
         part, at = TaskContext.get().partitionId(), 0
         names, counts, held, size = [], [], [], 0
 
@@ -63,11 +64,15 @@ def _write(spec: str, end_id: int, block_ids: int):
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"]):
                 mine = units.split(text or "")
-                new = [u for u in dict.fromkeys(mine) if u not in memory]
+                new = {u: units.words(u) for u in set(mine).difference(memory)}
                 if len(memory) + len(new) > MEMORY_UNITS:
-                    memory, new = {}, list(dict.fromkeys(mine))
-                for unit, ids in zip(new, units.encode(new)):
-                    memory[unit] = np.array(ids, "<u4").tobytes()
+                    memory, words = {}, {}
+                    new = {u: units.words(u) for u in set(mine)}
+                # Units differ in punctuation; fewer words are left to encode.
+                unknown = list({w for parts in new.values() for w in parts}.difference(words))
+                words.update(zip(unknown, units.packed(unknown, "<u4")))
+                for unit, parts in new.items():
+                    memory[unit] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
                 packed = b"".join([*map(memory.__getitem__, mine), end_id.to_bytes(4, "little")])
                 names.append(None if pd.isna(doc_id) else int(doc_id))
                 counts.append(len(packed) // 4)
@@ -92,6 +97,7 @@ def write_tokens(
     come first, rows that repeat an id in an order by text hash; null and empty texts hold the
     end id only; an empty table writes no block.
     """
+    small_batches(docs.sparkSession)
     spec = read_tokenizer(tokenizer)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -99,7 +105,7 @@ def write_tokens(
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("__hash")]
     dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = dealt.select("doc_id", "text").mapInPandas(_write(spec, end_id, block_ids), BLOCKS)
+    blocks = dealt.select("doc_id", "text").mapInPandas(returning(_write(spec, end_id, block_ids)), BLOCKS)
     blocks.write.option("compression", "none").parquet(path)
 
 
@@ -129,7 +135,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     })
 
     found = blocks.select("part", "at", "block").mapInPandas(
-        decode, "part int, doc_id long, at long, n_tokens long, ids binary"
+        returning(decode), "part int, doc_id long, at long, n_tokens long, ids binary"
     )
     # One row per file part, as many as the write had tasks.
     return found.join(F.broadcast(starts), F.col("part") == F.col("__part")).select(
