@@ -111,7 +111,8 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: str =
         "source_no", F.col("key").alias("cut_key"),
         F.floor((F.col("rest") - begin) / F.col("same")).cast("long").alias("cut_words"),
     )
-    return rows, sources.join(at, "source_no", "left")
+    # Written once: its size is known, so documents meet it without moving where it is small.
+    return rows, cut(sources.join(at, "source_no", "left"), "mix-cuts")
 
 
 def _decided(rows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint): words are runs without ASCII white space, A-Z lower-cased.
+    """(doc_id, text_hash, fingerprint): words are runs without ASCII white space, A-Z lower-cased.
 
     Fewer words than a shingle are one shingle; no word, or a null text, gives 0.
     """
@@ -52,11 +52,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             marks = np.array([fingerprint(t, shingle) for t in pdf["text"]], "uint64").view("int64")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": marks})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "fingerprint": marks})
 
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(returning(run), "doc_id long, fingerprint long")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return texts.mapInPandas(returning(run), "doc_id long, text_hash long, fingerprint long")
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -168,11 +169,12 @@ def links(marks: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document.
+    """(doc_id, text_hash, fingerprint, component_id) of every document.
 
     Documents link if their fingerprints differ in ``max_bits`` bits at most; component_id is
     the smallest doc_id that links reach.  Only doc_id and text are read.  Equal fingerprints
-    are merged before anything is compared, so copies cost nothing.  Null and empty texts have
+    are merged before anything is compared, so copies cost nothing.  ``text_hash`` (xxhash64)
+    tells apart rows that repeat an id.  Null and empty texts have
     fingerprint 0 and link like any other; null ids never become a component id (a component
     of null ids only has a null one); repeated rows are kept; empty tables give empty ones.
     """
@@ -185,4 +187,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     final = distinct.join(moved, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "least").alias("component_id")
     )
-    return marked.join(final, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return marked.join(final, "fingerprint", "left").select("doc_id", "text_hash", "fingerprint", "component_id")

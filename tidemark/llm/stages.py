@@ -41,21 +41,22 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
-    Rows that repeat an id within a group count as copies; one of them stays.  Rows without an
-    id stay only in groups that have no id at all.
+    Rows that repeat both id and text are copies; one of them stays.  Rows without an id stay
+    only in groups that have no id at all.
     """
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    kept = cut(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("__id")).agg((F.count("*") > 1).alias("__again")),
-        "kept",
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    alone = docs.join(kept.where("not __again"), same, "left_semi")
-    if kept.where("__again").limit(1).count() == 0:
-        return alone
-    again = docs.join(kept.where("__again"), same, "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(again)
+    found = cut(simhash.near_duplicates(docs, shingle=3, max_bits=2), "near-duplicates")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    row = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    # Fewer rows go than stay, so the rows that go are looked up.
+    gone = cut(found.where(~stays).select(*row).distinct(), "gone")
+    again = cut(found.where(stays).groupBy(*row).count().where("count > 1").drop("count"), "again")
+    text = F.col("text").cast("string")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
