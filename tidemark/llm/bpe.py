@@ -27,7 +27,7 @@ from .batches import release, returning, small_batches
 from .words import Units, gather, one_thread, pack_numbers, pieces, read_tokenizer, unpack_numbers
 
 # A chunk ends after so many characters of text, a row of it after so many numbers.
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 8 << 20
 ROW_WORDS = 1 << 18
 # The id-to-piece table is sent to every task; this bounds it.
 MAX_VOCABULARY = 1 << 20
@@ -149,17 +149,22 @@ def _table(encoded: pd.Series, width: str) -> tuple[np.ndarray, np.ndarray, np.n
     return np.frombuffer(b"".join(ids), width), begin_of, size_of
 
 
-def _assemble(width: str, piece_table: list[tuple[int, bytes]]):
+def _by_id(piece_table: list[tuple[int, bytes]]) -> tuple[np.ndarray, bytes]:
+    """The id-to-piece table by id: bytes per id, and the bytes of all ids."""
+    sizes = np.zeros(piece_table[-1][0] + 1, "int64")
+    for i, piece in piece_table:
+        sizes[i] = len(piece)
+    return sizes, b"".join(p for _, p in piece_table)
+
+
+def _assemble(width: str, piece_size: np.ndarray, piece_bytes: bytes):
     """Task function of one chunk: its documents with their ids and decoded texts."""
 
     def run(docs: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
         release()
-        # The id-to-piece table by id, to be joined by position.
-        piece_size = np.zeros(piece_table[-1][0] + 1, "int64")
-        for i, piece in piece_table:
-            piece_size[i] = len(piece)
+        # Ids meet the id-to-piece table by position.
         piece_begin = np.cumsum(piece_size) - piece_size
-        piece_bytes = np.frombuffer(b"".join(p for _, p in piece_table), "uint8")
+        letters = np.frombuffer(piece_bytes, "uint8")
         ids, begins, sizes = _table(encoded["encoded"], width)
         unpack = zstandard.ZstdDecompressor()
         out = []
@@ -168,7 +173,7 @@ def _assemble(width: str, piece_table: list[tuple[int, bytes]]):
             ends = np.cumsum(np.asarray(row.sizes, "int64"))
             for doc_id, begin, end in zip(row.ids, ends - np.asarray(row.sizes), ends):
                 mine = gather(ids, begins, sizes, codes[begin:end])
-                text = gather(piece_bytes, piece_begin, piece_size, mine).tobytes().decode("utf-8", "replace")
+                text = gather(letters, piece_begin, piece_size, mine).tobytes().decode("utf-8", "replace")
                 out.append((None if pd.isna(doc_id) else int(doc_id), mine.astype("<u4").tobytes(), len(mine), text))
         return pd.DataFrame(out, columns=["doc_id", "ids", "n_tokens", "decoded"]).astype({"doc_id": "Int64"})
 
@@ -203,5 +208,5 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     encoded = words.mapInPandas(returning(_encode_words(spec, width)), "chunk long, encoded binary")
     coded = chunks.where("kind = 1").select("chunk", "ids", "sizes", "payload")
     return coded.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(
-        _assemble(width, piece_table), "doc_id long, ids binary, n_tokens long, decoded string"
+        _assemble(width, *_by_id(piece_table)), "doc_id long, ids binary, n_tokens long, decoded string"
     )

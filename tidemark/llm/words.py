@@ -58,7 +58,7 @@ class Units:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec_text)
-        added = [t["content"] for t in json.loads(spec_text).get("added_tokens", [])]
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         longest = sorted(added, key=len, reverse=True)
         self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         self._letters = byte_alphabet()
