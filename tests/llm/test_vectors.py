@@ -128,3 +128,23 @@ def test_recall_when_trees_prune(spark, monkeypatch):
     have = {(r["query_id"], r["vec_id"]) for r in found.collect()}
     want = {(q, i) for q, ids in exact(rows, 20, lambda q: q % 20 == 0).items() for i in ids}
     assert len(have) == len(want) and len(have & want) / len(want) >= 0.9
+
+
+def answers(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
+def test_many_copies_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 128)
+    vectors = clustered(160)
+    # Copies under ids in no order, and near copies that 8 bits do not tell apart.
+    ids = np.random.default_rng(5).permutation(6000)
+    rows = [(int(i), list(map(float, vectors[0])), None, 1, 2, "c", 3) for i in ids[:4000]]
+    close = (vectors[1] + np.random.default_rng(6).normal(0, 1e-5, (300, 64))).astype("float32")
+    rows += [(int(i), list(map(float, v)), None, 1, 2, "c", 3) for i, v in zip(ids[4000:], [*close, *vectors[2:]])]
+    asks = {int(i) for i in [*ids[:5], *ids[4000:4010], *ids[4290:4320], ids[:4000].min()]}
+    found = hash_forest.search(spark.createDataFrame(rows, SCHEMA).repartition(6), F.col("vec_id").isin(asks), k=20)
+    assert answers(found) == exact(rows, 20, lambda q: q in asks)

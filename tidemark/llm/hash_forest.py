@@ -47,8 +47,11 @@ def _hashes(vectors: np.ndarray, trees: int, symbols: int, seed: int) -> Iterato
         yield tree, [row.tobytes().hex() for row in codes]
 
 
-def _strings(trees: int, symbols: int, seed: int, packed: bool):
-    """Task function: one row per vector and tree; ``packed`` adds the vector in 8 bits."""
+def _strings(trees: int, symbols: int, seed: int, kind: str):
+    """Task function: one row per vector and tree, with the vector as numbers of type ``kind``.
+
+    The numbers are multiples of ``scale``; ``off`` is the length of what they leave out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -56,51 +59,70 @@ def _strings(trees: int, symbols: int, seed: int, packed: bool):
             for _, same in pdf.groupby(lengths.to_numpy()):
                 plain = matrix(same["embedding"])
                 ids = same["vec_id"].to_numpy("int64")
-                extra = {}
-                if packed:
-                    scale = np.abs(plain).max(axis=1) / 127
-                    small = np.rint(plain / scale[:, None]).astype("int8")
-                    extra = {"scale": scale, "packed": [v.tobytes() for v in small]}
+                scale = np.abs(plain).max(axis=1) / 127
+                small = plain / scale[:, None]
+                small = (np.rint(small) if kind == "int8" else small).astype(kind)
+                off = np.linalg.norm(plain - small * scale[:, None], axis=1)
+                packed = [v.tobytes() for v in small]
                 for tree, codes in _hashes(plain, trees, symbols, seed):
                     # Vectors of another length are another forest.
-                    yield pd.DataFrame({"vec_id": ids, "tree": plain.shape[1] * 4096 + tree, "code": codes, **extra})
+                    yield pd.DataFrame({
+                        "vec_id": ids, "tree": plain.shape[1] * 4096 + tree, "code": codes, "scale": scale, "off": off, "packed": packed,
+                    })
 
     return run
 
 
-def _scan(keep: int):
+def _keep(query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Places of the pairs that can be among the best ``k`` of their query.
+
+    A pair goes only if ``k`` pairs of its query have a lower bound above its upper one.
+    """
+    order = np.lexsort((-low, query))
+    of = query[order]
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    sizes = np.diff(np.append(begin, len(of)))
+    least = np.where(sizes >= k, low[order][np.minimum(begin + k, len(of)) - 1], -np.inf)
+    return order[high[order] >= np.repeat(least, sizes)]
+
+
+def _scan(k: int):
     """Task function over (block, slice, kind): rows of a block first, then its queries."""
 
     def score(rows: list[pd.DataFrame], asks: pd.DataFrame) -> pd.DataFrame | None:
         index = pd.concat(rows)
-        small = np.frombuffer(b"".join(index["packed"]), "int8").reshape(len(index), -1)
-        values = small.astype("float32") * index["scale"].to_numpy("float32")[:, None]
-        queries = np.stack([np.frombuffer(v, "int8") for v in asks["packed"]]).astype("float32")
-        queries *= asks["scale"].to_numpy("float32")[:, None]
-        if queries.shape[1] != values.shape[1]:
+        small = np.frombuffer(b"".join(index["packed"]), "int8").reshape(len(index), -1).astype("float32")
+        queries = np.stack([np.frombuffer(v, "float32") for v in asks["packed"]])
+        dims = queries.shape[1]
+        if dims != small.shape[1]:
             # Two forests can meet in a block; their ranges never do.
             return None
-        scores = queries @ values.T
         at = index["low"].to_numpy("int64")[None, :]
         ids = index["id"].to_numpy("int64")
         mine = asks["id"].to_numpy("int64")
-        off = (at < asks["low"].to_numpy("int64")[:, None]) | (at >= asks["high"].to_numpy("int64")[:, None])
-        scores[off | (mine[:, None] == ids[None, :])] = -np.inf
-        k = min(keep, scores.shape[1])
-        best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        value = np.take_along_axis(scores, best, 1)
-        q, c = np.nonzero(np.isfinite(value))
-        return pd.DataFrame({"query_id": mine[q], "vec_id": ids[best[q, c]], "near": value[q, c].astype("float64")})
+        inside = (at >= asks["low"].to_numpy("int64")[:, None]) & (at < asks["high"].to_numpy("int64")[:, None])
+        inside &= mine[:, None] != ids[None, :]
+        scale, off = index["scale"].to_numpy("float64"), index["off"].to_numpy("float64")
+        q_scale, q_off = asks["scale"].to_numpy("float64"), asks["off"].to_numpy("float64")
+        length = np.linalg.norm(small, axis=1) * scale
+        q_length = np.linalg.norm(queries, axis=1) * q_scale
+        # Rounding of sums in single precision.
+        slack = dims * 1.2e-7
+        near = (queries @ small.T).astype("float64")
+        near *= q_scale[:, None]
+        near *= scale[None, :]
+        error = np.outer(q_off, length + off) + np.outer(q_length, off + slack * length)
+        low = np.where(inside, near - error, -np.inf)
+        least = np.full(len(mine), -np.inf)
+        if low.shape[1] > k:
+            least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
+        q, c = np.nonzero(inside & (near + error >= least[:, None]))
+        return pd.DataFrame({"query_id": mine[q], "vec_id": ids[c], "low": low[q, c], "high": near[q, c] + error[q, c]})
 
     def merge(found: list[pd.DataFrame]) -> pd.DataFrame:
-        """The best of each query over the blocks of this task, every pair once."""
+        """What can be among the best of each query over the blocks of this task, every pair once."""
         both = pd.concat(found, ignore_index=True).drop_duplicates(["query_id", "vec_id"])
-        query, near = both["query_id"].to_numpy(), both["near"].to_numpy()
-        order = np.lexsort((-near, query))
-        new = np.append(True, query[order][1:] != query[order][:-1])
-        begin = np.flatnonzero(new)
-        nth = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
-        return both.iloc[order[nth < keep]]
+        return both.iloc[_keep(both["query_id"].to_numpy(), both["low"].to_numpy(), both["high"].to_numpy(), k)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -128,7 +150,7 @@ def _scan(keep: int):
                 asks = part[~of_index]
                 # Queries of one length at a time.
                 for _, same in asks.groupby(asks["packed"].map(len).to_numpy()) if len(asks) else ():
-                    for _, kin in _of_length(rows, len(same["packed"].iloc[0])):
+                    for _, kin in _of_length(rows, len(same["packed"].iloc[0]) // 4):
                         found = score(kin, same)
                         if found is not None and len(found):
                             yield found
@@ -148,6 +170,18 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def _classes(plain: DataFrame, k: int) -> DataFrame:
+    """Equal vectors as one row: the smallest id, whether any of them asks, the ``k`` + 1 smallest ids.
+
+    Only so many rows of a vector leave a task, however often it occurs.
+    """
+    first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    few = plain.select("vec_id", "embedding").withColumn("__at", first).where(F.col("__at") <= k + 1)
+    ids = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asks = plain.groupBy("embedding").agg(F.max("asks").alias("asks"))
+    return ids.join(asks, "embedding").select(F.col("ids")[0].alias("vec_id"), "embedding", "asks", "ids")
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, symbols: int = SYMBOLS,
     min_candidates: int = MIN_CANDIDATES, seed: int = SEED,
@@ -159,8 +193,10 @@ def search(
     part; rows that repeat an id are one vector (the smallest).  Equal scores go to the smaller
     id.  Vectors are compared with those of their own length only.  No queries, no rows.
 
-    Candidates are scored on 8-bit copies, block by block of the sorted arrays; the best three
-    times ``k`` are scored again on the original vectors.
+    Equal vectors are one candidate and one query; their ids come back at the end.  
+    Candidates are scored on 8-bit copies, block by block of
+    the sorted arrays; all that the error of the copies leaves possible are scored again on the
+    original vectors.
     """
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     plain = cut(
@@ -168,10 +204,9 @@ def search(
         .groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks")),
         "forest-vectors",
     )
-    strings = "vec_id long, tree int, code string"
-    sorted_rows = plain.select("vec_id", "embedding").mapInPandas(
-        _strings(trees, symbols, seed, True), strings + ", scale double, packed binary"
-    )
+    classes = cut(_classes(plain, k), "forest-classes")
+    strings = "vec_id long, tree int, code string, scale double, off double, packed binary"
+    sorted_rows = classes.select("vec_id", "embedding").mapInPandas(_strings(trees, symbols, seed, "int8"), strings)
     index = cut(numbered(sorted_rows, ["tree", "code", "vec_id"], "at"), "forest")
     levels = F.explode(F.sequence(F.lit(0), F.lit(symbols)))
     prefix = F.expr("substring(code, 1, 2 * level)")
@@ -180,7 +215,7 @@ def search(
         index.select("tree", "code", "at").withColumn("level", levels).withColumn("prefix", prefix)
         .groupBy("tree", "level", "prefix").agg(F.min("at").alias("low"), F.count("*").alias("n"))
     )
-    asked = plain.where("asks").select("vec_id", "embedding").mapInPandas(_strings(trees, symbols, seed, True), strings + ", scale double, packed binary")
+    asked = classes.where("asks").select("vec_id", "embedding").mapInPandas(_strings(trees, symbols, seed, "float32"), strings)
     asked = cut(asked, "forest-queries")
     steps = asked.select("vec_id", "tree", "code").withColumn("level", levels).withColumn("prefix", prefix)
     found = cut(steps.join(ranges, ["tree", "level", "prefix"]).select("vec_id", "tree", "level", "low", "n"), "forest-ranges")
@@ -191,27 +226,40 @@ def search(
     ends = F.col("low") + F.col("n")
     blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK_ROWS), F.floor((ends - 1) / BLOCK_ROWS)))
     probes = root.join(stop, ["vec_id", "level"]).withColumn("high", ends).withColumn("block", blocks)
-    whole = asked.where(F.col("tree") % 4096 == 0).select("vec_id", "scale", "packed")
+    whole = asked.where(F.col("tree") % 4096 == 0).select("vec_id", "scale", "off", "packed")
     probes = cut(probes.select("vec_id", "block", "low", "high").join(whole, "vec_id"), "forest-probes")
     # A block that many queries reach is copied to as many tasks as they need.
     load = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("slices"))
+    vector = ["scale", "off", "packed"]
     rows = (
         index.withColumn("block", F.floor(F.col("at") / BLOCK_ROWS)).join(load, "block")
         .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-        .select("block", "slice", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("at").alias("low"), F.col("at").alias("high"), "scale", "packed")
+        .select("block", "slice", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("at").alias("low"), F.col("at").alias("high"), *vector)
     )
     asks = probes.join(load, "block").select(
         "block", F.pmod(F.xxhash64("vec_id", "low"), F.col("slices")).alias("slice"), F.lit(1).alias("kind"),
-        F.col("vec_id").alias("id"), "low", "high", "scale", "packed",
+        F.col("vec_id").alias("id"), "low", "high", *vector,
     )
     dealt = rows.union(asks).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "low")
-    near = dealt.mapInPandas(_scan(k + max(4, k // 5)), "query_id long, vec_id long, near double")
-    once = near.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
-    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id"))
-    short = once.withColumn("__at", first).where(F.col("__at") <= 3 * k).select("query_id", "vec_id")
-    left = plain.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
-    scored = short.join(left, "query_id").join(plain.select("vec_id", "embedding"), "vec_id").select(
-        "query_id", "vec_id", inner_product(F.col("__q"), F.col("embedding")).alias("score")
-    )
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = dealt.mapInPandas(_scan(k), "query_id long, vec_id long, low double, high double")
+    once = near.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    of_query = W.partitionBy("query_id")
+    nth = once.withColumn("__at", F.row_number().over(of_query.orderBy(F.col("low").desc())))
+    bound = F.max(F.when(F.col("__at") == k, F.col("low"))).over(of_query)
+    short = nth.withColumn("__least", bound).where(F.col("__least").isNull() | (F.col("high") >= F.col("__least"))).select("query_id", "vec_id")
+    left = classes.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
+    score = inner_product(F.col("__q"), F.col("embedding")).alias("score")
+    others = short.join(left, "query_id").join(classes.select("vec_id", "embedding", "ids"), "vec_id").select("query_id", "vec_id", "ids", score)
+    best = F.row_number().over(of_query.orderBy(F.col("score").desc(), "vec_id"))
+    others = others.withColumn("__at", best).where(F.col("__at") <= k).select("query_id", "ids", "score")
+    # The equals of a query are candidates too.
+    equals = classes.where("asks").select(F.col("vec_id").alias("query_id"), "ids", inner_product(F.col("embedding"), F.col("embedding")).alias("score"))
+    # Per class one id more than asked for: a query is not its own neighbour.
+    each = others.union(equals).select("query_id", "score", F.explode("ids").alias("id"))
+    ranked = each.withColumn("__at", F.row_number().over(of_query.orderBy(F.col("score").desc(), "id"))).where(F.col("__at") <= k + 1)
+    lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("__at", "id", "score"))).alias("list"))
+    answers = left.join(lists, "query_id").select(F.col("__q").alias("embedding"), "list")
+    mine = plain.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").join(answers, "embedding")
+    rest = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, k)
+    ranks = mine.select("query_id", F.posexplode(rest).alias("__no", "__hit"))
+    return ranks.select("query_id", (F.col("__no") + 1).alias("rank"), F.col("__hit.id").alias("vec_id"), F.col("__hit.score").alias("score"))
