@@ -148,3 +148,28 @@ def test_many_copies_over_blocks(spark, monkeypatch):
     asks = {int(i) for i in [*ids[:5], *ids[4000:4010], *ids[4290:4320], ids[:4000].min()]}
     found = hash_forest.search(spark.createDataFrame(rows, SCHEMA).repartition(6), F.col("vec_id").isin(asks), k=20)
     assert answers(found) == exact(rows, 20, lambda q: q in asks)
+
+
+@pytest.mark.parametrize("n", [4000, 30_000])
+def test_goal_grows_with_the_table(n):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, 64)) + rng.standard_normal((10, 64))[rng.integers(10, size=n)] * 0.5
+    symbols, k, picks = hash_forest.symbols_for(n, 40), 20, rng.choice(n, 80, replace=False)
+    scores = (u := x / np.linalg.norm(x, axis=1, keepdims=True))[picks] @ u.T
+    scores[np.arange(80), picks] = -9
+    true = np.argpartition(-scores, k, axis=1)[:, :k]
+    sums, depth = np.zeros((80, symbols + 1)), np.zeros((80, n), "int64")
+    sums[:, 0] = n
+    for codes in hash_forest._codes(x, 40, symbols, 11):
+        same = np.stack([np.cumprod(codes == codes[q], axis=1).sum(axis=1) for q in picks])
+        sums[:, 1:] += [[(row >= level).sum() for level in range(1, symbols + 1)] for row in same]
+        depth = np.maximum(depth, same)
+    met = np.take_along_axis(depth, true, 1)
+    # The goal of half of the queries holds for the other half.
+    goal = hash_forest.goal_for(sums[:40], np.repeat(np.arange(40), k), met[:40].ravel(), 0.96, 100)
+    level = hash_forest.levels_for(sums[40:], goal)
+    assert (met[40:] >= level[:, None]).mean() >= 0.93
+    assert goal > 0.1 * n and (met[40:] >= hash_forest.levels_for(sums[40:], 5120 * n / 1e6)[:, None]).mean() < 0.9
+    # Steps are fine: a level holds no less than a third of the one above it.
+    mean = sums.mean(axis=0)
+    assert (mean[1:4] > mean[:3] / 3).all()

@@ -1,13 +1,16 @@
 """Approximate nearest neighbours (operator 10): a forest of sorted hash strings.
 
-Every tree gives a vector a long string of symbols; a symbol names the random direction, with
-its sign, that the vector is closest to.  Sorted by string, the vectors that share a prefix with
-a query are one range.  A query descends to the longest prefix it finds, then all trees ascend
-together, symbol by symbol, until their ranges hold enough candidates; those are scored.
+Every tree gives a vector a string of symbols: the first names the random direction, with its
+sign, that the vector is closest to; each later one is the side of a random plane.  Sorted by
+string, the vectors that share a prefix with a query are one range.  A query descends to the
+longest prefix it finds, then all trees ascend together, symbol by symbol, until their ranges
+hold enough candidates; those are scored.  How many are enough is measured on every table: on a
+sample of its queries, against brute force.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,14 @@ from .prefix import numbered
 from .vectors import matrix, unit, usable
 
 TREES = 40
-SYMBOLS = 4
 DIRECTIONS = 64
-# Candidates, counted over all trees, below which the trees ascend further.
+# Candidates, counted over all trees, below which the trees ascend further on any table.
 MIN_CANDIDATES = 5120
+# Share of the true neighbours of the sampled queries that the ranges must hold.
+RECALL = 0.96
+SAMPLE_QUERIES = 96
+# Symbols beyond those at which evenly spread rows reach MIN_CANDIDATES, for dense places.
+MORE_SYMBOLS = 5
 # Rows of a sorted array that are scored together, and queries sent to one copy of them.
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
@@ -33,18 +40,32 @@ HELD_ROWS = 1_000_000
 SEED = 11
 
 
-def _hashes(vectors: np.ndarray, trees: int, symbols: int, seed: int) -> Iterator[tuple[int, list[str]]]:
-    """Per tree the hash strings, two hex digits a symbol."""
+def symbols_for(rows: int, trees: int) -> int:
+    """Length of the strings: each symbol after the first halves the ranges."""
+    halvings = math.ceil(math.log2(max(1, rows * trees / (2 * DIRECTIONS * MIN_CANDIDATES))))
+    return 1 + MORE_SYMBOLS + halvings
+
+
+def _codes(vectors: np.ndarray, trees: int, symbols: int, seed: int) -> Iterator[np.ndarray]:
+    """Per tree one row of symbols a vector."""
     units = unit(vectors)
     dims = units.shape[1]
     for tree in range(trees):
         rng = np.random.default_rng([seed, tree, dims])
         codes = np.empty((len(units), symbols), "uint8")
-        for s in range(symbols):
-            shadow = units @ rng.standard_normal((dims, DIRECTIONS))
-            at = np.abs(shadow).argmax(axis=1)
-            codes[:, s] = 2 * at + (shadow[np.arange(len(at)), at] < 0)
-        yield tree, [row.tobytes().hex() for row in codes]
+        shadow = units @ rng.standard_normal((dims, DIRECTIONS))
+        at = np.abs(shadow).argmax(axis=1)
+        codes[:, 0] = 2 * at + (shadow[np.arange(len(at)), at] < 0)
+        codes[:, 1:] = units @ rng.standard_normal((dims, symbols - 1)) < 0
+        yield codes
+
+
+def _text(codes: np.ndarray) -> list[str]:
+    """Symbols as strings: two hex digits for the first one, a digit for each other."""
+    digits = np.frombuffer(b"0123456789abcdef", "uint8")
+    out = np.empty((len(codes), codes.shape[1] + 1), "uint8")
+    out[:, 0], out[:, 1], out[:, 2:] = digits[codes[:, 0] >> 4], digits[codes[:, 0] & 15], digits[codes[:, 1:]]
+    return [row.tobytes().decode() for row in out]
 
 
 def _strings(trees: int, symbols: int, seed: int, kind: str):
@@ -64,15 +85,106 @@ def _strings(trees: int, symbols: int, seed: int, kind: str):
                 small = (np.rint(small) if kind == "int8" else small).astype(kind)
                 off = np.linalg.norm(plain - small * scale[:, None], axis=1)
                 packed = [v.tobytes() for v in small]
-                for tree, codes in _hashes(plain, trees, symbols, seed):
+                for tree, codes in enumerate(_codes(plain, trees, symbols, seed)):
                     # Vectors of another length are another forest.
                     yield pd.DataFrame({
-                        "vec_id": ids, "tree": plain.shape[1] * 4096 + tree, "code": codes, "scale": scale, "off": off, "packed": packed,
+                        "vec_id": ids, "tree": plain.shape[1] * 4096 + tree, "code": _text(codes), "scale": scale, "off": off, "packed": packed,
                     })
 
     return run
 
 
+def _depths(queries: np.ndarray, others: np.ndarray, trees: int, symbols: int, seed: int) -> np.ndarray:
+    """Level at which the search from a query meets the vector in the same row."""
+    deepest = np.zeros(len(queries), "int64")
+    for a, b in zip(_codes(queries, trees, symbols, seed), _codes(others, trees, symbols, seed)):
+        deepest = np.maximum(deepest, np.cumprod(a == b, axis=1).sum(axis=1))
+    return deepest
+
+
+def levels_for(sums: np.ndarray, goal: float) -> np.ndarray:
+    """Level at which each query stops: the deepest whose ranges hold ``goal`` rows in all.
+
+    ``sums`` has a row a query and a column a level; level 0 is the whole table once.  Ranges
+    that hold as many rows as the table are no better than the table.
+    """
+    enough = sums >= goal
+    enough[:, 0] = True
+    level = sums.shape[1] - 1 - enough[:, ::-1].argmax(axis=1)
+    return np.where(sums[np.arange(len(sums)), level] >= sums[:, 0], 0, level)
+
+
+def goal_for(sums: np.ndarray, owner: np.ndarray, depth: np.ndarray, recall: float, least: float) -> float:
+    """The smallest goal with which the queries meet the share ``recall`` of their neighbours.
+
+    ``owner`` and ``depth`` have an entry a true neighbour: its query and its level.
+    """
+    if not len(owner):
+        return least
+    goals = np.unique(np.append(sums[:, 1:][sums[:, 1:] > least], [least, sums.max() + 1]))
+    low, high = 0, len(goals) - 1
+    # The greatest goal scans everything; a greater goal never meets fewer.
+    while low < high:
+        middle = (low + high) // 2
+        if (depth >= levels_for(sums, goals[middle])[owner]).mean() >= recall:
+            high = middle
+        else:
+            low = middle + 1
+    return float(goals[low])
+
+
+def _nearest(ids: list[int], vectors: list, k: int):
+    """Task function: the best ``k`` of every batch for each of a few queries, by brute force."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for length, same in pdf.groupby(pdf["embedding"].map(len).to_numpy()):
+                kin = [i for i, v in enumerate(vectors) if len(v) == length]
+                if not kin:
+                    continue
+                mine = np.asarray(ids)[kin]
+                scores = np.asarray([vectors[i] for i in kin], "float64") @ matrix(same["embedding"]).T
+                scores[mine[:, None] == same["vec_id"].to_numpy("int64")[None, :]] = -np.inf
+                n = min(k, scores.shape[1])
+                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                value = np.take_along_axis(scores, best, 1)
+                q, c = np.nonzero(np.isfinite(value))
+                yield pd.DataFrame({
+                    "query_id": mine[q], "vec_id": same["vec_id"].to_numpy("int64")[best[q, c]], "score": value[q, c],
+                    "embedding": list(same["embedding"].to_numpy()[best[q, c]]),
+                })
+
+    return run
+
+
+def _measured_goal(classes: DataFrame, found: DataFrame, k: int, trees: int, symbols: int, least: int, seed: int) -> float:
+    """Candidates a query needs on this table, from a sample of its queries and brute force."""
+    sample = classes.where("asks").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE_QUERIES)
+    asked = {r["vec_id"]: r["embedding"] for r in sample.select("vec_id", "embedding").collect()}
+    if not asked:
+        return least
+    kind = classes.schema["embedding"].dataType.simpleString()
+    each = classes.select("vec_id", "embedding").mapInPandas(
+        _nearest(list(asked), list(asked.values()), k), f"query_id long, vec_id long, score double, embedding {kind}"
+    )
+    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    true = each.withColumn("__at", first).where(F.col("__at") <= k).select("query_id", "embedding").collect()
+    number = {q: i for i, q in enumerate(asked)}
+    sums = np.zeros((len(asked), symbols + 1))
+    held = found.where(F.col("vec_id").isin(list(asked))).groupBy("vec_id", "level").agg(F.sum("n").alias("n"))
+    for r in held.collect():
+        sums[number[r["vec_id"]], r["level"]] = r["n"]
+    owner = np.array([number[r["query_id"]] for r in true], "int64")
+    depth = np.zeros(len(true), "int64")
+    lengths = np.array([len(r["embedding"]) for r in true])
+    for length in set(lengths.tolist()):
+        at = np.flatnonzero(lengths == length)
+        queries = np.asarray([asked[true[i]["query_id"]] for i in at], "float64")
+        others = np.asarray([true[i]["embedding"] for i in at], "float64")
+        depth[at] = _depths(queries, others, trees, symbols, seed)
+    return goal_for(sums, owner, depth, RECALL, least)
+
+
 def _keep(query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     """Places of the pairs that can be among the best ``k`` of their query.
 
@@ -183,7 +295,7 @@ def _classes(plain: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, symbols: int = SYMBOLS,
+    vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, symbols: int | None = None,
     min_candidates: int = MIN_CANDIDATES, seed: int = SEED,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found by largest inner product.
@@ -193,8 +305,9 @@ def search(
     part; rows that repeat an id are one vector (the smallest).  Equal scores go to the smaller
     id.  Vectors are compared with those of their own length only.  No queries, no rows.
 
-    Equal vectors are one candidate and one query; their ids come back at the end.  
-    Candidates are scored on 8-bit copies, block by block of
+    Equal vectors are one candidate and one query; their ids come back at the end.  Trees ascend
+    to at least ``min_candidates`` candidates, and to as many as a sample of the queries needs to
+    meet RECALL of its true neighbours.  Candidates are scored on 8-bit copies, block by block of
     the sorted arrays; all that the error of the copies leaves possible are scored again on the
     original vectors.
     """
@@ -205,11 +318,12 @@ def search(
         "forest-vectors",
     )
     classes = cut(_classes(plain, k), "forest-classes")
+    symbols = symbols or symbols_for(classes.count(), trees)
     strings = "vec_id long, tree int, code string, scale double, off double, packed binary"
     sorted_rows = classes.select("vec_id", "embedding").mapInPandas(_strings(trees, symbols, seed, "int8"), strings)
     index = cut(numbered(sorted_rows, ["tree", "code", "vec_id"], "at"), "forest")
     levels = F.explode(F.sequence(F.lit(0), F.lit(symbols)))
-    prefix = F.expr("substring(code, 1, 2 * level)")
+    prefix = F.expr("substring(code, 1, if(level = 0, 0, level + 1))")
     # Every prefix is one range of the sorted array: where it begins and how long it is.
     ranges = (
         index.select("tree", "code", "at").withColumn("level", levels).withColumn("prefix", prefix)
@@ -221,8 +335,13 @@ def search(
     found = cut(steps.join(ranges, ["tree", "level", "prefix"]).select("vec_id", "tree", "level", "low", "n"), "forest-ranges")
     # At the root one tree holds everything.
     root = found.where((F.col("level") > 0) | (F.col("tree") % 4096 == 0))
-    enough = root.groupBy("vec_id", "level").agg(F.sum("n").alias("n")).where((F.col("n") >= min_candidates) | (F.col("level") == 0))
-    stop = enough.groupBy("vec_id").agg(F.max("level").alias("level"))
+    goal = _measured_goal(classes, root, k, trees, symbols, min_candidates, seed)
+    sums = root.groupBy("vec_id", "level").agg(F.sum("n").alias("n"))
+    # As levels_for: the deepest level that holds enough, but the root if that one holds no less.
+    stop = sums.groupBy("vec_id").agg(
+        F.max(F.when((F.col("n") >= goal) | (F.col("level") == 0), F.struct("level", "n"))).alias("stop"),
+        F.max(F.when(F.col("level") == 0, F.col("n"))).alias("all"),
+    ).select("vec_id", F.when(F.col("stop.n") >= F.col("all"), 0).otherwise(F.col("stop.level")).alias("level"))
     ends = F.col("low") + F.col("n")
     blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK_ROWS), F.floor((ends - 1) / BLOCK_ROWS)))
     probes = root.join(stop, ["vec_id", "level"]).withColumn("high", ends).withColumn("block", blocks)
