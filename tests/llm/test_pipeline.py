@@ -73,3 +73,13 @@ def test_empty_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert langid.fit(frame(spark, [], SCHEMA))["names"] == []
     assert bpe.encode_decode(frame(spark, [], SCHEMA), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_language_filter_keeps_what_operator_7_names(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [row(i, words(rng, 30, "abcdefghij"), lang=f"l{i % 3}") for i in range(90)] + [row(500, "12 34"), row(501, None)]
+    docs = frame(spark, rows)
+    # Three names for one alphabet: no score comes near one half for every text.
+    named = {r["doc_id"]: r["score"] for r in langid.identify(docs, langid.fit(docs)).collect() if r["lang_pred"] != langid.UNKNOWN}
+    assert min(named.values()) < 0.5
+    assert {r["doc_id"] for r in stages.language_filter(spark, docs, str(tmp_path)).collect()} == set(named) == set(range(90))

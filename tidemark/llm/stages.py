@@ -10,9 +10,6 @@ from . import bpe, langid, quality, simhash
 from . import mix as mixing
 from .queries import bpe_digests, table, tokenizer_path
 
-# A language is accepted from this probability.
-MIN_LANGUAGE_SCORE = 0.5
-
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is likelier of label 1 than of label 0 stay.
@@ -25,7 +22,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language, recognised with MIN_LANGUAGE_SCORE or more, stay.
+    """Documents for which operator 7 names a language stay, however many languages share the score.
 
     Texts without a letter go.  The documents' own ``lang`` only trains the network; if no
     document has one, all texts are unknown and stay.
@@ -34,8 +31,7 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not model["names"]:
         return docs
     found = langid.detected(docs, model, "__lang_pred", "__lang_score")
-    known = (F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*docs.columns)
+    return found.where(F.col("__lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
