@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, fill_middle, hash_forest, langid, licenses, mix, pages, quality, simhash, token_store, vector_dedup
+from . import bpe, contamination, fill_middle, hash_forest, langid, licenses, mix, pages, quality, simhash, token_store, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,9 @@ def op3_license_scan(spark, sf_dir):
 @query("op12_fill_middle", fill_middle.SQL)
 def op12_fill_middle(spark, sf_dir):
     return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+@query("op13_decontaminate", contamination.check_sql())
+def op13_decontaminate(spark, sf_dir):
+    found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination.digests(found)
