@@ -17,11 +17,6 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """Words of a text in order, A-Z lower-cased; a null text has none."""
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
@@ -33,24 +28,21 @@ def gram_size(length: int) -> int:
     return (length + 1) // 2
 
 
-def _at_starts(count: Column, each, kind: str) -> Column:
-    """``each(start)`` for ``count`` starts from 0 (none below 1)."""
-    starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)).cast("int"))
-    return F.when(count > 0, F.transform(starts, each)).otherwise(F.array().cast(f"array<{kind}>"))
+def _at_starts(count: str, each: str) -> str:
+    """SQL: ``each`` (of the start ``i``) for ``count`` starts from 0, none below 1."""
+    return f"IF({count} > 0, transform(sequence(0, greatest({count} - 1, 0)), i -> {each}), CAST(array() AS ARRAY<BIGINT>))"
 
 
-def marks(hashed: Column, length: int) -> Column:
-    """The fingerprint of the window at every start of an array of word hashes."""
+def marks(hashed: str, length: int) -> str:
+    """SQL: the fingerprint of the window at every start of an array of word hashes."""
     k = gram_size(length)
     per_window = length - k + 1
-    size = F.size(hashed)
-    grams = _at_starts(size - k + 1, lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(k)]), "bigint")
-
-    def least(g: Column) -> Column:
-        inside = lambda i: [F.get(g, i + j) for j in range(per_window)]
-        return _at_starts(size - length + 1, lambda i: F.least(*inside(i)) if per_window > 1 else F.get(g, i), "bigint")
-
-    return let(grams, least)
+    gram = ", ".join(f"get({hashed}, i + {j})" for j in range(k))
+    inside = ", ".join(f"get(g, i + {j})" for j in range(per_window))
+    least = f"least({inside})" if per_window > 1 else inside
+    grams = _at_starts(f"size({hashed}) - {k - 1}", f"xxhash64({gram})")
+    # A lambda variable holds the k-grams, so that they are computed once.
+    return f"get(transform(array({grams}), g -> {_at_starts(f'size({hashed}) - {length - 1}', least)}), 0)"
 
 
 def word_hashes(of: Column) -> Column:
@@ -62,26 +54,19 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     ``window`` is the words joined by a space, ``code`` a hash of their hashes.
     """
-    split = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    length = F.least(F.size("w"), F.lit(WINDOW))
-    each = split.withColumn("length", length).withColumn("h", word_hashes(F.col("w")))
-    by_length = F.coalesce(*[F.when(F.col("length") == n, marks(F.col("h"), n)) for n in range(1, WINDOW + 1)])
-    placed = each.select("item_id", "w", "h", "length", F.posexplode(by_length).alias("at", "mark"))
-    window = lambda a: F.slice(a, F.col("at") + 1, F.col("length"))
-    return placed.select(
-        "length", "mark", F.xxhash64(window(F.col("h"))).alias("code"), F.array_join(window(F.col("w")), " ").alias("window"), "item_id"
+    split = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    each = split.withColumn("length", F.least(F.size("w"), F.lit(WINDOW))).withColumn("h", word_hashes(F.col("w")))
+    by_length = " ".join(f"WHEN {n} THEN {marks('h', n)}" for n in range(1, WINDOW + 1))
+    placed = each.select("item_id", "w", "h", "length", F.posexplode(F.expr(f"CASE length {by_length} END")).alias("at", "mark"))
+    return placed.selectExpr(
+        "length", "mark", "xxhash64(slice(h, at + 1, length)) AS code",
+        "array_join(slice(w, at + 1, length), ' ') AS window", "item_id",
     ).distinct()
 
 
-def _covered(spans: Column) -> Column:
-    """Words inside the union of sorted (begin, end) spans."""
-    start = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("n"))
-
-    def add(done: Column, span: Column) -> Column:
-        fresh = F.greatest(span["end"] - F.greatest(done["reach"], span["begin"]), F.lit(0))
-        return F.struct(F.greatest(done["reach"], span["end"]).alias("reach"), (done["n"] + fresh).cast("long").alias("n"))
-
-    return F.aggregate(spans, start, add, lambda done: done["n"])
+# SQL: words inside the union of the sorted (begin, end) spans.
+_COVERED = """aggregate(spans, named_struct('reach', 0, 'n', 0L), (done, x) -> named_struct(
+  'reach', greatest(done.reach, x.end), 'n', done.n + greatest(x.end - greatest(done.reach, x.begin), 0)), done -> done.n)"""
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -97,33 +82,29 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     if not lengths:
         lengths = [WINDOW]
 
-    def per_length(h: Column, of) -> Column:
-        return F.concat(*[of(h, n) for n in lengths])
-
-    def marked(h: Column, n: int) -> Column:
-        return F.transform(F.array_distinct(marks(h, n)), lambda m: F.struct(F.lit(n).alias("length"), m.alias("mark")))
-
-    def placed(h: Column, n: int) -> Column:
-        whole = lambda m, i: F.struct(
-            F.lit(n).alias("length"), m.alias("mark"), i.alias("begin"), F.xxhash64(F.slice(h, i + 1, n)).alias("code")
-        )
-        return F.transform(marks(h, n), whole)
+    def exploded(each: str) -> Column:
+        """Rows of ``each`` (SQL of the word hashes h, n for the length) over all lengths."""
+        every = ", ".join(each.format(n=n, marks=marks("h", n)) for n in lengths)
+        return F.explode(F.expr(f"get(transform(array(h), h -> concat({every})), 0)"))
 
+    marked = "transform(array_distinct({marks}), m -> named_struct('length', {n}, 'mark', m))"
+    placed = "transform({marks}, (m, i) -> named_struct('length', {n}, 'mark', m, 'begin', i, 'code', xxhash64(slice(h, i + 1, {n}))))"
     fingerprints = windows.select("length", "mark").distinct()
-    seen = keyed.select("text_key", F.explode(let(word_hashes(words(F.col("text"))), lambda h: per_length(h, marked))).alias("x"))
+    hashed = keyed.select("text_key", word_hashes(words(F.col("text"))).alias("h"))
+    seen = hashed.select("text_key", exploded(marked).alias("x"))
     met = seen.select("text_key", "x.*").join(fingerprints, ["length", "mark"], "left_semi").select("text_key").distinct()
     met = cut(met, "met-texts")
     # Equal texts are one from here on; they are merged before they are shuffled.
     texts = keyed.join(met, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
     texts = cut(texts.select("text_key", words(F.col("text")).alias("w")), "met-words")
-    around = texts.select("text_key", F.explode(let(word_hashes(F.col("w")), lambda h: per_length(h, placed))).alias("x"))
+    around = texts.select("text_key", word_hashes(F.col("w")).alias("h")).select("text_key", exploded(placed).alias("x"))
     distinct = windows.select("length", "mark", "code", "window", "window_key").distinct()
     found = around.select("text_key", "x.*").join(distinct, ["length", "mark", "code"])
     hits = found.groupBy("text_key").agg(F.collect_list(F.struct("begin", "length", "window", "window_key")).alias("hits"))
     # The words themselves decide; hashes only brought them together.
-    same = lambda x: F.array_join(F.slice(F.col("w"), x["begin"] + 1, x["length"]), " ") == x["window"]
-    checked = hits.join(texts, "text_key").select("text_key", F.explode(F.filter("hits", same)).alias("x"))
-    return checked.select("text_key", "x.begin", (F.col("x.begin") + F.col("x.length")).alias("end"), "x.window_key")
+    same = "filter(hits, x -> array_join(slice(w, x.begin + 1, x.length), ' ') = x.window)"
+    checked = hits.join(texts, "text_key").select("text_key", F.explode(F.expr(same)).alias("x"))
+    return checked.selectExpr("text_key", "x.begin", "x.begin + x.length AS end", "x.window_key")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,10 +135,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), F.size(words(text)).cast("long").alias("n_words")
     )
     joined = every.join(result, "text_key", "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>"))
-    return joined.select(
-        "doc_id", "n_words", _covered(spans).alias("n_hit"), spans.alias("spans"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("contaminated"),
+    none = "CAST(array() AS ARRAY<{}>)"
+    return joined.selectExpr(
+        "doc_id", "n_words", f"coalesce({_COVERED}, 0L) AS n_hit", f"coalesce(spans, {none.format('STRUCT<begin: INT, end: INT>')}) AS spans",
+        f"coalesce(items, {none.format('STRING')}) AS items", "spans IS NOT NULL AS contaminated",
     )
 
 
