@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import bpe, contamination, fill_middle, hash_forest, langid, licenses, mix, pages, quality, simhash, token_store, vector_dedup
+from . import bpe, contamination, conversations, fill_middle, hash_forest, langid, licenses, mix, pages, quality, simhash, token_store, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op12_fill_middle(spark, sf_dir):
 def op13_decontaminate(spark, sf_dir):
     found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contamination.digests(found)
+
+
+@query("op11_repair_conversations")
+def op11_repair_conversations(spark, sf_dir):
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(rows))
