@@ -13,9 +13,10 @@ from tidemark.operators.ordered import flag_out_of_order
 from tidemark.session import fresh_path
 from tidemark.sources.files import stream_files
 from tidemark.streaming import predictions as pred
-from tidemark.streaming import run, stateful
+from tidemark.streaming import processors, run, stateful
 
 from .base import end_sql, money, query, schema_of, table
+from .windows import BATCHED
 
 
 def _stream(spark, sf_dir):
@@ -328,3 +329,95 @@ def step_foreach(spark, sf_dir):
 
     run.for_each(_stream(spark, sf_dir), note, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/notes").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def _in_order(spark, sf_dir, go):
+    """``go(stream, base)`` after each of three parts of time has arrived, none of them late."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    base, out = fresh_path(spark, "in-order"), None
+    for i in range(3):
+        events.where(part == i).write.mode("append").parquet(f"{base}/in")
+        out = go(stream_files(spark, f"{base}/in", events.schema), f"{base}/run")
+    return out
+
+
+def _spent(_key, rows: pd.DataFrame, state):
+    """Orders so far and the newest event of a customer; both go on from the seed."""
+    seen = state[0] + pd.Series(range(1, len(rows) + 1), index=rows.index)
+    out = rows[["user_id", "event_id"]].assign(seen=seen.astype("int64"), before=state[1])
+    return out, (state[0] + len(rows), int(rows["event_id"].iloc[-1]))
+
+
+@query(
+    "stream_map_with_table",
+    f"""WITH a AS ({ARRIVAL}), seed AS (SELECT c_custkey AS user_id, c_custkey % 7 AS seen, -c_custkey AS newest FROM customer WHERE c_custkey % 3 <> 0),
+      last AS (SELECT user_id, part, arg_max(event_id, (ts, event_id)) AS newest FROM a GROUP BY 1, 2)
+    SELECT a.user_id, a.event_id, coalesce(seed.seen, 0) + row_number() OVER (PARTITION BY a.user_id ORDER BY a.part, a.ts, a.event_id) AS seen,
+      coalesce((SELECT arg_max(l.newest, l.part) FROM last l WHERE l.user_id = a.user_id AND l.part < a.part), seed.newest, 0) AS before
+    FROM a LEFT JOIN seed USING (user_id)""",
+)
+def stream_map_with_table(spark, sf_dir):
+    """State that starts from a table and is carried over three runs; every emitted row is compared."""
+    customers = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    seed = customers.selectExpr("c_custkey AS user_id", "c_custkey % 7 AS seen", "-c_custkey AS newest")
+
+    def go(stream, base):
+        out = processors.map_with_table(
+            stream.select("user_id", "event_id", "ts"), ["user_id"], _spent, "user_id long, event_id long, seen long, before long",
+            "seen long, newest long", (0, 0), seed, ["ts", "event_id"],
+        )
+        with processors.state_store(spark):
+            return run.drain(out, "seeded", base=base)
+
+    return _arrivals(spark, sf_dir, go)
+
+
+@query(
+    "stream_value_counts",
+    f"SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY part, ts, event_id) AS seen FROM ({ARRIVAL})",
+)
+def stream_value_counts(spark, sf_dir):
+    """Map state: how often a user has shown the kind of each event, over three runs."""
+
+    def go(stream, base):
+        rows = stream.select("user_id", "event_id", "event_type", "ts")
+        counted = processors.count_values(rows, ["user_id"], "event_type", "seen", ["ts", "event_id"])
+        with processors.state_store(spark):
+            return run.drain(counted, "counted", base=base)
+
+    return _arrivals(spark, sf_dir, go).drop("ts")
+
+
+@query(
+    "stream_batch_timeout",
+    f"""{BATCHED}, g AS (SELECT user_id, batch, count(*) AS n, min(ts) AS first_time, max(stop) AS stop FROM r GROUP BY 1, 2)
+    SELECT r.user_id, event_id, batch, CASE WHEN n = 10 THEN 'count' ELSE 'time' END AS closed_by FROM r JOIN g USING (user_id, batch)
+    WHERE n = 10 OR g.stop IS NOT NULL OR first_time + INTERVAL 5 DAYS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+)
+def stream_batch_timeout(spark, sf_dir):
+    """Ten events of a user or five days, over three runs: list state and a timer; open batches stay in state."""
+
+    def go(stream, base):
+        rows = stream.select("user_id", "event_id", "ts")
+        batched = processors.batch_rows(rows, ["user_id"], 10, "5d", "ts", "10m", ["event_id"])
+        with processors.state_store(spark):
+            return run.drain(batched, "batched", base=base)
+
+    return _in_order(spark, sf_dir, go).drop("ts")
+
+
+@query(
+    "stream_late_counts",
+    f"""WITH a AS ({ARRIVAL}), m AS (SELECT user_id, part, max(ts) AS newest FROM a GROUP BY 1, 2),
+      k AS (SELECT user_id, part, max(newest) OVER (PARTITION BY user_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)
+    SELECT a.user_id, count(*) AS n, count(*) FILTER (a.ts < k.before) AS late FROM a JOIN k ON a.user_id = k.user_id AND a.part = k.part GROUP BY a.user_id, a.part""",
+)
+def stream_late_counts(spark, sf_dir):
+    """Streaming form of the out-of-order check: rows of a run older than what earlier runs brought."""
+
+    def go(stream, base):
+        return run.drain(stateful.late_per_batch(stream.select("user_id", "ts"), ["user_id"], "ts"), "late", base=base)
+
+    return _arrivals(spark, sf_dir, go)

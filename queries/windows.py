@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered
+from tidemark.operators import cuts, ordered
 from tidemark.operators.series import aggregate_series
 from tidemark.operators.windows import aggregate_every_event, aggregate_windows, reduce_all
 from tidemark.specs import Aggregation
@@ -130,6 +130,27 @@ def agg_batch_n(spark, sf_dir):
     )
 
 
+#: Rows of every batch of 10 events or 5 days, cut greedily; ``closes`` is when a batch that is not full ends.
+BATCHED = """WITH RECURSIVE p AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
+        1 + count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 431999999999 MICROSECONDS FOLLOWING) AS by_time FROM events),
+      s AS (SELECT user_id, 1::BIGINT AS pos, 0::BIGINT AS batch FROM events GROUP BY user_id
+        UNION ALL SELECT n.user_id, n.pos, n.batch FROM (SELECT s.user_id, least(s.pos + 10, p.by_time) AS pos, s.batch + 1 AS batch FROM s JOIN p USING (user_id, pos)) n
+          JOIN p USING (user_id, pos)),
+      b AS (SELECT user_id, batch, pos AS begins, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS stop FROM s),
+      r AS (SELECT p.user_id, event_id, ts, value, batch, stop FROM p JOIN b ON p.user_id = b.user_id AND pos >= begins AND (stop IS NULL OR pos < stop))"""
+
+
+@query(
+    "agg_batch_timeout",
+    f"""{BATCHED} SELECT user_id, batch, count(*) AS n, min(ts) AS first_time, max(ts) AS last_time, round(sum(value), 2) AS total,
+      CASE WHEN count(*) = 10 THEN 'count' WHEN max(stop) IS NOT NULL THEN 'time' ELSE 'open' END AS closed_by FROM r GROUP BY 1, 2""",
+)
+def agg_batch_timeout(spark, sf_dir):
+    """Batches of ten events or five days, whichever comes first."""
+    batched = cuts.batch_by_time(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), ["user_id"], "ts", 10, "5d", ["event_id"])
+    return cuts.closed_batches(batched, ["user_id"], "ts", 10, [money(F.sum("value")).alias("total")])
+
+
 @query(
     "agg_tsdb",
     f"""SELECT event_type, make_timestamp(epoch_us(ts) // {6 * H * 1_000_000} * {6 * H * 1_000_000}) AS start, {end_sql('ts', 6 * H)} AS "end",

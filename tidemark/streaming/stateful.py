@@ -149,6 +149,29 @@ def count_late(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return map_with_state(stream, keys, watch, out, "newest long", (-(2**62),))
 
 
+def late_per_batch(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Per micro-batch and key: its rows, and those older than all earlier micro-batches brought.
+
+    The order of rows inside a micro-batch does not count, so a rerun agrees.
+    """
+    out = T.StructType([stream.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("late", T.LongType())])
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+        before = state.get[0] if state.exists else None
+        n, late, newest = 0, 0, before
+        for pdf in batches:
+            times = pdf[ts].dropna().astype("datetime64[us]").astype("int64")
+            n += len(pdf)
+            if len(times):
+                late += int((times < before).sum()) if before is not None else 0
+                newest = int(times.max()) if newest is None else max(newest, int(times.max()))
+        if newest is not None:
+            state.update((newest,))
+        yield pd.DataFrame([[*key, n, late]], columns=[*keys, "n", "late"])
+
+    return stream.groupBy(*keys).applyInPandasWithState(watch, out, "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
 def enrich(stream: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Stream-static join: table columns for every event, null when unknown."""
     return stream.join(table, keys, "left")
