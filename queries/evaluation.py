@@ -107,6 +107,28 @@ def udf_vote(spark, sf_dir):
     return out.select("o_orderkey", "vote")
 
 
+def _second(votes: list[float], weights: list[float]) -> float:
+    """Weighted lower median: the least vote that half of the weight does not exceed."""
+    total, reached = sum(weights), 0.0
+    for vote, weight in sorted(zip(votes, weights)):
+        reached += weight
+        if 2 * reached >= total:
+            return vote
+    return votes[-1]
+
+
+@query(
+    "udf_vote_aggregate",
+    """WITH v AS (SELECT l_orderkey, l_suppkey % 5 AS model, l_quantity AS vote, CASE l_suppkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS w FROM lineitem),
+      c AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey ORDER BY vote, w ROWS UNBOUNDED PRECEDING) AS reached, sum(w) OVER (PARTITION BY l_orderkey) AS total FROM v)
+    SELECT l_orderkey, min(vote)::DOUBLE AS vote FROM c WHERE 2 * reached >= total GROUP BY 1""",
+)
+def udf_vote_aggregate(spark, sf_dir):
+    """A user's own rule over the votes of each order, as a grouped aggregate."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "cast(l_suppkey % 5 AS STRING) AS model", "l_quantity")
+    return scoring.vote_aggregate(lines, ["l_orderkey"], "model", "l_quantity", _second, {"0": 3, "1": 1, "2": 2})
+
+
 @query(
     "parallel_merge",
     "SELECT p_partkey, p_retailprice * 2 AS price, upper(p_type) AS p_type, p_size % 2 = 0 AS even FROM part",

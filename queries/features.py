@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import hash_keys
+from tidemark.functions.tables import register_table_functions
 from tidemark.functions.time import parse_mixed_ts, with_date_parts
 from tidemark.operators import filters, stats, steps, validate
+from tidemark.operators.scoring import apply_handler
 
 from .base import query, table
 
@@ -274,6 +278,26 @@ def udf_handler(spark, sf_dir):
     return steps.apply_step(table(spark, sf_dir, "customer"), scale, factor=0.9, offset=1).select("c_custkey", "scaled")
 
 
+def _load_bands():
+    """Set-up of the handler, once per task."""
+    edges = np.array([0.0, 1000.0, 5000.0])
+
+    def band(balance: pd.Series, nation: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, balance.to_numpy("float64"), side="right") * 100 + nation.to_numpy("int64"))
+
+    return band
+
+
+@query(
+    "udf_handler_batches",
+    "SELECT c_custkey, ((c_acctbal >= 0)::INT + (c_acctbal >= 1000)::INT + (c_acctbal >= 5000)::INT)::BIGINT * 100 + c_nationkey AS band FROM customer",
+)
+def udf_handler_batches(spark, sf_dir):
+    """A user's handler over batches of columns, made once per task."""
+    customer = table(spark, sf_dir, "customer")
+    return apply_handler(customer, _load_bands, ["c_acctbal", "c_nationkey"], "band", "long").select("c_custkey", "band")
+
+
 @query("step_map_udf", "SELECT p_partkey, upper(p_name) || '/' || p_brand AS label FROM part")
 def step_map_udf(spark, sf_dir):
     def label(df):
@@ -297,6 +321,27 @@ def udtf_flat_map(spark, sf_dir):
     return steps.flat_map(part, F.split("p_name", " "), "word").select("p_partkey", "word")
 
 
+@query("udtf_split_sql", "SELECT p_partkey, unnest(range(len(string_split(p_name, ' '))))::INT AS part, unnest(string_split(p_name, ' ')) AS value FROM part")
+def udtf_split_sql(spark, sf_dir):
+    """A table function with a table argument, called from SQL."""
+    register_table_functions(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("part_rows")
+    return spark.sql("SELECT p_partkey, part, value FROM split_rows(TABLE(SELECT p_partkey, p_name FROM part_rows), 'p_name', ' ')")
+
+
+@query(
+    "udtf_sessions_sql",
+    """WITH g AS (SELECT user_id, ts, (coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOURS, true))::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS session FROM g)
+    SELECT user_id, session::BIGINT AS session, min(ts) AS begins, max(ts) AS ends, count(*) AS n FROM s GROUP BY ALL""",
+)
+def udtf_sessions_sql(spark, sf_dir):
+    """Sessions of every user: the function itself asks for PARTITION BY and ORDER BY."""
+    register_table_functions(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("event_rows")
+    return spark.sql("SELECT * FROM sessions(TABLE(SELECT user_id, ts FROM event_rows), 'user_id', 'ts', '6h')")
+
+
 @query(
     "step_flatten",
     """SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM orders

@@ -12,7 +12,7 @@ from tidemark.plans.ingest import Target, ingest, ingest_increment, read_latest
 from tidemark.session import fresh_path
 from tidemark.sinks import external as sink_options
 from tidemark.sinks import files as sink_files
-from tidemark.sinks import tables
+from tidemark.sinks import buckets, tables
 from tidemark.sources import custom, files
 from tidemark.specs import FeatureSet
 from tidemark.streaming import run
@@ -194,6 +194,21 @@ def sink_latest_kv(spark, sf_dir):
     return tables.latest_table(events, ["user_id", "event_type"], "ts")
 
 
+@query(
+    "sink_latest_buckets",
+    """SELECT user_id, event_type, ts, event_id, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def sink_latest_buckets(spark, sf_dir):
+    """The latest row per key, upserted in three parts; every part rewrites the buckets of its keys only."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    path, keys = fresh_path(spark, "latest-buckets"), ["user_id", "event_type"]
+    for part in range(3):
+        batch = events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part)
+        buckets.upsert(batch, path, keys, buckets.keep_newest(keys, "ts"), 16, part)
+    return buckets.read_buckets(spark, path)
+
+
 @query(
     "sink_redis_key",
     """SELECT l_orderkey, l_linenumber,

@@ -297,7 +297,7 @@ def stream_latest(spark, sf_dir):
 
     def go(stream, base):
         rows = stream.select("user_id", "event_id", "event_type", "ts")
-        return run.drain_table(rows, "latest", "append", run.keep_latest(["user_id"], "ts"), base=base)
+        return run.drain_buckets(rows, "latest", "append", ["user_id"], run.keep_latest(["user_id"], "ts"), 16, base)
 
     return _arrivals(spark, sf_dir, go)
 

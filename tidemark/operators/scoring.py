@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,19 +27,18 @@ def score(
     ``load()`` runs once per task; ``model.predict(frame)`` gets Arrow-sized batches and
     returns one column per output.
     """
-    schema = T.StructType(list(df.schema) + [T.StructField(o, T.DoubleType()) for o in outputs])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            predicted = pd.DataFrame(model.predict(batch[features]), index=batch.index)
+            predicted = pd.DataFrame(model.predict(batch), index=batch.index)
             if predicted.shape[1] != len(outputs):
                 raise SpecError(f"model gave {predicted.shape[1]} columns for {len(outputs)} outputs")
-            for i, name in enumerate(outputs):
-                batch[name] = predicted.iloc[:, i].astype("float64")
-            yield batch
+            yield pd.DataFrame({name: predicted.iloc[:, i].astype("float64") for i, name in enumerate(outputs)})
 
-    scored = df.mapInPandas(run, schema)
+    # Only the features go to Python and only the predictions come back.
+    predict = F.pandas_udf(run, T.StructType([T.StructField(o, T.DoubleType()) for o in outputs]))
+    kept = [c for c in df.columns if c not in outputs]
+    scored = df.withColumn("__p", predict(F.struct(*features))).select(*kept, *[F.col(f"__p.{o}").alias(o) for o in outputs])
     if time_column:
         scored = scored.withColumn(time_column, F.lit(time_value).cast("timestamp") if time_value else F.current_timestamp())
     return scored
@@ -122,6 +122,58 @@ def vote_long(
     return per_class.groupBy(*sample).agg(best.alias("__b")).select(*sample, (-F.col("__b.c")).alias(out))
 
 
+def vote_aggregate(
+    df: DataFrame, sample: list[str], model: str, prediction: str,
+    logic: Callable[[list[float], list[float]], float], weights: dict[str, float] | None = None, out: str = "vote",
+) -> DataFrame:
+    """(sample, vote) by a user's own rule over the (model, prediction) rows of each sample.
+
+    ``logic(predictions, weights)`` is Python code run as a grouped aggregate; it gets the votes
+    by model name, then prediction, so a rerun agrees.  Null models count as ''.  Models left out of ``weights`` weigh 0.
+    Null predictions do not vote; a sample without votes has none.  A group holds the votes of
+    one sample only.
+    """
+    if weights is None:
+        weight = F.lit(1.0)
+    else:
+        known = F.create_map(*[x for m, w in weights.items() for x in (F.lit(m), F.lit(float(w)))])
+        weight = F.coalesce(known[F.col(model)], F.lit(0.0))
+
+    def decide(names: pa.Array, votes: pa.Array, shares: pa.Array) -> float:
+        # Plain lists: a frame or a series per group would cost more than the rule.
+        ballots = sorted((n, v, w) for n, v, w in zip(names.to_pylist(), votes.to_pylist(), shares.to_pylist()) if v is not None and v == v)
+        decision = logic([v for _, v, _ in ballots], [w for *_, w in ballots]) if ballots else None
+        return None if decision is None else float(decision)
+
+    aggregate = F.arrow_udf(decide, T.DoubleType())
+    return df.groupBy(*sample).agg(aggregate(F.coalesce(F.col(model).cast("string"), F.lit("")), F.col(prediction).cast("double"), weight).alias(out))
+
+
+def apply_handler(
+    df: DataFrame, load: Callable[[], Callable[..., pd.Series]], columns: list[str], out: str, kind: str | T.DataType
+) -> DataFrame:
+    """Append ``handler(*columns)``, where ``load()`` makes the handler once per task.
+
+    The handler gets one pandas Series per column, a batch at a time, and returns one of equal
+    length.
+    """
+    if not columns:
+        raise SpecError("a handler needs at least one column")
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        handler = load()
+        for values in batches:
+            result = pd.Series(handler(*values))
+            if len(result) != len(values[0]):
+                raise SpecError(f"handler gave {len(result)} values for {len(values[0])} rows")
+            yield result
+
+    def run_one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run((values,) for values in batches)
+
+    return df.withColumn(out, F.pandas_udf(run if len(columns) > 1 else run_one, kind)(*columns))
+
+
 def parallel_merge(
     df: DataFrame, branches: list[Callable[[DataFrame], dict[str, Column]]], extend_input: bool = True
 ) -> DataFrame:

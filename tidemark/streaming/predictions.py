@@ -47,6 +47,11 @@ def _nested(text: Column, rows: Column | None = None) -> Column:
     )
 
 
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` computed once a row: the optimizer does not copy them through a generator."""
+    return rows.select(F.explode(F.array(F.struct(*columns))).alias("e")).select("e.*")
+
+
 def read_events(messages: DataFrame, body: str) -> DataFrame:
     """Prediction events from JSON text, with inputs and outputs in any of the accepted forms.
 
@@ -54,13 +59,13 @@ def read_events(messages: DataFrame, body: str) -> DataFrame:
     several values) or a single value; inputs may be one flat list.  Unreadable ones are null,
     which ``missing_field`` reports.
     """
-    event = F.from_json(F.col(body), _RAW_SCHEMA)
-    rows = messages.select(event.alias("e")).select("e.*")
-    inputs = _nested(F.col("request.inputs"))
-    return rows.withColumn("request", F.struct(F.col("request.id").alias("id"), inputs.alias("inputs"))).withColumn(
-        "resp",
-        F.struct(F.col("resp.id").alias("id"), _nested(F.col("resp.outputs"), F.size("request.inputs")).alias("outputs")),
-    )
+    rows = _once(messages, F.from_json(F.col(body), _RAW_SCHEMA).alias("e")).select("e.*")
+    rest = [c for c in rows.columns if c not in ("request", "resp")]
+    asked = _once(rows, *[F.col(c) for c in rest], "request", "resp", _nested(F.col("request.inputs")).alias("inputs"))
+    request = F.struct(F.col("request.id").alias("id"), F.col("inputs")).alias("request")
+    outputs = _nested(F.col("resp.outputs"), F.size("inputs")).alias("outputs")
+    answered = F.struct(F.col("resp.id").alias("id"), outputs).alias("resp")
+    return _once(asked, *[F.col(c) for c in rest], request, answered).select(*rows.columns)
 
 
 def with_endpoint_id(events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.joins import latest_per_key
 from ..plans.ingest import drop_versions, latest_version
 from ..session import fresh_path
+from ..sinks.buckets import BUCKETS, read_buckets, upsert, vacuum
 from ..sources.files import read_parquet
 
 
@@ -82,6 +83,34 @@ def drain_table(
     return read_parquet(spark, f"{table}/v={latest_version(spark, table)}")
 
 
+def drain_buckets(
+    stream: DataFrame, purpose: str, mode: str, keys: list[str],
+    merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS, base: str | None = None,
+) -> DataFrame:
+    """Fold every micro-batch into a keyed table, rewriting the buckets it touches only.
+
+    A repeated micro-batch is applied once; the files of the two newest versions are kept.  With
+    the ``base`` folder of an earlier run it goes on from that run's table and checkpoint.
+    """
+    spark = stream.sparkSession
+    base = base or fresh_path(spark, purpose)
+    table = f"{base}/buckets"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert(batch, table, keys, merge, buckets, batch_id)
+        vacuum(batch.sparkSession, table)
+
+    query = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return read_buckets(spark, table)
+
+
 def _version_before(spark: SparkSession, table: str, batch_id: int) -> int | None:
     newest = latest_version(spark, table)
     if newest is None or newest < batch_id:
