@@ -83,3 +83,26 @@ def test_language_filter_keeps_what_operator_7_names(spark, tmp_path):
     named = {r["doc_id"]: r["score"] for r in langid.identify(docs, langid.fit(docs)).collect() if r["lang_pred"] != langid.UNKNOWN}
     assert min(named.values()) < 0.5
     assert {r["doc_id"] for r in stages.language_filter(spark, docs, str(tmp_path)).collect()} == set(named) == set(range(90))
+
+
+def test_one_document_of_each_group(spark, tmp_path):
+    """Repeated ids with unlike texts, and null ids, in one near-duplicate group."""
+    rng = random.Random(4)
+    text, other, third = (words(rng, 60) for _ in range(3))
+    rows = [row(1, text), row(1, text.upper()), row(1, "  ".join(text.split())), row(2, text), row(1, text)]
+    rows += [row(None, other), row(None, other.upper()), row(None, other), row(None, "  " + other), row(1, third), row(None, text)]
+    kept = stages.near_duplicates(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert len(kept) == 3 and {(r["doc_id"], r["text"].lower().split()[0]) for r in kept} == {
+        (1, text.split()[0]), (None, other.split()[0]), (1, third.split()[0])
+    }
+
+
+def test_a_hundred_languages(spark):
+    """More languages than the sample has room for at full depth: fewer documents of each."""
+    docs = frame(spark, [row(i, f"w{i % 100} " * 12 + chr(0x4E00 + i % 100) * 40, lang=f"l{i % 100}") for i in range(800)])
+    picked = langid.sample(docs.select("doc_id", "lang"), docs, "lang", 4, 50, 30)
+    assert picked.groupby("lang").size().to_dict() == {f"l{i}": 2 for i in range(100)}
+    few = langid.sample(docs.select("doc_id", "lang"), docs, "lang", 4, 5, 30)
+    assert len(few) == 20 and set(few.groupby("lang").size()) == {1}
+    found = langid.identify(docs)
+    assert found.count() == 800 and found.where("lang_pred = 'und'").count() == 0

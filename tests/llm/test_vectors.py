@@ -173,3 +173,13 @@ def test_goal_grows_with_the_table(n):
     # Steps are fine: a level holds no less than a third of the one above it.
     mean = sums.mean(axis=0)
     assert (mean[1:4] > mean[:3] / 3).all()
+
+
+def test_one_id_with_several_vectors(spark):
+    """Every row is a candidate; a query is not answered with its own id."""
+    rows = [(1, [0.9, 0.1]), (1, [0.0, 1.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (2, [0.5, 0.5]), (3, [0.9, 0.1]), (1, [0.9, 0.1])]
+    df = spark.createDataFrame([(i, v, 0, 0, 0, "", 0) for i, v in rows], SCHEMA)
+    found = hash_forest.search(df, F.col("vec_id") == 20, k=3).collect()
+    have = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in found)
+    want = [(1, 1, 0.9), (2, 3, 0.9), (3, 2, 0.5)] + [(1, 1, 2.0), (2, 2, 1.0), (3, 1, 0.2)]
+    assert have == sorted(want)

@@ -283,9 +283,10 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def _classes(plain: DataFrame, k: int) -> DataFrame:
-    """Equal vectors as one row: the smallest id, whether any of them asks, the ``k`` + 1 smallest ids.
+    """Equal vectors as one row: its key, whether any of them asks, the ``k`` + 1 smallest ids.
 
-    Only so many rows of a vector leave a task, however often it occurs.
+    Only so many rows of a vector leave a task, however often it occurs.  The key (``vec_id``)
+    is the smallest id; ``search`` numbers the classes anew where ids have several vectors.
     """
     first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     few = plain.select("vec_id", "embedding").withColumn("__at", first).where(F.col("__at") <= k + 1)
@@ -302,8 +303,9 @@ def search(
 
     ``is_query`` selects the queries among the rows; every other row is a candidate.  Needs
     vec_id and embedding.  Null, zero and non-finite vectors and rows without an id take no
-    part; rows that repeat an id are one vector (the smallest).  Equal scores go to the smaller
-    id.  Vectors are compared with those of their own length only.  No queries, no rows.
+    part; rows that repeat both id and vector are one row, unlike vectors of one id are rows of
+    their own, as candidates and as queries, and none of them answers its own id.  Equal scores
+    go to the smaller id.  Vectors are compared with those of their own length only.  No queries, no rows.
 
     Equal vectors are one candidate and one query; their ids come back at the end.  Trees ascend
     to at least ``min_candidates`` candidates, and to as many as a sample of the queries needs to
@@ -314,10 +316,16 @@ def search(
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     plain = cut(
         good.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
-        .groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks")),
+        .groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks")),
         "forest-vectors",
     )
-    classes = cut(_classes(plain, k), "forest-classes")
+    # A query sets aside all vectors of its own id; so many more have to be found.
+    repeats = plain.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    wanted, k = k, k + repeats - 1
+    classes = _classes(plain, k)
+    if repeats > 1:
+        classes = numbered(classes, ["vec_id", "embedding"], "__no").withColumn("vec_id", F.col("__no")).drop("__no")
+    classes = cut(classes, "forest-classes")
     symbols = symbols or symbols_for(classes.count(), trees)
     strings = "vec_id long, tree int, code string, scale double, off double, packed binary"
     sorted_rows = classes.select("vec_id", "embedding").mapInPandas(_strings(trees, symbols, seed, "int8"), strings)
@@ -379,6 +387,6 @@ def search(
     lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("__at", "id", "score"))).alias("list"))
     answers = left.join(lists, "query_id").select(F.col("__q").alias("embedding"), "list")
     mine = plain.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").join(answers, "embedding")
-    rest = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, k)
+    rest = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, wanted)
     ranks = mine.select("query_id", F.posexplode(rest).alias("__no", "__hit"))
     return ranks.select("query_id", (F.col("__no") + 1).alias("rank"), F.col("__hit.id").alias("vec_id"), F.col("__hit.score").alias("score"))

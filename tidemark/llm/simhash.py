@@ -169,22 +169,26 @@ def links(marks: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, component_id) of every document.
+    """(doc_id, text_hash, fingerprint, component_id, stands) of every document.
 
     Documents link if their fingerprints differ in ``max_bits`` bits at most; component_id is
     the smallest doc_id that links reach.  Only doc_id and text are read.  Equal fingerprints
     are merged before anything is compared, so copies cost nothing.  ``text_hash`` (xxhash64)
-    tells apart rows that repeat an id.  Null and empty texts have
+    tells apart rows that repeat an id; ``stands`` marks the rows of the smallest (doc_id,
+    text_hash) of their component, which are one text, repeated if the table repeats the row.  Null and empty texts have
     fingerprint 0 and link like any other; null ids never become a component id (a component
     of null ids only has a null one); repeated rows are kept; empty tables give empty ones.
     """
     marked = cut(fingerprints(docs, shingle), "simhash")
-    distinct = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-marks")
-    joined = components(links(distinct, max_bits))
-    grouped = distinct.join(joined, distinct["fingerprint"] == joined["node"]).select("fingerprint", "component", "least")
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = grouped.select("fingerprint", "component").join(least, "component").select("fingerprint", "component_id")
-    final = distinct.join(moved, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component_id", "least").alias("component_id")
+    # Nulls last: a null id stands for its component only if there is no other.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    distinct = cut(marked.groupBy("fingerprint").agg(first.alias("first")), "simhash-marks")
+    joined = components(links(distinct.select("fingerprint"), max_bits))
+    grouped = distinct.join(joined, distinct["fingerprint"] == joined["node"]).select("fingerprint", "component", "first")
+    least = grouped.groupBy("component").agg(F.min("first").alias("of_all"))
+    moved = grouped.select("fingerprint", "component").join(least, "component").select("fingerprint", "of_all")
+    final = distinct.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("of_all", "first").alias("first"))
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return marked.join(final, "fingerprint", "left").select(
+        "doc_id", "text_hash", "fingerprint", F.col("first.doc_id").alias("component_id"), stands.alias("stands")
     )
-    return marked.join(final, "fingerprint", "left").select("doc_id", "text_hash", "fingerprint", "component_id")

@@ -35,13 +35,13 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id.
+    """One document of each near-duplicate group stays: that of the smallest id, then text hash.
 
-    Rows that repeat both id and text are copies; one of them stays.  Rows without an id stay
-    only in groups that have no id at all.
+    Rows that repeat both id and text are copies; one of them stays.  A row without an id stays
+    only in a group that has no id at all, and then one such row.
     """
     found = cut(simhash.near_duplicates(docs, shingle=3, max_bits=2), "near-duplicates")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = F.col("stands")
     row = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
     # Fewer rows go than stay, so the rows that go are looked up.
     gone = cut(found.where(~stays).select(*row).distinct(), "gone")

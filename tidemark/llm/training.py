@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,19 +22,28 @@ def sample(
     ``marked`` has (doc_id, label).  Ids are chosen by hash first, from the narrow table; only
     the chosen texts are read.  This is the only bounded read of the models: what they score is
     never sampled.  Texts longer than ``max_chars`` give a stretch of that length from a hashed
-    place.  More than ``max_labels`` labels are an error.  Null ids and texts do not train.
+    place.  The sample holds ``per_label * max_labels`` documents at most: with more labels than
+    ``max_labels`` each gives fewer, one at least, and beyond that many labels the most frequent
+    are learned.  Null ids and texts do not train.
     """
     spark = marked.sparkSession
     known = marked.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
-    labels = [r[0] for r in known.select(label).distinct().limit(max_labels + 1).collect()]
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    most = per_label * max_labels
+    labels = [r[0] for r in known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()]
     order = F.xxhash64("doc_id")
-    chosen = [
-        (row["doc_id"], value)
-        for value in sorted(labels)
-        for row in known.where(F.col(label) == value).select("doc_id").orderBy(order, "doc_id").limit(per_label).collect()
-    ]
+    if len(labels) > max_labels:
+        # One pass for many labels; only the first of each leave a task.
+        first = F.row_number().over(W.partitionBy(label).orderBy(order, "doc_id"))
+        picks = known.withColumn("__at", first).where(F.col("__at") <= max(most // len(labels), 1)).drop("__at")
+        if len(labels) == most:
+            picks = picks.join(F.broadcast(spark.createDataFrame([(v,) for v in labels], known.select(label).schema)), label)
+        chosen = sorted(((r["doc_id"], r[label]) for r in picks.collect()), key=lambda r: (r[1], r[0]))
+    else:
+        chosen = [
+            (row["doc_id"], value)
+            for value in sorted(labels)
+            for row in known.where(F.col(label) == value).select("doc_id").orderBy(order, "doc_id").limit(per_label).collect()
+        ]
     schema = marked.select("doc_id", label).schema
     picked = spark.createDataFrame(list(dict.fromkeys(chosen)), schema)
     begin = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.char_length("text") - max_chars + 1, F.lit(1))) + 1
