@@ -31,6 +31,19 @@ def test_finds_what_comparing_everything_finds(spark):
     assert not found & set(range(0, 109))
 
 
+def test_one_license_per_overlapping_match(spark):
+    rng = random.Random(4)
+    texts = [t for _, t in licenses.NOTICES]
+    df = frame(spark, [row(i, words(rng, 30) + " " + t + " " + words(rng, 30)) for i, t in enumerate(texts)])
+    found = {}
+    for doc, name, _ in got(licenses.licenses(df), "doc_id", "license", "containment"):
+        found.setdefault(doc, set()).add(name)
+    assert found == {i: {name} for i, (name, _) in enumerate(licenses.NOTICES)}
+    both = [t for n, t in licenses.NOTICES if n in ("AGPL-3.0", "GPL-3.0")]
+    two = licenses.licenses(frame(spark, [row(1, words(rng, 300).join(both)), row(None, both[0])]))
+    assert [r[:2] for r in got(two, "doc_id", "license")] == sorted([(1, "AGPL-3.0"), (1, "GPL-3.0"), (None, "AGPL-3.0")], key=repr)
+
+
 def test_main_path_is_native(spark):
     plan = licenses.licenses(frame(spark, corpus()))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 # Chance that a window which holds enough of a template collides in no band.
@@ -21,7 +23,7 @@ MAX_TEMPLATES = 5000
 MAX_TEMPLATE_WORDS = 500_000
 _WORD = r"[\p{L}\p{N}]+"
 
-# Short notices of common licences.
+# Short notices of common licences, and whole texts of the short ones.
 NOTICES = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -42,6 +44,18 @@ NOTICES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
 
@@ -115,12 +129,12 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license string, notice string")
 
 
-def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, license, template_no, window_at, containment) of every matching window.
+def matches(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, license, template_no, window_at, shared, containment) of every matching window.
 
     ``templates`` has license and notice (the built-in notices by default).  A window matches if
     it holds at least ``containment`` of the distinct five-word shingles of the template;
-    window_at is its first word.  Windows that hold no shingle behind a template's band value
+    window_at is its first word, shared are those shingles, ascending.  Windows that hold no shingle behind a template's band value
     collide with none, so their bands are not computed.  Null, empty and short texts match
     nothing, notices below five words match nothing, repeated rows match each, an empty table
     gives an empty one; columns other than doc_id and text are ignored.
@@ -148,14 +162,35 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     keyed = sets.select("doc_id", "reach", "window_at", "shingles", F.posexplode("values").alias("band", "value"))
     by_band = table.select("template_no", "license", "template", "reach", F.posexplode("values").alias("band", "value"))
     found = keyed.join(F.broadcast(by_band), ["reach", "band", "value"])
-    shared = F.size(F.array_intersect("template", "shingles")) / F.size("template")
-    verified = found.withColumn("containment", shared).where(F.col("containment") >= containment)
-    return verified.groupBy("doc_id", "license", "template_no", "window_at").agg(F.max("containment").alias("containment"))
+    shared = found.withColumn("shared", F.array_sort(F.array_intersect("template", "shingles")))
+    verified = shared.withColumn("containment", F.size("shared") / F.size("template")).where(F.col("containment") >= containment)
+    # A window that agrees on several bands is found several times.
+    return verified.select("doc_id", "license", "template_no", "window_at", "shared", "containment").distinct()
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, license, template_no, window_at, containment) of every matching window."""
+    return matches(docs, templates, containment).drop("shared")
 
 
 def licenses(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, license, containment): the licences of each document, with the best match."""
-    return scan(docs, templates, containment).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+    """(doc_id, license, containment): the licences of each document, with the best match.
+
+    Licences share much of their wording.  A match goes if another one of the document shares all
+    its shingles and more, or the same ones with a higher containment.  Rows of one doc_id are one
+    document here.
+    """
+    found = matches(docs, templates, containment).groupBy("doc_id", "license", "shared").agg(F.max("containment").alias("containment"))
+    found = cut(found, "license-matches")
+    # A match that holds all of another's shingles holds the least of them.
+    wider = found.select(
+        F.col("doc_id").alias("__id"), F.col("shared").alias("__shared"), F.col("containment").alias("__containment"),
+        F.explode("shared").alias("__shingle"),
+    )
+    n, m = F.size("shared"), F.size("__shared")
+    within = (F.size(F.array_except("shared", "__shared")) == 0) & ((m > n) | (F.col("__containment") > F.col("containment")))
+    meets = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.get("shared", F.lit(0)) == F.col("__shingle")) & within
+    return found.join(wider, meets, "left_anti").groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 
 def check_sql() -> str:
@@ -171,6 +206,10 @@ dw AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw)),
 hit AS (SELECT doc_id, template_no, license, n, reach, s, pos // reach AS b FROM ds JOIN ts USING (s) JOIN tn USING (template_no)),
 win AS (SELECT *, b AS win FROM hit UNION ALL SELECT *, b - 1 FROM hit WHERE b > 0),
-got AS (SELECT doc_id, template_no, license, win, count(DISTINCT s) / max(n) AS containment FROM win GROUP BY ALL)
-SELECT doc_id, license, max(containment) AS containment FROM got WHERE containment >= {CONTAINMENT} GROUP BY ALL
+got AS (SELECT doc_id, template_no, license, win, count(DISTINCT s) / max(n) AS containment, list_sort(list(DISTINCT s)) AS shared FROM win GROUP BY ALL),
+ok AS (SELECT doc_id, license, shared, max(containment) AS containment FROM got WHERE containment >= {CONTAINMENT} GROUP BY ALL)
+SELECT doc_id, license, max(containment) AS containment FROM ok AS a WHERE NOT EXISTS (
+  SELECT 1 FROM ok AS b WHERE a.doc_id IS NOT DISTINCT FROM b.doc_id AND list_has_all(b.shared, a.shared)
+    AND (len(b.shared) > len(a.shared) OR b.containment > a.containment)
+) GROUP BY ALL
 """
