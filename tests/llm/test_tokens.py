@@ -102,6 +102,20 @@ def test_coder_round_trip(n, kind):
         assert len(block) < n
 
 
+@pytest.mark.parametrize("top", [1 << 17, 200_000, (1 << 32) - 1])
+def test_large_ids(top):
+    rng = np.random.default_rng(top % 97)
+    ids = np.append(rng.integers(0, top, 5000) % rng.choice([50, top], 5000), top)
+    back, _ = range_coder.read_block(range_coder.write_block(ids))
+    assert (back == ids).all()
+
+
+def test_more_ids_than_shares_of_18_bits():
+    ids = np.random.default_rng(1).permutation(400_000)
+    back, _ = range_coder.read_block(range_coder.write_block(ids))
+    assert (back == ids).all()
+
+
 def test_damage_is_found():
     block = bytearray(range_coder.write_block(np.arange(1000) % 37))
     for at in (0, 10, len(block) // 2, len(block) - 1):

@@ -13,17 +13,19 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMK1"
+MAGIC = b"TMK2"
 MAX_LANES = 4096
 LANE_IDS = 256
-# Scales: shares of ids add up to 2**18, mixing weights to 2**12.
-ID_BITS, WEIGHT_BITS = 18, 12
+# Shares of ids add up to 2**18 or more (twice the alphabet), shares times mixing weights to 2**30.
+ID_BITS, TOTAL_BITS = 18, 30
+# Blocks with ids from here on code the rank of an id among those they hold.
+DENSE_FROM = 1 << 17
 TABLE_BITS = 18
 # Steps after which the shares of ids are drawn up anew.
 REFRESH = 32
 _LOW32 = np.uint64(0xFFFFFFFF)
 _WORD = np.uint64(32)
-_TOTAL_BITS = np.uint64(ID_BITS + WEIGHT_BITS)
+_TOTAL = np.uint64(TOTAL_BITS)
 _FULL = np.uint64(2**64 - 1)
 
 
@@ -38,9 +40,9 @@ class _Model:
     """
 
     def __init__(self, lanes: int, alphabet: int):
-        if alphabet > 1 << (ID_BITS - 1):
-            raise ValueError(f"ids must be below {1 << (ID_BITS - 1)}")
         self.alphabet = alphabet
+        self.id_bits = max(ID_BITS, alphabet.bit_length() + 1)
+        self.weight_bits = TOTAL_BITS - self.id_bits
         self.seen = np.zeros(alphabet, "int64")
         self.after1 = np.zeros(alphabet, "int32")
         self.after2 = np.zeros(1 << TABLE_BITS, "int32")
@@ -61,11 +63,11 @@ class _Model:
             self.wait = []
         total = int(self.seen.sum())
         self.below = np.arange(self.alphabet + 1, dtype="int64")
-        room = (1 << ID_BITS) - self.alphabet
+        room = (1 << self.id_bits) - self.alphabet
         if total:
             self.below[1:] += np.cumsum(self.seen) * room // total
         else:
-            self.below = self.below * (1 << ID_BITS) // self.alphabet
+            self.below = self.below * (1 << self.id_bits) // self.alphabet
         self.id_at = None
 
     def _weights(self) -> None:
@@ -77,10 +79,10 @@ class _Model:
         hits = self.hits.copy()
         hits[np.arange(32) // 4 % 4 == 0, 2] = 0
         hits[(np.arange(32) % 4 == 0) | (np.arange(32) >= 16), 1] = 0
-        scaled = (hits * (((1 << WEIGHT_BITS) - 1) / hits.sum(axis=1, keepdims=True))).astype("int64")
-        self.weight0 = (1 << WEIGHT_BITS) - scaled[:, 1] - scaled[:, 2]
-        self.weight1 = scaled[:, 1] << ID_BITS
-        self.weight2 = scaled[:, 2] << ID_BITS
+        scaled = (hits * (((1 << self.weight_bits) - 1) / hits.sum(axis=1, keepdims=True))).astype("int64")
+        self.weight0 = (1 << self.weight_bits) - scaled[:, 1] - scaled[:, 2]
+        self.weight1 = scaled[:, 1] << self.id_bits
+        self.weight2 = scaled[:, 2] << self.id_bits
 
     def predict(self) -> None:
         """Predictions and weights of every lane for its next id."""
@@ -95,7 +97,7 @@ class _Model:
         self.w2 = self.weight2.take(self.context)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of the ids in the mixture, of 2**(ID_BITS + WEIGHT_BITS)."""
+        """Begin and width of the ids in the mixture, of 2**TOTAL_BITS."""
         below = self.below.take(ids)
         self.right2, self.right1 = ids == self.guess2, ids == self.guess1
         begin = self.w0 * below + self.w2 * (ids > self.guess2) + self.w1 * (ids > self.guess1)
@@ -160,7 +162,7 @@ def _code(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
         now = columns[t]
         model.predict()
         begin, width = model.interval(now)
-        unit = size >> _TOTAL_BITS
+        unit = size >> _TOTAL
         low += unit * begin.view("uint64")
         size = unit * width.view("uint64")
         short = np.flatnonzero(size <= _LOW32)
@@ -192,10 +194,10 @@ def _decode(n: int, alphabet: int, counts: np.ndarray, words: np.ndarray) -> np.
     over = (padded[at] << _WORD) | padded[at + 1]
     at = at + 2
     columns = np.empty((steps, lanes), "int64")
-    most = np.int64((1 << (ID_BITS + WEIGHT_BITS)) - 1)
+    most = np.int64((1 << TOTAL_BITS) - 1)
     for t in range(steps):
         model.predict()
-        unit = size >> _TOTAL_BITS
+        unit = size >> _TOTAL
         now = model.find(np.minimum((over // unit).view("int64"), most))
         begin, width = model.interval(now)
         first = unit * begin.view("uint64")
@@ -215,27 +217,36 @@ def _decode(n: int, alphabet: int, counts: np.ndarray, words: np.ndarray) -> np.
 
 
 def write_block(ids: np.ndarray, extra: bytes = b"") -> bytes:
-    """One self-contained block: header, ``extra`` bytes, lanes, checksum of everything."""
+    """One self-contained block: header, ``extra`` bytes, large ids, lanes, checksum of everything.
+
+    Ids are below 2**32; a block holds fewer than 2**24 different ones.
+    """
     ids = np.asarray(ids, "int64")
-    alphabet = int(ids.max()) + 1 if len(ids) else 1
-    counts, words = _code(ids, alphabet) if len(ids) else (np.empty(0, "int64"), np.empty(0, "uint32"))
     plain = zlib.crc32(ids.astype("<u4").tobytes())
+    alphabet, table = int(ids.max()) + 1 if len(ids) else 1, b""
+    if alphabet > DENSE_FROM:
+        values, ids = np.unique(ids, return_inverse=True)
+        alphabet, table = len(values), zlib.compress(np.diff(values, prepend=0).astype("<u4").tobytes(), 6)
+    counts, words = _code(ids, alphabet) if len(ids) else (np.empty(0, "int64"), np.empty(0, "uint32"))
     lanes = zlib.compress(counts.astype("<u4").tobytes(), 6)
-    head = np.array([len(ids), alphabet, plain, len(extra), len(lanes), len(words)], "<u8").tobytes()
-    body = MAGIC + head + extra + lanes + words.astype("<u4").tobytes()
+    head = np.array([len(ids), alphabet, plain, len(extra), len(table), len(lanes), len(words)], "<u8").tobytes()
+    body = MAGIC + head + extra + table + lanes + words.astype("<u4").tobytes()
     return body + zlib.crc32(body).to_bytes(4, "little")
 
 
 def read_block(block: bytes) -> tuple[np.ndarray, bytes]:
     """(ids, extra) of a block; both checksums are verified."""
-    if block[:4] != MAGIC or len(block) < 56 or zlib.crc32(block[:-4]) != int.from_bytes(block[-4:], "little"):
+    if block[:4] != MAGIC or len(block) < 64 or zlib.crc32(block[:-4]) != int.from_bytes(block[-4:], "little"):
         raise BlockError("not a whole token block")
-    n, alphabet, plain, n_extra, n_lanes, n_words = (int(x) for x in np.frombuffer(block, "<u8", 6, 4))
-    at = 52
-    extra = block[at : at + n_extra]
-    counts = np.frombuffer(zlib.decompress(block[at + n_extra : at + n_extra + n_lanes]), "<u4").astype("int64")
-    words = np.frombuffer(block, "<u4", n_words, at + n_extra + n_lanes)
+    n, alphabet, plain, n_extra, n_table, n_lanes, n_words = (int(x) for x in np.frombuffer(block, "<u8", 7, 4))
+    at = 60 + n_extra
+    extra, table = block[60:at], block[at : at + n_table]
+    at += n_table
+    counts = np.frombuffer(zlib.decompress(block[at : at + n_lanes]), "<u4").astype("int64")
+    words = np.frombuffer(block, "<u4", n_words, at + n_lanes)
     ids = _decode(n, alphabet, counts, words) if n else np.empty(0, "int64")
+    if table:
+        ids = np.cumsum(np.frombuffer(zlib.decompress(table), "<u4").astype("int64"))[ids]
     ids = ids.astype("<u4")
     if zlib.crc32(ids.tobytes()) != plain:
         raise BlockError("the ids of a token block do not match their checksum")
