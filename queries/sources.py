@@ -10,6 +10,7 @@ from tidemark.functions.keys import static_store_key
 from tidemark.functions.time import duration_micros
 from tidemark.plans.ingest import Target, ingest, ingest_increment, read_latest
 from tidemark.session import fresh_path
+from tidemark.sinks import custom as committed
 from tidemark.sinks import external as sink_options
 from tidemark.sinks import files as sink_files
 from tidemark.sinks import buckets, tables
@@ -90,6 +91,22 @@ def src_custom(spark, sf_dir):
     return hours.join(counted, "window_start", "left").select("window_start", "window_end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query(
+    "src_custom_stream",
+    """WITH span AS (SELECT epoch_us(min(ts)) // 3600000000 AS a, epoch_us(max(ts)) // 3600000000 AS b FROM events),
+      hours AS (SELECT unnest(range(a, b + 1)) AS h FROM span)
+    SELECT make_timestamp(h * 3600000000) AS window_start, make_timestamp((h + 1) * 3600000000) AS window_end, 1::BIGINT AS n FROM hours""",
+)
+def src_custom_stream(spark, sf_dir):
+    """A calendar that grows over three resumed runs: how often each window was read."""
+    first, last = table(spark, sf_dir, "events").agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    base = fresh_path(spark, "calendar")
+    for end in (first + (last - first) // 3, first + 2 * (last - first) // 3, last):
+        hours = custom.stream_custom(spark, custom.Calendar, start=first, end=end, step="1h", windows_per_partition=200)
+        read = run.drain(hours, "calendar", base=base)
+    return read.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "duration",
     "SELECT event_type, make_timestamp(epoch_us(ts) // 5400000000 * 5400000000) AS window_start, count(*) AS n FROM events GROUP BY ALL",
@@ -303,3 +320,18 @@ def special_columns_check(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     FeatureSet("customer", ("c_custkey",), label_column="c_acctbal").check_special_columns(df.columns)
     return df
+
+
+@query(
+    "sink_committed",
+    """SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate >= DATE '1995-01-01' AS late FROM orders""",
+)
+def sink_committed(spark, sf_dir):
+    """Two appends to a user target, each one commit, and what its manifest names."""
+    orders = table(spark, sf_dir, "orders")
+    late = F.col("o_orderdate") >= F.lit("1995-01-01").cast("date")
+    rows = orders.select("o_custkey", "o_orderkey", "o_totalprice", late.alias("late"))
+    path = fresh_path(spark, "committed")
+    for part in (~F.col("late"), F.col("late") | F.col("late").isNull()):
+        committed.write_committed(rows.where(part), path)
+    return committed.read_committed(spark, path, rows.schema)

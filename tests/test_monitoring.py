@@ -230,6 +230,25 @@ def test_top_k_takes_any_number_of_queries(spark):
 def test_documents(spark):
     df = spark.createDataFrame([("abcdefghij",), ("abc",), ("",)], "t string")
     assert [r["chunk"] for r in chunk(df, "t", 4, 1).collect()] == ["abcd", "defg", "ghij", "abc"]
+
+
+@pytest.mark.parametrize("size,overlap", [(1, 0), (4, 0), (10, 8), (7, 3), (500, 100)])
+def test_chunks_cover_any_text(spark, size, overlap):
+    texts = ["", None, "a", "x" * size, "xy" * size, "\U0001f600b\nc\r" * 211, "z" * (3 * size + overlap)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "i int, t string, chunk_no int")
+    step, want = size - overlap, []
+    for i, t in enumerate(texts):
+        n = max(-(-(len(t) - overlap) // step), 1) if t else 0
+        want += [(i, k, t[k * step : k * step + size]) for k in range(n)]
+    got = chunk(df, "t", size, overlap).select("i", "chunk_no", "chunk").orderBy("i", "chunk_no").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_key_lists_are_bounded(spark):
+    df = spark.range(30).select(F.create_map(F.col("id").cast("string"), F.lit(1)).alias("m"))
+    assert len(runs.map_keys_of(df, "m")) == 30
+    with pytest.raises(SpecError, match="30 different keys"):
+        runs.map_keys_of(df, "m", most=20)
     page = spark.createDataFrame([("<html><style>x{}</style><b>A</b>&amp;B <!-- c --> <script>1</script></html>",)], "h string")
     assert page.select(html_text(F.col("h"))).first()[0] == "A &B"
     pii = spark.createDataFrame([("mail a.b@c.org or call 555 123 4567 now",)], "t string")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from tidemark.errors import SpecError
 from tidemark.plans.ingest import Target, check_append, check_targets
 from tidemark.session import fresh_path
+from tidemark.sinks import custom as committed
 from tidemark.sinks import external as sinks
 from tidemark.sinks import files as sink_files
 from tidemark.sinks import tables
@@ -95,6 +96,43 @@ def test_custom_source(spark):
     assert len(one) == 1
 
 
+def test_custom_stream_goes_on_from_its_offset(spark):
+    from tidemark.streaming import run
+
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    base = fresh_path(spark, "calendar")
+    sizes = []
+    for end in (start + 3599, start + 3599, start + 7000, start + 9000):
+        stream = custom.stream_custom(spark, custom.Calendar, start=start, end=end, step="1m", windows_per_partition=25)
+        got = run.drain(stream, "calendar", base=base)
+        sizes.append(got.count())
+    assert sizes == [60, 60, 117, 151]
+    assert got.select("window_start").distinct().count() == 151
+
+
+def test_committed_target(spark):
+    path = fresh_path(spark, "committed")
+    rows = spark.range(100, numPartitions=4).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"))
+    assert committed.read_committed(spark, path, rows.schema).count() == 0
+    committed.write_committed(rows, path)
+    committed.write_committed(rows.limit(0), path)
+    committed.write_committed(rows.where("id < 10"), path)
+    back = committed.read_committed(spark, path, rows.schema)
+    assert committed.committed_rows(path) == back.count() == 110
+    assert back.exceptAll(rows.unionByName(rows.where("id < 10"))).count() == 0
+    # One task fails after the others wrote theirs: nothing of the write is seen.
+    broken = rows.withColumn("s", F.when(F.col("id") == 99, F.raise_error(F.lit("broken"))).otherwise(F.col("s")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="broken"):
+            committed.write_committed(broken, path, mode)
+        assert committed.read_committed(spark, path, rows.schema).count() == 110
+    committed.write_committed(rows.where("id = 7"), path, "overwrite")
+    assert [tuple(r) for r in committed.read_committed(spark, path, rows.schema).collect()] == [(7, "7")]
+    assert back.count() == 110
+    with pytest.raises(SpecError):
+        committed.write_committed(rows, path, "ignore")
+
+
 def test_targets_and_special_columns(spark):
     with pytest.raises(SpecError):
         check_targets([])

@@ -126,3 +126,24 @@ def test_preview_writes_nothing_and_is_bounded(spark):
     rows, status = preview_ingest(fs, df, rows=100, with_stats=True)
     assert rows.count() == 5000 and {r["column"]: r["count"] for r in status.stats.collect()}["w"] == 5000
     assert 400 < preview_ingest(fs, df, sample=0.1)[0].count() < 600
+
+
+def test_search_pairs_are_spread(spark):
+    import numpy as np
+
+    from tidemark.operators.vectors import top_k
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id int, v array<double>")
+    asked = vectors.where("vec_id % 3 = 0").toDF("qid", "q")
+    found = top_k(vectors, asked, "vec_id", "v", "qid", "q", 4)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "tile_group" in text and "Cross" not in text
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["vec_id"])
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    for i in range(0, 60, 3):
+        near = sorted((j for j in unit if len(unit[j]) == len(unit[i])), key=lambda j: (-float(unit[i] @ unit[j]), j))
+        assert got[i] == near[:4]

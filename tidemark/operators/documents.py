@@ -43,11 +43,22 @@ def chunk(df: DataFrame, text: str, size: int, overlap: int = 0, out: str = "chu
     if size < 1 or not 0 <= overlap < size:
         raise SpecError("chunks need size >= 1 and 0 <= overlap < size")
     step, length = size - overlap, F.char_length(text)
-    last = F.greatest(F.ceil((length - overlap) / step) - 1, F.lit(0))
-    numbers = F.sequence(F.lit(0).cast("long"), last.cast("long"))
-    pieces = df.where(length > 0).withColumn("chunk_no", F.explode(numbers))
-    begin = (F.col("chunk_no") * step + 1).cast("int")
-    return pieces.withColumn(out, F.substring(text, begin, F.lit(size)))
+    last = F.greatest(F.ceil((length - overlap) / step) - 1, F.lit(0)).cast("int")
+    # The text is cut once into steps; a chunk joins the steps it covers, whose last one it may cut.
+    steps = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}+"), F.lit(0))
+    covered = -(-size // step)
+
+    def pieces(cut: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.substring(F.array_join(F.slice(cut, i + 1, F.lit(covered)), ""), 1, size),
+        )
+
+    # The outer array of one element keeps the steps from being cut again for every chunk.
+    chunks = F.get(F.transform(F.array(steps), pieces), F.lit(0))
+    columns = [c for c in df.columns if c not in ("chunk_no", out)]
+    found = df.where(length > 0).select("*", F.posexplode(chunks).alias("__no", "__chunk"))
+    return found.select(*columns, F.col("__no").cast("long").alias("chunk_no"), F.col("__chunk").alias(out))
 
 
 def new_only(documents: DataFrame, indexed: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..errors import SpecError
 
 
+# Columns that a flattened map may have.
+MAX_KEYS = 2000
+
+
 def expand_iterations(runs: DataFrame, iterations: str = "iterations") -> DataFrame:
     """One row per iteration; runs without iterations stay one row.
 
@@ -30,9 +34,15 @@ def flatten_maps(df: DataFrame, maps: dict[str, tuple[str, list[str]]]) -> DataF
     return df.withColumns(added).drop(*maps)
 
 
-def map_keys_of(df: DataFrame, column: str) -> list[str]:
-    """Distinct keys of a map column: the column list of the flattened table."""
-    rows = df.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect()
+def map_keys_of(df: DataFrame, column: str, most: int = MAX_KEYS) -> list[str]:
+    """Distinct keys of a map column: the column list of the flattened table.
+
+    More than ``most`` different keys are refused: they would be that many columns.
+    """
+    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct()
+    rows = keys.limit(most + 1).collect()
+    if len(rows) > most:
+        raise SpecError(f"{column} has {keys.count()} different keys; {most} columns at most, or name the keys")
     return sorted(r["k"] for r in rows)
 
 

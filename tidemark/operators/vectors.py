@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +62,10 @@ def top_k(
     """Exact cosine top-k of any number of queries.
 
     Vectors are packed into tiles and queries into blocks; every tile meets every block, and
-    only ``k`` ids per query and tile are shuffled.  Vectors and queries of different lengths
-    never meet.  Equal scores go to the smaller id; null vectors take no part.
+    only ``k`` ids per query and tile are shuffled.  Tiles and blocks are dealt into groups, and a
+    pair of groups is one join key, so that the pairs spread over all tasks with as few copies as
+    the number of queries allows.  Vectors and queries of different lengths never meet.  Equal
+    scores go to the smaller id; null vectors take no part.
     """
     if k < 1:
         raise SpecError("k must be at least 1")
@@ -77,7 +80,7 @@ def top_k(
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for pair in pdf.itertuples():
-                left = np.frombuffer(pair.q_rows).reshape(-1, pair.q_dims)
+                left = np.frombuffer(pair.q_rows).reshape(-1, pair.v_dims)
                 right = np.frombuffer(pair.v_rows).reshape(-1, pair.v_dims)
                 ids, asked = list(pair.v_ids), list(pair.q_ids)
                 order = np.empty(len(ids), "int64")
@@ -88,7 +91,17 @@ def top_k(
                     query_id: [asked[i] for i in row], vector_id: [ids[j] for j in col], "score": scores[row, col],
                 })
 
-    pairs = tiles.crossJoin(blocks).where("v_dims = q_dims")
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    block_groups = max(1, min(math.isqrt(tasks), -(-queries.count() // BLOCK_ROWS)))
+    tile_groups = -(-tasks // block_groups)
+
+    def dealt(df: DataFrame, rows: str, own: str, groups: int, other: str, copies: int) -> DataFrame:
+        group = F.pmod(F.xxhash64(rows), F.lit(groups)).cast("int")
+        return df.withColumn(own, group).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    left = dealt(tiles, "v_ids", "tile_group", tile_groups, "block_group", block_groups)
+    right = dealt(blocks, "q_ids", "block_group", block_groups, "tile_group", tile_groups)
+    pairs = left.join(right.withColumnRenamed("q_dims", "v_dims"), ["tile_group", "block_group", "v_dims"])
     found = pairs.mapInPandas(nearest, schema)
     best = W.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(vector_id))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
