@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import stats
+from tidemark.operators import increments, stats
+from tidemark.session import cut
 
 from .base import money, query, table
 
@@ -125,3 +126,43 @@ def dataset_profile(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     found = stats.profile(part)
     return _rounded(found["stats"]).select("column", "count", "mean", "max", F.lit(found["length"]).cast("long").alias("length"))
+
+
+@query(
+    "stats_increments",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, count(*) AS rows, count({c}) AS count, round(avg({c}::DOUBLE), 4) AS mean, round(stddev_samp({c}::DOUBLE), 4) AS std,
+      min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, true AS quantiles_in_bound, true AS distinct_in_bound FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice", "l_suppkey")
+    ),
+)
+def stats_increments(spark, sf_dir):
+    """Statistics of three increments, stored and merged, held against the whole table."""
+    rows = table(spark, sf_dir, "lineitem")
+    columns = ["l_quantity", "l_extendedprice", "l_suppkey"]
+    stored = [
+        cut(increments.summarize(rows.where(part), columns), "increment")
+        for part in (F.col("l_returnflag") == "A", F.col("l_returnflag") == "N", ~F.col("l_returnflag").isin("A", "N"))
+    ]
+    merged = increments.merge(stored[0].unionByName(stored[1]))
+    found = cut(increments.describe(increments.merge(merged.unionByName(stored[2]))), "described")
+    # Exact numbers of rows up to, and below, each estimate.
+    estimates = {r["column"]: r for r in found.collect()}
+    exact = [
+        F.struct(
+            F.lit(c).alias("column"), F.count_distinct(c).alias("exact"),
+            *[F.count_if(F.col(c) < estimates[c][p]).alias(f"below_{p}") for p in increments.QUANTILES],
+            *[F.count_if(F.col(c) <= estimates[c][p]).alias(f"upto_{p}") for p in increments.QUANTILES],
+        )
+        for c in columns
+    ]
+    counted = rows.agg(F.array(*exact).alias("x")).select(F.inline("x"))
+    slack = increments.RANK_ERROR
+    inside = F.lit(True)
+    for name, p in increments.QUANTILES.items():
+        inside &= (F.col(f"below_{name}") / F.col("count") <= p + slack) & (F.col(f"upto_{name}") / F.col("count") >= p - slack)
+    near = F.abs(F.col("distinct") - F.col("exact")) <= increments.DISTINCT_ERROR * F.col("exact") + 1
+    return found.join(counted, "column").select(
+        "column", "rows", "count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max",
+        inside.alias("quantiles_in_bound"), near.alias("distinct_in_bound"),
+    )

@@ -9,11 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.operators import validate
 from tidemark.operators.ordered import flag_out_of_order
 from tidemark.session import fresh_path
 from tidemark.sources.files import stream_files
 from tidemark.streaming import predictions as pred
 from tidemark.streaming import processors, run, stateful
+from tidemark.streaming.checks import drain_validated
 
 from .base import end_sql, money, query, schema_of, table
 from .windows import BATCHED
@@ -421,3 +423,15 @@ def stream_late_counts(spark, sf_dir):
         return run.drain(stateful.late_per_batch(stream.select("user_id", "ts"), ["user_id"], "ts"), "late", base=base)
 
     return _arrivals(spark, sf_dir, go)
+
+
+@query(
+    "stream_validate",
+    """SELECT 'value' AS feature, count(*)::BIGINT AS violations, min(value::VARCHAR) AS example FROM events WHERE value IS NULL OR value < 1 OR value > 90
+    UNION ALL SELECT 'event_type', count(*), min(event_type) FROM events WHERE event_type IS NULL OR NOT regexp_full_match(event_type, 'click|view')""",
+)
+def stream_validate(spark, sf_dir):
+    """Violations observed per micro-batch of the event stream, summed up."""
+    checks = {"value": validate.MinMax(low=1, high=90), "event_type": validate.Regex(pattern="click|view")}
+    _, reports = drain_validated(_stream(spark, sf_dir), checks, "validated")
+    return reports.groupBy("feature").agg(F.sum("violations").alias("violations"), F.min("example").alias("example"))

@@ -4,7 +4,8 @@ import statistics
 import numpy as np
 import pytest
 
-from tidemark.operators import stats
+from tidemark.errors import SpecError
+from tidemark.operators import increments, stats
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +104,31 @@ def test_hash_sample_is_stable(spark):
     first = {r[0] for r in stats.sample_by_hash(df, ["id"], 0.2, "a").collect()}
     assert first == {r[0] for r in stats.sample_by_hash(df.repartition(7), ["id"], 0.2, "a").collect()}
     assert 1800 < len(first) < 2200 and stats.sample_by_hash(df, ["id"], 0.0).count() == 0
+
+
+def test_merged_increments_equal_one_pass(spark):
+    rng = random.Random(8)
+    rows = [(1e9 + rng.gauss(0, 1), rng.choice([None, float("nan"), 2.0, 5.0]), rng.random() < 0.3, i % 3) for i in range(4000)]
+    df = spark.createDataFrame(rows, "x double, y double, b boolean, part int")
+    columns = ["x", "y", "b"]
+    parts = [increments.summarize(df.where(f"part = {k}"), columns) for k in range(3)] + [increments.summarize(df.limit(0), columns)]
+    left = increments.merge(parts[0].unionByName(parts[3]))
+    both = increments.merge(left.unionByName(parts[1]).unionByName(parts[2]))
+    got = {r["column"]: r for r in increments.describe(both).collect()}
+    want = {r["column"]: r for r in increments.describe(increments.summarize(df, columns)).collect()}
+    for c in columns:
+        for part in ("rows", "count", "min", "max"):
+            assert got[c][part] == want[c][part]
+        assert got[c]["distinct"] == pytest.approx(want[c]["distinct"], rel=increments.DISTINCT_ERROR)
+        assert got[c]["mean"] == pytest.approx(want[c]["mean"], rel=1e-12)
+        assert got[c]["std"] == pytest.approx(want[c]["std"], rel=1e-6)
+    xs = sorted(r[0] for r in rows)
+    assert got["x"]["std"] == pytest.approx(statistics.stdev(xs), rel=1e-6)
+    for name, p in increments.QUANTILES.items():
+        at = sum(x <= got["x"][name] for x in xs) / len(xs)
+        assert abs(at - p) <= increments.RANK_ERROR + 1 / len(xs)
+    assert abs(got["x"]["distinct"] - len(set(xs))) <= increments.DISTINCT_ERROR * len(xs)
+    empty = increments.describe(increments.merge(parts[3])).collect()
+    assert all(r["count"] == 0 and r["mean"] is None and r["p50"] is None and r["distinct"] == 0 for r in empty)
+    with pytest.raises(SpecError):
+        increments.summarize(df, ["none"])

@@ -110,3 +110,25 @@ def test_prediction_events(spark):
     assert sorted(summary.values()) == [0, 2]
     ids = spark.createDataFrame([("p/f@h",), ("p/f",), ("f",)], "u string").select(endpoint_id(F.col("u"), F.lit("m"), F.lit("")).alias("e"))
     assert [r["e"] for r in ids.collect()] == [hashlib.sha1(b"p_f_h_m_latest").hexdigest(), hashlib.sha1(b"p_f_N/A_m_latest").hexdigest(), None]
+
+
+def test_stream_violations_equal_the_batch_report(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import validate
+    from tidemark.session import fresh_path
+    from tidemark.sources.files import stream_files
+    from tidemark.streaming.checks import drain_validated
+
+    checks = {"v": validate.MinMax("float", low=3, high=40), "k": validate.Regex(pattern="a|b", severity="warn")}
+    df = spark.range(60).select(F.col("id").cast("double").alias("v"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("k"))
+    base = fresh_path(spark, "checked")
+    for part in range(3):
+        # Files that arrive later are later micro-batches; the checkpoint goes on.
+        df.where(f"v >= {part * 20} and v < {part * 20 + 20}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows, reports = drain_validated(stream_files(spark, f"{base}/in", df.schema), checks, "checked", f"{base}/run")
+    assert rows.drop("micro_batch").exceptAll(df).count() == 0 and rows.count() == 60
+    assert reports.select("micro_batch").distinct().count() == 3
+    for batch in range(3):
+        want = {tuple(r) for r in validate.report(rows.where(f"micro_batch = {batch}"), checks).collect()}
+        assert {tuple(r)[:4] for r in reports.where(f"micro_batch = {batch}").collect()} == want

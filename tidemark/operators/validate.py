@@ -107,25 +107,29 @@ def violations(df: DataFrame, validators: dict[str, Validator]) -> dict[str, Col
     }
 
 
-def report(df: DataFrame, validators: dict[str, Validator]) -> DataFrame:
-    """One row per feature: violation count and the smallest violating value."""
-    bad = violations(df, validators)
+def tallies(df: DataFrame, validators: dict[str, Validator]) -> list[Column]:
+    """Aggregates per feature: violation count and the smallest violating value."""
     aggs = []
-    for i, (name, condition) in enumerate(bad.items()):
+    for i, (name, condition) in enumerate(violations(df, validators).items()):
         aggs.append(F.count_if(condition).alias(f"__n{i}"))
         aggs.append(F.min(F.when(condition, F.col(name).cast("string"))).alias(f"__e{i}"))
+    return aggs
+
+
+def report(df: DataFrame, validators: dict[str, Validator]) -> DataFrame:
+    """One row per feature: violation count and the smallest violating value."""
     rows = F.array(
         *[
             F.struct(
                 F.lit(name).alias("feature"),
-                F.lit(validators[name].severity).alias("severity"),
+                F.lit(v.severity).alias("severity"),
                 F.col(f"__n{i}").alias("violations"),
                 F.col(f"__e{i}").alias("example"),
             )
-            for i, name in enumerate(bad)
+            for i, (name, v) in enumerate(validators.items())
         ]
     )
-    return df.agg(*aggs).select(F.inline(rows))
+    return df.agg(*tallies(df, validators)).select(F.inline(rows))
 
 
 def flag(df: DataFrame, validators: dict[str, Validator], out: str = "violated") -> DataFrame:
