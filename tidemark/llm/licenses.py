@@ -190,7 +190,8 @@ def licenses(docs: DataFrame, templates: DataFrame | None = None, containment: f
     n, m = F.size("shared"), F.size("__shared")
     within = (F.size(F.array_except("shared", "__shared")) == 0) & ((m > n) | (F.col("__containment") > F.col("containment")))
     meets = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.get("shared", F.lit(0)) == F.col("__shingle")) & within
-    return found.join(wider, meets, "left_anti").groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+    # Both sides grow with the corpus: neither is broadcast.
+    return found.join(wider.hint("merge"), meets, "left_anti").groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 
 def check_sql() -> str:
