@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,9 +127,10 @@ def test_damage_is_found():
         range_coder.read_block(b"")
 
 
-@pytest.mark.parametrize("block_ids,memory", [(1 << 22, 400_000), (300, 20)])
-def test_store_round_trip(spark, tmp_path, monkeypatch, library, block_ids, memory):
-    monkeypatch.setattr(token_store, "MEMORY_UNITS", memory)
+@pytest.mark.parametrize("block_ids,chunk,units", [(1 << 22, 24 << 20, 1 << 19), (300, 20, 7)])
+def test_store_round_trip(spark, tmp_path, monkeypatch, library, block_ids, chunk, units):
+    monkeypatch.setattr(token_store, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(words, "SLICE", units)
     rows = awkward()
     path = str(tmp_path / "tokens")
     token_store.write_tokens(frame(spark, rows).repartition(5), PATH, path, end_id=2, block_ids=block_ids)
@@ -145,6 +147,20 @@ def test_store_round_trip(spark, tmp_path, monkeypatch, library, block_ids, memo
         at += r["n_tokens"]
 
 
+def test_arrow_encodes_as_the_library(library):
+    """Any mixture of blanks, marks, letters and added tokens, in whole batches."""
+    bits = [
+        " ", "  ", "\n", " \n", "\t", "\r\n", "\u00a0", "\u3000", "\u200b", "\u180e", "\x85", "\x1c", "\0", "a", "é", "foo", "Bar", "日本",
+        "ß", "ª", "ı", "\u017f", "x\u0301", "\U0001f44d", "'s", "'", "12", "***", ".,", "_", "-", "`", "~", "{}", "<", "|", "<|endoftext|>",
+    ]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(20_000)] + [None, "", " ", "  "]
+    ids, sizes = words.Units(words.read_tokenizer(PATH)).encode_texts(pa.array(texts), 2)
+    want = [[*e.ids, 2] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, want))
+    assert ids.tolist() == [i for mine in want for i in mine]
+
+
 def test_store_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     token_store.write_tokens(frame(spark, [], SCHEMA), PATH, path)

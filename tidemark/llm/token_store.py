@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,12 @@ from .words import Units, one_thread, pack_numbers, read_tokenizer, unpack_numbe
 
 # A block closes with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 22
-# Distinct units, and words, that a task remembers before it starts over.
-MEMORY_UNITS = 1_000_000
+# Texts whose distinct words are encoded together.
+CHUNK_BYTES = 24 << 20
 BLOCKS = "part int, at long, n_docs long, n_ids long, block binary"
+_BLOCK_FIELDS = pa.schema([
+    ("part", pa.int32()), ("at", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary()),
+])
 
 
 def _listing(doc_ids: list, counts: list[int]) -> bytes:
@@ -50,34 +54,24 @@ def _documents(listing: bytes) -> tuple[list, np.ndarray]:
 def _write(spec: str, end_id: int, block_ids: int):
     """Task function: blocks of whole documents, in the order they come."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        units, memory, words = Units(spec), {}, {}
-        part, at = TaskContext.get().partitionId(), 0
+        units, part, at = Units(spec), TaskContext.get().partitionId(), 0
         names, counts, held, size = [], [], [], 0
 
-        def out() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(held), "<u4").astype("int64")
-            block = write_block(ids, _listing(names, counts))
-            return pd.DataFrame({"part": [part], "at": at, "n_docs": len(names), "n_ids": size, "block": [block]})
-
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"]):
-                mine = units.split(text or "")
-                new = {u: units.words(u) for u in set(mine).difference(memory)}
-                if len(memory) + len(new) > MEMORY_UNITS:
-                    memory, words = {}, {}
-                    new = {u: units.words(u) for u in set(mine)}
-                # Units differ in punctuation; fewer words are left to encode.
-                unknown = list({w for parts in new.values() for w in parts}.difference(words))
-                words.update(zip(unknown, units.packed(unknown, "<u4")))
-                for unit, parts in new.items():
-                    memory[unit] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
-                packed = b"".join([*map(memory.__getitem__, mine), end_id.to_bytes(4, "little")])
-                names.append(None if pd.isna(doc_id) else int(doc_id))
-                counts.append(len(packed) // 4)
-                held.append(packed)
-                size += counts[-1]
+        def out() -> pa.RecordBatch:
+            block = write_block(np.concatenate(held).astype("int64"), _listing(names, counts))
+            row = {"part": part, "at": at, "n_docs": len(names), "n_ids": size, "block": block}
+            return pa.RecordBatch.from_pylist([row], _BLOCK_FIELDS)
+
+        for table in _chunks(batches):
+            ids, sizes = units.encode_texts(table["text"].combine_chunks(), end_id)
+            begin = 0
+            for doc_id, n in zip(table["doc_id"].to_pylist(), sizes.tolist()):
+                names.append(doc_id)
+                counts.append(n)
+                held.append(ids[begin : begin + n])
+                begin, size = begin + n, size + n
                 if size >= block_ids:
                     yield out()
                     names, counts, held, at, size = [], [], [], at + size, 0
@@ -87,6 +81,19 @@ def _write(spec: str, end_id: int, block_ids: int):
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they hold CHUNK_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_tokens(
     docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, block_ids: int = BLOCK_IDS
 ) -> None:
@@ -105,7 +112,7 @@ def write_tokens(
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("__hash")]
     dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = dealt.select("doc_id", "text").mapInPandas(returning(_write(spec, end_id, block_ids)), BLOCKS)
+    blocks = dealt.select("doc_id", "text").mapInArrow(returning(_write(spec, end_id, block_ids)), BLOCKS)
     blocks.write.option("compression", "none").parquet(path)
 
 

@@ -8,13 +8,27 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+
+# Units whose ids are put together at a time.
+SLICE = 1 << 19
 
 # A space with white space on both sides: only there can white space of two units merge.
 _MERGES = re.compile("[\\s\u180e\u200b] [\\s\u180e\u200b]|  ")
 
+# The same for the library of regular expressions that Arrow has; white space spelled out.
+_BLANK = "\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_MERGES_RE2 = f"  |[{_BLANK}] [{_BLANK}]"
+
 # Units made of Latin letters, plain punctuation and at most one line end between words.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SHAPE = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?]+)?(?:(\n)([{_LETTERS}]+)([.,;:!?]+)?)?")
+# The same with more punctuation, for Arrow: no apostrophe, which may begin a word with the letters
+# after it, and nothing that an added token is likely to begin with.
+_MARKS = r"[!-&(-/:;=?@\[-`{}~]"
+_SHAPE_RE2 = (
+    f"^(?P<a> ?[{_LETTERS}]+)(?P<b>{_MARKS}+)?(?:(?P<c>\n)(?P<d>[{_LETTERS}]+)(?P<e>{_MARKS}+)?)?$"
+)
 
 
 def read_tokenizer(path: str) -> str:
@@ -60,9 +74,18 @@ class Units:
         self.library = Tokenizer.from_str(spec_text)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         longest = sorted(added, key=len, reverse=True)
+        self.added = longest
         self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         self._letters = byte_alphabet()
         self._line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
+        # The same vocabulary and merges for words that are already split and spelled in the
+        # letters of the alphabet; only line ends part them.
+        from tokenizers import pre_tokenizers
+
+        line_end = next(c for c, b in self._letters.items() if b == 10)
+        self._of_words = Tokenizer(self.library.model)
+        self._of_words.pre_tokenizer = pre_tokenizers.Split(line_end, "isolated")
+        self._spelled = np.array([ord(c) for c, _ in sorted(self._letters.items(), key=lambda e: e[1])], "<u4")
 
     def split(self, text: str) -> list[str]:
         """Units that join to the text; encoding each alone gives the ids of the text.
@@ -93,21 +116,118 @@ class Units:
         shape = _SHAPE.fullmatch(unit)
         return [w for w in shape.groups() if w] if shape else [unit]
 
+    def encode_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, ``end_id`` after each, and the ids per text.
+
+        Texts are cut, and their units and words made distinct, by Arrow; each distinct word is
+        encoded once and its ids are gathered by position.  Nulls are empty texts.
+        """
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy()
+        cut = parts.flatten().dictionary_encode()
+        # The first part of a text has no space before it; an empty one is no unit.
+        firsts = parts.flatten().take(pa.array(offsets[:-1])).dictionary_encode()
+        blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        later = pc.binary_join_element_wise(blank, cut.dictionary, none)
+        codes = cut.indices.to_numpy().astype("int64")
+        codes[offsets[:-1]] = len(later) + firsts.indices.to_numpy()
+        distinct = pa.concat_arrays([later, firsts.dictionary])
+        merges = pc.match_substring_regex(texts, _MERGES_RE2)
+        if self._added:
+            # An added token may stand anywhere, also within what looks like a word.
+            for token in self.added:
+                merges = pc.or_(merges, pc.match_substring(texts, token))
+        slow = np.flatnonzero(merges.to_numpy(zero_copy_only=False))
+        ends = offsets[1:]
+        if len(slow):
+            odd: dict[str, int] = {}
+            pieces_of, slow_texts = [], set(slow.tolist())
+            for i in range(len(texts)):
+                if i in slow_texts:
+                    numbers = [odd.setdefault(u, len(odd)) for u in self.split(texts[i].as_py())]
+                    pieces_of.append(np.array(numbers, "int64") + len(distinct))
+                else:
+                    pieces_of.append(codes[offsets[i] : offsets[i + 1]])
+            ends = np.cumsum([len(c) for c in pieces_of])
+            codes = np.concatenate(pieces_of)
+            distinct = pa.concat_arrays([distinct, pa.array(list(odd), pa.large_string())])
+        flat, sizes = self._unit_ids(distinct)
+        # The end of a text is one more unit.
+        codes = np.insert(codes, ends, len(sizes))
+        flat, sizes = np.append(flat, np.uint32(end_id)), np.append(sizes, 1)
+        begins = np.cumsum(sizes) - sizes
+        out = [gather(flat, begins, sizes, codes[at : at + SLICE]) for at in range(0, len(codes), SLICE)]
+        reached = np.concatenate([[0], np.cumsum(sizes[codes])])[ends + np.arange(1, len(ends) + 1)]
+        return np.concatenate(out) if out else np.empty(0, "uint32"), np.diff(reached, prepend=0)
+
+    def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units one after another, and the ids per unit."""
+        import pyarrow.compute as pc
+
+        shape = pc.extract_regex(units, _SHAPE_RE2)
+        plain = shape.is_valid()
+        # A unit of another shape is one word; groups that are absent or empty are no words.
+        groups = [pc.if_else(plain, shape.field(0), units), *(shape.field(i) for i in range(1, 5))]
+        columns = [pc.if_else(plain, g, "") if i else g for i, g in enumerate(groups)]
+        words = pa.chunked_array(columns).combine_chunks().dictionary_encode()
+        word_ids, word_begins, word_sizes = self._word_ids(words.dictionary)
+        # Words unit by unit; an empty word has no ids.
+        codes = words.indices.to_numpy().reshape(5, len(units)).T.ravel()
+        sizes = word_sizes[codes].reshape(len(units), 5).sum(axis=1)
+        return gather(word_ids, word_begins, word_sizes, codes), sizes
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and where those of each word begin and how many they are."""
+        import pyarrow.compute as pc
+
+        latin = pc.match_substring_regex(words, f"^ ?[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        lines, others = words.filter(pa.array(latin)), words.filter(pa.array(~latin)).to_pylist()
+        ids, sizes = [], np.zeros(len(words), "int64")
+        found = []
+        for at in range(0, len(lines), 4096):
+            few = lines.slice(at, 4096)
+            one = pa.ListArray.from_arrays(pa.array([0, len(few)], "int32"), few.cast(pa.string()))
+            mine = self._lines(pc.binary_join(one, "\n")[0].as_buffer())
+            is_end = mine == self._line_end
+            marks = np.append(np.flatnonzero(is_end), len(mine))
+            if len(marks) != len(few):
+                raise ValueError("a word of letters has the id of a line end")
+            found.append(np.diff(marks, prepend=-1) - 1)
+            ids.append(mine[~is_end])
+        packed = self.packed(others, "<u4")
+        sizes[latin] = np.concatenate([np.empty(0, "int64"), *found])
+        sizes[~latin] = [len(p) // 4 for p in packed]
+        # The ids of lines come first.
+        flat = np.concatenate([np.empty(0, "<u4"), *ids, np.frombuffer(b"".join(packed), "<u4")]).astype("<u4")
+        begins = np.empty(len(words), "int64")
+        order = np.concatenate([np.flatnonzero(latin), np.flatnonzero(~latin)])
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat, begins, sizes
+
     def encode(self, units: Iterable[str]) -> list[list[int]]:
         """Ids of each unit, as the library gives them without special tokens added."""
         return [e.ids for e in self.library.encode_batch_fast(list(units), add_special_tokens=False)]
 
+    def _lines(self, text: bytes) -> np.ndarray:
+        """Ids of words that are lines of a text in UTF-8."""
+        spelled = self._spelled[np.frombuffer(text, "uint8")].tobytes().decode("utf-32-le")
+        return np.array(self._of_words.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "int64")
+
     def packed(self, units: list[str], width: str) -> list[bytes]:
         """Ids of each unit as bytes of the number type ``width``.
 
         Plain words are encoded as lines of one text, which spares a call each: a line end
-        between words is a token of its own and is in no word.
+        between words is a token of its own and is in no word.  They are words already, so the
+        library need not look for words in them.
         """
         found: dict[str, bytes] = {}
         plain = [u for u in units if (u[1:] if u[:1] == " " else u).isalpha()]
         for at in range(0, len(plain), 4096):
             lines = plain[at : at + 4096]
-            ids = np.array(self.encode(["\n".join(lines)])[0], width)
+            ids = self._lines("\n".join(lines).encode("utf-8")).astype(width)
             ends = np.flatnonzero(ids == self._line_end)
             if len(ends) == len(lines) - 1:
                 begins = [0, *(ends + 1).tolist()]
