@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 # Units whose ids are put together at a time.
-SLICE = 1 << 19
+SLICE = 1 << 15
 
 # A space with white space on both sides: only there can white space of two units merge.
 _MERGES = re.compile("[\\s\u180e\u200b] [\\s\u180e\u200b]|  ")
@@ -77,7 +77,6 @@ class Units:
         self.added = longest
         self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         self._letters = byte_alphabet()
-        self._line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
         # The same vocabulary and merges for words that are already split and spelled in the
         # letters of the alphabet; only line ends part them.
         from tokenizers import pre_tokenizers
@@ -85,6 +84,7 @@ class Units:
         line_end = next(c for c, b in self._letters.items() if b == 10)
         self._of_words = Tokenizer(self.library.model)
         self._of_words.pre_tokenizer = pre_tokenizers.Split(line_end, "isolated")
+        self._line_end = self._of_words.token_to_id(line_end)
         self._spelled = np.array([ord(c) for c, _ in sorted(self._letters.items(), key=lambda e: e[1])], "<u4")
 
     def split(self, text: str) -> list[str]:
@@ -160,7 +160,7 @@ class Units:
         flat, sizes = np.append(flat, np.uint32(end_id)), np.append(sizes, 1)
         begins = np.cumsum(sizes) - sizes
         out = [gather(flat, begins, sizes, codes[at : at + SLICE]) for at in range(0, len(codes), SLICE)]
-        reached = np.concatenate([[0], np.cumsum(sizes[codes])])[ends + np.arange(1, len(ends) + 1)]
+        reached = np.cumsum(sizes[codes])[ends + np.arange(len(ends))]
         return np.concatenate(out) if out else np.empty(0, "uint32"), np.diff(reached, prepend=0)
 
     def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +190,9 @@ class Units:
         for at in range(0, len(lines), 4096):
             few = lines.slice(at, 4096)
             one = pa.ListArray.from_arrays(pa.array([0, len(few)], "int32"), few.cast(pa.string()))
-            mine = self._lines(pc.binary_join(one, "\n")[0].as_buffer())
-            is_end = mine == self._line_end
-            marks = np.append(np.flatnonzero(is_end), len(mine))
-            if len(marks) != len(few):
-                raise ValueError("a word of letters has the id of a line end")
-            found.append(np.diff(marks, prepend=-1) - 1)
-            ids.append(mine[~is_end])
+            mine, counts = self._lines(pc.binary_join(one, "\n")[0].as_buffer(), len(few))
+            found.append(counts)
+            ids.append(mine)
         packed = self.packed(others, "<u4")
         sizes[latin] = np.concatenate([np.empty(0, "int64"), *found])
         sizes[~latin] = [len(p) // 4 for p in packed]
@@ -211,28 +207,31 @@ class Units:
         """Ids of each unit, as the library gives them without special tokens added."""
         return [e.ids for e in self.library.encode_batch_fast(list(units), add_special_tokens=False)]
 
-    def _lines(self, text: bytes) -> np.ndarray:
-        """Ids of words that are lines of a text in UTF-8."""
+    def _lines(self, text: bytes, lines: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are the lines of a text in UTF-8, and the ids per word."""
         spelled = self._spelled[np.frombuffer(text, "uint8")].tobytes().decode("utf-32-le")
-        return np.array(self._of_words.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "int64")
+        found = self._of_words.encode_batch_fast([spelled], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "uint32")
+        is_end = ids == self._line_end
+        ends = np.append(np.flatnonzero(is_end), len(ids))
+        if len(ends) != lines:
+            raise ValueError("a word of letters has the id of a line end")
+        return ids[~is_end], np.diff(ends, prepend=-1) - 1
 
     def packed(self, units: list[str], width: str) -> list[bytes]:
         """Ids of each unit as bytes of the number type ``width``.
 
-        Plain words are encoded as lines of one text, which spares a call each: a line end
-        between words is a token of its own and is in no word.  They are words already, so the
-        library need not look for words in them.
+        Plain words are encoded as lines of one text, which spares a call each.  They
+        are words already, so the library need not look for words in them.
         """
         found: dict[str, bytes] = {}
         plain = [u for u in units if (u[1:] if u[:1] == " " else u).isalpha()]
         for at in range(0, len(plain), 4096):
             lines = plain[at : at + 4096]
-            ids = self._lines("\n".join(lines).encode("utf-8")).astype(width)
-            ends = np.flatnonzero(ids == self._line_end)
-            if len(ends) == len(lines) - 1:
-                begins = [0, *(ends + 1).tolist()]
-                for word, begin, end in zip(lines, begins, [*ends.tolist(), len(ids)]):
-                    found[word] = ids[begin:end].tobytes()
+            ids, sizes = self._lines("\n".join(lines).encode("utf-8"), len(lines))
+            ids, ends = ids.astype(width), np.cumsum(sizes)
+            for word, begin, end in zip(lines, (ends - sizes).tolist(), ends.tolist()):
+                found[word] = ids[begin:end].tobytes()
         others = [u for u in units if u not in found]
         for unit, ids in zip(others, self.encode(others)):
             found[unit] = np.array(ids, width).tobytes()
