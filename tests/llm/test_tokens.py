@@ -181,3 +181,17 @@ def test_queries_digest_the_outputs(spark, tmp_path, library):
     crcs = sorted((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, ids in wanted(rows, library, end=(2,)))
     assert got(stored, "doc_id", "n_tokens", "ids_crc32") == sorted(crcs, key=repr)
     assert stored.where(F.col("start") == 0).count() == 1
+
+
+def test_words_are_encoded_again_beyond_the_memory_and_no_table_is_left(spark, library, monkeypatch):
+    rows = awkward()
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 3)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    found = bpe.encode_decode(frame(spark, rows).repartition(3), PATH)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    # The documents stay where they are bucketed: only the words are shuffled.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk") <= 1
+    want = sorted((d, ids) for d, ids in wanted(rows, library) if d is not None)
+    assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in found.collect() if r["doc_id"] is not None) == want

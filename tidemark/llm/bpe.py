@@ -29,9 +29,10 @@ from .words import Units, gather, one_thread, pack_numbers, pieces, read_tokeniz
 # A chunk ends after so many characters of text, a row of it after so many numbers.
 CHUNK_CHARS = 8 << 20
 ROW_WORDS = 1 << 18
-# The id-to-piece table is sent to every task; this bounds it.
-MAX_VOCABULARY = 1 << 20
+# Distinct words of a bucket that a task remembers before it starts over.
+MEMORY_WORDS = 1_000_000
 
+_FOLDERS_IN_CATALOG = "spark.sql.hive.manageFilesourcePartitions"
 _CHUNKS = "kind int, chunk long, no int, ids array<long>, sizes array<int>, payload binary"
 
 
@@ -124,6 +125,9 @@ def _encode_words(spec: str, width: str):
                     bucket, known = row.no, {}
                 words, numbers = _unpack_words(row.payload)
                 new = [w for w in words if w not in known]
+                if len(known) + len(new) > MEMORY_WORDS:
+                    # Words that come again after this are encoded again, to the same ids.
+                    known, new = {}, words
                 known.update(zip(new, units.packed(new, width)))
                 packed = [known[w] for w in words]
                 sizes = pack_numbers(np.fromiter(map(len, packed), "int64", len(packed)))
@@ -180,6 +184,30 @@ def _assemble(width: str, piece_size: np.ndarray, piece_bytes: bytes):
     return run
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """The rows as a written table that is bucketed by chunk and has no catalog entry.
+
+    Spark knows buckets from its catalog only.  A table with a path keeps its files when its entry
+    is dropped, and the frame read before knows its files and buckets, because the folders of this
+    table are listed and not looked up in the catalog.
+    """
+    spark, name = rows.sparkSession, f"bpe_chunks_{uuid.uuid4().hex}"
+    before = spark.conf.get(_FOLDERS_IN_CATALOG, None)
+    spark.conf.set(_FOLDERS_IN_CATALOG, "false")
+    try:
+        (
+            rows.write.partitionBy("kind").bucketBy(buckets, "chunk").option("path", fresh_path(spark, "bpe-chunks"))
+            .option("compression", "none").saveAsTable(name)
+        )
+        return spark.table(name)
+    finally:
+        if before is None:
+            spark.conf.unset(_FOLDERS_IN_CATALOG)
+        else:
+            spark.conf.set(_FOLDERS_IN_CATALOG, before)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of every document.
 
@@ -193,17 +221,10 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     small_batches(spark)
     spec = read_tokenizer(tokenizer)
     piece_table = pieces(spec)
-    if len(piece_table) > MAX_VOCABULARY:
-        raise ValueError(f"the vocabulary has more than {MAX_VOCABULARY} entries")
     width = "<u2" if piece_table[-1][0] < 1 << 16 else "<u4"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    name = f"bpe_chunks_{uuid.uuid4().hex}"
-    (
-        texts.mapInPandas(returning(_chunk_rows(spec, buckets)), _CHUNKS).write.partitionBy("kind").bucketBy(buckets, "chunk")
-        .option("path", fresh_path(spark, "bpe-chunks")).option("compression", "none").saveAsTable(name)
-    )
-    chunks = spark.table(name)
+    chunks = _bucketed(texts.mapInPandas(returning(_chunk_rows(spec, buckets)), _CHUNKS), buckets)
     words = chunks.where("kind = 0").select("chunk", "no", "payload").repartition("no").sortWithinPartitions("no")
     encoded = words.mapInPandas(returning(_encode_words(spec, width)), "chunk long, encoded binary")
     coded = chunks.where("kind = 1").select("chunk", "ids", "sizes", "payload")
