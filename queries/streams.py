@@ -229,6 +229,23 @@ def stream_to_parquet(spark, sf_dir):
     return written.groupBy(*pred.LOG_PARTITIONS).agg(F.count(F.lit(1)).alias("n"), money(F.sum("f0")).alias("total"))
 
 
+@query(
+    "stream_log_compacted",
+    f"""{RAW} SELECT endpoint_id AS key, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, count(*) AS n, round(sum(f0), 2) AS total
+    FROM u GROUP BY ALL""",
+)
+def stream_log_compacted(spark, sf_dir):
+    """The log by endpoint and day: three resumed runs append to it, and each merges its small files."""
+    by = ["key", "year", "month", "day"]
+
+    def go(stream, base):
+        good, _ = pred.split_errors(pred.with_endpoint_id(raw_events(stream)))
+        rows = pred.log_rows(pred.unpack(good)).withColumn("f0", F.col("features")[0]).select("timestamp", "f0", *by)
+        return run.drain_log(rows, "log-compacted", by, base=base)
+
+    return _arrivals(spark, sf_dir, go).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), money(F.sum("f0")).alias("total"))
+
+
 def _totals(_key, rows: pd.DataFrame, state):
     """Running count per user; every row carries the count so far."""
     seen = state[0] + pd.Series(range(1, len(rows) + 1), index=rows.index)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.joins import latest_per_key
 from ..plans.ingest import drop_versions, latest_version
 from ..session import fresh_path
+from ..sinks import log
 from ..sinks.buckets import BUCKETS, read_buckets, upsert, vacuum
 from ..sources.files import read_parquet
 
@@ -111,6 +112,33 @@ def drain_buckets(
     return read_buckets(spark, table)
 
 
+def drain_log(
+    stream: DataFrame, purpose: str, partition_by: list[str], every: int = 10, target_bytes: int = log.TARGET_BYTES,
+    base: str | None = None,
+) -> DataFrame:
+    """Append every micro-batch to a partitioned log, and merge its small files after each ``every`` batches.
+
+    Compaction runs between micro-batches here; it may as well run in a job of its own.  With the
+    ``base`` folder of an earlier run it goes on from that run's log and checkpoint.
+    """
+    spark = stream.sparkSession
+    base = base or fresh_path(spark, purpose)
+    table = f"{base}/log"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, table, partition_by, batch_id)
+        if batch_id % every == every - 1:
+            log.compact(batch.sparkSession, table, target_bytes)
+            log.vacuum(batch.sparkSession, table)
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    log.compact(spark, table, target_bytes)
+    return log.read_log(spark, table)
+
+
 def _version_before(spark: SparkSession, table: str, batch_id: int) -> int | None:
     newest = latest_version(spark, table)
     if newest is None or newest < batch_id:
