@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import documents as docs
+from tidemark.operators.pruned import pruned_top_k
 from tidemark.operators.vectors import top_k
 
 from .base import query, table
@@ -58,23 +59,34 @@ def doc_pii_mask(spark, sf_dir):
     return docs.mask_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
-@query(
-    "vec_topk",
-    """WITH c AS (SELECT label, list(m ORDER BY pos) AS q FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM
+VEC_TOPK = """WITH c AS (SELECT label, list(m ORDER BY pos) AS q FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM
         (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1)
     SELECT label, vec_id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT c.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score,
         row_number() OVER (PARTITION BY c.label ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id) AS rank
-      FROM embeddings, c) WHERE rank <= 3""",
-)
-def vec_topk(spark, sf_dir):
-    """Nearest vectors to the centroid of every label."""
-    vectors = table(spark, sf_dir, "embeddings")
-    centroids = (
+      FROM embeddings, c) WHERE rank <= 3"""
+
+
+def _centroids(vectors):
+    return (
         vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
         .groupBy("label", "pos")
         .agg(F.avg(F.col("x").cast("double")).alias("m"))
         .groupBy("label")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("q"))
     )
-    found = top_k(vectors, centroids, "vec_id", "embedding", "label", "q", 3)
+
+
+@query("vec_topk", VEC_TOPK)
+def vec_topk(spark, sf_dir):
+    """Nearest vectors to the centroid of every label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = top_k(vectors, _centroids(vectors), "vec_id", "embedding", "label", "q", 3)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("vec_topk_pruned", VEC_TOPK)
+def vec_topk_pruned(spark, sf_dir):
+    """The same from tiles around pivots; tiles too far from a centroid are not read."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = pruned_top_k(vectors, _centroids(vectors), "vec_id", "embedding", "label", "q", 3)
     return found.withColumn("score", F.round("score", 6))

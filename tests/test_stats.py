@@ -132,3 +132,11 @@ def test_merged_increments_equal_one_pass(spark):
     assert all(r["count"] == 0 and r["mean"] is None and r["p50"] is None and r["distinct"] == 0 for r in empty)
     with pytest.raises(SpecError):
         increments.summarize(df, ["none"])
+
+
+def test_random_sample_agrees_with_its_rerun(spark):
+    df = spark.range(20_000).repartition(4, "id")
+    picked = [sorted(r[0] for r in stats.sample_rows(df, 0.1, seed).collect()) for seed in (42, 42, 43)]
+    assert picked[0] == picked[1] != picked[2]
+    assert len(set(picked[0])) == len(picked[0]) and abs(len(picked[0]) - 2000) < 250
+    assert stats.sample_rows(df, 0.0).count() == 0 and stats.sample_rows(df, 1.0).count() == 20_000
