@@ -158,3 +158,14 @@ def test_awkward_rows_are_scored(spark):
     found = quality.classify(frame(spark, rows + extra), spark.createDataFrame(marks, LABELS))
     assert found.count() == len(rows) + len(extra)
     assert langid.identify(frame(spark, languages() + extra)).count() == 240 + len(extra)
+
+
+def test_training_takes_whole_texts(spark):
+    """What tells the classes apart stands at the far end of long texts."""
+    from tidemark.llm import training
+
+    long = "the same words for all of them " * 400
+    rows = [(i, long + ("alpha " if i % 2 else "omega ") * 30, "a" if i % 2 else "o") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = training.sample(docs, docs, "lang", 15, 4)
+    assert len(found) == 30 and set(found["text"].map(len)) == {len(r[1]) for r in rows}

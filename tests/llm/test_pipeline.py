@@ -100,9 +100,9 @@ def test_one_document_of_each_group(spark, tmp_path):
 def test_a_hundred_languages(spark):
     """More languages than the sample has room for at full depth: fewer documents of each."""
     docs = frame(spark, [row(i, f"w{i % 100} " * 12 + chr(0x4E00 + i % 100) * 40, lang=f"l{i % 100}") for i in range(800)])
-    picked = langid.sample(docs.select("doc_id", "lang"), docs, "lang", 4, 50, 30)
+    picked = langid.sample(docs.select("doc_id", "lang"), docs, "lang", 4, 50)
     assert picked.groupby("lang").size().to_dict() == {f"l{i}": 2 for i in range(100)}
-    few = langid.sample(docs.select("doc_id", "lang"), docs, "lang", 4, 5, 30)
+    few = langid.sample(docs.select("doc_id", "lang"), docs, "lang", 4, 5)
     assert len(few) == 20 and set(few.groupby("lang").size()) == {1}
     found = langid.identify(docs)
     assert found.count() == 800 and found.where("lang_pred = 'und'").count() == 0

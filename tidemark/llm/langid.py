@@ -25,8 +25,11 @@ EMBEDDING = 8
 # Bounds of the training sample.
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 64
-MAX_CHARS = 768
+# Passes over the windows, fewer (two at least) if these would meet more windows than VISITS.
 EPOCHS = 8
+VISITS = 200_000
+# The windows of a longer text weigh as much as so many together.
+LONG = 16
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -70,11 +73,13 @@ def _forward(weights: dict, rows: np.ndarray):
     return prob / prob.sum(axis=1, keepdims=True), hidden, places, patches
 
 
-def _gradients(weights: dict, rows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(weights: dict, rows: np.ndarray, labels: np.ndarray, share: np.ndarray | None = None) -> dict[str, np.ndarray]:
     prob, hidden, places, patches = _forward(weights, rows)
     delta = prob.copy()
     delta[np.arange(len(rows)), labels] -= 1
     delta /= len(rows)
+    if share is not None:
+        delta *= share[:, None]
     grads = {"out": hidden.T @ delta, "out_bias": delta.sum(axis=0), "embed": np.zeros_like(weights["embed"])}
     back = (delta @ weights["out"].T) * (hidden > 0)
     for n, w in enumerate(WIDTHS):
@@ -91,7 +96,7 @@ def _gradients(weights: dict, rows: np.ndarray, labels: np.ndarray) -> dict[str,
 def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
     """Weights and class names learned from labelled texts."""
     names = sorted(set(labels))
-    rows, target = [], []
+    rows, target, share = [], [], []
     rng = np.random.default_rng(seed)
     for text, label in zip(texts, labels):
         part = windows(text)
@@ -100,14 +105,15 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
         short[:, rng.integers(12, WINDOW // 2) :] = 0
         rows += [part, short]
         target.append(np.full(len(part) + 1, names.index(label)))
-    rows, target = np.concatenate(rows), np.concatenate(target)
+        share.append(np.append(np.full(len(part), min(1.0, LONG / len(part))), 1.0))
+    rows, target, share = np.concatenate(rows), np.concatenate(target), np.concatenate(share)
     weights = _begin(len(names), seed)
     adam = Adam(weights, 0.01)
-    for _ in range(EPOCHS if len(names) > 1 else 0):
+    for _ in range(max(2, min(EPOCHS, VISITS // len(rows))) if len(names) > 1 else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
-            adam.update(_gradients(weights, rows[batch], target[batch]))
+            adam.update(_gradients(weights, rows[batch], target[batch], share[batch]))
     return {"names": names, **weights}
 
 
@@ -189,13 +195,13 @@ class Scorer:
 def fit(docs: DataFrame, holdout: int | None = 2, parts: int = 4) -> dict:
     """The network learned from text and non-null lang of documents that are not held out.
 
-    At most PER_LANGUAGE documents a language, chosen by hash, and MAX_CHARS of each train it.
+    At most PER_LANGUAGE documents a language, chosen by hash, train it with all their windows.
     Without labelled texts the model has no language.
     """
     rows = docs.select("doc_id", "lang")
     if holdout is not None:
         rows = rows.where(F.coalesce(fold(F.col("doc_id"), parts) != holdout, F.lit(True)))
-    picked = sample(rows, docs, "lang", PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS)
+    picked = sample(rows, docs, "lang", PER_LANGUAGE, MAX_LANGUAGES)
     picked = picked[[bool(_LETTER.search(t)) for t in picked["text"]]]
     if not len(picked):
         return {"names": [], **_begin(1, 0)}

@@ -23,9 +23,8 @@ ENCODED = 24
 GATE = 12
 EXTRA = 8
 FEATURES = 256 + PAIRS + EXTRA
-# Bounds of the training sample.
+# Bound of the training sample.
 PER_LABEL = 1200
-MAX_CHARS = 4096
 EPOCHS = 12
 _SLAB = 256
 
@@ -123,7 +122,7 @@ def _gradients(w: dict, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[s
 def train(texts: list[str], labels: list[int], share: float, seed: int = 3) -> dict:
     """Weights learned from documents labelled 0 or 1; ``share`` is the true share of label 1."""
     rows, sizes = _passages(texts)
-    x, y = _features(rows).astype("float64"), np.asarray(labels, "float64")
+    x, y = _features(rows), np.asarray(labels, "float64")
     ends = np.cumsum(sizes)
     w = _begin(seed)
     adam, rng = Adam(w, 0.01), np.random.default_rng(seed)
@@ -132,7 +131,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 3) -> d
         for at in range(0, len(order), 32):
             batch = order[at : at + 32]
             pick = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in batch])
-            adam.update(_gradients(w, x[pick], np.repeat(np.arange(len(batch)), sizes[batch]), y[batch]))
+            adam.update(_gradients(w, x[pick].astype("float64"), np.repeat(np.arange(len(batch)), sizes[batch]), y[batch]))
     # The sample is balanced by label; the scores go back to the labels' own shares.
     drawn = y.mean()
     w["out_bias"] = w["out_bias"] + np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
@@ -162,7 +161,7 @@ def probabilities(model: dict, texts: list) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, holdout: int | None = 1, parts: int = 3) -> dict | float:
     """The model learned from labelled documents that are not held out.
 
-    At most PER_LABEL documents of each label, chosen by hash, and MAX_CHARS of each train it;
+    At most PER_LABEL documents of each label, chosen by hash, train it with all their passages;
     the shares of the labels are counted over all.  If only one label occurs the model is that
     constant, without labels it is 0.5.  A document with several labels counts as often; null
     labels, texts and ids do not train.
@@ -173,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: int | None = 1, parts: int
     counts = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    picked = sample(marked, docs, "quality", PER_LABEL, 2, MAX_CHARS)
+    picked = sample(marked, docs, "quality", PER_LABEL, 2)
     if picked["quality"].nunique() < 2:
         return counts[1] / (counts[0] + counts[1])
     return train(list(picked["text"]), list(picked["quality"]), counts[1] / (counts[0] + counts[1]))

@@ -15,14 +15,13 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def sample(
-    marked: DataFrame, docs: DataFrame, label: str, per_label: int, max_labels: int, max_chars: int
+    marked: DataFrame, docs: DataFrame, label: str, per_label: int, max_labels: int
 ) -> pd.DataFrame:
     """(label, text): at most ``per_label`` documents of each label, for training on the driver.
 
     ``marked`` has (doc_id, label).  Ids are chosen by hash first, from the narrow table; only
     the chosen texts are read.  This is the only bounded read of the models: what they score is
-    never sampled.  Texts longer than ``max_chars`` give a stretch of that length from a hashed
-    place.  The sample holds ``per_label * max_labels`` documents at most: with more labels than
+    never sampled.  Their texts are whole.  The sample holds ``per_label * max_labels`` documents at most: with more labels than
     ``max_labels`` each gives fewer, one at least, and beyond that many labels the most frequent
     are learned.  Null ids and texts do not train.
     """
@@ -46,11 +45,9 @@ def sample(
         ]
     schema = marked.select("doc_id", label).schema
     picked = spark.createDataFrame(list(dict.fromkeys(chosen)), schema)
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.char_length("text") - max_chars + 1, F.lit(1))) + 1
-    stretch = F.substring("text", begin.cast("int"), F.lit(max_chars))
     # At most per_label * max_labels ids are sent to the tasks.
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = texts.select(label, stretch.alias("text"), order.alias("__at")).limit(2 * len(chosen) + 1).toPandas()
+    found = texts.select(label, "text", order.alias("__at")).limit(2 * len(chosen) + 1).toPandas()
     return found.sort_values([label, "__at", "text"], ignore_index=True)[[label, "text"]]
 
 
