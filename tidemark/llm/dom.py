@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections.abc import Callable
+
+import numpy as np
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,8 +51,10 @@ _CLOSED_BY = {
 # Elements that an end tag inside them does not reach through.
 _SCOPES = frozenset("table td th caption article section aside nav footer header form html body main ul ol".split())
 MAX_DEPTH = 100
-# Cells that the alignment of two pages may fill; beyond, long rows of siblings are matched from both ends.
+# Scores that the alignment of two pages remembers; beyond, they are computed again.
 MAX_CELLS = 1 << 20
+# Tables of rows of siblings up to this size are filled cell by cell, larger ones row by row.
+SMALL_CELLS = 1 << 12
 
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|</[^>]*>",
@@ -296,10 +302,11 @@ def _shape(item) -> object:
 
 
 class _Matcher:
-    """Simple tree matching of two pages, within a number of cells.
+    """Simple tree matching of two pages.
 
-    Rows of siblings whose table would go beyond what is left are matched by label from both
-    ends, which costs their length only; what lies between has no place.
+    The largest match whatever the length of the rows of siblings: a table of more than ``cells``
+    cells is held in part only, every so many of its rows, and the rest is computed again where
+    it is needed.
     """
 
     def __init__(self, cells: int = MAX_CELLS):
@@ -315,9 +322,12 @@ class _Matcher:
         if a.shape == b.shape:
             return a.size
         key = (a.shape, b.shape)
-        if key not in self.memo:
-            self.memo[key] = 1 + self._shared(a.items, b.items)
-        return self.memo[key]
+        found = self.memo.get(key)
+        if found is None:
+            found = 1 + self._shared(a.items, b.items)
+            if len(self.memo) < self.cells:
+                self.memo[key] = found
+        return found
 
     def _shared(self, left: list, right: list) -> int:
         begin, n, m = _equal_ends(left, right, _shape)
@@ -325,17 +335,59 @@ class _Matcher:
         left, right = left[begin:n], right[begin:m]
         if not left or not right:
             return total
-        table = self.rows(left, right)
-        if table is not None:
-            return total + table[-1][-1]
-        begin, n, _ = _equal_ends(left, right, _label)
-        return total + begin + len(left) - n
-
-    def rows(self, left: list, right: list) -> list[list[int]] | None:
-        """Best scores of all pairs of leading rows; None if there is no room for them."""
-        if len(left) * len(right) > self.cells:
-            return None
-        self.cells -= len(left) * len(right)
+        if self._small(left, right):
+            return total + self._table(left, right)[-1][-1]
+        row, weights = np.zeros(len(right) + 1, "int64"), self._weights(right)
+        for a in left:
+            row = _next_row(row, weights(a))
+        return total + int(row[-1])
+
+    def pairs(self, left: list, right: list) -> list[tuple[int, int]]:
+        """Places of the siblings that a largest match puts together, last ones first."""
+        out: list[tuple[int, int]] = []
+        if self._small(left, right):
+            _trace(self._table(left, right), 0, len(left), len(right), out)
+            return out
+        step, weights = math.isqrt(len(left)) + 1, self._weights(right)
+        row, kept = np.zeros(len(right) + 1, "int64"), []
+        for i, a in enumerate(left):
+            if i % step == 0:
+                kept.append(row)
+            row = _next_row(row, weights(a))
+        j = len(right)
+        for k in range(len(kept) - 1, -1, -1):
+            rows = [kept.pop()]
+            for a in left[k * step : (k + 1) * step]:
+                rows.append(_next_row(rows[-1], weights(a)))
+            j = _trace(rows, k * step, len(rows) - 1, j, out)
+            if not j:
+                break
+        return out
+
+    def _small(self, left: list, right: list) -> bool:
+        return len(left) * len(right) <= min(self.cells, SMALL_CELLS)
+
+    def _weights(self, right: list) -> Callable[[object], np.ndarray]:
+        """Scores of a sibling with all of ``right``; siblings of one shape are scored once."""
+        first: dict = {}
+        codes = np.array([first.setdefault(_shape(b), len(first)) for b in right])
+        kinds = dict(zip(map(_shape, right), right))
+        one_of_each = [kinds[shape] for shape in first]
+        known: dict = {}
+
+        def weights(a) -> np.ndarray:
+            shape = _shape(a)
+            found = known.get(shape)
+            if found is None:
+                found = np.array([self.score(a, b) for b in one_of_each], "int64")
+                if (len(known) + 1) * len(found) <= self.cells:
+                    known[shape] = found
+            return found[codes]
+
+        return weights
+
+    def _table(self, left: list, right: list) -> list[list[int]]:
+        """Best scores of all pairs of leading rows."""
         table = [[0] * (len(right) + 1)]
         for a in left:
             above, row = table[-1], [0]
@@ -347,8 +399,23 @@ class _Matcher:
         return table
 
 
-def _label(item) -> str:
-    return "#" if isinstance(item, str) else item.label
+def _next_row(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    row = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights), out=row[1:])
+    return row
+
+
+def _trace(rows: list, at: int, i: int, j: int, out: list[tuple[int, int]]) -> int:
+    """Walk from row ``i``, column ``j`` up to the first of ``rows``, which is row ``at`` of the table."""
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((at + i, j))
+    return j
 
 
 def _equal_ends(left: list, right: list, key) -> tuple[int, int, int]:
@@ -373,20 +440,8 @@ def align(ref: Leaves, page: Leaves, cells: int = MAX_CELLS) -> dict[int, int]:
         ends(a, b, 0, 0, begin, len(left), n, m)
         if begin == n or begin == m:
             return
-        table = matcher.rows(left[begin:n], right[begin:m])
-        if table is None:
-            first, last, until = _equal_ends(left[begin:n], right[begin:m], _label)
-            ends(a, b, begin, begin, first, n, begin + last, begin + until)
-            return
-        i, j = n - begin, m - begin
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pair(a, begin + i, b, begin + j)
+        for i, j in matcher.pairs(left[begin:n], right[begin:m]):
+            pair(a, begin + i, b, begin + j)
 
     def ends(a: Node, b: Node, at: int, to: int, count: int, stop: int, n: int, m: int) -> None:
         for i in range(count):

@@ -121,8 +121,8 @@ def extract(pages: DataFrame) -> DataFrame:
     links.  Character references are decoded, white space inside a block becomes one space,
     blocks are joined by one space.  Null and empty html give an empty text; a null or odd url is
     a host of its own; broken markup is read as far as it goes; repeated rows are kept; other
-    columns are ignored; an empty table gives an empty one.  Two pages with more unlike siblings
-    than ``dom.MAX_CELLS`` has room for are aligned from both ends of those.
+    columns are ignored; an empty table gives an empty one.  Two pages are aligned by their
+    largest match however many siblings they have.
     """
     small_batches(pages.sparkSession)
     plain = pages.select(
