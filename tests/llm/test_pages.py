@@ -171,3 +171,12 @@ def test_whole_operator_against_known_wrappers(spark):
                 want[i] = " ".join(content).replace("&amp;", "&")
     rng.shuffle(rows)
     assert {i: t for i, (t, _) in texts(spark, rows).items()} == want
+
+
+def test_alignment_does_not_depend_on_room():
+    """The same largest match whether tables are filled whole or in part, remembered or not."""
+    rng = random.Random(5)
+    for _ in range(20):
+        a, b = (dom.Leaves("".join(f"<{t}>x<p>y</p></{t}>" for t in rng.choices(["div", "ul", "h2"], k=30))) for _ in range(2))
+        assert dom.align(a, b, cells=20) == dom.align(a, b)
+        assert dom._Matcher(20).score(a.root, b.root) == dom._Matcher().score(a.root, b.root)
