@@ -132,3 +132,15 @@ def test_stream_violations_equal_the_batch_report(spark):
     for batch in range(3):
         want = {tuple(r) for r in validate.report(rows.where(f"micro_batch = {batch}"), checks).collect()}
         assert {tuple(r)[:4] for r in reports.where(f"micro_batch = {batch}").collect()} == want
+
+
+def test_partitions_get_one_file_per_micro_batch(spark):
+    import glob
+
+    base = fresh_path(spark, "dealt")
+    rows = spark.range(4000).select("id", (F.col("id") % 5).alias("part"))
+    rows.repartition(6).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 6).parquet(f"{base}/in")
+    with_files = run.drain(stream.repartition(6), "dealt", ["part"], f"{base}/run")
+    assert with_files.agg(F.sum("id"), F.count("id")).first() == rows.agg(F.sum("id"), F.count("id")).first()
+    assert len(glob.glob(f"{base}/run/out/part=*/*.parquet")) == 5

@@ -24,9 +24,15 @@ def start_parquet(
     interval: str | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
-    """Append a stream to a Parquet folder, exactly once per checkpoint."""
+    """Append a stream to a Parquet folder, exactly once per checkpoint.
+
+    Rows are dealt by the partition columns, so a partition gets a file per micro-batch and not
+    one from every task; where the engine adapts, small partitions share tasks and a large one
+    is split over several.
+    """
+    rows = stream.hint("rebalance", *partition_by) if partition_by else stream
     writer = (
-        stream.writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .option("path", path)
