@@ -133,3 +133,13 @@ def test_events_are_parsed_once(spark):
     assert unpacked._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 10
     assert [(r["features"], r["prediction"]) for r in unpacked.orderBy("part").collect()] == [([1.0, 2.0], [5.0]), ([3.0, 4.0], [6.0])]
     assert events.count() == 3
+
+
+def test_vote_aggregate_calls_python_per_slot(spark, monkeypatch):
+    """Samples share the calls of the grouped aggregate, and each keeps its own votes."""
+    monkeypatch.setattr(scoring, "SLOTS", 3)
+    monkeypatch.setattr(scoring, "SAMPLES", 7)
+    df = spark.range(200).selectExpr("id % 50 AS s", "if(id % 50 = 3, null, 'x') AS t", "cast(id AS STRING) AS m", "cast(id AS DOUBLE) AS p")
+    found = scoring.vote_aggregate(df, ["s", "t"], "m", "p", lambda votes, weights: sum(votes))
+    assert {(r["s"], r["t"]): r["vote"] for r in found.collect()} == {(s, None if s == 3 else "x"): 4.0 * s + 300 for s in range(50)}
+    assert "collect_list" in found._jdf.queryExecution().toString()

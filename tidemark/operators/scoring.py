@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 
 from ..errors import SpecError
 
+# Groups that samples are dealt into, each one call of the user's rule, and samples whose votes a
+# call holds as Python objects.
+SLOTS = 1 << 12
+SAMPLES = 1000
+
 
 def score(
     df: DataFrame,
@@ -128,10 +133,10 @@ def vote_aggregate(
 ) -> DataFrame:
     """(sample, vote) by a user's own rule over the (model, prediction) rows of each sample.
 
-    ``logic(predictions, weights)`` is Python code run as a grouped aggregate; it gets the votes
+    ``logic(predictions, weights)`` is Python code run in a grouped aggregate over slots of samples; it gets the votes
     by model name, then prediction, so a rerun agrees.  Null models count as ''.  Models left out of ``weights`` weigh 0.
-    Null predictions do not vote; a sample without votes has none.  A group holds the votes of
-    one sample only.
+    Null predictions do not vote; a sample without votes has none.  A call of it
+    holds the votes of one sample only.
     """
     if weights is None:
         weight = F.lit(1.0)
@@ -139,14 +144,30 @@ def vote_aggregate(
         known = F.create_map(*[x for m, w in weights.items() for x in (F.lit(m), F.lit(float(w)))])
         weight = F.coalesce(known[F.col(model)], F.lit(0.0))
 
-    def decide(names: pa.Array, votes: pa.Array, shares: pa.Array) -> float:
-        # Plain lists: a frame or a series per group would cost more than the rule.
-        ballots = sorted((n, v, w) for n, v, w in zip(names.to_pylist(), votes.to_pylist(), shares.to_pylist()) if v is not None and v == v)
-        decision = logic([v for _, v, _ in ballots], [w for *_, w in ballots]) if ballots else None
-        return None if decision is None else float(decision)
-
-    aggregate = F.arrow_udf(decide, T.DoubleType())
-    return df.groupBy(*sample).agg(aggregate(F.coalesce(F.col(model).cast("string"), F.lit("")), F.col(prediction).cast("double"), weight).alias(out))
+    def decide(samples: pa.Array, ballots: pa.Array) -> list[dict]:
+        # Many samples a call: an Arrow batch per sample would cost more than the rule.
+        fields, edges = ballots.values, ballots.offsets.to_pylist()
+        decided, names = [], samples.to_pylist()
+        for first in range(0, len(names), SAMPLES):
+            some = edges[first : first + SAMPLES + 1]
+            columns = [fields.field(i).slice(some[0], some[-1] - some[0]).to_pylist() for i in range(3)]
+            for name, i, j in zip(names[first:], some, some[1:]):
+                cast = [c[i - some[0] : j - some[0]] for c in columns]
+                voted = sorted((n, v, w) for n, v, w in zip(*cast) if v is not None and v == v)
+                decision = logic([v for _, v, _ in voted], [w for *_, w in voted]) if voted else None
+                decided.append({"s": name, "v": None if decision is None else float(decision)})
+        return decided
+
+    ballot = F.struct(F.coalesce(F.col(model).cast("string"), F.lit("")).alias("n"), F.col(prediction).cast("double").alias("v"), weight.alias("w"))
+    key = T.StructType([T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(sample)])
+    aggregate = F.arrow_udf(decide, T.ArrayType(T.StructType([T.StructField("s", key), T.StructField("v", T.DoubleType())])))
+    slot = F.pmod(F.xxhash64(*sample), F.lit(SLOTS)).alias("__slot")
+    # Dealt by slot once: neither grouping moves a row again.
+    dealt = df.select(slot, *sample, ballot.alias("__ballot")).repartition("__slot")
+    held = dealt.groupBy("__slot", *sample).agg(F.collect_list("__ballot").alias("__ballots"))
+    names = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(sample)])
+    found = held.groupBy("__slot").agg(aggregate(names, "__ballots").alias("__d")).select(F.inline("__d"))
+    return found.select(*[F.col(f"s.k{i}").alias(k) for i, k in enumerate(sample)], F.col("v").alias(out))
 
 
 def apply_handler(
