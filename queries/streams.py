@@ -6,6 +6,7 @@ every tenth, no function on some users.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -364,8 +365,8 @@ def _in_order(spark, sf_dir, go):
 
 def _spent(_key, rows: pd.DataFrame, state):
     """Orders so far and the newest event of a customer; both go on from the seed."""
-    seen = state[0] + pd.Series(range(1, len(rows) + 1), index=rows.index)
-    out = rows[["user_id", "event_id"]].assign(seen=seen.astype("int64"), before=state[1])
+    seen = np.arange(state[0] + 1, state[0] + len(rows) + 1)
+    out = pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "seen": seen, "before": state[1]})
     return out, (state[0] + len(rows), int(rows["event_id"].iloc[-1]))
 
 

@@ -144,3 +144,23 @@ def test_late_rows_per_micro_batch(spark):
     parts = [frame(spark, [(1, 0, 10), (1, 1, 5), (2, 2, 1), (None, 3, 4)]), frame(spark, [(1, 4, 7), (1, 5, 12), (2, 6, 1)])]
     *_, last = in_runs(spark, parts, lambda s: stateful.late_per_batch(s, ["k"], "t"))
     assert sorted(last, key=repr) == sorted([(1, 2, 0), (2, 1, 0), (None, 1, 0), (1, 2, 1), (2, 1, 0)], key=repr)
+
+
+@pytest.mark.parametrize("order", [["e"], None])
+def test_keys_that_share_a_slot_keep_their_own_state(spark, order):
+    """Twenty keys in two slots, a null key among them; every run goes on from the last."""
+    keys = [*range(19), None]
+    seed = spark.createDataFrame([(k, 1000 * (k or 0) + 7) for k in keys if k is None or k % 2] + [(99, 1)], "k long, total long")
+
+    def add(key, rows: pd.DataFrame, state):
+        assert rows["k"].dropna().nunique() <= 1 and list(rows.index) == list(range(len(rows)))
+        total = state[0] + rows["e"].cumsum()
+        return pd.DataFrame({"k": [key[0]] * len(rows), "e": rows["e"], "total": total}), (int(total.iloc[-1]),)
+
+    parts = [spark.createDataFrame([(k, e) for e in es for k in keys], "k long, e long").coalesce(1) for es in ((1, 2, 3), (4,), (5, 6))]
+    *_, last = in_runs(
+        spark, parts, lambda s: processors.map_with_table(s, ["k"], add, "k long, e long, total long", "total long", (0,), seed, order, slots=2)
+    )
+    start = {k: 1000 * (k or 0) + 7 if k is None or k % 2 else 0 for k in keys}
+    want = [(k, e, start[k] + e * (e + 1) // 2) for k in keys for e in range(1, 7)]
+    assert last == sorted(want, key=repr)
