@@ -164,3 +164,22 @@ def test_keys_that_share_a_slot_keep_their_own_state(spark, order):
     start = {k: 1000 * (k or 0) + 7 if k is None or k % 2 else 0 for k in keys}
     want = [(k, e, start[k] + e * (e + 1) // 2) for k in keys for e in range(1, 7)]
     assert last == sorted(want, key=repr)
+
+
+def test_counts_of_keys_that_share_a_slot(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([*range(15), None]), rng.choice(["x", "y", None]), e) for e in range(300)]
+    parts = [spark.createDataFrame(rows[at : at + 100], "k long, v string, e long") for at in (0, 100, 200)]
+    *_, last = in_runs(spark, parts, lambda s: processors.count_values(s, ["k"], "v", "n", ["e"], slots=2))
+    seen, want = {}, []
+    for k, v, e in rows:
+        seen[(k, v)] = seen.get((k, v), 0) + 1
+        want.append((k, v, e, seen[(k, v)]))
+    assert last == sorted(want, key=repr)
+
+
+def test_counts_of_times(spark):
+    """Values that are no text, number or truth value."""
+    parts = [spark.createDataFrame([(1, i % 2, i) for i in some], "k long, s long, e long").select("k", F.timestamp_seconds("s").alias("v"), "e") for some in (range(5), range(5, 8))]
+    *_, last = in_runs(spark, parts, lambda s: processors.count_values(s, ["k"], "v", "n", ["e"], slots=1))
+    assert {r[2]: r[3] for r in last} == {e: e // 2 + 1 for e in range(8)}
