@@ -183,3 +183,13 @@ def test_counts_of_times(spark):
     parts = [spark.createDataFrame([(1, i % 2, i) for i in some], "k long, s long, e long").select("k", F.timestamp_seconds("s").alias("v"), "e") for some in (range(5), range(5, 8))]
     *_, last = in_runs(spark, parts, lambda s: processors.count_values(s, ["k"], "v", "n", ["e"], slots=1))
     assert {r[2]: r[3] for r in last} == {e: e // 2 + 1 for e in range(8)}
+
+
+def test_a_slots_timer_closes_the_batches_that_are_due(spark):
+    """Silent keys of one slot: those past their deadline close, the others stay and close later."""
+    first = frame(spark, [(k, k, 10 * k) for k in range(6)])
+    parts = [first, frame(spark, [(9, 90, 60)]), frame(spark, [(9, 91, 100)])]
+    *seen, last = in_runs(spark, parts, lambda s: processors.batch_rows(s, ["k"], 3, "25s", "t", "1s", ["e"], slots=1))
+    closed = [{r[0] for r in run} for run in (*seen, last)]
+    assert closed == [{k for k in range(6) if 10 * k + 25 <= top - 1} | ({9} if top == 100 else set()) for top in (50, 60, 100)]
+    assert {(r[3], r[4]) for r in last} == {(0, "time")}
