@@ -193,3 +193,17 @@ def test_a_slots_timer_closes_the_batches_that_are_due(spark):
     closed = [{r[0] for r in run} for run in (*seen, last)]
     assert closed == [{k for k in range(6) if 10 * k + 25 <= top - 1} | ({9} if top == 100 else set()) for top in (50, 60, 100)]
     assert {(r[3], r[4]) for r in last} == {(0, "time")}
+
+
+def test_late_rows_of_keys_that_share_a_slot(spark):
+    rng = random.Random(4)
+    rows = [[(rng.choice([*range(12), None]), e, rng.randint(0, 50)) for e in range(80)] for _ in range(3)]
+    *_, last = in_runs(spark, [frame(spark, r) for r in rows], lambda s: stateful.late_per_batch(s, ["k"], "t", slots=2))
+    newest, want = {}, []
+    for part in rows:
+        for k in {r[0] for r in part}:
+            mine = [s for key, _, s in part if key == k]
+            want.append((k, len(mine), sum(s < newest.get(k, -1) for s in mine)))
+        for k, _, s in part:
+            newest[k] = max(newest.get(k, -1), s)
+    assert sorted(last, key=repr) == sorted(want, key=repr)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..errors import SpecError
 from ..functions.time import duration_seconds
+from .processors import _CODE, _SLOT, SLOTS, _slotted
+
+# Before any time, in microseconds.
+NEVER = -(2**63)
 
 MapFn = Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
 
@@ -149,27 +154,47 @@ def count_late(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return map_with_state(stream, keys, watch, out, "newest long", (-(2**62),))
 
 
-def late_per_batch(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def late_per_batch(stream: DataFrame, keys: list[str], ts: str, slots: int = SLOTS) -> DataFrame:
     """Per micro-batch and key: its rows, and those older than all earlier micro-batches brought.
 
-    The order of rows inside a micro-batch does not count, so a rerun agrees.
+    The order of rows inside a micro-batch does not count, so a rerun agrees.  Python is called
+    per slot of keys, whose newest times are its state; the number of ``slots`` is fixed with the
+    checkpoint.
     """
-    out = T.StructType([stream.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("late", T.LongType())])
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        before = state.get[0] if state.exists else None
-        n, late, newest = 0, 0, before
+    def watch(_slot: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+        known = dict(zip(*state.get)) if state.exists else {}
+        place: dict[str, int] = {}
+        before, n, late, newest = (np.empty(0, "int64") for _ in range(4))
         for pdf in batches:
-            times = pdf[ts].dropna().astype("datetime64[us]").astype("int64")
-            n += len(pdf)
-            if len(times):
-                late += int((times < before).sum()) if before is not None else 0
-                newest = int(times.max()) if newest is None else max(newest, int(times.max()))
-        if newest is not None:
-            state.update((newest,))
-        yield pd.DataFrame([[*key, n, late]], columns=[*keys, "n", "late"])
-
-    return stream.groupBy(*keys).applyInPandasWithState(watch, out, "newest long", "append", GroupStateTimeout.NoTimeout)
+            numbers, codes = pd.factorize(pdf[_CODE])
+            new = [c for c in codes if c not in place]
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            start = np.array([known.get(c, NEVER) for c in new], "int64")
+            none = np.zeros(len(new), "int64")
+            before, newest = np.append(before, start), np.append(newest, start)
+            n, late = np.append(n, none), np.append(late, none)
+            at = np.array([place[c] for c in codes], "int64")[numbers]
+            n += np.bincount(at, minlength=len(n))
+            has = pdf["at"].notna().to_numpy()
+            times, at = pdf["at"][has].astype("datetime64[us]").astype("int64").to_numpy(), at[has]
+            late += np.bincount(at[times < before[at]], minlength=len(late))
+            np.maximum.at(newest, at, times)
+        known.update((c, t) for c, t in zip(place, newest.tolist()) if t != NEVER)
+        state.update((list(known), list(known.values())))
+        yield pd.DataFrame({_CODE: list(place), "n": n, "late": late})
+
+    places = [f"k{i}" for i in range(len(keys))]
+    by_place = stream.select(*(F.col(k).alias(p) for k, p in zip(keys, places)), F.col(ts).alias("at"))
+    counted = (
+        _slotted(by_place, places, slots).select(_SLOT, _CODE, "at").groupBy(_SLOT).applyInPandasWithState(
+            watch, f"{_CODE} string, n long, late long", "codes array<string>, newest array<long>", "append",
+            GroupStateTimeout.NoTimeout,
+        )
+    )
+    texts = F.from_json(_CODE, T.StructType([T.StructField(p, T.StringType()) for p in places]))
+    named = [texts[p].cast(stream.schema[k].dataType).alias(k) for k, p in zip(keys, places)]
+    return counted.select(*named, "n", "late")
 
 
 def enrich(stream: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
