@@ -2,6 +2,7 @@
 
 A key's rows reach its function as an iterator of Arrow batches in arrival order, and the
 state is a small tuple, so memory per key does not grow with its rows.
+``late_per_batch`` handles keys by slots, as ``processors`` does.
 """
 
 from __future__ import annotations
