@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -195,3 +196,58 @@ def test_words_are_encoded_again_beyond_the_memory_and_no_table_is_left(spark, l
     assert plan.count("Exchange hashpartitioning(chunk") <= 1
     want = sorted((d, ids) for d, ids in wanted(rows, library) if d is not None)
     assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in found.collect() if r["doc_id"] is not None) == want
+
+
+class Sent:
+    """A tokenizer that keeps how many characters and strings it was given."""
+
+    def __init__(self, of):
+        self.of, self.longest = of, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.longest = max([self.longest, *map(len, texts)])
+        return self.of.encode_batch_fast(texts, **options)
+
+
+def lines_of_words(n):
+    rng = random.Random(n)
+    return ["".join(rng.choice("abcdeéñüßÿ") for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 64, 1000])
+def test_words_are_encoded_together_as_one_by_one(library, n):
+    """Cutting words apart within the library took half of the encoding; only marks part them now."""
+    units, lines = words.Units(words.read_tokenizer(PATH)), lines_of_words(n)
+    units._of_words = Sent(units._of_words)
+    assert units._of_words.of.pre_tokenizer is None
+    ids, sizes = units._lines("\n".join(lines).encode(), n)
+    wanted = [library.encode(w, add_special_tokens=False).ids for w in lines]
+    assert sizes.tolist() == [len(w) for w in wanted] and ids.tolist() == sum(wanted, [])
+    assert units._of_words.longest <= words.GROUP * 25
+
+
+def test_a_vocabulary_whose_every_byte_is_merged(library):
+    """No byte can stand between words: line ends are isolated by a pattern."""
+    spec = json.loads(words.read_tokenizer(PATH))
+    letters = {b: c for c, b in words.byte_alphabet().items()}
+    top = max(spec["model"]["vocab"].values(), default=0) + len(spec["added_tokens"]) + 1
+    pair = [*spec["model"]["merges"][:1]][0]
+    for b in words._NEVER:
+        token = letters[b] * 2
+        spec["model"]["vocab"].setdefault(token, top + b)
+        spec["model"]["merges"].append(" ".join([letters[b]] * 2) if isinstance(pair, str) else [letters[b]] * 2)
+    units, lines = words.Units(json.dumps(spec)), lines_of_words(100)
+    assert units._of_words.pre_tokenizer is not None
+    ids, sizes = units._lines("\n".join(lines).encode(), 100)
+    wanted = [library.encode(w, add_special_tokens=False).ids for w in lines]
+    assert sizes.tolist() == [len(w) for w in wanted] and ids.tolist() == sum(wanted, [])
+
+
+def test_model_keeps_to_32_bits(monkeypatch):
+    """Twice as wide numbers and np.where on random masks made a fifth of the decoding."""
+    seen = []
+    interval = range_coder._Model.interval
+    monkeypatch.setattr(range_coder._Model, "interval", lambda m, ids: seen.append(interval(m, ids)) or seen[-1])
+    ids = np.random.default_rng(3).zipf(1.3, 5000) % 60000
+    assert (range_coder.read_block(range_coder.write_block(ids))[0] == ids).all()
+    assert {a.dtype.name for pair in seen for a in pair} == {"int32"}

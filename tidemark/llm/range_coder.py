@@ -33,10 +33,17 @@ class BlockError(ValueError):
     """A block that is damaged or not one."""
 
 
+def _mix(no: np.ndarray, yes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """``yes`` where the mask has all bits, ``no`` where it has none: np.where stalls on random masks."""
+    return no ^ ((no ^ yes) & mask)
+
+
 class _Model:
     """Predictions for all lanes of a block, and their updates.
 
-    A prediction is kept with its confidence (0 to 3, 0: none yet) in the low two bits.
+    A prediction is kept with its confidence (0 to 3, 0: none yet) in the low two bits.  Numbers
+    are 32 bits wide (none is above 2**TOTAL_BITS) but for those that are positions in a table.
+    ``a - b >> 31`` is the mask of a < b.
     """
 
     def __init__(self, lanes: int, alphabet: int):
@@ -62,12 +69,14 @@ class _Model:
             self.seen += np.bincount(np.concatenate(self.wait), minlength=self.alphabet)
             self.wait = []
         total = int(self.seen.sum())
-        self.below = np.arange(self.alphabet + 1, dtype="int64")
+        below = np.arange(self.alphabet + 1, dtype="int64")
         room = (1 << self.id_bits) - self.alphabet
         if total:
-            self.below[1:] += np.cumsum(self.seen) * room // total
+            below[1:] += np.cumsum(self.seen) * room // total
         else:
-            self.below = self.below * (1 << self.id_bits) // self.alphabet
+            below = below * (1 << self.id_bits) // self.alphabet
+        self.below = below.astype("int32")
+        self.share = np.diff(self.below)
         self.id_at = None
 
     def _weights(self) -> None:
@@ -80,9 +89,9 @@ class _Model:
         hits[np.arange(32) // 4 % 4 == 0, 2] = 0
         hits[(np.arange(32) % 4 == 0) | (np.arange(32) >= 16), 1] = 0
         scaled = (hits * (((1 << self.weight_bits) - 1) / hits.sum(axis=1, keepdims=True))).astype("int64")
-        self.weight0 = (1 << self.weight_bits) - scaled[:, 1] - scaled[:, 2]
-        self.weight1 = scaled[:, 1] << self.id_bits
-        self.weight2 = scaled[:, 2] << self.id_bits
+        self.weight0 = ((1 << self.weight_bits) - scaled[:, 1] - scaled[:, 2]).astype("int32")
+        self.weight1 = (scaled[:, 1] << self.id_bits).astype("int32")
+        self.weight2 = (scaled[:, 2] << self.id_bits).astype("int32")
 
     def predict(self) -> None:
         """Predictions and weights of every lane for its next id."""
@@ -91,51 +100,53 @@ class _Model:
         self.conf2, self.conf1 = self.entry2 & 3, self.entry1 & 3
         self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
         agree = (self.guess1 == self.guess2) & (self.conf2 > 0)
-        self.context = (self.conf2 << 2) + self.conf1 + (agree.view("int8") << 4)
+        self.context = ((self.conf2 << 2) + self.conf1 + (agree.astype("int32") << 4)).astype("int64")
         self.w0 = self.weight0.take(self.context)
         self.w1 = self.weight1.take(self.context)
         self.w2 = self.weight2.take(self.context)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of the ids in the mixture, of 2**TOTAL_BITS."""
-        below = self.below.take(ids)
-        self.right2, self.right1 = ids == self.guess2, ids == self.guess1
-        begin = self.w0 * below + self.w2 * (ids > self.guess2) + self.w1 * (ids > self.guess1)
-        width = self.w0 * (self.below.take(ids + 1) - below) + self.w2 * self.right2 + self.w1 * self.right1
+        few = ids.astype("int32")
+        past2, past1 = self.guess2 - few, self.guess1 - few
+        self.right2, self.right1 = -(past2 == 0).astype("int32"), -(past1 == 0).astype("int32")
+        begin = self.w0 * self.below.take(ids) + (self.w2 & past2 >> 31) + (self.w1 & past1 >> 31)
+        width = self.w0 * self.share.take(ids) + (self.w2 & self.right2) + (self.w1 & self.right1)
         return begin, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds the value, lane by lane."""
         if self.id_at is None:
-            self.id_at = np.repeat(np.arange(self.alphabet), np.diff(self.below))
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype="int32"), self.share)
         # The plain shares begin again behind the interval of each guess.
-        swap = self.guess2 < self.guess1
         low, high = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
-        w_low = np.where(swap, self.w2, self.w1)
+        two = low - high >> 31
+        w_low = _mix(self.w1, self.w2, self.guess2 - self.guess1 >> 31)
         w_both = self.w1 + self.w2
-        after_low = self.w0 * self.below.take(low + 1) + w_low
-        high_begin = self.w0 * self.below.take(high) + w_low
-        after_high = self.w0 * self.below.take(high + 1) + w_both
-        one = low == high
-        past = np.where(value >= after_high, w_both, w_low * ((value >= after_low) & ~one))
+        low_at, high_at = low.astype("int64"), high.astype("int64")
+        after_low = self.w0 * (self.below.take(low_at) + self.share.take(low_at)) + w_low
+        high_begin = self.w0 * self.below.take(high_at) + w_low
+        after_high = high_begin + self.w0 * self.share.take(high_at) + (w_both - w_low)
+        until_high = value - after_high >> 31
+        past = _mix(w_both, w_low & two & ~(value - after_low >> 31), until_high)
         # Values inside a guess's interval are clipped here and set below.
         found = self.id_at.take((value - past) // self.w0, mode="clip")
-        found = np.where(~one & (value >= high_begin) & (value < after_high), high, found)
-        near = np.where(one, after_high, after_low)
-        return np.where((value < near) & (found > low), low, found)
+        found = _mix(found, high, two & until_high & ~(value - high_begin >> 31))
+        near = _mix(after_high, after_low, two)
+        return _mix(found, low, (value - near >> 31) & (low - found >> 31)).astype("int64")
 
     def learn(self, ids: np.ndarray) -> None:
         """Confident wrong guesses lose confidence, unsure ones are replaced."""
-        hit2 = self.right2 & (self.conf2 > 0)
-        hit1 = self.right1 & (self.conf1 > 0) & ~hit2
-        self.tally.append(self.context * 3 + hit1 + 2 * hit2.view("int8"))
+        hit2 = (self.right2 < 0) & (self.conf2 > 0)
+        hit1 = (self.right1 < 0) & (self.conf1 > 0) & ~hit2
+        self.tally.append(self.context * 3 + (hit1.view("int8") + 2 * hit2.view("int8")))
         fresh = (ids << 2 | 1).astype("int32")
         for table, at, entry, conf, right in (
             (self.after2, self.slot, self.entry2, self.conf2, self.right2),
             (self.after1, self.last1, self.entry1, self.conf1, self.right1),
         ):
-            surer = entry + (conf < 3)
-            table[at] = np.where(right, surer, np.where(conf > 1, entry - 1, fresh))
+            surer = np.minimum(entry + 1, entry | 3)
+            table[at] = _mix(_mix(fresh, entry - 1, 1 - conf >> 31), surer, right)
         self.wait.append(ids)
         self.last2, self.last1 = self.last1, ids
         self.step += 1
@@ -163,8 +174,8 @@ def _code(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
         model.predict()
         begin, width = model.interval(now)
         unit = size >> _TOTAL
-        low += unit * begin.view("uint64")
-        size = unit * width.view("uint64")
+        low += unit * begin.astype("uint64")
+        size = unit * width.astype("uint64")
         short = np.flatnonzero(size <= _LOW32)
         if len(short):
             # Cut the interval where it leaves the settled word: no carry is ever needed.
@@ -194,16 +205,16 @@ def _decode(n: int, alphabet: int, counts: np.ndarray, words: np.ndarray) -> np.
     over = (padded[at] << _WORD) | padded[at + 1]
     at = at + 2
     columns = np.empty((steps, lanes), "int64")
-    most = np.int64((1 << TOTAL_BITS) - 1)
+    most = np.uint64((1 << TOTAL_BITS) - 1)
     for t in range(steps):
         model.predict()
         unit = size >> _TOTAL
-        now = model.find(np.minimum((over // unit).view("int64"), most))
+        now = model.find(np.minimum(over // unit, most).astype("int32"))
         begin, width = model.interval(now)
-        first = unit * begin.view("uint64")
+        first = unit * begin.astype("uint64")
         low += first
         over -= first
-        size = unit * width.view("uint64")
+        size = unit * width.astype("uint64")
         short = np.flatnonzero(size <= _LOW32)
         if len(short):
             rest = low[short] & _LOW32
