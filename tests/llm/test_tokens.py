@@ -226,6 +226,60 @@ def test_words_are_encoded_together_as_one_by_one(library, n):
     assert units._of_words.longest <= words.GROUP * 25
 
 
+def encoded(units, library, texts):
+    ids, sizes = units.encode_texts(pa.array(["of another slice", *texts], pa.string()).slice(1), 2)
+    want = [[*e.ids, 2] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, want))
+    assert ids.tolist() == [i for mine in want for i in mine]
+
+
+# Alike in their first 7, 8, 14, 15 and 16 bytes, zero bytes at the end, and nothing.
+ALIKE = [
+    "a", "a\0", "a\0\0", "abcdefg", "abcdefgh", "abcdefgi", "abcdefghij", "abcdefghijklmn", "abcdefghijklmno", "abcdefghijklmnop",
+    "abcdefghijklmnoq", "ééééééé", "éééééééé", "é" * 40, "a" * 300, ",", "a,", "a.\nb!", "", None, " ", " a", "  a", "a  b", "a <|endoftext|> b",
+]
+
+
+@pytest.mark.parametrize("mix", [None, (1, 0), (1, 1)])
+@pytest.mark.parametrize("memory", [1 << 19, 6, 0])
+def test_remembered_units_have_the_ids_of_the_library(library, monkeypatch, mix, memory):
+    """Also with units that share a mixed number, and where few are kept."""
+    monkeypatch.setattr(words, "MEMORY", memory)
+    if mix:
+        monkeypatch.setattr(words, "_MIX", mix)
+    units, rng = words.Units(words.read_tokenizer(PATH)), random.Random(4)
+    for n in (1, 30, 0, 200, 200):
+        encoded(units, library, [None if t is None else " ".join([t, *rng.choices(ALIKE[:16], k=3)]) for t in rng.choices(ALIKE, k=n)])
+        encoded(units, library, ALIKE)
+        for kept in (units._units, units._words):
+            assert len(kept.sizes) == len(kept._low) == len(kept._high) == len(kept._met) <= memory
+            assert len(kept.ids) == kept.sizes.sum()
+
+
+def test_a_call_that_fails_leaves_the_memory_whole(library, monkeypatch):
+    units = words.Units(words.read_tokenizer(PATH))
+    encoded(units, library, ALIKE)
+    with monkeypatch.context() as broken:
+        broken.setattr(units, "_of_words", None)
+        with pytest.raises(AttributeError):
+            units.encode_texts(pa.array(["some words that are new"]), 2)
+    encoded(units, library, ["some words that are new", *ALIKE])
+
+
+def test_words_are_encoded_once_for_all_tasks_of_a_process(library):
+    """Every task built its own tokenizer and encoded words again that the tasks before it had."""
+    units = words.lasting_units(words.read_tokenizer(PATH))
+    assert words.lasting_units(words.read_tokenizer(PATH)) is units
+    units, lines = words.Units(words.read_tokenizer(PATH)), [w[:6] for w in lines_of_words(300)]
+    encoded(units, library, [" " + " ".join(lines)])
+    units._of_words = Sent(units._of_words)
+    encoded(units, library, [" " + " ".join(reversed(lines)), "x " + " ".join(lines)])
+    assert units._of_words.longest <= 1
+    # A mark behind a word that came before leaves the word itself remembered.
+    encoded(units, library, ["x " + " ".join(w + "," for w in lines)])
+    assert units._of_words.longest <= 1
+
+
 def test_a_vocabulary_whose_every_byte_is_merged(library):
     """No byte can stand between words: line ends are isolated by a pattern."""
     spec = json.loads(words.read_tokenizer(PATH))

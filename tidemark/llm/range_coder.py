@@ -13,8 +13,9 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMK2"
-MAX_LANES = 4096
+MAGIC = b"TMK3"
+# Many lanes spread the cost of a step over more ids, at a few bytes a lane.
+MAX_LANES = 3 << 12
 LANE_IDS = 256
 # Shares of ids add up to 2**18 or more (twice the alphabet), shares times mixing weights to 2**30.
 ID_BITS, TOTAL_BITS = 18, 30

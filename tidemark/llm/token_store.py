@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .batches import returning, small_batches
 from .prefix import before
 from .range_coder import read_block, write_block
-from .words import Units, one_thread, pack_numbers, read_tokenizer, unpack_numbers
+from .words import lasting_units, one_thread, pack_numbers, read_tokenizer, unpack_numbers
 
 # A block closes with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 22
@@ -56,7 +56,7 @@ def _write(spec: str, end_id: int, block_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        units, part, at = Units(spec), TaskContext.get().partitionId(), 0
+        units, part, at = lasting_units(spec), TaskContext.get().partitionId(), 0
         names, counts, held, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
