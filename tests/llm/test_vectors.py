@@ -1,9 +1,11 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import hash_forest, vector_dedup
+from tidemark.llm.prefix import numbered
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cid long, tile long, code string, low long"
 
@@ -183,3 +185,57 @@ def test_one_id_with_several_vectors(spark):
     have = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in found)
     want = [(1, 1, 0.9), (2, 3, 0.9), (3, 2, 0.5)] + [(1, 1, 2.0), (2, 2, 1.0), (3, 1, 0.2)]
     assert have == sorted(want)
+
+
+def broadcasts(df):
+    """What the plan sends to the driver to broadcast it: the columns of each such side."""
+    todo, sides = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.initialPlan()
+        if plan.nodeName() == "BroadcastExchange":
+            sides.append({f.name() for f in plan.schema().fields()})
+        below = plan.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return sides
+
+
+def test_what_grows_with_the_table_is_not_broadcast(spark, monkeypatch):
+    """Files of codes and vectors are small, their rows are not: the driver's memory ended at 200,000 rows."""
+    seen = {}
+    real = hash_forest.cut
+
+    def watched(df, purpose):
+        seen[purpose] = broadcasts(df)
+        return real(df, purpose)
+
+    monkeypatch.setattr(hash_forest, "cut", watched)
+    rows = rows_of([list(map(float, v)) for v in clustered(80)])
+    seen["result"] = broadcasts(hash_forest.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=4))
+    assert {"forest-ranges", "forest-probes", "result"} <= set(seen)
+    columns = set().union(*(side for sides in seen.values() for side in sides))
+    assert not columns & {"code", "prefix", "packed", "embedding", "__q", "list", "ids"}
+
+
+def test_levels_of_neighbours_are_found_by_tasks():
+    rng = np.random.default_rng(3)
+    asked = {7: rng.standard_normal(8).tolist(), 9: rng.standard_normal(5).tolist()}
+    pairs = [(q, (np.asarray(asked[q]) + rng.normal(0, s, len(asked[q]))).tolist()) for s in (0.0, 0.05, 0.5, 3.0) for q in asked]
+    pdf = pd.DataFrame(pairs, columns=["query_id", "embedding"])
+    found = pd.concat(hash_forest._met(asked, 4, 6, 11)(iter([pdf])))
+    want = [int(hash_forest._depths(np.asarray([asked[q]]), np.asarray([v]), 4, 6, 11)[0]) for q, v in pairs]
+    assert sorted(zip(found["query_id"], found["depth"])) == sorted(zip(pdf["query_id"], want))
+    assert max(want) == 6 and min(want) < 6
+
+
+def test_numbers_of_rows_dealt_by_their_first_column(spark, monkeypatch):
+    ids = np.random.default_rng(9).integers(0, 12, 300)
+    rows = [(int(i), [float(n % 7), float(n)]) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    dealt = []
+    real = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *by: dealt.append(by) or real(self, *by))
+    found = numbered(df, ["vec_id", "embedding"], "no", leading=1).orderBy("no").collect()
+    assert dealt == [("vec_id",)]
+    assert [r["no"] for r in found] == list(range(300)) and [(r["vec_id"], r["embedding"]) for r in found] == sorted(rows)

@@ -157,10 +157,27 @@ def _nearest(ids: list[int], vectors: list, k: int):
     return run
 
 
+def _met(asked: dict[int, list], trees: int, symbols: int, seed: int):
+    """Task function: per true neighbour its query and the level at which the search meets it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, same in pdf.groupby(pdf["embedding"].map(len).to_numpy()):
+                queries = np.asarray([asked[q] for q in same["query_id"]], "float64")
+                yield pd.DataFrame({"query_id": same["query_id"], "depth": _depths(queries, matrix(same["embedding"]), trees, symbols, seed)})
+
+    return run
+
+
 def _measured_goal(classes: DataFrame, found: DataFrame, k: int, trees: int, symbols: int, least: int, seed: int) -> float:
-    """Candidates a query needs on this table, from a sample of its queries and brute force."""
-    sample = classes.where("asks").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE_QUERIES)
-    asked = {r["vec_id"]: r["embedding"] for r in sample.select("vec_id", "embedding").collect()}
+    """Candidates a query needs on this table, from a sample of its queries and brute force.
+
+    The driver receives the sample and counts per query and level, no neighbours.
+    """
+    # Ids first: every task sends so many of its rows to the driver.
+    sample = classes.where("asks").select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE_QUERIES)
+    sampled = F.col("vec_id").isin([r["vec_id"] for r in sample.collect()])
+    asked = {r["vec_id"]: r["embedding"] for r in classes.where(sampled).select("vec_id", "embedding").collect()}
     if not asked:
         return least
     kind = classes.schema["embedding"].dataType.simpleString()
@@ -168,20 +185,16 @@ def _measured_goal(classes: DataFrame, found: DataFrame, k: int, trees: int, sym
         _nearest(list(asked), list(asked.values()), k), f"query_id long, vec_id long, score double, embedding {kind}"
     )
     first = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    true = each.withColumn("__at", first).where(F.col("__at") <= k).select("query_id", "embedding").collect()
+    true = each.withColumn("__at", first).where(F.col("__at") <= k).select("query_id", "embedding")
+    met = true.mapInPandas(_met(asked, trees, symbols, seed), "query_id long, depth long").groupBy("query_id", "depth").count().collect()
     number = {q: i for i, q in enumerate(asked)}
     sums = np.zeros((len(asked), symbols + 1))
-    held = found.where(F.col("vec_id").isin(list(asked))).groupBy("vec_id", "level").agg(F.sum("n").alias("n"))
+    held = found.where(sampled).groupBy("vec_id", "level").agg(F.sum("n").alias("n"))
     for r in held.collect():
         sums[number[r["vec_id"]], r["level"]] = r["n"]
-    owner = np.array([number[r["query_id"]] for r in true], "int64")
-    depth = np.zeros(len(true), "int64")
-    lengths = np.array([len(r["embedding"]) for r in true])
-    for length in set(lengths.tolist()):
-        at = np.flatnonzero(lengths == length)
-        queries = np.asarray([asked[true[i]["query_id"]] for i in at], "float64")
-        others = np.asarray([true[i]["embedding"] for i in at], "float64")
-        depth[at] = _depths(queries, others, trees, symbols, seed)
+    times = np.array([r["count"] for r in met], "int64")
+    owner = np.repeat(np.array([number[r["query_id"]] for r in met], "int64"), times)
+    depth = np.repeat(np.array([r["depth"] for r in met], "int64"), times)
     return goal_for(sums, owner, depth, RECALL, least)
 
 
@@ -282,6 +295,16 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """Join whose sides both grow with the table: neither is ever sent to the driver.
+
+    Spark takes the files of a written table for its size, and neither packed columns (the codes
+    and vectors of 40 trees) nor rows made by ``explode`` count in them: it would broadcast
+    gigabytes as 10 MB.
+    """
+    return left.join(right.hint("merge"), on)
+
+
 def _classes(plain: DataFrame, k: int) -> DataFrame:
     """Equal vectors as one row: its key, whether any of them asks, the ``k`` + 1 smallest ids.
 
@@ -292,7 +315,7 @@ def _classes(plain: DataFrame, k: int) -> DataFrame:
     few = plain.select("vec_id", "embedding").withColumn("__at", first).where(F.col("__at") <= k + 1)
     ids = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asks = plain.groupBy("embedding").agg(F.max("asks").alias("asks"))
-    return ids.join(asks, "embedding").select(F.col("ids")[0].alias("vec_id"), "embedding", "asks", "ids")
+    return merged(ids, asks, "embedding").select(F.col("ids")[0].alias("vec_id"), "embedding", "asks", "ids")
 
 
 def search(
@@ -324,7 +347,7 @@ def search(
     wanted, k = k, k + repeats - 1
     classes = _classes(plain, k)
     if repeats > 1:
-        classes = numbered(classes, ["vec_id", "embedding"], "__no").withColumn("vec_id", F.col("__no")).drop("__no")
+        classes = numbered(classes, ["vec_id", "embedding"], "__no", leading=1).withColumn("vec_id", F.col("__no")).drop("__no")
     classes = cut(classes, "forest-classes")
     symbols = symbols or symbols_for(classes.count(), trees)
     strings = "vec_id long, tree int, code string, scale double, off double, packed binary"
@@ -340,7 +363,7 @@ def search(
     asked = classes.where("asks").select("vec_id", "embedding").mapInPandas(_strings(trees, symbols, seed, "float32"), strings)
     asked = cut(asked, "forest-queries")
     steps = asked.select("vec_id", "tree", "code").withColumn("level", levels).withColumn("prefix", prefix)
-    found = cut(steps.join(ranges, ["tree", "level", "prefix"]).select("vec_id", "tree", "level", "low", "n"), "forest-ranges")
+    found = cut(merged(steps, ranges, ["tree", "level", "prefix"]).select("vec_id", "tree", "level", "low", "n"), "forest-ranges")
     # At the root one tree holds everything.
     root = found.where((F.col("level") > 0) | (F.col("tree") % 4096 == 0))
     goal = _measured_goal(classes, root, k, trees, symbols, min_candidates, seed)
@@ -354,7 +377,7 @@ def search(
     blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK_ROWS), F.floor((ends - 1) / BLOCK_ROWS)))
     probes = root.join(stop, ["vec_id", "level"]).withColumn("high", ends).withColumn("block", blocks)
     whole = asked.where(F.col("tree") % 4096 == 0).select("vec_id", "scale", "off", "packed")
-    probes = cut(probes.select("vec_id", "block", "low", "high").join(whole, "vec_id"), "forest-probes")
+    probes = cut(merged(probes.select("vec_id", "block", "low", "high"), whole, "vec_id"), "forest-probes")
     # A block that many queries reach is copied to as many tasks as they need.
     load = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("slices"))
     vector = ["scale", "off", "packed"]
@@ -376,7 +399,7 @@ def search(
     short = nth.withColumn("__least", bound).where(F.col("__least").isNull() | (F.col("high") >= F.col("__least"))).select("query_id", "vec_id")
     left = classes.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
     score = inner_product(F.col("__q"), F.col("embedding")).alias("score")
-    others = short.join(left, "query_id").join(classes.select("vec_id", "embedding", "ids"), "vec_id").select("query_id", "vec_id", "ids", score)
+    others = merged(merged(short, left, "query_id"), classes.select("vec_id", "embedding", "ids"), "vec_id").select("query_id", "vec_id", "ids", score)
     best = F.row_number().over(of_query.orderBy(F.col("score").desc(), "vec_id"))
     others = others.withColumn("__at", best).where(F.col("__at") <= k).select("query_id", "ids", "score")
     # The equals of a query are candidates too.
@@ -385,8 +408,8 @@ def search(
     each = others.union(equals).select("query_id", "score", F.explode("ids").alias("id"))
     ranked = each.withColumn("__at", F.row_number().over(of_query.orderBy(F.col("score").desc(), "id"))).where(F.col("__at") <= k + 1)
     lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("__at", "id", "score"))).alias("list"))
-    answers = left.join(lists, "query_id").select(F.col("__q").alias("embedding"), "list")
-    mine = plain.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").join(answers, "embedding")
+    answers = merged(left, lists, "query_id").select(F.col("__q").alias("embedding"), "list")
+    mine = merged(plain.where("asks").select(F.col("vec_id").alias("query_id"), "embedding"), answers, "embedding")
     rest = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, wanted)
     ranks = mine.select("query_id", F.posexplode(rest).alias("__no", "__hit"))
     return ranks.select("query_id", (F.col("__no") + 1).alias("rank"), F.col("__hit.id").alias("vec_id"), F.col("__hit.score").alias("score"))
