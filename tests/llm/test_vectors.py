@@ -213,7 +213,7 @@ def test_what_grows_with_the_table_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(hash_forest, "cut", watched)
     rows = rows_of([list(map(float, v)) for v in clustered(80)])
     seen["result"] = broadcasts(hash_forest.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=4))
-    assert {"forest-ranges", "forest-probes", "result"} <= set(seen)
+    assert {"forest-ranges", "forest-probes", "forest-asks", "result"} <= set(seen)
     columns = set().union(*(side for sides in seen.values() for side in sides))
     assert not columns & {"code", "prefix", "packed", "embedding", "__q", "list", "ids"}
 
@@ -239,3 +239,30 @@ def test_numbers_of_rows_dealt_by_their_first_column(spark, monkeypatch):
     found = numbered(df, ["vec_id", "embedding"], "no", leading=1).orderBy("no").collect()
     assert dealt == [("vec_id",)]
     assert [r["no"] for r in found] == list(range(300)) and [(r["vec_id"], r["embedding"]) for r in found] == sorted(rows)
+
+
+@pytest.mark.parametrize("at_once", [3, 256])
+def test_tasks_return_what_reaches_a_known_score(monkeypatch, at_once):
+    """Every task used to return the best of its own rows, however far from the best of all."""
+    monkeypatch.setattr(hash_forest, "SCORED_QUERIES", at_once)
+    rng, k = np.random.default_rng(12), 5
+    vectors = rng.standard_normal((310, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    sides = {kind: next(hash_forest._strings(1, 3, 11, kind)(iter([pd.DataFrame({"vec_id": range(310), "embedding": list(vectors)})]))) for kind in ("int8", "float32")}
+
+    def task(rows, least):
+        index, asks = sides["int8"].iloc[rows], sides["float32"].iloc[:10]
+        both = [index.assign(kind=0, id=index["vec_id"], low=index["vec_id"], high=index["vec_id"], least=-np.inf)]
+        both.append(asks.assign(kind=1, id=asks["vec_id"], low=0, high=310, least=least))
+        return pd.concat(hash_forest._scan(k)(iter([pd.concat(both).assign(block=0, slice=0)])), ignore_index=True)
+
+    halves = slice(0, 155), slice(155, 310)
+    scores = vectors[:10] @ vectors.T
+    scores[np.arange(10), np.arange(10)] = -np.inf
+    best = {(q, int(c)) for q in range(10) for c in np.argsort(-scores[q])[:k]}
+    pairs = [pd.concat([task(half, least) for half in halves]) for least in (-np.inf, np.sort(scores, axis=1)[:, -k] - 0.01)]
+    free, bound = ({(int(q), int(c)) for q, c in zip(f["query_id"], f["vec_id"])} for f in pairs)
+    assert best <= bound < free and len(free) >= 2 * k * 10 and len(bound) < 1.6 * k * 10
+    for f in pairs:
+        true = scores[f["query_id"], f["vec_id"]]
+        assert (f["low"] <= true).all() and (true <= f["high"]).all()

@@ -35,6 +35,10 @@ MORE_SYMBOLS = 5
 # Rows of a sorted array that are scored together, and queries sent to one copy of them.
 BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
+# Queries whose scores with a block are in memory at a time.
+SCORED_QUERIES = 256
+# Trees in which the block around a query is scored before all others.
+FIRST_TREES = 4
 # Scored pairs a task holds to merge them over its blocks.
 HELD_ROWS = 1_000_000
 SEED = 11
@@ -212,7 +216,10 @@ def _keep(query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.nd
 
 
 def _scan(k: int):
-    """Task function over (block, slice, kind): rows of a block first, then its queries."""
+    """Task function over (block, slice, kind): rows of a block first, then its queries.
+
+    ``least`` is a score that ``k`` others of the query reach, as far as known.
+    """
 
     def score(rows: list[pd.DataFrame], asks: pd.DataFrame) -> pd.DataFrame | None:
         index = pd.concat(rows)
@@ -224,25 +231,30 @@ def _scan(k: int):
             return None
         at = index["low"].to_numpy("int64")[None, :]
         ids = index["id"].to_numpy("int64")
-        mine = asks["id"].to_numpy("int64")
-        inside = (at >= asks["low"].to_numpy("int64")[:, None]) & (at < asks["high"].to_numpy("int64")[:, None])
-        inside &= mine[:, None] != ids[None, :]
         scale, off = index["scale"].to_numpy("float64"), index["off"].to_numpy("float64")
-        q_scale, q_off = asks["scale"].to_numpy("float64"), asks["off"].to_numpy("float64")
         length = np.linalg.norm(small, axis=1) * scale
-        q_length = np.linalg.norm(queries, axis=1) * q_scale
         # Rounding of sums in single precision.
         slack = dims * 1.2e-7
-        near = (queries @ small.T).astype("float64")
-        near *= q_scale[:, None]
-        near *= scale[None, :]
-        error = np.outer(q_off, length + off) + np.outer(q_length, off + slack * length)
-        low = np.where(inside, near - error, -np.inf)
-        least = np.full(len(mine), -np.inf)
-        if low.shape[1] > k:
-            least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        q, c = np.nonzero(inside & (near + error >= least[:, None]))
-        return pd.DataFrame({"query_id": mine[q], "vec_id": ids[c], "low": low[q, c], "high": near[q, c] + error[q, c]})
+        found = []
+        for begin in range(0, len(asks), SCORED_QUERIES):
+            part, those = asks.iloc[begin : begin + SCORED_QUERIES], queries[begin : begin + SCORED_QUERIES]
+            mine = part["id"].to_numpy("int64")
+            inside = (at >= part["low"].to_numpy("int64")[:, None]) & (at < part["high"].to_numpy("int64")[:, None])
+            inside &= mine[:, None] != ids[None, :]
+            q_scale, q_off = part["scale"].to_numpy("float64"), part["off"].to_numpy("float64")
+            q_length = np.linalg.norm(those, axis=1) * q_scale
+            near = (those @ small.T).astype("float64")
+            near *= q_scale[:, None]
+            near *= scale[None, :]
+            error = np.outer(q_off, length + off) + np.outer(q_length, off + slack * length)
+            low = np.where(inside, near - error, -np.inf)
+            least = part["least"].to_numpy("float64")
+            if low.shape[1] > k:
+                least = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+            near += error
+            q, c = np.nonzero(inside & (near >= least[:, None]))
+            found.append(pd.DataFrame({"query_id": mine[q], "vec_id": ids[c], "low": low[q, c], "high": near[q, c]}))
+        return pd.concat(found)
 
     def merge(found: list[pd.DataFrame]) -> pd.DataFrame:
         """What can be among the best of each query over the blocks of this task, every pair once."""
@@ -283,6 +295,28 @@ def _scan(k: int):
     return run
 
 
+def _scanned(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, low, high): the pairs that can be among the best ``k`` of their query."""
+    # A block that many queries reach is copied to as many tasks as they need.
+    load = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("slices"))
+    vector = ["scale", "off", "packed"]
+    rows = (
+        index.withColumn("block", F.floor(F.col("at") / BLOCK_ROWS)).join(load, "block")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        .select(
+            "block", "slice", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("at").alias("low"), F.col("at").alias("high"), *vector,
+            F.lit(-math.inf).alias("least"),
+        )
+    )
+    asks = probes.join(load, "block").select(
+        "block", F.pmod(F.xxhash64("vec_id", "low"), F.col("slices")).alias("slice"), F.lit(1).alias("kind"),
+        F.col("vec_id").alias("id"), "low", "high", *vector, "least",
+    )
+    dealt = rows.union(asks).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "low")
+    near = dealt.mapInPandas(_scan(k), "query_id long, vec_id long, low double, high double")
+    return near.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+
+
 def _of_length(rows: list[pd.DataFrame], length: int) -> list[tuple[int, list[pd.DataFrame]]]:
     kin = [r[r["packed"].map(len).to_numpy() == length] for r in rows]
     kin = [r for r in kin if len(r)]
@@ -376,23 +410,18 @@ def search(
     ends = F.col("low") + F.col("n")
     blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK_ROWS), F.floor((ends - 1) / BLOCK_ROWS)))
     probes = root.join(stop, ["vec_id", "level"]).withColumn("high", ends).withColumn("block", blocks)
+    probes = cut(probes.select("vec_id", "block", "low", "high"), "forest-probes")
     whole = asked.where(F.col("tree") % 4096 == 0).select("vec_id", "scale", "off", "packed")
-    probes = cut(merged(probes.select("vec_id", "block", "low", "high"), whole, "vec_id"), "forest-probes")
-    # A block that many queries reach is copied to as many tasks as they need.
-    load = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("slices"))
-    vector = ["scale", "off", "packed"]
-    rows = (
-        index.withColumn("block", F.floor(F.col("at") / BLOCK_ROWS)).join(load, "block")
-        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-        .select("block", "slice", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("at").alias("low"), F.col("at").alias("high"), *vector)
-    )
-    asks = probes.join(load, "block").select(
-        "block", F.pmod(F.xxhash64("vec_id", "low"), F.col("slices")).alias("slice"), F.lit(1).alias("kind"),
-        F.col("vec_id").alias("id"), "low", "high", *vector,
-    )
-    dealt = rows.union(asks).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "low")
-    near = dealt.mapInPandas(_scan(k), "query_id long, vec_id long, low double, high double")
-    once = near.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    # The rows next to the query in a few trees give a score that its best ones reach: without it
+    # every task would return ``k`` pairs of every query.
+    own = root.where((F.col("tree") % 4096 < FIRST_TREES) & (F.col("level") == symbols)).select("vec_id", F.col("low").alias("__own"))
+    beside = merged(probes, own.withColumn("block", F.floor(F.col("__own") / BLOCK_ROWS)), ["vec_id", "block"])
+    beside = merged(beside.where((F.col("low") <= F.col("__own")) & (F.col("__own") < F.col("high"))).drop("__own"), whole, "vec_id")
+    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("low").desc()))
+    seen = _scanned(index, cut(beside.withColumn("least", F.lit(-math.inf)), "forest-beside"), k).withColumn("__at", first)
+    reached = seen.where(F.col("__at") == k).select(F.col("query_id").alias("vec_id"), F.col("low").alias("least"))
+    whole = whole.join(reached.hint("merge"), "vec_id", "left").fillna(-math.inf, ["least"])
+    once = _scanned(index, cut(merged(probes, whole, "vec_id"), "forest-asks"), k)
     of_query = W.partitionBy("query_id")
     nth = once.withColumn("__at", F.row_number().over(of_query.orderBy(F.col("low").desc())))
     bound = F.max(F.when(F.col("__at") == k, F.col("low"))).over(of_query)
