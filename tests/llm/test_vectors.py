@@ -250,11 +250,11 @@ def test_tasks_return_what_reaches_a_known_score(monkeypatch, at_once):
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     sides = {kind: next(hash_forest._strings(1, 3, 11, kind)(iter([pd.DataFrame({"vec_id": range(310), "embedding": list(vectors)})]))) for kind in ("int8", "float32")}
 
-    def task(rows, least):
+    def task(rows, least, **how):
         index, asks = sides["int8"].iloc[rows], sides["float32"].iloc[:10]
         both = [index.assign(kind=0, id=index["vec_id"], low=index["vec_id"], high=index["vec_id"], least=-np.inf)]
         both.append(asks.assign(kind=1, id=asks["vec_id"], low=0, high=310, least=least))
-        return pd.concat(hash_forest._scan(k)(iter([pd.concat(both).assign(block=0, slice=0)])), ignore_index=True)
+        return pd.concat(hash_forest._scan(k, **how)(iter([pd.concat(both).assign(block=0, slice=0)])), ignore_index=True)
 
     halves = slice(0, 155), slice(155, 310)
     scores = vectors[:10] @ vectors.T
@@ -266,3 +266,7 @@ def test_tasks_return_what_reaches_a_known_score(monkeypatch, at_once):
     for f in pairs:
         true = scores[f["query_id"], f["vec_id"]]
         assert (f["low"] <= true).all() and (true <= f["high"]).all()
+    lows = pd.concat([task(half, -np.inf, lows=True) for half in halves])
+    assert (lows.groupby("query_id").size() == 2 * k).all()
+    known = lows.groupby("query_id")["low"].nlargest(k).groupby(level=0).min()
+    assert (known.to_numpy() <= np.sort(scores, axis=1)[:, -k]).all() and best <= {(int(q), int(c)) for q, c in zip(lows["query_id"], lows["vec_id"])} | bound

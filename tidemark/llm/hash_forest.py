@@ -37,8 +37,10 @@ BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
 # Queries whose scores with a block are in memory at a time.
 SCORED_QUERIES = 256
-# Trees in which the block around a query is scored before all others.
-FIRST_TREES = 4
+# Trees in which the block around a query is scored before all others; of each, so much more than
+# an even share of the best is looked at.
+FIRST_TREES = 8
+FIRST_SHARES = 2
 # Scored pairs a task holds to merge them over its blocks.
 HELD_ROWS = 1_000_000
 SEED = 11
@@ -215,10 +217,11 @@ def _keep(query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.nd
     return order[high[order] >= np.repeat(least, sizes)]
 
 
-def _scan(k: int):
+def _scan(k: int, lows: bool = False):
     """Task function over (block, slice, kind): rows of a block first, then its queries.
 
-    ``least`` is a score that ``k`` others of the query reach, as far as known.
+    ``least`` is a score that as many others of the query reach as it wants, as far as known.
+    With ``lows`` only the ``k`` pairs of the largest lower bounds are returned, block by block.
     """
 
     def score(rows: list[pd.DataFrame], asks: pd.DataFrame) -> pd.DataFrame | None:
@@ -252,7 +255,7 @@ def _scan(k: int):
             if low.shape[1] > k:
                 least = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
             near += error
-            q, c = np.nonzero(inside & (near >= least[:, None]))
+            q, c = np.nonzero(inside & ((low if lows else near) >= least[:, None]))
             found.append(pd.DataFrame({"query_id": mine[q], "vec_id": ids[c], "low": low[q, c], "high": near[q, c]}))
         return pd.concat(found)
 
@@ -264,6 +267,9 @@ def _scan(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for found in blocks(batches):
+            if lows:
+                yield found
+                continue
             held.append(found)
             size += len(found)
             if size > HELD_ROWS:
@@ -295,8 +301,8 @@ def _scan(k: int):
     return run
 
 
-def _scanned(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, low, high): the pairs that can be among the best ``k`` of their query."""
+def _scanned(index: DataFrame, probes: DataFrame, k: int, lows: bool = False) -> DataFrame:
+    """(query_id, vec_id, low, high): the pairs that can be among the best ``k`` of their query; see ``_scan``."""
     # A block that many queries reach is copied to as many tasks as they need.
     load = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("slices"))
     vector = ["scale", "off", "packed"]
@@ -313,7 +319,7 @@ def _scanned(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
         F.col("vec_id").alias("id"), "low", "high", *vector, "least",
     )
     dealt = rows.union(asks).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind", "low")
-    near = dealt.mapInPandas(_scan(k), "query_id long, vec_id long, low double, high double")
+    near = dealt.mapInPandas(_scan(k, lows), "query_id long, vec_id long, low double, high double")
     return near.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
 
 
@@ -418,7 +424,8 @@ def search(
     beside = merged(probes, own.withColumn("block", F.floor(F.col("__own") / BLOCK_ROWS)), ["vec_id", "block"])
     beside = merged(beside.where((F.col("low") <= F.col("__own")) & (F.col("__own") < F.col("high"))).drop("__own"), whole, "vec_id")
     first = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("low").desc()))
-    seen = _scanned(index, cut(beside.withColumn("least", F.lit(-math.inf)), "forest-beside"), k).withColumn("__at", first)
+    beside = cut(beside.withColumn("least", F.lit(-math.inf)), "forest-beside")
+    seen = _scanned(index, beside, math.ceil(FIRST_SHARES * k / FIRST_TREES), lows=True).withColumn("__at", first)
     reached = seen.where(F.col("__at") == k).select(F.col("query_id").alias("vec_id"), F.col("low").alias("least"))
     whole = whole.join(reached.hint("merge"), "vec_id", "left").fillna(-math.inf, ["least"])
     once = _scanned(index, cut(merged(probes, whole, "vec_id"), "forest-asks"), k)
